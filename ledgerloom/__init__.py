@@ -1,0 +1 @@
+"""Statement-ledger analytics as DataFrame -> DataFrame operators on Spark."""

@@ -240,7 +240,7 @@ def t2_forecast(t, spark, sf_dir):
 
 
 @query(f"""+ {RATES_SQL}, v as (select *, case when lag(as_of) over (order by as_of) is null then date '0001-01-01' else as_of end as f, coalesce(lead(as_of) over (order by as_of), date '9999-12-31') as e from rate)
-select txn_id, inr_per_unit::double as inr_per_unit, round(amount_paise::decimal(20,0) / inr_per_unit)::bigint as converted from txn join v on txn_date >= f and txn_date < e""")
+select txn_id, inr_per_unit::double as inr_per_unit, ((amount_paise::hugeint * 20 + (inr_per_unit * 10)::bigint) // (2 * (inr_per_unit * 10)::bigint))::bigint as converted from txn join v on txn_date >= f and txn_date < e""")
 def x3_convert(t, spark, sf_dir):
     return fx.convert(t, rates(spark), "USD")
 

@@ -64,26 +64,27 @@ def only_candidates(book: DataFrame, bank: DataFrame, days: int = 7) -> DataFram
 def nearest_first(book: DataFrame, bank: DataFrame, days: int = 30) -> DataFrame:
     """One-to-one by nearest date within (account, direction, amount): greedy by gap, book id, bank id.
 
-    A group holds the rows of one account with one amount; candidates never leave it.
+    A band join finds the candidates. A book row and a bank row that only have each other are a pair at
+    once; the greedy choice runs in Python only for what is left, in groups of one account and amount.
     """
     key = ["account_id", "direction", "amount_paise"]
-    other = [f"t_{k}" for k in key]
+    b, t = book.select("book_id", *key, "entry_date"), bank.select("txn_id", *key, "txn_date")
+    gap = F.abs(F.datediff("entry_date", "txn_date")).cast("long")
+    cand = b.join(t, key).where(gap <= days).select(*key, "book_id", "txn_id", gap.alias("gap"))
+    group = Window.partitionBy(*key)
+    cand = cand.withColumn("rows", F.count(F.lit(1)).over(group))
 
-    def pick(left, right):
-        cand = left.merge(right, left_on=key, right_on=other)
-        cand["gap"] = (pd.to_datetime(cand["entry_date"]) - pd.to_datetime(cand["txn_date"])).dt.days.abs()
-        cand = cand[cand["gap"] <= days].sort_values(["gap", "book_id", "txn_id"])
+    def pick(pdf):
         used_b, used_t, out = set(), set(), []
-        for b, t, g in zip(cand["book_id"], cand["txn_id"], cand["gap"]):
+        for g, b, t in sorted(zip(pdf["gap"], pdf["book_id"], pdf["txn_id"])):
             if b not in used_b and t not in used_t:
                 used_b.add(b)
                 used_t.add(t)
                 out.append((b, t, g))
         return pd.DataFrame(out, columns=["book_id", "txn_id", "gap"])
 
-    # other names on the bank's side: both may come from one table
-    b, t = book.select("book_id", *key, "entry_date"), bank.select("txn_id", *[F.col(k).alias(o) for k, o in zip(key, other)], "txn_date")
-    return b.groupBy(*key).cogroup(t.groupBy(*other)).applyInPandas(pick, "book_id long, txn_id long, gap long")
+    alone = cand.where("rows = 1").select("book_id", "txn_id", "gap")
+    return alone.unionByName(cand.where("rows > 1").groupBy(*key).applyInPandas(pick, "book_id long, txn_id long, gap long"))
 
 
 def reconcile(book: DataFrame, bank: DataFrame) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0)
 
 
 def _side(c: str):
-    return F.coalesce(F.sum(c), ZERO).cast("long")
+    return F.coalesce(F.sum(c), F.lit(0)).cast("long")
 
 
 def summary(txn: DataFrame) -> DataFrame:
@@ -66,9 +65,9 @@ def ageing(items: DataFrame, as_of: str) -> DataFrame:
     bands = items.sparkSession.createDataFrame([(1, "0-30", -(10**6), 30), (2, "31-60", 31, 60), (3, "61-90", 61, 90), (4, "90+", 91, 10**6)], "pos int, band string, lo int, hi int")
     aged = items.withColumn("age", F.datediff(F.lit(as_of).cast("date"), "item_date"))
     aged = aged.withColumn("pos", F.when(F.col("age") <= 30, 1).when(F.col("age") <= 60, 2).when(F.col("age") <= 90, 3).otherwise(4))
-    part = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("amount_paise"))), ZERO).cast("long").alias(f"{s}_paise")
+    part = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("amount_paise"))), F.lit(0)).cast("long").alias(f"{s}_paise")
     got = aged.groupBy("pos").agg(part("bank"), part("book"), F.count(F.lit(1)).alias("n"))
-    return bands.join(got, "pos", "left").select("pos", "band", *(F.coalesce(c, ZERO).cast("long").alias(c) for c in ("bank_paise", "book_paise", "n")))
+    return bands.join(got, "pos", "left").select("pos", "band", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bank_paise", "book_paise", "n")))
 
 
 def rollup_tree(txn: DataFrame, *levels: str) -> DataFrame:

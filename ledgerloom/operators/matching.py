@@ -89,9 +89,9 @@ def nearest_first(book: DataFrame, bank: DataFrame, days: int = 30) -> DataFrame
 
 def reconcile(book: DataFrame, bank: DataFrame) -> DataFrame:
     """Passes in order, each over what the former left: book_id, txn_id, method."""
-    out = None
+    book, bank, out = book.persist(), bank.persist(), None
     for method, f in (("same_day", same_day), ("only_candidate", only_candidates), ("nearest", nearest_first)):
-        got = f(book, bank).select("book_id", "txn_id", F.lit(method).alias("method"))
+        got = f(book, bank).select("book_id", "txn_id", F.lit(method).alias("method")).persist()  # read by every later pass
         out = got if out is None else out.unionByName(got)
         book, bank = book.join(got, "book_id", "left_anti"), bank.join(got, "txn_id", "left_anti")
     return out

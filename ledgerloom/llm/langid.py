@@ -168,7 +168,7 @@ def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_c
                     have[_H:] += np.bincount(script, minlength=_N_SCRIPTS)
         for lang, have in sums.items():
             at = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(have[at])], ["lang", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["lang", "b", "n"])
 
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     got = rows.mapInArrow(count, "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()

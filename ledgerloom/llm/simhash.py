@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, rows_in_chunks, stored, words_spaced
+from .common import lower_ascii, rows_in_chunks, spare, stored, words_spaced
 from .graph import components
 
 BITS = 64
@@ -234,8 +234,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, similar
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one document of each group of near copies: that with the smallest id."""
     cols = docs.columns
-    kept = near_duplicate_classes(docs, **options).where("oid = root").select("k1", "k2", "oid", "copies")
-    keyed = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), F.col("text")), "oid": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
-    found = stored(keyed.join(kept.hint("shuffle_hash"), ["k1", "k2", "oid"]).select(*cols, "k1", "k2", "copies"), "kept")
-    once = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["k1", "k2"]))
+    k1, k2, oid, copies = spare(docs, "k1", "k2", "oid", "copies")
+    kept = near_duplicate_classes(docs, **options).where("oid = root").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("oid").alias(oid), F.col("copies").alias(copies))
+    keyed = docs.withColumns({k1: F.xxhash64("text"), k2: F.xxhash64(F.lit("second"), F.col("text")), oid: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
+    found = stored(keyed.join(kept.hint("shuffle_hash"), [k1, k2, oid]).select(*cols, k1, k2, copies), "kept")
+    once = found.where(F.col(copies) == 1).unionByName(found.where(F.col(copies) > 1).dropDuplicates([k1, k2]))
     return once.select(*cols)

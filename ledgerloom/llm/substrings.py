@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_in_chunks, stored, words_spaced
+from .common import rows_in_chunks, spare, stored, words_spaced
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: log2 of the bits in a partition bitmap, and of its slices.
@@ -228,8 +228,10 @@ def documents_without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     spans = repeated_spans(docs, window)
     spans = stored(spans.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts")), "repeated-spans")
     names = docs.columns
-    keyed = docs.withColumn("th", F.xxhash64("text")).withColumn("id", F.col("doc_id").cast("long"))
-    keyed = keyed.join(spans.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), ["id", "th"], "left").select(*names, "starts", "counts")
+    i, th, a, b = spare(docs, "id", "th", "starts", "counts")
+    keyed = docs.withColumns({th: F.xxhash64("text"), i: F.col("doc_id").cast("long")})
+    found = spans.select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("starts").alias(a), F.col("counts").alias(b))
+    keyed = keyed.join(found.hint("shuffle_hash"), [i, th], "left").select(*names, a, b)
 
     def cut(batches):
         for b in batches:

@@ -211,7 +211,7 @@ def locate(archives: DataFrame) -> DataFrame:
                 lines = [json.loads(x) for x in read_range(f, data_start(f, index), index.size).splitlines()]
                 for i in range(0, len(lines), 5000):
                     some = lines[i : i + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array([archive] * len(some)), pa.array([at + x["offset"] for x in some], pa.int64()), pa.array([x["length"] for x in some], pa.int64())], ["archive", "start", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array([archive] * len(some), pa.string()), pa.array([at + x["offset"] for x in some], pa.int64()), pa.array([x["length"] for x in some], pa.int64())], ["archive", "start", "length"])
 
     return archives.select("archive").mapInArrow(run, "archive string, start long, length long")
 

@@ -118,7 +118,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Pattern]:
                 put(have + times * length, count, (length, times, items))
                 left -= times * count
             else:
-                put(length, left, (length, 1, None))
+                # a new pack is the shortest until it has no room for this length
+                fit = capacity // length
+                for count, times in ((left // fit, fit), (1, left % fit)):
+                    if count and times:
+                        put(times * length, count, (length, times, None))
                 left = 0
     out = []
     for count, items in done + [(c, i) for _, _, c, i in packs]:

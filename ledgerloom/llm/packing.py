@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,17 +27,30 @@ _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 _TAIL = re.compile(r"(.*[a-zß-öø-ÿ])([^a-zß-öø-ÿ]+)", re.DOTALL)
 
 
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
+
 class _Known(dict):
-    """Ids (little-endian uint32) of blank-free runs, found when first asked for."""
+    """Ids (little-endian uint32) of blank-free runs, found when first asked for.
+
+    A run of letters alone is one pre-token: it goes to the tokenizer's model, past the normalizer and
+    the splitting, which leave it as it is.
+    """
+
+    def __init__(self, tokenizer, plain: bool):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-    def __init__(self, encode, plain: bool):
-        self.encode, self.plain = encode, plain
+        self.encode, self.tokenize, self.plain = tokenizer.encode, tokenizer.model.tokenize, plain
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
 
     def __missing__(self, run: str) -> bytes:
-        if self.plain and (m := _TAIL.fullmatch(run)):
+        if self.plain and _LETTERS.fullmatch(run):
+            ids = array("I", [t.id for t in self.tokenize(run.translate(self.shown))]).tobytes()
+        elif self.plain and (m := _TAIL.fullmatch(run)):
             ids = self[m[1]] + self[m[2]]
         else:
-            ids = np.array(self.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.encode(run, add_special_tokens=False).ids).tobytes()
         self[run] = ids
         return ids
 
@@ -54,7 +68,7 @@ class CachedTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        self.most, self.plain, self.other = most, _Known(tokenizer.encode, True), _Known(tokenizer.encode, False)
+        self.most, self.plain, self.other = most, _Known(tokenizer, True), _Known(tokenizer, False)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""

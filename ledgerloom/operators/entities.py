@@ -28,15 +28,14 @@ def pairs(names: DataFrame, most: int = 200) -> DataFrame:
     return x.select("a_id", "b_id", F.floor((n - d) * 1000 / F.greatest(n, F.lit(1))).cast("long").alias("ratio"))
 
 
-def clusters(names: DataFrame, pairs: DataFrame, least: int = 860, rounds: int = 20) -> DataFrame:
+def clusters(names: DataFrame, pairs: DataFrame, least: int = 860) -> DataFrame:
     """id, cluster (smallest id reached over pairs of at least `least`): labels spread until none changes."""
     e = pairs.where(F.col("ratio") >= least).select("a_id", "b_id")
     e = e.unionByName(e.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).checkpoint()
     labels = names.select("id", F.col("id").alias("cluster")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = e.join(labels, e.b_id == labels.id).groupBy("a_id").agg(F.min("cluster").alias("m"))
         new = labels.join(near, labels.id == near.a_id, "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).checkpoint()
         if not new.join(labels, ["id", "cluster"], "left_anti").limit(1).count():
             return new
         labels = new
-    return labels

@@ -43,9 +43,9 @@ def balances(txn: DataFrame) -> DataFrame:
 
 def month_buckets(txn: DataFrame) -> DataFrame:
     """In and out of every month of the whole span and account, empty months with zeros."""
-    span = txn.agg(F.date_trunc("month", F.min("txn_date")).cast("date").alias("a"), F.date_trunc("month", F.max("txn_date")).cast("date").alias("b"))
-    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
-    grid = txn.select("account_id").distinct().crossJoin(months)  # accounts by months: the asked-for grid
+    month = lambda f: txn.agg(F.date_trunc("month", f("txn_date")).cast("date")).scalar()
+    grid = txn.select("account_id").distinct().select("account_id", month(F.min).alias("a"), month(F.max).alias("b"))
+    grid = grid.select("account_id", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
     got = txn.groupBy("account_id", F.date_trunc("month", "txn_date").cast("date").alias("month")).agg(F.sum("credit_paise").alias("i"), F.sum("debit_paise").alias("o"))
     zero = F.lit(0)
     return grid.join(got, ["account_id", "month"], "left").select("account_id", "month", F.coalesce("i", zero).cast("long").alias("in_paise"), F.coalesce("o", zero).cast("long").alias("out_paise"))

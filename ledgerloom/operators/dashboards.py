@@ -17,7 +17,7 @@ def summary(txn: DataFrame) -> DataFrame:
     return txn.agg(
         _side("credit_paise").alias("in_paise"), _side("debit_paise").alias("out_paise"), F.count(F.lit(1)).alias("n"),
         F.countDistinct("account_id").alias("accounts"), F.max("txn_date").alias("last_date"), F.min("txn_date").alias("first_date"),
-    ).crossJoin(last)  # fmt: skip  one row beside one row
+    ).select("*", last.scalar().alias("liquidity_paise"))
 
 
 def by_period(txn: DataFrame, unit: str = "month") -> DataFrame:
@@ -34,7 +34,7 @@ def latest_balance(txn: DataFrame) -> DataFrame:
 def breakdown(txn: DataFrame, key: str) -> DataFrame:
     """Sums by key with shares of all outflow in basis points (floor; null without outflow)."""
     g = txn.groupBy(key).agg(_side("credit_paise").alias("in_paise"), _side("debit_paise").alias("out_paise"), F.count(F.lit(1)).alias("n"))
-    return g.crossJoin(g.agg(F.sum("out_paise").alias("all_"))).select(
+    return g.select("*", g.agg(F.sum("out_paise")).scalar().alias("all_")).select(
         key, "in_paise", "out_paise", "n", F.when(F.col("all_") > 0, F.floor(F.col("out_paise") * 10000 / F.col("all_"))).cast("long").alias("share_bp"), F.when(F.col("out_paise") >= F.col("in_paise"), "debit").otherwise("credit").alias("side"))
 
 
@@ -50,14 +50,14 @@ def concentration(txn: DataFrame, key: str, k: int = 5) -> DataFrame:
     """Outflow to the k largest keys against all outflow, and the number of keys."""
     g = txn.where("debit_paise > 0").groupBy(key).agg(F.sum("debit_paise").alias("s"))
     top = g.orderBy(F.desc("s"), key).limit(k).agg(F.sum("s").cast("long").alias("top_paise"))
-    return g.agg(F.count(F.lit(1)).alias("keys"), F.sum("s").cast("long").alias("all_paise")).crossJoin(top)
+    return g.agg(F.count(F.lit(1)).alias("keys"), F.sum("s").cast("long").alias("all_paise")).select("*", top.scalar().alias("top_paise"))
 
 
 def page(txn: DataFrame, search: str, offset: int, limit: int) -> DataFrame:
     """A page of the newest matching rows, each with the number of all matches."""
     hit = txn.where(F.col("narration").ilike(f"%{search}%"))
     rows = hit.orderBy(F.desc("txn_date"), F.desc("txn_id")).offset(offset).limit(limit).select("txn_id", "txn_date", "amount_paise", "narration")
-    return rows.crossJoin(hit.agg(F.count(F.lit(1)).alias("total")))
+    return rows.select("*", hit.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 def ageing(items: DataFrame, as_of: str) -> DataFrame:

@@ -159,7 +159,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 8, id_col: str
 
     runs = stored(rows.where("doc_id is not null").mapInArrow(full, "key long, sig long, doc_id long, th long, start long, n long, paths binary"), "suffix-runs")
     # the first document of each run; of partitions with several runs, the runs themselves
-    owner = runs.groupBy("key", "sig").agg(F.min("doc_id").alias("owner"))
+    # (stored, as a join that reuses an aggregation's partitioning can't split a run that very many documents have)
+    owner = stored(runs.groupBy("key", "sig").agg(F.min("doc_id").alias("owner")), "run-owners")
     whole = runs.select("key", "sig", "doc_id", "th", "start", "n").join(owner, ["key", "sig"])
     later = whole.where("doc_id > owner").select("doc_id", "th", "start", "n")
     firsts = runs.where("paths is not null").join(part.where("open"), "key").join(owner, ["key", "sig"]).where("doc_id = owner")
@@ -175,6 +176,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 8, id_col: str
 
     single = firsts.select("key", "doc_id", "th", "start", "n", "paths").mapInArrow(suffixes, "key long, doc_id long, th long, start long, path long")
     nodes = single.groupBy("key", "path").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "path", "a")
+    nodes = stored(nodes, "tree-nodes")
     split = single.join(nodes, ["key", "path"]).where("doc_id > a").select("doc_id", "th", "start", F.lit(1).cast("long").alias("n"))
     return later.unionByName(split)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import anomalies, classify, dashboards, entities, fx, matching, timeseries, validation
+from .operators import anomalies, classify, credit, dashboards, entities, fx, matching, timeseries, validation
 from .plans.ledger import BOOKS_SQL, COPIES_SQL, LEDGER_SQL, RATES_SQL, books, ledger, rates, read, with_copies
 from .streaming import metering
 
@@ -393,6 +393,78 @@ def e10_name_clusters(t, spark, sf_dir):
     return entities.block_keys(n).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("cluster"))
 
 
+_EVIDENCE = f"""e as (select account_id, direction, counterparty, count(*)::bigint as k, sum(amount_paise)::hugeint as total, count(distinct date_trunc('month', txn_date))::bigint as months,
+  bool_or(regexp_matches(upper(narration), 'SALARY')) as salary, bool_or(regexp_matches(upper(narration), '{credit.DEBT}')) as debt,
+  count(*) * sum(day(txn_date) * day(txn_date))::hugeint - sum(day(txn_date))::hugeint * sum(day(txn_date))::hugeint as ds, count(*) * sum(amount_paise::hugeint * amount_paise)::hugeint - sum(amount_paise)::hugeint * sum(amount_paise)::hugeint as am from txn group by 1, 2, 3),
+es as (select * from series join e using (account_id, direction, counterparty) where cadence is not null)"""
+
+
+@query(f"""+ {_SERIES}, {_EVIDENCE}, c as (select *, least(97, 50 + case when salary then 20 else 0 end + case when n >= 6 then 10 else 0 end + case when am * 400 <= total * total then 7 else 0 end + case when ds <= 9 * k * k then 5 else 0 end)::int as confidence from es where direction = 'credit')
+select account_id, confidence, amount_paise, counterparty from (select *, row_number() over (partition by account_id order by confidence desc, amount_paise desc, counterparty desc) r from c where confidence >= 70) where r = 1""")
+def t13_salary(t, spark, sf_dir):
+    return credit.salary(t)
+
+
+@query(f"""+ {_SERIES} select account_id, direction, sum(amount_paise * 30 // nominal_days)::bigint as monthly_paise, count(*) as series, count(case when tier = 'high' then 1 end) * 10000 // count(*) as high_bp from series where cadence is not null group by 1, 2""")
+def t14_monthly_equivalent(t, spark, sf_dir):
+    return credit.monthly_equivalent(timeseries.recurring(t).where("cadence is not null"))
+
+
+_INCOME = """p as (select account_id, counterparty, sum(credit_paise)::hugeint as s from txn where credit_paise > 0 group by 1, 2), pm as (select account_id, arg_max(counterparty, {'s': s, 'c': counterparty}) as largest, max(s) as ms, count(*) as sources from p group by 1),
+inc as (select account_id, sum(credit_paise)::bigint as total_paise, count(*) as n, sources, count(distinct date_trunc('month', txn_date)) as months, largest, (ms * 10000 // sum(credit_paise)::hugeint)::bigint as largest_bp from txn join pm using (account_id) where credit_paise > 0 group by account_id, sources, largest, ms)"""
+
+
+@query(f"+ {_INCOME} select * from inc")
+def t12_income(t, spark, sf_dir):
+    return credit.income(t)
+
+
+def _part(p):
+    return f"coalesce(sum(case when part = '{p}' then debit_paise end), 0)::bigint as {p}_paise"
+
+
+_EXPENSES = f"""ex as (select account_id, sum(debit_paise)::bigint as total_paise, {", ".join(_part(p) for p in [*dict(credit.SPENDING), "unattributed"])}, count(distinct date_trunc('month', txn_date)) as months
+from (select *, {_cases(credit.SPENDING, "'unattributed'")} as part from txn where debit_paise > 0) group by 1)"""
+
+
+@query(f"+ {_EXPENSES} select * from ex")
+def t15_expenses(t, spark, sf_dir):
+    return credit.expenses(t)
+
+
+_OBLIGATIONS = f"""{_SERIES}, {_EVIDENCE}, ob as (select account_id, counterparty, amount_paise, ((2 * total + months) // (2 * months))::bigint as monthly_paise, (case when debt and shape then 90 when debt then 80 when shape then 55 end)::int as confidence
+from (select *, am * 2500 <= total * total and ds <= 9 * k * k as shape from es where direction = 'debit' and cadence = 'monthly') where debt or shape)"""
+
+
+@query(f"+ {_OBLIGATIONS} select * from ob")
+def t16_obligations(t, spark, sf_dir):
+    return credit.obligations(t)
+
+
+@query(f"""+ {_OBLIGATIONS}, {_INCOME}, {_EXPENSES}, dt as (select account_id, sum(monthly_paise)::bigint as d from ob group by 1),
+af as (select account_id, coalesce(inc.total_paise // inc.months, 0)::bigint as income_paise, coalesce(d, 0)::bigint as debt_paise, coalesce(essential_paise // ex.months, 0)::bigint as essential_paise
+  from (select distinct account_id from txn) left join inc using (account_id) left join dt using (account_id) left join ex using (account_id)),
+av as (select *, case when income_paise > 0 then debt_paise * 10000 // income_paise end as ratio_bp, income_paise - greatest(debt_paise, essential_paise) as left_paise from af)
+select *, case when ratio_bp is null then 'insufficient_data' when left_paise < {credit.LEAST_DISPOSABLE} then 'not_affordable' when ratio_bp < {credit.COMFORTABLE_BP} then 'affordable' when ratio_bp < {credit.STRETCHED_BP} then 'marginal' else 'not_affordable' end as verdict from av""")
+def t17_affordability(t, spark, sf_dir):
+    return credit.affordability(t)
+
+
+@query(f"""{FINDINGS_SQL}, {_CLOSE}, dd as (select account_id, sum(until - txn_date + 1)::bigint as days, coalesce(sum(case when close_paise < 0 then until - txn_date + 1 end), 0)::bigint as negative_days, coalesce(sum(case when close_paise < 100000000 then until - txn_date + 1 end), 0)::bigint as breach_days from u group by 1),
+fe as (select account_id, count(*) as c, sum(debit_paise)::bigint as p from txn where debit_paise > 0 and regexp_matches(upper(narration), '{credit.PENAL}') group by 1),
+fo as (select account_id, sum(case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end)::bigint as w from found group by 1),
+x as (select account_id, days, negative_days, breach_days, coalesce(c, 0)::bigint as charges, coalesce(p, 0)::bigint as charges_paise, coalesce(w, 0)::bigint as weighted from dd left join fe using (account_id) left join fo using (account_id))
+select *, 3500 * least(charges, 6) // 6 + 2500 * negative_days // days + 2000 * breach_days // days + 2000 * least(weighted, 8) // 8 as stress_bp from x""")
+def t18_risk(t, spark, sf_dir):
+    return credit.risk(t, TODAY, 100000000)
+
+
+@query("""+ g as (select account_id, (max(txn_date) - min(txn_date) + 1)::bigint as days, count(distinct date_trunc('month', txn_date)) as months, count(*) as n from txn group by 1)
+select *, concat_ws(',', case when days < 90 then 'short_history' end, case when n < 5 * months then 'sparse_history' end) as warnings from g""")
+def t20_history_warnings(t, spark, sf_dir):
+    return credit.history_warnings(t)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return g2_monthly_summary(ledger(spark, "/root/testdata/sf0.001"), spark, "/root/testdata/sf0.001")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import anomalies, classify, credit, dashboards, entities, fx, matching, timeseries, validation
+from .operators import anomalies, classify, credit, dashboards, entities, fx, matching, reports, similarity, timeseries, tree, validation
 from .plans.ledger import BOOKS_SQL, COPIES_SQL, LEDGER_SQL, RATES_SQL, books, ledger, rates, read, with_copies
 from .streaming import metering
 
@@ -465,6 +465,117 @@ def t20_history_warnings(t, spark, sf_dir):
     return credit.history_warnings(t)
 
 
+@query(f"""+ {BOOKS_SQL}, c as (select book_id, txn_id, abs(entry_date - txn_date) as gap, abs(b.amount_paise - t.amount_paise) as off from book b join txn t on b.account_id = t.account_id and b.direction = t.direction and b.instrument_no = t.reference_no
+where abs(entry_date - txn_date) <= 7 and b.amount_paise <> t.amount_paise) select book_id, txn_id, off::bigint as off_paise from (select *, row_number() over (partition by book_id order by gap, off, txn_id) r from c) where r = 1""")
+def j11_other_amounts(t, spark, sf_dir):
+    return matching.other_amounts(books(t), t)
+
+
+def _report_sql(amount, since, until, rows="true"):
+    return f"+ x as (select * from txn where txn_date >= date '{since}' and txn_date < date '{until}' and {rows}) select txn_id, txn_date, account_id, narration, {amount} as value_paise, (select sum({amount}) from x)::bigint as total_paise from x"
+
+
+@query(_report_sql("signed_paise", "1997-03-01", "1997-04-01"))
+def g13_monthly_report(t, spark, sf_dir):
+    return reports.period_report(t, "1997-03-01", "1997-04-01")
+
+
+@query(_report_sql("signed_paise", "1997-01-01", "1998-01-01"))
+def g14_yearly_report(t, spark, sf_dir):
+    return reports.period_report(t, "1997-01-01", "1998-01-01")
+
+
+@query(_report_sql("debit_paise", "1996-04-01", "1997-04-01", "debit_paise > 0"))
+def g15_expense_report(t, spark, sf_dir):
+    return reports.period_report(t, "1996-04-01", "1997-04-01", "debit")
+
+
+@query(_report_sql("credit_paise", "1996-04-01", "1997-04-01", "credit_paise > 0"))
+def g16_income_report(t, spark, sf_dir):
+    return reports.period_report(t, "1996-04-01", "1997-04-01", "credit")
+
+
+@query("""+ l as (select account_id, balance_paise from (select *, row_number() over (partition by account_id order by txn_date desc, txn_id desc) r from txn) where r = 1)
+select account_id, balance_paise, (500000000 - balance_paise)::bigint as short_paise from l where balance_paise < 500000000""")
+def g18_breaches(t, spark, sf_dir):
+    return reports.breaches(t, 500000000)
+
+
+@query("""+ s as (select counterparty, narration, count(*) k, sum(amount_paise) a, min(txn_date) f, max(txn_date) l, row_number() over (partition by counterparty order by narration) r from txn group by 1, 2)
+select counterparty, sum(k)::bigint as n, sum(a)::bigint as amount_paise, count(*) as spellings, min(f) as first_date, max(l) as last_date, arg_max(narration, {'k': k, 's': narration}) as spelling, string_agg(case when r <= 3 then narration end, ' | ' order by narration) as samples from s group by 1""")
+def g19_party_groups(t, spark, sf_dir):
+    return reports.party_groups(t)
+
+
+@query("""+ c as (select event_type, round(value * 100)::bigint as c, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20')
+select event_type, n, sum(c)::bigint as value_cents, max(case when r = ((95 * n + 99) // 100) then c end) as p95_cents from c group by 1, 2""")
+def g20_usage_summary(t, spark, sf_dir):
+    return reports.usage_summary(read(spark, sf_dir, "events"), "2024-01-05", "2024-01-20")
+
+
+_PLACED = f"pl as (select *, {_cases(tree.PLACES, chr(39) + 'Other>' + chr(39) + ' || case when direction = ' + chr(39) + 'credit' + chr(39) + ' then ' + chr(39) + 'Income' + chr(39) + ' else ' + chr(39) + 'Expense' + chr(39) + ' end')} as path from txn)"
+
+
+@query(f"+ {_PLACED} select txn_id, path from pl")
+def k9_place(t, spark, sf_dir):
+    return tree.place(t).select("txn_id", "path")
+
+
+@query(f"""+ {_PLACED} select string_split(path, '>')[1] as family, count(*) as n, floor(sum(amount_paise) / count(*))::bigint as mean_score from pl group by 1""")
+def g8_health(t, spark, sf_dir):
+    return reports.health(tree.place(t).withColumn("root", F.split("path", ">")[0]), "root", "amount_paise")
+
+
+@query(f"""+ {_PLACED} select string_split(path, '>')[2] as child, count(*) as n, coalesce(sum(credit_paise), 0)::bigint as in_paise, coalesce(sum(debit_paise), 0)::bigint as out_paise, bool_or(len(string_split(path, '>')) > 2) as has_children from pl where path = 'Housing' or starts_with(path, 'Housing>') group by 1""")
+def g9_drilldown(t, spark, sf_dir):
+    return tree.drilldown(tree.place(t), "Housing")
+
+
+@query(f"+ {_PLACED} select txn_id, txn_date, path, amount_paise from pl where path = 'Charges' or starts_with(path, 'Charges>') order by txn_date desc, txn_id desc limit 30 offset 10")
+def g10_rows_at(t, spark, sf_dir):
+    return tree.rows_at(tree.place(t), "Charges", 10, 30)
+
+
+@query(f"+ {_PLACED} select len(string_split(path, '>'))::int as depth, not starts_with(path, 'Other>') as known, count(*) as n, sum(amount_paise)::bigint as amount_paise from pl group by 1, 2")
+def g11_coverage(t, spark, sf_dir):
+    return tree.coverage(tree.place(t))
+
+
+_NEIGHBOURS = "c as (select c_custkey as id, c_name || ' ' || c_mktsegment as name from customer), nb as (select a.id, a.name as x, b.name as y from c a join c b on b.id = a.id + 1)"
+
+
+def _neighbours(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("name"))
+    return c.withColumnRenamed("name", "x").join(c.select((F.col("id") - 1).alias("id"), F.col("name").alias("y")), "id")
+
+
+@query(f"+ {_NEIGHBOURS} select id::bigint as id, round(jaro_winkler_similarity(x, y) * 10000)::bigint as score_bp from nb")
+def e5_jaro_winkler(t, spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("id", F.round(similarity.jaro_winkler("x", "y") * 10000).cast("long").alias("score_bp"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+@query(f"""+ {_NEIGHBOURS}, u as (select id, regexp_replace(upper(x), '[^A-Z0-9]', '', 'g') as x, regexp_replace(upper(y), '[^A-Z0-9]', '', 'g') as y from nb), g as (select id, {_GRAMS.format('x')} as a, {_GRAMS.format('y')} as b from u)
+select id::bigint as id, (len(list_intersect(a, b)) * 20000 // (len(a) + len(b)))::bigint as dice_bp from g""")
+def e6_trigram_dice(t, spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("id", similarity.dice(similarity.trigrams(F.col("x")), similarity.trigrams(F.col("y"))).alias("dice_bp"))
+
+
+@query("""+ c as (select c_nationkey as k, c_mktsegment as s, count(*) as n from customer group by 1, 2), v as (select (select sum(n * (n - 1) // 2) from c)::bigint as together,
+(select sum(n * (n - 1) // 2) from (select sum(n) as n from c group by k))::bigint as predicted, (select sum(n * (n - 1) // 2) from (select sum(n) as n from c group by s))::bigint as actual)
+select *, together * 10000 // predicted as precision_bp, together * 10000 // actual as recall_bp from v""")
+def e13_against_truth(t, spark, sf_dir):
+    return similarity.against_truth(read(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query("""+ x as (select distinct p_name as name, substr(regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g'), 1, 4) as key from part where p_name is not null)
+select key, count(*) as names, min(name) as keep from x where length(key) >= 4 group by 1 having count(*) > 1""")
+def k20_merge_suggestions(t, spark, sf_dir):
+    return similarity.merge_suggestions(read(spark, sf_dir, "part"), "p_name", 4)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return g2_monthly_summary(ledger(spark, "/root/testdata/sf0.001"), spark, "/root/testdata/sf0.001")
 

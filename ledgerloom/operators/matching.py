@@ -109,3 +109,14 @@ def transfers(txn: DataFrame, days: int = 3) -> DataFrame:
     c = txn.where("credit_paise is not null").select(F.col("txn_id").alias("credit_id"), F.col("account_id").alias("ca"), "amount_paise", F.col("txn_date").alias("cd"))
     gap = F.datediff("cd", "dd")
     return d.join(c, "amount_paise").where((F.col("da") != F.col("ca")) & gap.between(-1, days)).groupBy("debit_id").agg(F.min(F.struct(F.abs(gap).alias("g"), "credit_id"))["credit_id"].alias("credit_id"))
+
+
+def other_amounts(book: DataFrame, bank: DataFrame, days: int = 7) -> DataFrame:
+    """For each entry the bank row of equal account, direction and reference but another amount: nearest day, then amount.
+
+    Both sides are joined on the reference, which few rows share; null references match nothing.
+    """
+    b = book.where("instrument_no is not null").select("book_id", "account_id", "direction", "entry_date", F.col("amount_paise").alias("booked"), F.col("instrument_no").alias("reference_no"))
+    c = b.join(bank, ["account_id", "direction", "reference_no"]).withColumn("gap", F.abs(F.datediff("entry_date", "txn_date"))).where((F.col("gap") <= days) & (F.col("booked") != F.col("amount_paise")))
+    best = c.groupBy("book_id").agg(F.min(F.struct("gap", F.abs(F.col("booked") - F.col("amount_paise")).alias("off"), "txn_id")).alias("m"))
+    return best.select("book_id", "m.txn_id", F.col("m.off").cast("long").alias("off_paise"))

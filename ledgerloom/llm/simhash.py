@@ -166,7 +166,8 @@ def _sketch(hashes: np.ndarray, views: int) -> tuple[int, list[int]]:
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 2, views: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 (text hashes), oid (smallest id; null ids count as the largest long), copies (rows with that id),
-    root: one row for each different text of docs; texts of one root are a group of near copies.
+    node (the text's number in order of oid, k1, k2), root (smallest node of its group): one row for each
+    different text of docs; texts of one root are a group of near copies.
 
     Equal texts are one class. Candidates share a covering-table key of their fingerprint or a view's
     fingerprint with the smallest id of that bucket; a candidate counts if the Jaccard similarity of the
@@ -178,7 +179,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     )
     # one row for each text: only these are fingerprinted
     ids = rows.groupBy("k1", "k2", "oid").agg(F.count(F.lit(1)).alias("n"))
-    ids = stored(ids.groupBy("k1", "k2").agg(F.min("oid").alias("oid"), F.min_by("n", "oid").alias("copies")), "text-classes")
+    ids = ids.groupBy("k1", "k2").agg(F.min("oid").alias("oid"), F.min_by("n", "oid").alias("copies"))
+    # different texts may have one id or none: a node is the text's own, and rises with the id
+    order = ["oid", "k1", "k2"]
+    ids = stored(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "text-classes")
 
     def sketch(batches):
         for c in rows_in_chunks(batches, "text"):
@@ -189,27 +193,25 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     sk = sk.where("fp is not null").join(ids, ["oid", "k1", "k2"]).dropDuplicates(["oid", "k1", "k2"])
     n_masks = len(covering_masks(radius))
     view_keys = F.transform("views", lambda x, i: F.struct((i + n_masks).alias("t"), x.alias("k")))
-    # node: a class's id, unless two texts have it
-    node = F.col("oid")
-    keyed = sk.select(node.alias("node"), F.explode(F.concat(table_keys(F.col("fp"), radius), view_keys)).alias("x")).select("node", "x.t", "x.k")
+    keyed = sk.select("node", F.explode(F.concat(table_keys(F.col("fp"), radius), view_keys)).alias("x")).select("node", "x.t", "x.k")
     firsts = keyed.groupBy("t", "k").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
     pairs = stored(keyed.join(firsts, ["t", "k"]).where("rep < node").select("rep", "node").distinct(), "simhash-pairs")
     edges = _verified(pairs, rows, ids, k, similarity)
     roots = components(edges)
-    return ids.join(roots, ids.oid == roots.node, "left").select("k1", "k2", "oid", "copies", F.coalesce("root", "oid").alias("root"))
+    return ids.join(roots, "node", "left").select("k1", "k2", "oid", "copies", "node", F.coalesce("root", "node").alias("root"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, similarity: float, per_task: int = 2000) -> DataFrame:
     """Those of pairs(rep, node) whose shingle sets are similar enough, as a, b."""
     need = pairs.select("node").union(pairs.select(F.col("rep").alias("node"))).distinct()
-    need = ids.join(need, ids.oid == need.node).select("oid", "k1", "k2")
+    need = ids.join(need, "node").select("oid", "k1", "k2", "node")
 
     def sets(batches):
         for c in rows_in_chunks(batches, "text"):
             got = [np.unique(shingle_hashes(lower_ascii(words_spaced(t)), k).astype(np.uint32)).tobytes() for t in c["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(c["oid"], pa.int64()), pa.array(got, pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c["node"], pa.int64()), pa.array(got, pa.binary())], ["node", "s"])
 
-    held = stored(rows.join(need.hint("shuffle_hash"), ["oid", "k1", "k2"]).select("oid", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+    held = stored(rows.join(need.hint("shuffle_hash"), ["oid", "k1", "k2"]).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
     tasks = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("tasks"))
     members = pairs.join(tasks, "rep").select("rep", F.pmod(F.xxhash64("node"), F.col("tasks")).alias("salt"), "node").join(held, "node").select("rep", "salt", "node", "s")
     heads = tasks.join(held, F.col("rep") == F.col("node")).select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.col("rep").alias("node"), "s")
@@ -235,7 +237,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one document of each group of near copies: that with the smallest id."""
     cols = docs.columns
     k1, k2, oid, copies = spare(docs, "k1", "k2", "oid", "copies")
-    kept = near_duplicate_classes(docs, **options).where("oid = root").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("oid").alias(oid), F.col("copies").alias(copies))
+    kept = near_duplicate_classes(docs, **options).where("node = root").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("oid").alias(oid), F.col("copies").alias(copies))
     keyed = docs.withColumns({k1: F.xxhash64("text"), k2: F.xxhash64(F.lit("second"), F.col("text")), oid: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
     found = stored(keyed.join(kept.hint("shuffle_hash"), [k1, k2, oid]).select(*cols, k1, k2, copies), "kept")
     once = found.where(F.col(copies) == 1).unionByName(found.where(F.col(copies) > 1).dropDuplicates([k1, k2]))

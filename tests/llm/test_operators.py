@@ -290,6 +290,18 @@ def test_near_duplicate_stage(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def texts_frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(f"v{i}" for i in rng.integers(0, 5000, 200)) for _ in range(5))
+    rows = [(5, a), (None, a + " more"), (None, b), (None, c), (6, d), (6, e), (7, e + " more"), (6, b + " more"), (None, c)]
+    kept = simhash.drop_near_duplicates(texts_frame(spark, rows).repartition(3))
+    assert as_counter(kept.select("doc_id", "text")) == Counter([(5, a), (None, c), (6, d), (6, e), (6, b + " more")])
+
+
 def brute_repeats(rows, window):
     first = {}
     for i, t, _ in rows:

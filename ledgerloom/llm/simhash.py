@@ -22,6 +22,8 @@ from .graph import components
 BITS = 64
 #: Bucket sizes up to which pairs are compared by a join, and by one task.
 JOINED, IN_TASK = 64, 4096
+#: Texts, and bytes of shingle sets for each, that a block of a bucket has in the pipeline's stage.
+BLOCK, SET_BYTES = 1000, 8000
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -170,8 +172,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     different text of docs; texts of one root are a group of near copies.
 
     Equal texts are one class. Candidates share a covering-table key of their fingerprint or a view's
-    fingerprint with the smallest id of that bucket; a candidate counts if the Jaccard similarity of the
-    k-word shingle sets is at least `similarity`. Texts without words are linked only if equal.
+    fingerprint; a candidate counts if the Jaccard similarity of the k-word shingle sets is at least
+    `similarity`. A bucket's texts are compared with its smallest node first, then those of different
+    groups with each other. Texts without words are linked only if equal.
     """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("oid"), F.col(text_col).cast("string").alias("text"),
@@ -195,15 +198,18 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     view_keys = F.transform("views", lambda x, i: F.struct((i + n_masks).alias("t"), x.alias("k")))
     keyed = sk.select("node", F.explode(F.concat(table_keys(F.col("fp"), radius), view_keys)).alias("x")).select("node", "x.t", "x.k")
     firsts = keyed.groupBy("t", "k").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
-    pairs = stored(keyed.join(firsts, ["t", "k"]).where("rep < node").select("rep", "node").distinct(), "simhash-pairs")
-    edges = _verified(pairs, rows, ids, k, similarity)
-    roots = components(edges)
+    others = stored(keyed.join(firsts, ["t", "k"]).where("rep < node").select("t", "k", "rep", "node"), "simhash-buckets")
+    held = _shingle_sets(others.select("node").union(others.select("rep")).distinct(), rows, ids, k)
+    roots = stored(components(_verified(others.select("rep", "node").distinct(), held, similarity)), "roots")
+    # groups of the first comparison that one of the second links: its edges are between their roots
+    again = components(_within_buckets(others, roots, held, similarity)).select(F.col("node").alias("root"), F.col("root").alias("low"))
+    named = ids.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = named.join(again, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
     return ids.join(roots, "node", "left").select("k1", "k2", "oid", "copies", "node", F.coalesce("root", "node").alias("root"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, similarity: float, per_task: int = 2000) -> DataFrame:
-    """Those of pairs(rep, node) whose shingle sets are similar enough, as a, b."""
-    need = pairs.select("node").union(pairs.select(F.col("rep").alias("node"))).distinct()
+def _shingle_sets(need: DataFrame, rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """node, s (sorted 32-bit shingle hashes) of the nodes in need."""
     need = ids.join(need, "node").select("oid", "k1", "k2", "node")
 
     def sets(batches):
@@ -211,7 +217,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, similar
             got = [np.unique(shingle_hashes(lower_ascii(words_spaced(t)), k).astype(np.uint32)).tobytes() for t in c["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(c["node"], pa.int64()), pa.array(got, pa.binary())], ["node", "s"])
 
-    held = stored(rows.join(need.hint("shuffle_hash"), ["oid", "k1", "k2"]).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+    return stored(rows.join(need.hint("shuffle_hash"), ["oid", "k1", "k2"]).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+
+def _verified(pairs: DataFrame, held: DataFrame, similarity: float, per_task: int = 2000) -> DataFrame:
+    """Those of pairs(rep, node) whose shingle sets are similar enough, as a, b."""
     tasks = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("tasks"))
     members = pairs.join(tasks, "rep").select("rep", F.pmod(F.xxhash64("node"), F.col("tasks")).alias("salt"), "node").join(held, "node").select("rep", "salt", "node", "s")
     heads = tasks.join(held, F.col("rep") == F.col("node")).select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.col("rep").alias("node"), "s")
@@ -233,6 +242,65 @@ def _verified(pairs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, similar
     return heads.unionByName(members).repartition("rep", "salt").sortWithinPartitions("rep", "salt", "node").mapInArrow(compare, "a long, b long")
 
 
+def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of groups that connect just what similar pairs of sets connect.
+
+    Of similar sets, the rarest elements (all but a `similarity` share, and one more) have one in common,
+    and the smaller has that share of the larger's size: only such pairs of unlinked groups are compared.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, element, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    shared = np.sort(counts, kind="stable") > 1  # by place
+    ends = np.cumsum(sizes)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    seen: dict[int, list[int]] = {}
+    out = []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        n = int(sizes[i])
+        first = n - int(np.ceil(similarity * n - 1e-9)) + 1
+        mine = np.sort(place[element[ends[i] - n : ends[i]]])[:first]
+        mine = mine[shared[mine]].tolist()
+        for j in set().union(*[seen[x] for x in mine if x in seen]):
+            if sizes[j] >= similarity * n and (a := find(int(group[i]))) != (b := find(int(group[j]))):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (n + int(sizes[j]) - both):
+                    up[max(a, b)] = min(a, b)
+                    out.append((min(a, b), max(a, b)))
+        for x in mine:
+            seen.setdefault(x, []).append(i)
+    return out
+
+
+def _within_buckets(others: DataFrame, roots: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between the groups of roots(node, root) that similar texts of a bucket in others(t, k, rep, node) connect.
+
+    Buckets of one group need nothing more, and of buckets with the same texts one is enough. A bucket
+    of more than BLOCK texts, or of texts as large as BLOCK of SET_BYTES, is dealt as pairs of blocks.
+    """
+    size = held.select("node", F.length("s").cast("long").alias("bytes"))
+    x = others.select("t", "k", "node").join(roots, "node", "left").join(size, "node").select("t", "k", "node", F.coalesce("root", "node").alias("g"), "bytes")
+    texts = [F.sum(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 31))).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
+    need = x.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("g").alias("low"), F.max("g").alias("high"), *texts).where("low < high")
+    need = need.groupBy("n", "bytes", "h1", "h2").agg(F.min(F.struct("t", "k")).alias("at")).select("at.t", "at.k", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / (BLOCK * SET_BYTES))).cast("long").alias("blocks"))
+    none = F.lit(0).cast("long")
+    x = x.drop("bytes").join(need, ["t", "k"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("yours", F.explode(F.sequence(none, F.col("blocks") - 1)))
+    x = x.select("t", "k", "node", "g", F.least("mine", "yours").alias("p"), F.greatest("mine", "yours").alias("q"))
+
+    def link(pdf):
+        got = similar_links([np.frombuffer(s, np.uint32) for s in pdf["s"]], pdf["g"].to_numpy(), similarity)
+        return pd.DataFrame({"a": [x[0] for x in got], "b": [x[1] for x in got]}, dtype="int64")
+
+    return x.join(held, "node").groupBy("t", "k", "p", "q").applyInPandas(link, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one document of each group of near copies: that with the smallest id."""
     cols = docs.columns

@@ -302,6 +302,50 @@ def test_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
     assert as_counter(kept.select("doc_id", "text")) == Counter([(5, a), (None, c), (6, d), (6, e), (6, b + " more")])
 
 
+def test_similar_links_match_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        sets = []
+        for _ in range(60):
+            x = set(range(int(rng.integers(0, 30)))) | set(rng.integers(1000, 1200, int(rng.integers(1, 9))).tolist())
+            sets.append(np.array(sorted(x), np.uint32))
+        group = np.array([i - i % 2 if i < 20 else i for i in range(60)])
+        root = {int(g): int(g) for g in group}
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for i in range(60):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = find(int(group[i])), find(int(group[j]))
+                    root[max(a, b)] = min(a, b)
+        want = {g: find(g) for g in root}
+        root = {int(g): int(g) for g in group}
+        for a, b in simhash.similar_links(sets, group, 0.8):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        assert {g: find(g) for g in root} == want
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_copies_that_share_a_template(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(10)
+    template = [f"t{i}" for i in range(240)]
+    rows, i = [(0, " ".join(template))], 1
+    for pair in range(60):
+        own = [f"p{pair}x{i}" for i in rng.integers(0, 9999, 90)]
+        for copy in range(2):
+            rows.append((i, " ".join(template + own[:-2] + [f"end{copy}", "x"])))
+            i += 1
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    lost = {b for b in sets for a in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(lost) == 60
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(texts_frame(spark, rows)).collect()}
+    assert kept == set(sets) - lost
+
+
 def brute_repeats(rows, window):
     first = {}
     for i, t, _ in rows:

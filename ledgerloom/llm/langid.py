@@ -61,16 +61,26 @@ class Model:
         gate[~gate.any(1)] = True  # a script that no language uses says nothing
         self.closed = np.where(gate, 0.0, np.float32(FLOOR)).astype(np.float32)
         self.blind = ~(share >= 0.01).any(1)
+        # likelihood of a language's own n-grams in the mean, and of the next language's: with one language there is none to tell it from
+        mean = (counts / np.maximum(counts.sum(0), 1)).T @ self.table.astype(np.float64)  # (text's, model's)
+        own = mean.diagonal().copy()
+        np.fill_diagonal(mean, -np.inf)
+        self.likely = (own + mean.max(0)) / 2 if len(langs) > 1 else own - np.inf
 
     def score(self, words: list[str]) -> np.ndarray:
         """(word, language): 0 for the word's best language, less for others, FLOOR at least."""
+        return self.judge(words)[0]
+
+    def judge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """score; (word, language): if a word's n-grams are nearer to the language's own than to another's; words of blind scripts."""
         b, w, script = grams(words)
         s = np.zeros((len(words), len(self.langs)), np.float32)
         for j in range(len(self.langs)):
             s[:, j] = np.bincount(w, self.table[b, j], len(words))
+        likely = s >= np.bincount(w, minlength=len(words))[:, None] * self.likely
         s += 4 * self.closed[script]
         s[self.blind[script]] = 0
-        return np.maximum(s - s.max(1, keepdims=True), FLOOR)
+        return np.maximum(s - s.max(1, keepdims=True), FLOOR), likely, self.blind[script]
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -113,22 +123,28 @@ class Labeller:
         self.model, self.penalty, self.most = model, penalty, most
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.langs)), np.float32)
+        self.likely, self.blind = np.empty((0, len(model.langs)), bool), np.empty(0, bool)
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
         return [WORD.findall(t.lower()) if t else [] for t in texts]
 
     def label(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(labels of all words, number of words of each text)."""
+        return self._label(per_text)[:2]
+
+    def _label(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What label() gives, and the words' places in the cache."""
         if len(self.known) > self.most:
-            self.known, self.rows = {}, self.rows[:0]
+            self.known, self.rows, self.likely, self.blind = {}, self.rows[:0], self.likely[:0], self.blind[:0]
         known = self.known
         new = list({w for ws in per_text for w in ws if w not in known})
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.rows = np.vstack([self.rows, self.model.score(new)])
+            score, likely, blind = self.model.judge(new)
+            self.rows, self.likely, self.blind = np.vstack([self.rows, score]), np.vstack([self.likely, likely]), np.concatenate([self.blind, blind])
         sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
         at = np.fromiter((known[w] for ws in per_text for w in ws), np.int64, int(sizes.sum()))
-        return viterbi(self.rows[at], sizes, self.penalty), sizes
+        return viterbi(self.rows[at], sizes, self.penalty), sizes, at
 
     def summary(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Each text's main language and its share of the letters; UNKNOWN and 0 without letters or languages."""
@@ -144,6 +160,25 @@ class Labeller:
         return [(self.model.langs[t], float(g[t] / w)) if w else (UNKNOWN, 0.0) for t, g, w in zip(top, got, whole)]
 
 
+    def in_known(self, texts: list[str | None], least: float) -> list[bool]:
+        """For each text: if a language holds the share `least` of all its letters, and half of these are in words likely in it.
+
+        Letters of a script that no language uses are in the whole, but in no language.
+        """
+        n = len(self.model.langs)
+        per_text = [[w for w in ws if any(map(str.isalpha, w))] for ws in self.words(texts)]
+        if not n:
+            return [False] * len(texts)
+        labels, sizes, at = self._label(per_text)
+        letters = np.fromiter((len(w) for ws in per_text for w in ws), np.int64, len(labels))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        count = lambda x: np.bincount(owner * n + labels, x, len(texts) * n).reshape(-1, n)
+        got, likely = count(letters * ~self.blind[at]), count(letters * (self.likely[at, labels] & ~self.blind[at]))
+        top, whole = got.argmax(1), np.bincount(owner, letters, len(texts))
+        row = np.arange(len(texts))
+        return ((whole > 0) & (got[row, top] >= least * whole) & (2 * likely[row, top] >= got[row, top]) & (got[row, top] > 0)).tolist()
+
+
 def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the rows of docs with text and language, at most about `most_rows` of them by hash of the id.
 
@@ -237,7 +272,12 @@ def held_out() -> object:
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose main language was learned and holds at least the share `least` of their letters."""
+    """The rows of docs whose main language was learned and holds at least the share `least` of their letters.
+
+    Letters of a script that was not learned count as of no language, and a text is of a language only if half
+    of its letters there are in words whose n-grams are nearer to that language's than to the next one's. Where
+    only one language was learned, scripts alone decide.
+    """
     sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index("text")
 
@@ -251,7 +291,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> Data
                 while end < len(texts) and (end == start or size < 2_000_000):
                     size += len(texts[end] or "")
                     end += 1
-                keep += [lang != UNKNOWN and score >= least for lang, score in lab.summary(texts[start:end])]
+                keep += lab.in_known(texts[start:end], least)
                 start = end
             yield b.filter(pa.array(keep, pa.bool_()))
 

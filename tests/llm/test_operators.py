@@ -99,6 +99,22 @@ def test_language(docs, none, spark):
     assert langid.in_known_language(docs, model).columns == docs.columns
 
 
+def test_language_stage_drops_unlearned_languages(spark):
+    en = "the cat and the dog are in the house with the bird while rain falls on green fields and children walk to school every morning".split()
+    de = "der hund und die katze sind in dem haus mit dem vogel und regen auf die wiese wenn kinder jeden morgen zur schule gehen".split()
+    rng = np.random.default_rng(11)
+    say = lambda words, n=20: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    learn = [(i, say(w, 40), lang) for i in range(60) for w, lang in ((en, "en"), (de, "de"))]
+    model = langid.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    greek = "η γάτα και ο σκύλος είναι στο σπίτι με το πουλί"
+    rows = [
+        (1, say(en)), (2, say(de)), (3, greek), (4, "nelja kissaa istuu katolla ja katselee lintuja naapurin puutarhassa koko pitkan paivan"), (5, say(en) + " " + greek),
+        (6, say(en, 4) + " " + greek), (7, "מים רבים לא יוכלו"), (8, say(en) + " qzxj wvkq xxq"), (9, None), (10, "12 !"), (11, say(en, 30) + " " + say(de, 12)), (12, "cat"),
+    ]
+    got = {r.doc_id for r in langid.in_known_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1, 2, 5, 8, 11, 12}
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(3)
     for _ in range(40):

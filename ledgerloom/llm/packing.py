@@ -60,13 +60,15 @@ class CachedTokenizer:
 
     Blank space always parts tokens, and in a text of ASCII and Latin-1 letters so does the end of a run
     of letters: tokenizing the runs one by one gives the ids of the whole. Other texts are only parted at
-    blank space.
+    blank space. A text in which an added token stands is tokenized whole.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.whole, tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+        # runs come from texts without an added token, but lower-casing may write one
         tokenizer.encode_special_tokens = True
         self.most, self.plain, self.other = most, _Known(tokenizer, True), _Known(tokenizer, False)
 
@@ -74,6 +76,9 @@ class CachedTokenizer:
         """Each text's ids as little-endian uint32."""
         out = []
         for t in texts:
+            if self.added.search(t):
+                out.append(array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes())
+                continue
             if plain := _PLAIN.fullmatch(t):
                 t = t.lower()
             known = self.plain if plain else self.other

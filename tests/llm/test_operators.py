@@ -422,6 +422,16 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    tk, path = Tokenizer.from_file(tokenizer_path()), tokenizer_path()
+    texts = ["a <|startoftext|> b", "<|endoftext|>", "end<|endoftext|>of 12 <|startoftext|>", "Été<|endoftext|>日本語 x", "a <|STARTOFTEXT|> b <|EndOfText|>", "<|startof text|> plain"]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49406 in want[0] and want[1] == [49407] and not {49406, 49407} & set(want[4])
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.CachedTokenizer(path).ids(texts)] == want
+
+
 def test_pack_histogram_places_everything():
     rng = np.random.default_rng(9)
     for _ in range(30):

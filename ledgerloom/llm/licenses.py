@@ -58,8 +58,8 @@ bsd-3-clause | endorse promote | neither the name of .{{1,80}}? may be used to e
 bsd | bsd | bsd licen[sc]e
 bsd | bsd | bsd style licen[sc]e
 bsd | redistribution binary | redistribution and use in source and binary forms with or without modification are permitted
-0bsd | bsd | (?:zero clause bsd|bsd zero clause|0bsd)(?: licen[sc]e)?
-0bsd | 0bsd | 0bsd
+0bsd | bsd | (?:zero clause bsd|bsd zero clause)(?: licen[sc]e)?
+0bsd | 0bsd | 0bsd(?: licen[sc]e)?
 artistic-1.0 | artistic | artistic licen[sc]e{v}1 0
 artistic-2.0 | artistic | artistic licen[sc]e{v}2(?: 0)?
 artistic | artistic | artistic licen[sc]e
@@ -98,7 +98,7 @@ ms-pl | microsoft | microsoft public licen[sc]e
 ms-rl | microsoft | microsoft reciprocal licen[sc]e
 ms-pl | ms pl | ms pl
 sleepycat | sleepycat | sleepycat licen[sc]e
-qpl-1.0 | qt | q public licen[sc]e(?:{v}1 0)?
+qpl-1.0 | public | q public licen[sc]e(?:{v}1 0)?
 nokia | nokia | nokia open source licen[sc]e
 ibm-public-1.0 | ibm | ibm public licen[sc]e(?:{v}1 0)?
 cpl-1.0 | common | common public licen[sc]e(?:{v}1 0)?
@@ -141,11 +141,12 @@ fair-source | fair source | fair source licen[sc]e
 hippocratic | hippocratic | hippocratic licen[sc]e(?:{v}[23] \d)?
 blueoak-1.0.0 | blue oak | blue oak model licen[sc]e(?: 1 0 0)?
 mulan-2.0 | mulan | mulan (?:permissive software licen[sc]e|psl)(?:{v}2)?
-openrail | openrail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[sc]e)?
-openrail | rail | responsible ai licen[sc]e
+openrail | openrail | (?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: licen[sc]e)?
+openrail | open rail | (?:creativeml |bigscience |bigcode )?open rail(?: m)?(?: licen[sc]e)?
+openrail | responsible ai | responsible ai licen[sc]e
 odbl-1.0 | odbl | odbl(?:{v}1 0)?
 odbl-1.0 | database | open (?:data commons )?open database licen[sc]e
-odbl-1.0 | database odc | open database licen[sc]e
+odbl-1.0 | database | open database licen[sc]e
 odc-by-1.0 | attribution commons | open data commons attribution licen[sc]e(?:{v}1 0)?
 odc-by-1.0 | odc | odc by(?: 1 0)?
 pddl-1.0 | pddl | pddl(?: 1 0)?
@@ -171,13 +172,13 @@ cc | commons licence | licence creative commons
 proprietary | proprietary | proprietary and confidential
 proprietary | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
 proprietary | confidential | strictly confidential
-proprietary | permission reproduced | no part of this (?:publication|work|document|book) may be reproduced
+proprietary | part reproduced | no part of this (?:publication|work|document|book) may be reproduced
 proprietary | permission written | without (?:the )?(?:prior )?(?:express )?written permission
 proprietary | internal only | for internal use only
-proprietary | license agreement | end user licen[sc]e agreement
+proprietary | user agreement | end user licen[sc]e agreement
 proprietary | eula | eula
 copyright | copyright | copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)?\d\d)?
-copyright | copyright | © (?:19|20)\d\d
+copyright | © | © (?:19|20)\d\d
 copyright | copyright | copyright holders?
 reserved | alle rechte | alle rechte vorbehalten
 reserved | tous droits | tous droits réservés
@@ -199,6 +200,7 @@ class Rule:
     label: str
     keywords: frozenset
     regex: re.Pattern
+    glued: tuple[frozenset, ...] = ()  # the keywords where a version follows one without a space
 
 
 def _family_rules() -> list[tuple[str, str, str]]:
@@ -235,17 +237,19 @@ def rules() -> tuple[Rule, ...]:
     out = []
     for i, (label, keys, regex) in enumerate(_family_rules() + [(a, b, c.encode().decode("unicode_escape") if "\\u" in c else c) for a, b, c in listed]):
         body = regex.replace("{v}", _V).replace("{{", "{").replace("}}", "}")
-        keywords = frozenset(k.encode() for k in keys.split() if k.isascii())
-        out.append(Rule(i, label, keywords, re.compile(rf"(?<= ){body}(?= )")))
+        keywords = frozenset(k.encode() for k in keys.split())
+        glued = [keywords - {k} | {k + d.encode()} for k in keywords for d in re.findall(re.escape(k.decode()) + r"(?:\(\?:)?" + re.escape(_V) + r"(\d)", body)]
+        out.append(Rule(i, label, keywords, re.compile(rf"(?<= ){body}(?= )"), tuple(glued)))
     return tuple(out)
 
 
 @lru_cache(maxsize=1)
 def _gates() -> tuple[frozenset, dict[bytes, tuple[Rule, ...]]]:
-    """One keyword of each rule, and the rules by it."""
+    """One keyword of each rule's keywords, glued ones too, and the rules by it."""
     by: dict[bytes, list[Rule]] = {}
     for r in rules():
-        by.setdefault(max(r.keywords, key=lambda k: (len(k), k)), []).append(r)
+        for keys in (r.keywords, *r.glued):
+            by.setdefault(max(keys, key=lambda k: (len(k), k)), []).append(r)
     return frozenset(by), {k: tuple(v) for k, v in by.items()}
 
 
@@ -297,7 +301,7 @@ def scan(text: str | None) -> tuple[int, list[Detection], list[Detection]]:
             base.append(Detection(label, first, first + phrase.count(b" "), -1))
             at = joined.find(b" " + phrase + b" ", at + 1)
     own: list[Detection] = []
-    live = [r for k in hit for r in by[k] if r.keywords <= have]
+    live = {r.priority: r for k in hit for r in by[k] if any(keys <= have for keys in (r.keywords, *r.glued))}.values()
     if live:
         chars = joined.decode("utf-8", "surrogatepass")
         ends = None if len(chars) == len(joined) else [0]

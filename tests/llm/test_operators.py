@@ -224,6 +224,38 @@ def test_license_base_places_and_suppression():
     assert [d for d in own if d.label == "mit"] and not any(d.label == "cc-by" and d.first == 3 for d in own)
 
 
+def phrases(tree, most=400):
+    """Texts that a parsed regex matches: all branches, options and the ends of ranges, `most` at most."""
+    import re._constants as k
+
+    out = [""]
+    for op, av in tree:
+        if op is k.LITERAL:
+            part = [chr(av)]
+        elif op is k.IN:
+            part = [x for o, a in av for x in ([chr(a)] if o is k.LITERAL else [chr(a[0]), chr(a[1])] if o is k.RANGE else ["0"] if a is k.CATEGORY_DIGIT else ["x"])]
+        elif op is k.SUBPATTERN:
+            part = phrases(av[3])
+        elif op is k.BRANCH:
+            part = [x for b in av[1] for x in phrases(b)]
+        elif op in (k.MAX_REPEAT, k.MIN_REPEAT):
+            part = [""] * (av[0] == 0) + [x * max(1, av[0]) for x in phrases(av[2])]
+        else:
+            part = [""] if op in (k.ASSERT, k.ASSERT_NOT) else ["x"]
+        out = list(dict.fromkeys(a + b for a in out for b in part))[:most]
+    return out
+
+
+def test_every_license_rule_is_tried_on_its_phrases(monkeypatch):
+    import re._parser
+
+    monkeypatch.setattr(licenses, "resolve", lambda found: found)
+    for rule in licenses.rules():
+        for text in phrases(re._parser.parse(rule.regex.pattern)):
+            assert rule.priority in {d.priority for d in licenses.scan(text)[2]}, (rule.label, text)
+    assert "copyright" in {d.label for d in licenses.scan("© 2024 Name")[2]} and "openrail" in {d.label for d in licenses.scan("open rail")[2]}
+
+
 def brute_components(fps, radius):
     root = list(range(len(fps)))
 

@@ -17,25 +17,32 @@ def block_keys(names: DataFrame) -> DataFrame:
     return names.select("id", "name", F.explode(keys).alias("key"))
 
 
-def pairs(names: DataFrame, most: int = 200) -> DataFrame:
-    """Pairs of a block with their edit ratio in per mille. Blocks of more than `most` names are split by the whole skeleton."""
+def pairs(names: DataFrame, most: int = 200, least: int = 0) -> DataFrame:
+    """Pairs that share a key, with their edit ratio in per mille, of at least `least`.
+
+    A block of more than `most` names is dealt as pairs of parts, so that no task gets the whole of it.
+    """
     k = block_keys(names)
-    n = k.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    k = k.join(n, "key").withColumn("key", F.when(F.col("n") > most, F.concat("key", F.lit("|"), text.skeleton(F.col("name")))).otherwise(F.col("key"))).drop("n")
-    a, b = k.alias("a"), k.alias("b")
-    x = a.join(b, "key").where("a.id < b.id").select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.name").alias("an"), F.col("b.name").alias("bn")).distinct()
+    all_keys = k.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    n = k.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts"))
+    k = k.join(n, "key").join(all_keys, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
+    k = k.withColumn("yours", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    a = k.select("key", F.col("mine").alias("p"), F.col("yours").alias("q"), F.col("id").alias("a_id"), F.col("name").alias("an"), F.col("keys").alias("ak"))
+    b = k.select("key", F.col("yours").alias("p"), F.col("mine").alias("q"), F.col("id").alias("b_id"), F.col("name").alias("bn"), F.col("keys").alias("bk"))
+    # a pair counts in the first of its common keys only
+    x = a.join(b, ["key", "p", "q"]).where((F.col("a_id") < F.col("b_id")) & (F.col("key") == F.array_min(F.array_intersect("ak", "bk"))))
     d, n = F.levenshtein("an", "bn"), F.greatest(F.length("an"), F.length("bn"))
-    return x.select("a_id", "b_id", F.floor((n - d) * 1000 / F.greatest(n, F.lit(1))).cast("long").alias("ratio"))
+    return x.select("a_id", "b_id", F.floor((n - d) * 1000 / F.greatest(n, F.lit(1))).cast("long").alias("ratio")).where(F.col("ratio") >= least)
 
 
 def clusters(names: DataFrame, pairs: DataFrame, least: int = 860) -> DataFrame:
     """id, cluster (smallest id reached over pairs of at least `least`): labels spread until none changes."""
     e = pairs.where(F.col("ratio") >= least).select("a_id", "b_id")
-    e = e.unionByName(e.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).checkpoint()
-    labels = names.select("id", F.col("id").alias("cluster")).checkpoint()
+    e = e.unionByName(e.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).localCheckpoint()
+    labels = names.select("id", F.col("id").alias("cluster")).localCheckpoint()
     while True:
         near = e.join(labels, e.b_id == labels.id).groupBy("a_id").agg(F.min("cluster").alias("m"))
-        new = labels.join(near, labels.id == near.a_id, "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).checkpoint()
+        new = labels.join(near, labels.id == near.a_id, "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).localCheckpoint()
         if not new.join(labels, ["id", "cluster"], "left_anti").limit(1).count():
             return new
         labels = new

@@ -46,6 +46,21 @@ def test_clusters_follow_long_chains(spark):
     assert {r.cluster for r in entities.clusters(names, chain).collect()} == {0}
 
 
+def test_crowded_blocks_keep_pairs_of_different_skeletons(spark):
+    rng = random.Random(5)
+    names = [(i, "Party " + "".join(rng.choice("abkt") for _ in range(5))) for i in range(80)]
+    df = spark.createDataFrame(names, "id long, name string")
+    want = {tuple(r) for r in entities.pairs(df, most=1000).collect()}
+    assert len(want) == 80 * 79 // 2 == len({r[:2] for r in want})
+    assert {tuple(r) for r in entities.pairs(df, most=7).collect()} == want
+    root = {i: i for i, _ in names}
+    for _ in names:
+        for a, b, ratio in want:
+            if ratio >= 860:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {tuple(r) for r in entities.clusters(df, entities.pairs(df, most=7, least=860)).collect()} == set(root.items())
+
+
 @pytest.mark.parametrize(("cell", "paise"), [("1,23,456.50", 12345650), ("₹ 99.9 Cr", 9990), ("(12.00)", 1200), ("0.00", None), ("abc", None), (None, None)])
 def test_amount(spark, cell, paise):
     assert spark.createDataFrame([(cell,)], "c string").select(text.amount(F.col("c"))).first()[0] == paise

@@ -46,6 +46,31 @@ def survivors(led: DataFrame, pairs: DataFrame) -> DataFrame:
     return led.join(pairs.select(F.col("duplicate_id").alias("txn_id")).distinct(), "txn_id", "left_anti")
 
 
+def shared_id(book: DataFrame, bank: DataFrame, days: int = 90) -> DataFrame:
+    """Pairs of equal account, direction, amount and cheque or reference number: entries by date take the nearest row left.
+
+    Numbers of under three characters and the words for none match nothing.
+    """
+    key = ["account_id", "direction", "amount_paise", "ref"]
+    norm = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    held = (F.length("ref") >= 3) & ~F.col("ref").isin("NONE", "NAN")
+    b = book.withColumn("ref", norm("instrument_no")).where(held).select("book_id", *key, "entry_date")
+    t = bank.withColumn("ref", norm("reference_no")).where(held).select("txn_id", *key, "txn_date")
+    gap = F.abs(F.datediff("entry_date", "txn_date")).cast("long")
+    cand = b.join(t, key).where(gap <= days).select(*key, "book_id", "txn_id", gap.alias("gap"), F.datediff("entry_date", F.lit("1970-01-01")).alias("b_day"), F.datediff("txn_date", F.lit("1970-01-01")).alias("t_day"))
+
+    def pick(pdf):
+        used_b, used_t, out = set(), set(), []
+        for _, b, _, _, t in sorted(zip(pdf["b_day"], pdf["book_id"], pdf["gap"], pdf["t_day"], pdf["txn_id"])):
+            if b not in used_b and t not in used_t:
+                used_b.add(b)
+                used_t.add(t)
+                out.append((b, t))
+        return pd.DataFrame(out, columns=["book_id", "txn_id"])
+
+    return cand.groupBy(*key).applyInPandas(pick, "book_id long, txn_id long")
+
+
 def same_day(book: DataFrame, bank: DataFrame) -> DataFrame:
     """k-th with k-th of equal account, direction, amount and day: exact by ranks on both sides."""
     key = ["account_id", "direction", "amount_paise", "day"]
@@ -90,7 +115,10 @@ def nearest_first(book: DataFrame, bank: DataFrame, days: int = 30) -> DataFrame
 def reconcile(book: DataFrame, bank: DataFrame) -> DataFrame:
     """Passes in order, each over what the former left: book_id, txn_id, method."""
     book, bank, out = book.persist(), bank.persist(), None
-    for method, f in (("same_day", same_day), ("only_candidate", only_candidates), ("nearest", nearest_first)):
+    passes = [("same_day", same_day), ("only_candidate", only_candidates), ("nearest", nearest_first)]
+    if "instrument_no" in book.columns and "reference_no" in bank.columns:
+        passes.insert(0, ("shared_id", shared_id))
+    for method, f in passes:
         got = f(book, bank).select("book_id", "txn_id", F.lit(method).alias("method")).persist()  # read by every later pass
         out = got if out is None else out.unionByName(got)
         book, bank = book.join(got, "book_id", "left_anti"), bank.join(got, "txn_id", "left_anti")

@@ -40,6 +40,16 @@ def test_reconcile_is_one_to_one(spark):
     assert left == {(2, "book", 1, 9)}
 
 
+def test_reconcile_by_shared_id(spark):
+    day = lambda n: dt.date(2024, 5, 1) + dt.timedelta(n)
+    book = [(4, 1, "debit", 55, day(0), "CHQ-0042"), (5, 1, "debit", 55, day(60), None), (6, 1, "debit", 56, day(0), "NONE"), (7, 1, "debit", 57, day(0), "ABC1"), (8, 1, "debit", 57, day(1), "ABC1")]
+    bank = [(14, 1, "debit", 55, day(60), "chq0042"), (15, 1, "debit", 56, day(80), "NONE"), (16, 1, "debit", 57, day(1), "ABC1"), (17, 1, "debit", 57, day(91), "ABC1")]
+    b = spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date, instrument_no string")
+    t = spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, reference_no string")
+    got = {tuple(r) for r in matching.reconcile(b, t).collect()}
+    assert got == {(4, 14, "shared_id"), (7, 16, "shared_id"), (8, 17, "shared_id")}
+
+
 def test_clusters_follow_long_chains(spark):
     names = spark.range(40).select("id", F.lit("x").alias("name"))
     chain = spark.range(39).select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.lit(900).alias("ratio"))

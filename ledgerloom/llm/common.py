@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -21,6 +23,7 @@ _ALNUM = bytes(
 )
 
 _own_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +31,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+    """Send this package to the executors, which need not see the driver's folders; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom-package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a folder of our own only where that is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset a local master gets a folder of its own, a cluster an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = sc.applicationId
         if app not in _own_folders:
             _own_folders[app] = tempfile.mkdtemp(prefix="ledgerloom-")
@@ -52,7 +65,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch space and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote; only for tables whose every reader has been stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that gives free memory back to the system when its task ends, as Python workers live on."""
+
+    def call(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return call
 
 
 def qualified(spark: SparkSession, path: str) -> str:

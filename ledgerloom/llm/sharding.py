@@ -2,11 +2,12 @@
 
 Equal texts form an atomic group; groups stand in a fixed order (hash bucket, then text hash). The
 smallest shard capacity for which a greedy left-to-right fill needs at most `shards` shards is found by
-binary search, and the order is cut there. Spark holds the groups and their running sums; the driver
+binary search, and the order is cut at that capacity: each cut is the group's end nearest to an equal
+share of what is left, within the capacity, and such that the rest still fits. Spark holds the groups and their running sums; the driver
 only sees cumulative sums of *units* (runs of neighbouring groups): first one unit for each bucket, then,
-only where a cut may fall for a capacity still possible, units up to 64 times finer, until those are
-single groups. So the capacity is exact and the driver's share is bounded by the number of shards
-(about shards^2 * 64 sums a level), not by the corpus.
+only where a cut may fall, units up to 64 times finer, until those are single groups. So the capacity is
+exact, and the driver's share is bounded: one sum for each of at most 2^18 buckets, and about
+shards^2 * 64 a level.
 """
 
 from __future__ import annotations
@@ -56,6 +57,55 @@ def _open_units(ends: np.ndarray, leaf: np.ndarray, low: int, high: int, shards:
     return np.flatnonzero(todo & ~leaf)
 
 
+def even_cuts(ends: np.ndarray, counts: np.ndarray, leaf: np.ndarray, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """Ends of `shards` shards of at most `capacity`, and the units to be refined for exact cuts.
+
+    ends and counts are sums of sizes and of groups up to each unit's end. A shard ends where it comes nearest
+    to an equal share of what is left, but no earlier than lets the rest fit, and keeps a group for each shard to come.
+    """
+    open_units: set[int] = set()
+
+    def at_least(x: int) -> int:
+        """The first unit that ends at x or later."""
+        i = int(np.searchsorted(ends, x, side="left"))
+        if ends[i] != x and not leaf[i]:
+            open_units.add(i)
+        return i
+
+    last = len(ends) - 1
+    least = [0] * (shards + 1)  # the earliest end of each shard, from which the rest fits
+    least[shards] = int(ends[last])
+    for s in range(shards - 1, 0, -1):
+        x = least[s + 1] - capacity
+        least[s] = int(ends[at_least(x)]) if x > 0 else 0
+    cuts, at = [], 0
+    for s in range(shards):
+        if at >= ends[last]:
+            break
+        left = shards - s
+        if left == 1:
+            cuts.append(int(ends[last]))
+            break
+        first = int(np.searchsorted(ends, max(at + 1, least[s + 1]), side="left"))
+        if not leaf[first] and least[s + 1] <= at:
+            open_units.add(first)
+        i = at_least(min(at + capacity, int(ends[last])))
+        most = max(first, i if ends[i] <= at + capacity else i - 1)
+        done = int(counts[np.searchsorted(ends, at)]) if at else 0
+        keep = max(done + 1, int(counts[last]) - (left - 1))  # groups up to here at most
+        spare = int(np.searchsorted(counts, keep, side="right")) - 1
+        if spare < most and counts[spare] != keep and not leaf[spare + 1]:
+            open_units.add(spare + 1)
+        most = min(most, max(spare, first))
+        want = at + (int(ends[last]) - at) / left
+        i = at_least(int(want))
+        if i and want - ends[i - 1] < ends[i] - want:
+            i -= 1
+        at = int(ends[min(max(i, first), most)])
+        cuts.append(at)
+    return cuts, open_units
+
+
 def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
     """Cut positions for groups(bucket, r, b_end, bytes): r from 1 in its bucket, b_end the running sum there."""
     spark = groups.sparkSession
@@ -65,13 +115,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
     offsets = dict(zip((x.bucket for x in rows), np.concatenate([[0], np.cumsum([x.b for x in rows])[:-1]]).tolist()))
     # unit: (end, bucket, first r, last r)
     units = [(offsets[x.bucket] + x.b, x.bucket, 1, x.n) for x in rows]
-    low = max(-(-units[-1][0] // shards), max(x.m for x in rows))
-    while True:
-        ends = np.array([u[0] for u in units], dtype=np.int64)
-        high = smallest_capacity(ends, low, shards)
-        finer = _open_units(ends, np.array([u[2] == u[3] for u in units]), low, high, shards)
-        if not len(finer):
-            return _greedy(ends, high, shards)
+
+    def refine(finer) -> list[tuple]:
         ask = [(units[i][1], units[i][2], units[i][3], -(-(units[i][3] - units[i][2] + 1) // _FINER)) for i in finer]
         wanted = spark.createDataFrame(ask, "bucket int, lo long, hi long, w long")
         got = (
@@ -79,8 +124,24 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
             .groupBy("bucket", "lo", F.floor((F.col("r") - F.col("lo")) / F.col("w")).alias("u"))
             .agg(F.max("b_end").alias("b"), F.min("r").alias("a"), F.max("r").alias("z")).collect()
         )
-        gone = set(finer.tolist())
-        units = sorted([u for i, u in enumerate(units) if i not in gone] + [(offsets[x.bucket] + x.b, x.bucket, x.a, x.z) for x in got], key=lambda u: u[:3])
+        gone = set(finer)
+        return sorted([u for i, u in enumerate(units) if i not in gone] + [(offsets[x.bucket] + x.b, x.bucket, x.a, x.z) for x in got], key=lambda u: u[:3])
+
+    low = max(-(-units[-1][0] // shards), max(x.m for x in rows))
+    while True:
+        ends, leaf = np.array([u[0] for u in units], dtype=np.int64), np.array([u[2] == u[3] for u in units])
+        capacity = smallest_capacity(ends, low, shards)
+        finer = _open_units(ends, leaf, low, capacity, shards).tolist()
+        if not finer:
+            break
+        units = refine(finer)
+    while True:
+        ends, leaf = np.array([u[0] for u in units], dtype=np.int64), np.array([u[2] == u[3] for u in units])
+        counts = np.cumsum([u[3] - u[2] + 1 for u in units])
+        cuts, finer = even_cuts(ends, counts, leaf, capacity, shards)
+        if not finer:
+            return cuts
+        units = refine(sorted(finer))
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, sub: int = 64) -> DataFrame:
@@ -88,8 +149,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     size is the UTF-8 length of the text plus `overhead`; a null text counts as no bytes, and null texts
     form one group of their own, apart from empty ones. Rows with equal id and text are interchangeable
-    and take neighbouring slots. Fewer groups than shards leave the last shards empty; an empty table
-    gives no rows. Other columns are ignored. Slots within a group go by (hash of the id, id), so that a
+    and take neighbouring slots. The largest shard is as small as contiguous cuts allow, and the others are
+    as near to equal shares as that leaves; fewer groups than shards leave the last shards empty; an empty
+    table gives no rows. Other columns are ignored. Slots within a group go by (hash of the id, id), so that a
     group holding a third of all rows is ranked by `sub` tasks.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -13,7 +13,6 @@ import gzip
 import hashlib
 import json
 import struct
-import uuid
 import zipfile
 import zlib
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import qualified, rows_in_chunks, scratch, stored
+from .common import frugal, qualified, rows_in_chunks, scratch, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -129,12 +128,13 @@ def parse(raw: bytes) -> dict:
 
 
 class Writer:
-    """One archive; it appears under its name only when complete, so a task that is run again does no harm."""
+    """One archive. Its name holds the task attempt, so that attempts of a task never write to one file;
+    only archives of attempts that end are listed."""
 
     def __init__(self, folder: str, name: str):
-        self.files, root = fs.FileSystem.from_uri(folder)
-        self.name, self.path, self.part = f"{folder}/{name}", f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.files.open_output_stream(self.part)
+        files, root = fs.FileSystem.from_uri(folder)
+        self.name = f"{folder}/{name}"
+        self.out = files.open_output_stream(f"{root}/{name}")
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.data = self.zip.open(DATA, "w", force_zip64=True)
         self.index: list[bytes] = []
@@ -146,17 +146,16 @@ class Writer:
         self.index.append(json.dumps({"id": page_id, "offset": self.size, "length": len(packed)}).encode() + b"\n")
         self.size += len(packed)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
         self.data.close()
         self.zip.writestr(INDEX, b"".join(self.index))
         self.zip.close()
         self.out.close()
-        self.files.move(self.part, self.path)
-        return self.name, len(self.index)
+        return self.name, len(self.index), self.size
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record for each row of pages into archives in a shared folder; returns (archive, records).
+    """Write a record for each row of pages into archives in a shared folder; returns (archive, records, bytes).
 
     Of rows with equal payload the smallest id is the response; rows that repeat that id with the same
     payload are responses too. A null payload is an empty one. A row with a null id is a revisit if a row
@@ -173,20 +172,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     keyed = rows.withColumn("h", F.sha1(F.col("html").cast("binary"))).join(refers.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("d")), "left")
 
     def run(batches):
-        part, made, writer = TaskContext.get().partitionId(), [], None
+        task, made, writer = TaskContext.get(), [], None
         for c in rows_in_chunks(batches, "html"):
             for i, url, html, refers_to in zip(c["page_id"], c["url"], c["html"], c["refers_to"]):
                 if writer is None:
-                    writer = Writer(folder, f"part-{part:06d}-{len(made):05d}.wacz")
+                    writer = Writer(folder, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):05d}.wacz")
                 writer.add(record(i, url, html.encode("utf-8", "surrogatepass"), refers_to), i)
                 if writer.size >= archive_bytes:
                     made.append(writer.close())
                     writer = None
         if writer is not None:
             made.append(writer.close())
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["archive", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["archive", "records", "bytes"])
 
-    return stored(keyed.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records long"), "archives")
+    return stored(keyed.select("page_id", "url", "html", "refers_to").mapInArrow(frugal(run), "archive string, records long, bytes long"), "archives")
 
 
 def _open(cache: dict, archive: str):
@@ -199,8 +198,11 @@ def _open(cache: dict, archive: str):
     return cache[archive]
 
 
-def locate(archives: DataFrame) -> DataFrame:
-    """archive, start, length of every record, from the index members; start counts from the archive's begin."""
+def locate(archives: DataFrame, archives_per_task: int = 4) -> DataFrame:
+    """archive, start, length of every record, from the index members; start counts from the archive's begin.
+
+    Archives are dealt to tasks by their number, as the table that names them is small.
+    """
 
     def run(batches):
         cache: dict = {}
@@ -213,24 +215,27 @@ def locate(archives: DataFrame) -> DataFrame:
                     some = lines[i : i + 5000]
                     yield pa.RecordBatch.from_arrays([pa.array([archive] * len(some), pa.string()), pa.array([at + x["offset"] for x in some], pa.int64()), pa.array([x["length"] for x in some], pa.int64())], ["archive", "start", "length"])
 
-    return archives.select("archive").mapInArrow(run, "archive string, start long, length long")
+    tasks = max(1, -(-archives.count() // archives_per_task))
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(frugal(run), "archive string, start long, length long")
 
 
-def read_records(archives: DataFrame, with_payload: bool = False, ranges_per_task: int = 2000) -> DataFrame:
+def read_records(archives: DataFrame, with_payload: bool = False, ranges_at_once: int = 2000, task_bytes: int = 4 << 20) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (and url, payload) of every record.
 
-    Records' ranges, not archives, are dealt to tasks, in runs of neighbours.
+    Records' ranges, not archives, are dealt to tasks, in runs of neighbours of about task_bytes; there is
+    a task for each task_bytes of all archives, as the bytes to be read, not those shuffled, make the work.
     """
-    spots = locate(archives).withColumn("run", F.floor(F.col("start") / (16 << 20)))
-    spots = spots.repartition("archive", "run").sortWithinPartitions("archive", "start")
+    tasks = 1 + (archives.agg(F.sum("bytes")).first()[0] or 0) // task_bytes
+    spots = locate(archives).withColumn("run", F.floor(F.col("start") / task_bytes))
+    spots = spots.repartition(int(tasks), "archive", "run").sortWithinPartitions("archive", "start")
 
     def run(batches):
         cache: dict = {}
         for b in batches:
             cols = b.to_pydict()
-            for i in range(0, b.num_rows, ranges_per_task):
+            for i in range(0, b.num_rows, ranges_at_once):
                 out = []
-                for archive, start, length in zip(*(cols[k][i : i + ranges_per_task] for k in ("archive", "start", "length"))):
+                for archive, start, length in zip(*(cols[k][i : i + ranges_at_once] for k in ("archive", "start", "length"))):
                     f, _ = _open(cache, archive)
                     out.append(parse(zlib.decompress(read_range(f, start, length), 31)))
                 get = lambda k, t: pa.array([x[k] for x in out], t)
@@ -241,4 +246,4 @@ def read_records(archives: DataFrame, with_payload: bool = False, ranges_per_tas
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    return spots.select("archive", "start", "length").mapInArrow(run, schema)
+    return spots.select("archive", "start", "length").mapInArrow(frugal(run), schema)

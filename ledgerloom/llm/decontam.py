@@ -13,11 +13,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import rows_in_chunks, words_alnum
+from .common import discard, frugal, rows_in_chunks, stored, words_alnum
 
 #: Patterns whose tables go to the executors at once; more are searched in further passes.
 MOST_PATTERNS = 400_000
@@ -110,7 +109,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, id
     for each block of patterns, and the passes are brought together by id and text hash.
     """
     spark = docs.sparkSession
-    patterns = _pattern_rows(benchmark, item_col, item_text_col, window).persist()
+    patterns = stored(_pattern_rows(benchmark, item_col, item_text_col, window), "patterns")
     n = patterns.count()
     blocks = max(1, -(-n // most_patterns))
     rows = docs.select(F.xxhash64(text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -130,7 +129,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, id
                     "items": pa.array([sorted(g[2]) for g in got], pa.list_(pa.int64())),
                 })
 
-        return rows.mapInArrow(run, _OUT)
+        return rows.mapInArrow(frugal(run), _OUT)
 
     if blocks == 1:
         out = searched(0)
@@ -145,26 +144,30 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, id
                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("times"))
             .withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "again")
         )
-        merge = F.udf(_merge, T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))
-        out = out.withColumn("spans", merge("spans"))
+        out = out.withColumn("spans", _merged(F.col("spans")))
     return out.drop("rid")
 
 
-def _merge(spans):
-    out: list[tuple[int, int]] = []
-    for s in spans:
-        if out and s.a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(s.b, out[-1][1]))
-        else:
-            out.append((s.a, s.b))
-    return out
+def _merged(spans: Column) -> Column:
+    """Intervals in order, with those that touch or overlap made one."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        return F.when(s["a"] <= last["b"], grown).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, none, add)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_patterns: int = MOST_PATTERNS) -> DataFrame:
-    """The rows of docs without any occurrence: one filtering pass for each block of patterns."""
-    patterns = _pattern_rows(benchmark, "item_id", "text", window).persist()
+    """The rows of docs without any occurrence: one filtering pass for each block of patterns.
+
+    What a pass keeps is stored before the next, so that no task holds the tables of two blocks.
+    """
+    patterns = stored(_pattern_rows(benchmark, "item_id", "text", window), "patterns")
     blocks = max(1, -(-patterns.count() // most_patterns))
-    at = docs.columns.index(text_col)
+    at, before = docs.columns.index(text_col), None
     for block in range(blocks):
         mine = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()
         sent = docs.sparkSession.sparkContext.broadcast([(tuple(bytes(r.pattern).split(b" ")), tuple(r["items"])) for r in mine])
@@ -175,7 +178,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, tex
                 clean = [not any(True for s in searchers for _ in s.search(words)) for words in map(words_alnum, (x.as_py() for x in b.column(at)))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
+        if block + 1 < blocks:
+            docs = stored(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
 
 
@@ -187,5 +195,3 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
-
-

@@ -80,7 +80,43 @@ def test_refined_cuts_equal_flat_cuts(spark, monkeypatch):
     rows = [(int(i // 100), int(i % 100) + 1, int(sizes[i // 100 * 100 : i + 1].sum()), int(s)) for i, s in enumerate(sizes)]
     got = sharding.minimax_cuts(spark.createDataFrame(rows, "bucket int, r long, b_end long, bytes long"), 7)
     ends = np.cumsum(sizes)
-    assert got == sharding._greedy(ends, sharding.smallest_capacity(ends, max(-(-int(ends[-1]) // 7), 5000), 7), 7)
+    capacity = sharding.smallest_capacity(ends, max(-(-int(ends[-1]) // 7), 5000), 7)
+    want, finer = sharding.even_cuts(ends, np.arange(1, 401), np.ones(400, bool), capacity, 7)
+    assert got == want and not finer
+
+
+def test_even_cuts_fill_every_shard_within_the_capacity():
+    rng = np.random.default_rng(12)
+    for trial in range(400):
+        n, k = int(rng.integers(1, 60)), int(rng.integers(1, 12))
+        sizes = rng.integers(1, (20, 200)[trial % 2], n)
+        if trial % 3 == 0:
+            sizes[rng.integers(0, n)] *= 30
+        ends = np.cumsum(sizes)
+        capacity = sharding.smallest_capacity(ends, max(-(-int(ends[-1]) // k), int(sizes.max())), k)
+        cuts, _ = sharding.even_cuts(ends, np.arange(1, n + 1), np.ones(n, bool), capacity, k)
+        shards = np.diff([0, *cuts])
+        assert set(cuts) <= set(ends.tolist()) and cuts[-1] == ends[-1] and shards.max() <= capacity and len(cuts) == min(n, k) and shards.min() > 0
+
+
+def test_shards_are_minimax_and_near_equal(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, "x" * int(rng.integers(1, 400))) for i in range(1500)] + [(5000 + i, "hot") for i in range(60)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=12).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    groups = sharding_groups(rows)
+    mean = sum(size.values()) / 12
+    assert sorted(size) == list(range(12))
+    assert max(size.values()) <= mean + max(groups.values()) and min(size.values()) >= mean - max(groups.values())
+
+
+def sharding_groups(rows):
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t.encode()) + 16
+    return groups
 
 
 def test_language(docs, none, spark):
@@ -117,10 +153,10 @@ def test_language_stage_drops_unlearned_languages(spark):
 
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(3)
-    for _ in range(40):
+    for trial in range(60):
         sizes = rng.integers(0, 6, 4)
         scores = -rng.integers(0, 9, (int(sizes.sum()), 3)).astype(np.float32)
-        labels, at = langid.viterbi(scores, sizes, 3.0), 0
+        labels, at = langid.viterbi(scores, sizes, 3.0, piece=(256, 2, 1)[trial % 3]), 0
         for n in sizes:
             s = scores[at : at + n]
             value = lambda p: sum(s[i][j] for i, j in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
@@ -422,12 +458,53 @@ def test_substrings(docs, none):
 def test_substrings_random(spark):
     rng = np.random.default_rng(8)
     blocks = [[f"b{j}x{i}" for i in rng.integers(0, 9, 25)] for j in range(12)]
+    blocks[3] = ["again"] * 25
     rows = [(int(i), " ".join(w for b in rng.integers(0, 12, 9) for w in blocks[b]), "en") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     for window in (50, 20, 8):
         assert as_counter(substrings.remove_repeats(df, window=window)) == brute_repeats(rows, window)
 
 
+@pytest.mark.parametrize("group_words", [50_000, 3000, 60])
+def test_substrings_of_a_passage_that_a_third_of_all_documents_share(spark, monkeypatch, group_words):
+    monkeypatch.setattr(substrings, "GROUP_WORDS", group_words)
+    rng = np.random.default_rng(14)
+    passage, rows = [f"p{i}" for i in range(120)], []
+    for i in range(240):
+        own = [f"o{x}" for x in rng.integers(0, 40 if i % 5 else 5000, 120)]
+        cut = int(rng.integers(0, 60))
+        rows.append((i, " ".join(own[:60] + passage[cut:] + own[60:] if i % 3 == 0 else own), "en"))
+    rows += [(300, " ".join(["lorem"] * 400), "en"), (301, " ".join(["lorem"] * 300 + passage), "en")]
+    spans = lambda df, **kw: substrings.repeated_spans(df, group_words=group_words, **kw)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: substrings.covered(len(t.split()), r.starts, r.counts, 50).sum() for r in spans(df).collect() for i, t, _ in rows if i == r.doc_id}
+    want = {i: gone for i, _, gone, _ in brute_repeats(rows, 50)}
+    assert {i: int(got.get(i, 0)) for i in want} == want and sum(want.values()) > 5000
+
+
+def test_tree_nodes_match_word_comparison():
+    rng = np.random.default_rng(15)
+    for window in (3, 8, 13, 50):
+        runs, counts = [], []
+        for _ in range(30):
+            n = int(rng.integers(1, 9))
+            runs.append(b" ".join(b"w%d" % x for x in rng.integers(0, 2, n + window - 1)))
+            counts.append(n)
+        owners = rng.integers(0, 99, 30)
+        suffixes = [(tuple(r.split()[s : s + window]), int(o)) for r, n, o in zip(runs, counts, owners) for s in range(n)]
+        least = {}
+        for k, o in suffixes:
+            least[k] = min(o, least.get(k, o))
+        assert substrings.tree_nodes(runs, np.array(counts), owners, window).tolist() == [least[k] for k, _ in suffixes]
+
+
+def test_documents_without_repeats_needs_no_other_columns(spark, none):
+    df = spark.createDataFrame([(1, PASSAGE), (2, "new words " + PASSAGE), (3, None), (None, PASSAGE)], "doc_id int, text string")
+    got = substrings.documents_without_repeats(df)
+    assert got.schema == df.schema and as_counter(got) == Counter([(1, PASSAGE), (2, "new words"), (3, None), (None, PASSAGE)])
+    assert substrings.documents_without_repeats(none).count() == 0
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, tokenizer_path(), with_ids=True).collect()
     from tokenizers import Tokenizer

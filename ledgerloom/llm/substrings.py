@@ -39,7 +39,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: log2 of the bits in a bitmap of minimizers.
 BITMAP_BITS = 26
 #: Words of a group of suffixes that one tree is built from, words that a task takes in at once, and words a task is dealt.
-GROUP_WORDS, AT_ONCE, TASK_WORDS = 50_000, 400_000, 2_000_000
+GROUP_WORDS, AT_ONCE, TASK_WORDS = 500_000, 200_000, 2_000_000
 #: Prefix lengths, in shares of the window, by which the suffixes of a crowded minimizer are parted.
 DEPTHS = (0.32, 0.64)
 _RUN = ["key", "sig", "check"]

@@ -8,13 +8,14 @@ each change of language, so that single odd words do not split a span.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, rows_in_chunks
+from .common import frugal, rows_in_chunks
 
 WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS = 17
@@ -83,100 +84,164 @@ class Model:
         return np.maximum(s - s.max(1, keepdims=True), FLOOR), likely, self.blind[script]
 
 
-def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+def _pieces(sizes: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and length of the pieces of at most `piece` words that texts of these sizes have, text after text."""
+    count = -(-sizes // piece)
+    text = np.repeat(np.arange(len(sizes)), count)
+    lengths = np.full(len(text), piece, np.int64)
+    last = np.cumsum(count)[count > 0] - 1
+    lengths[last] = (sizes - (count - 1) * piece)[count > 0]
+    return text, lengths
+
+
+def _steps(lengths: np.ndarray) -> np.ndarray:
+    """How many of these lengths, longest first, have a t-th word."""
+    return np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
+
+
+def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float, piece: int = 256) -> np.ndarray:
     """Labels of the words of several texts (text after text), each text labelled on its own.
 
-    Texts step together, longest first, so that a step works on all texts that still have a word.
+    Texts are cut into pieces that step together, so a long text takes no more steps than a short one. A
+    piece is valued for each label before it and each label at its end; these values give the best labels
+    at the cuts, and then the best labels between them. A word keeps one byte for each label.
     """
-    labels = np.zeros(len(scores), np.int8 if scores.shape[1] < 128 else np.int32)
-    order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    if not len(order):
+    n = scores.shape[1]
+    labels = np.zeros(len(scores), np.int8 if n < 128 else np.int32)
+    text, lengths = _pieces(np.asarray(sizes, np.int64), piece)
+    if not len(text):
         return labels
-    starts, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    longest = int(lengths[0])
-    live = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")  # texts with a t-th word
-    d = np.zeros((len(order), scores.shape[1]), np.float32)
-    stay, best = [], []
-    for t in range(longest):
-        a = live[t]
+    starts = np.cumsum(lengths) - lengths
+    opening = np.concatenate([[True], text[1:] != text[:-1]])
+    order = np.argsort(-lengths, kind="stable")
+    live = _steps(lengths[order])
+    ahead = np.where(np.eye(n, dtype=bool), np.float32(0), np.float32(-penalty))  # (label before, label): what a change costs
+    before, after = np.full(len(text), -1), np.full(len(text), -1)  # labels at the cuts
+    if not opening.all():
+        d = np.where(opening[order][:, None, None], np.float32(0), ahead[None]).astype(np.float32)
+        for t, a in enumerate(live):
+            x = d[:a] if not t else np.maximum(d[:a], d[:a].max(2, keepdims=True) - np.float32(penalty))
+            d[:a] = x + scores[starts[order[:a]] + t][:, None, :]
+        worth = np.empty_like(d, np.float64)
+        worth[order] = d
+        place = np.arange(len(text)) - np.flatnonzero(opening)[np.cumsum(opening) - 1]  # a piece's place in its text
+        by_place = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[by_place], np.arange(int(place.max()) + 2))
+        best, came = np.zeros((len(text), n)), np.zeros((len(text), n), labels.dtype)
+        for k in range(len(bounds) - 1):
+            at = by_place[bounds[k] : bounds[k + 1]]
+            whole = worth[at] if not k else best[at - 1][:, :, None] + worth[at]
+            came[at], best[at] = whole.argmax(1), whole.max(1)
+            best[at] -= best[at].max(1, keepdims=True)
+        for k in range(len(bounds) - 2, -1, -1):
+            at = by_place[bounds[k] : bounds[k + 1]]
+            closing = np.append(opening[1:], True)[at]
+            after[at] = np.where(closing, best[at].argmax(1), after[at])
+            if k:
+                before[at] = came[at, after[at]]
+                after[at - 1] = before[at]
+    back = np.zeros(scores.shape, labels.dtype)
+    d = np.where((before[order] < 0)[:, None], np.float32(0), ahead[before[order]]).astype(np.float32)
+    every = np.arange(n, dtype=labels.dtype)
+    for t, a in enumerate(live):
         x = d[:a]
-        best.append(x.argmax(1))
-        stay.append(x >= -penalty)
-        x = np.maximum(x, -penalty) + scores[starts[:a] + t]
+        if t:
+            top = x.max(1, keepdims=True) - np.float32(penalty)
+            back[starts[order[:a]] + t] = np.where(x >= top, every, x.argmax(1)[:, None])
+            x = np.maximum(x, top)
+        x = x + scores[starts[order[:a]] + t]
         d[:a] = x - x.max(1, keepdims=True)
-    at = np.empty(len(order), np.int64)
-    for t in range(longest - 1, -1, -1):
+    at = np.where(after[order] < 0, d.argmax(1), after[order])
+    for t in range(len(live) - 1, -1, -1):
         a = live[t]
-        fresh = live[t + 1] if t + 1 < longest else 0
-        at[fresh:a] = d[fresh:a].argmax(1)
-        labels[starts[:a] + t] = at[:a]
-        cur = at[:a]
-        at[:a] = np.where(stay[t][np.arange(a), cur], cur, best[t])
+        spot = starts[order[:a]] + t
+        labels[spot] = at[:a]
+        if t:
+            at[:a] = back[spot, at[:a]]
     return labels
 
 
-class Labeller:
-    """Labels texts, with a bounded cache of word scores."""
+class _Numbers(dict):
+    """A number for each word, in order of their first coming."""
 
-    def __init__(self, model: Model, penalty: float, most: int = 250_000):
-        self.model, self.penalty, self.most = model, penalty, most
-        self.known: dict[str, int] = {}
-        self.rows = np.empty((0, len(model.langs)), np.float32)
-        self.likely, self.blind = np.empty((0, len(model.langs)), bool), np.empty(0, bool)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def words(self, texts: list[str | None]) -> list[list[str]]:
-        return [WORD.findall(t.lower()) if t else [] for t in texts]
 
-    def label(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(labels of all words, number of words of each text)."""
-        return self._label(per_text)[:2]
+class Labeller:
+    """Labels texts, with a bounded cache of what words score; a text's words are looked up in parts."""
+
+    def __init__(self, model: Model, penalty: float, most: int = 100_000, part: int = 50_000):
+        self.model, self.penalty, self.most, self.part = model, penalty, most, part
+        self._forget()
+
+    def _forget(self) -> None:
+        n = len(self.model.langs)
+        self.known = _Numbers()
+        self.rows, self.likely = np.empty((0, n), np.float32), np.empty((0, n), bool)
+        self.blind, self.letters = np.empty(0, bool), np.empty(0, np.int32)
 
-    def _label(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What label() gives, and the words' places in the cache."""
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """scores, likely, blind and letters of these words."""
         if len(self.known) > self.most:
-            self.known, self.rows, self.likely, self.blind = {}, self.rows[:0], self.likely[:0], self.blind[:0]
-        known = self.known
-        new = list({w for ws in per_text for w in ws if w not in known})
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self._forget()
+        old = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if new := list(islice(self.known, old, None)):
             score, likely, blind = self.model.judge(new)
             self.rows, self.likely, self.blind = np.vstack([self.rows, score]), np.vstack([self.likely, likely]), np.concatenate([self.blind, blind])
+            self.letters = np.concatenate([self.letters, np.fromiter((len(w) if any(map(str.isalpha, w)) else 0 for w in new), np.int32, len(new))])
+        return self.rows[at], self.likely[at], self.blind[at], self.letters[at]
+
+    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """What _look_up gives for the words of all texts, and the number of words of each text."""
+        found, sizes, words = [self._look_up([])], np.zeros(len(texts), np.int64), []
+        for i, t in enumerate(texts):
+            for m in WORD.finditer(t.lower() if t else ""):
+                words.append(m[0])
+                sizes[i] += 1
+                if len(words) == self.part:
+                    found.append(self._look_up(words))
+                    words = []
+        found.append(self._look_up(words))
+        return *(np.concatenate(c) for c in zip(*found)), sizes
+
+    def label(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(labels of all words, number of words of each text)."""
         sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        at = np.fromiter((known[w] for ws in per_text for w in ws), np.int64, int(sizes.sum()))
-        return viterbi(self.rows[at], sizes, self.penalty), sizes, at
+        flat = [w for ws in per_text for w in ws]
+        parts = [self._look_up(flat[i : i + self.part])[0] for i in range(0, len(flat), self.part)]
+        return viterbi(np.concatenate(parts) if parts else self.rows[:0], sizes, self.penalty), sizes
 
     def summary(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Each text's main language and its share of the letters; UNKNOWN and 0 without letters or languages."""
         n = len(self.model.langs)
-        per_text = [[w for w in ws if w[0].isalpha() or any(map(str.isalpha, w))] for ws in self.words(texts)]
         if not n:
             return [(UNKNOWN, 0.0)] * len(texts)
-        labels, sizes = self.label(per_text)
-        letters = np.fromiter((len(w) for ws in per_text for w in ws), np.int64, len(labels))
+        scores, _, _, letters, sizes = self.look_up(texts)
+        labels = viterbi(scores, sizes, self.penalty)
         owner = np.repeat(np.arange(len(texts)), sizes)
         got = np.bincount(owner * n + labels, letters, len(texts) * n).reshape(-1, n)
         top, whole = got.argmax(1), got.sum(1)
         return [(self.model.langs[t], float(g[t] / w)) if w else (UNKNOWN, 0.0) for t, g, w in zip(top, got, whole)]
 
-
     def in_known(self, texts: list[str | None], least: float) -> list[bool]:
         """For each text: if a language holds the share `least` of all its letters, and half of these are in words likely in it.
 
         Letters of a script that no language uses are in the whole, but in no language.
         """
         n = len(self.model.langs)
-        per_text = [[w for w in ws if any(map(str.isalpha, w))] for ws in self.words(texts)]
         if not n:
             return [False] * len(texts)
-        labels, sizes, at = self._label(per_text)
-        letters = np.fromiter((len(w) for ws in per_text for w in ws), np.int64, len(labels))
+        scores, likely, blind, letters, sizes = self.look_up(texts)
+        labels = viterbi(scores, sizes, self.penalty)
         owner = np.repeat(np.arange(len(texts)), sizes)
         count = lambda x: np.bincount(owner * n + labels, x, len(texts) * n).reshape(-1, n)
-        got, likely = count(letters * ~self.blind[at]), count(letters * (self.likely[at, labels] & ~self.blind[at]))
+        got, sure = count(letters * ~blind), count(letters * (likely[np.arange(len(labels)), labels] & ~blind))
         top, whole = got.argmax(1), np.bincount(owner, letters, len(texts))
         row = np.arange(len(texts))
-        return ((whole > 0) & (got[row, top] >= least * whole) & (2 * likely[row, top] >= got[row, top]) & (got[row, top] > 0)).tolist()
+        return ((whole > 0) & (got[row, top] >= least * whole) & (2 * sure[row, top] >= got[row, top]) & (got[row, top] > 0)).tolist()
 
 
 def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -206,7 +271,7 @@ def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["lang", "b", "n"])
 
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    got = rows.mapInArrow(count, "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(frugal(count), "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((_H + _N_SCRIPTS, len(langs)), np.int64)
     if langs:
@@ -215,17 +280,6 @@ def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_c
     return Model(langs, counts[:_H], counts[_H:])
 
 
-_labellers: dict[int, tuple[object, Labeller]] = {}
-
-
-def _labeller(sent, penalty: float) -> Labeller:
-    """One labeller for each broadcast model in a worker, kept from task to task."""
-    if _labellers.get(sent._jid if hasattr(sent, "_jid") else 0, (None,))[0] is not sent.value:
-        _labellers.clear()
-        _labellers[sent._jid if hasattr(sent, "_jid") else 0] = (sent.value, Labeller(sent.value, penalty))
-    return next(iter(_labellers.values()))[1]
-
-
 def predict(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (and the columns in keep) for every row of docs.
 
@@ -236,12 +290,12 @@ def predict(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        lab = _labeller(sent, penalty)
+        lab = Labeller(sent.value, penalty)
         for c in rows_in_chunks(batches, "text", 2_000_000):
             got = lab.summary(c["text"])
             yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +303,7 @@ def spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "d
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        lab = _labeller(sent, penalty)
+        lab = Labeller(sent.value, penalty)
         for c in rows_in_chunks(batches, "text", 2_000_000):
             found = [[m for m in WORD.finditer(t)] if t and lab.model.langs else [] for t in c["text"]]
             labels, sizes = lab.label([[m[0].lower() for m in ms] for ms in found])
@@ -263,12 +317,7 @@ def spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "d
                 at += len(ms)
             yield pa.RecordBatch.from_arrays([pa.array([o[0][0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([lab.model.langs[o[3]] for o in out], pa.string())], ["doc_id", "start", "end", "lang"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, lang string")
-
-
-def held_out() -> object:
-    """Documents whose crc32(doc_id as text) mod 3 is 1: never learned from."""
-    return fold("doc_id", 1, 3)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, start long, end long, lang string")
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -282,7 +331,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> Data
     at = names.index("text")
 
     def run(batches):
-        lab = _labeller(sent, 12.0)
+        lab = Labeller(sent.value, 12.0)
         for b in batches:
             texts, keep = b.column(at).to_pylist(), []
             start = 0
@@ -295,4 +344,4 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> Data
                 start = end
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_in_chunks, stored
+from .common import frugal, rows_in_chunks, stored
 
 #: In such a text a letter followed by something else ends a token, and a character stands for itself.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
@@ -51,7 +51,8 @@ class _Known(dict):
             ids = self[m[1]] + self[m[2]]
         else:
             ids = array("I", self.encode(run, add_special_tokens=False).ids).tobytes()
-        self[run] = ids
+        if len(run) <= 64:
+            self[run] = ids
         return ids
 
 
@@ -60,47 +61,48 @@ class CachedTokenizer:
 
     Blank space always parts tokens, and in a text of ASCII and Latin-1 letters so does the end of a run
     of letters: tokenizing the runs one by one gives the ids of the whole. Other texts are only parted at
-    blank space. A text in which an added token stands is tokenized whole.
+    blank space. A text in which an added token stands is tokenized whole. A task has one of its own:
+    at most `most` runs of up to 64 characters, some 40 MB.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         # runs come from texts without an added token, but lower-casing may write one
-        tokenizer.encode_special_tokens = True
-        self.most, self.plain, self.other = most, _Known(tokenizer, True), _Known(tokenizer, False)
+        self.tokenizer.encode_special_tokens = True
+        self.most, self.plain, self.other = most, _Known(self.tokenizer, True), _Known(self.tokenizer, False)
+
+    def _whole(self, text: str) -> bytes:
+        """Ids by the tokenizer as it is dealt."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
         out = []
         for t in texts:
             if self.added.search(t):
-                out.append(array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes())
+                out.append(self._whole(t))
                 continue
             if plain := _PLAIN.fullmatch(t):
                 t = t.lower()
             known = self.plain if plain else self.other
-            if len(known) > self.most:
-                known.clear()
+            if len(self.plain) + len(self.other) > self.most:
+                self.plain.clear()
+                self.other.clear()
             runs = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             out.append(b"".join(map(known.__getitem__, runs)))
         return out
 
 
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
-def tokenizer(path: str) -> CachedTokenizer:
-    if path not in _tokenizers:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
-
-
 @dataclass
 class Pattern:
     """`count` sequences, each holding `times` pieces of each `length`, in this order."""
@@ -186,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for) of every piece."""
 
     def run(batches):
-        tk, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tk, end = CachedTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for c in rows_in_chunks(batches, "text"):
             out = []
             for d, ids in zip(c["doc_id"], tk.ids([t or "" for t in c["text"]])):
@@ -200,7 +202,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<bigint>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -228,4 +230,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             seq, off = place(b.column(names.index("length")).to_numpy(), b.column(len(names)).to_numpy(), sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, rows_in_chunks, spare, stored, words_spaced
+from .common import frugal, lower_ascii, rows_in_chunks, spare, stored, words_spaced
 from .graph import components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
             fp = [simhash(shingle_hashes(lower_ascii(words_spaced(t)), k)) for t in c["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def table_keys(fp: Column, radius: int) -> Column:
@@ -192,7 +192,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8,
             got = [_sketch(h, views) if len(h := np.unique(shingle_hashes(lower_ascii(words_spaced(t)), k))) else (None, None) for t in c["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(c["oid"], pa.int64()), pa.array(c["k1"], pa.int64()), pa.array(c["k2"], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["oid", "k1", "k2", "fp", "views"])
 
-    sk = stored(rows.mapInArrow(sketch, "oid long, k1 long, k2 long, fp long, views array<bigint>"), "sketches")
+    sk = stored(rows.mapInArrow(frugal(sketch), "oid long, k1 long, k2 long, fp long, views array<bigint>"), "sketches")
     sk = sk.where("fp is not null").join(ids, ["oid", "k1", "k2"]).dropDuplicates(["oid", "k1", "k2"])
     n_masks = len(covering_masks(radius))
     view_keys = F.transform("views", lambda x, i: F.struct((i + n_masks).alias("t"), x.alias("k")))
@@ -217,7 +217,7 @@ def _shingle_sets(need: DataFrame, rows: DataFrame, ids: DataFrame, k: int) -> D
             got = [np.unique(shingle_hashes(lower_ascii(words_spaced(t)), k).astype(np.uint32)).tobytes() for t in c["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(c["node"], pa.int64()), pa.array(got, pa.binary())], ["node", "s"])
 
-    return stored(rows.join(need.hint("shuffle_hash"), ["oid", "k1", "k2"]).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+    return stored(rows.join(need.hint("shuffle_hash"), ["oid", "k1", "k2"]).select("node", "text").mapInArrow(frugal(sets), "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
 
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float, per_task: int = 2000) -> DataFrame:
     """Those of pairs(rep, node) whose shingle sets are similar enough, as a, b."""
@@ -239,7 +239,7 @@ def _verified(pairs: DataFrame, held: DataFrame, similarity: float, per_task: in
                         out.append((r, n))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return heads.unionByName(members).repartition("rep", "salt").sortWithinPartitions("rep", "salt", "node").mapInArrow(compare, "a long, b long")
+    return heads.unionByName(members).repartition("rep", "salt").sortWithinPartitions("rep", "salt", "node").mapInArrow(frugal(compare), "a long, b long")
 
 
 def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:

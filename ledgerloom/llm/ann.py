@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,15 +99,17 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, found: float = 0.985, sample_rows: int = 20_000, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, found: float = 0.985, sample_rows: int = 20_000, block: int = 8192, query_block: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
     with a null id; of several dimensions only the commonest (of equals the largest) takes part. A row
     is never a candidate of a query with its own id. Repeated rows are candidates each, but ask once.
     Ties go to the smaller vec_id. The codes are fitted on at most `sample_rows` vectors (by hash of the
-    id); every vector is indexed. Queries and candidates meet in blocks of about `block` rows; a block
-    in which fewer than k lie within the radius widens it until k are found or all are taken.
+    id, then the id); every vector is indexed. A block of about `block` rows has an index, which answers all
+    queries (in blocks of `query_block`, as queries are a stated set that meets every row); a block in which
+    fewer than k lie within the radius widens it until k are found or all are taken. A block's k best are
+    cut to a query's k best by a window that is limited before the shuffle.
     """
     rows = _usable(vectors, id_col, vector_col)
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
@@ -116,12 +118,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, found: float = 0.9
         return vectors.sparkSession.createDataFrame([], schema)
     d, n, longest = dims[0]["d"], dims[0]["n"], float(np.sqrt(dims[0]["m"]))
     rows = rows.where(F.size("v") == d)
-    part = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, 0.95 * sample_rows / n)))).limit(sample_rows)
+    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
+    part = rows.where(drawn < max(1, int((1 << 20) * min(1.0, 1.2 * sample_rows / n)))).orderBy(drawn, "vec_id", "v").limit(sample_rows)
     sample = np.array([r[0] for r in part.select("v").collect()] or [[1.0] * d])
     codes, radius = learn(sample, longest * (1 + 1e-9), k, found)
     sent = vectors.sparkSession.sparkContext.broadcast((codes, radius))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    r_blocks, q_blocks = -(-n // block), max(1, -(-n // every // block))
+    r_blocks, q_blocks = -(-n // block), max(1, -(-n // every // query_block))
     cell = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     r = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(r_blocks)).cast("int")).withColumn("q", cell(q_blocks))
     q = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("r", cell(r_blocks))
@@ -148,9 +151,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, found: float = 0.9
         return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
     cells = r.groupBy("r", "q").cogroup(q.groupBy("r", "q")).applyInPandas(search, "query_id long, vec_id long, score double")
-    # k rows for each query and block: merged by an ordered list of bounded length
-    best = cells.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    best = best.select("query_id", F.posexplode("b").alias("i", "x"))
-    return best.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
-
-
+    # the k best of a task's rows go into the shuffle, not those of every block
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

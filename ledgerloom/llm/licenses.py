@@ -2,22 +2,24 @@
 
 A rule is (priority, label, keywords, regex) over a text's words, lower-cased in A-Z and joined by single
 spaces ("version 2.0" reads "version 2 0"). A rule is tried only if all its keywords are among the words.
-Detections are resolved in order of priority, then length: one that lies inside a kept one of another
-label is suppressed. Base phrases are never suppressed.
+Detections that overlap are resolved: one that lies inside a longer one is suppressed, of several on the
+same words the one of best priority stays, and of two that cross each other likewise. So "gnu lesser
+general public license version 2 1" is neither the general license nor version 2. Base phrases are never
+suppressed.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_in_chunks, words_alnum
+from .common import frugal, rows_in_chunks, words_alnum
 
 #: Phrases whose every place counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -186,6 +188,85 @@ reserved | todos derechos | todos los derechos reservados
 reserved | rights | no rights reserved
 warranty | warranty | the software is provided as is without warranty of any kind
 warranty | warranty | without even the implied warranty of merchantability
+aal | attribution assurance | attribution assurance licen[sc]e
+adobe-2006 | adobe | adobe systems incorporated source code licen[sc]e agreement
+aladdin | aladdin | aladdin free public licen[sc]e
+apsl-2.0 | apple | apple public source licen[sc]e(?:{v}2 0)?
+apple-sample | apple sample | apple sample (?:source )?code licen[sc]e
+bittorrent | bittorrent | bittorrent open source licen[sc]e
+bzip2 | bzip2 | bzip2 (?:and libbzip2 )?licen[sc]e
+catosl-1.1 | computer associates | computer associates trusted open source licen[sc]e
+cern-ohl | cern | cern open hardware licen[sc]e(?:{v}[12](?: [012])?)?
+cern-ohl | cern ohl | cern ohl(?: (?:p|w|s))?
+cua-opl | cua | cua office public licen[sc]e
+d-fsl-1.0 | freie | deutsche freie software lizenz
+ecos-2.0 | ecos | ecos licen[sc]e(?:{v}2 0)?
+efl | eiffel | eiffel forum licen[sc]e(?:{v}[12])?
+fair | fair | fair licen[sc]e
+freetype | freetype | freetype (?:project )?licen[sc]e
+gemma | gemma | gemma terms of use
+giftware | giftware | giftware licen[sc]e
+gsoap | gsoap | gsoap public licen[sc]e
+hpnd | historical disclaimer | historical permission notice and disclaimer
+imagemagick | imagemagick | imagemagick licen[sc]e
+info-zip | info zip | info zip licen[sc]e
+ipa | ipa | ipa font licen[sc]e
+jasper | jasper | jasper licen[sc]e
+lppl | latex | latex project public licen[sc]e(?:{v}1 [0-3]c?)?
+lppl | lppl | lppl
+libtiff | libtiff | libtiff licen[sc]e
+llama | llama | (?:meta )?llama [234](?: [123])? community licen[sc]e(?: agreement)?
+lucent-1.02 | lucent | lucent public licen[sc]e(?:{v}1 02)?
+nasa-1.3 | nasa | nasa open source agreement(?:{v}1 3)?
+ntp | ntp | ntp licen[sc]e
+nvidia | nvidia | nvidia (?:software |open model )?licen[sc]e(?: agreement)?
+oldap | openldap | openldap public licen[sc]e(?:{v}2 \d)?
+open-game | game | open game licen[sc]e(?:{v}1 0a?)?
+oracle-bcl | oracle | oracle binary code licen[sc]e agreement
+oracle-nftc | oracle | oracle no fee terms and conditions
+oset | oset | oset public licen[sc]e
+parity | parity | parity public licen[sc]e(?: [67] 0 0)?
+prosperity | prosperity | prosperity public licen[sc]e(?: [23] 0 0)?
+rpl-1.5 | reciprocal | reciprocal public licen[sc]e(?:{v}1 [15])?
+rpsl-1.0 | realnetworks | realnetworks public source licen[sc]e
+simpl-2.0 | simple | simple public licen[sc]e(?:{v}2 0)?
+sissl | sun industry | sun industry standards source licen[sc]e
+spl-1.0 | sun | sun public licen[sc]e(?:{v}1 0)?
+solderpad | solderpad | solderpad hardware licen[sc]e(?:{v}[02] [0-9]+)?
+tapr-ohl | tapr | tapr open hardware licen[sc]e
+tcl | tcl | tcl(?: tk)? licen[sc]e
+ubuntu-font | ubuntu | ubuntu font licen[sc]e(?:{v}1 0)?
+bitstream-vera | bitstream | bitstream vera fonts? copyright
+vsl-1.0 | vovida | vovida software licen[sc]e
+watcom-1.0 | watcom | (?:sybase )?open watcom public licen[sc]e
+wordnet | wordnet | wordnet(?: 3 0)? licen[sc]e
+zpl | zope | zope public licen[sc]e(?:{v}[12] [01])?
+anti-996 | 996 | anti 996 licen[sc]e
+copyleft-next | copyleft | copyleft next(?: 0 3 [01])?
+cc-sampling | sampling | creative commons sampling(?: plus)?(?: 1 0)?
+cc-devnations | developing nations | creative commons developing nations
+community-data | community data | community data licen[sc]e agreement
+nlod-2.0 | norwegian | norwegian licen[sc]e for open government data
+ogl-canada-2.0 | canada | open government licen[sc]e canada(?:{v}2 0)?
+os-open-data | ordnance | ordnance survey open ?data licen[sc]e
+c-uda-1.0 | computational use | computational use of data agreement
+elastic-1.0 | elastic | elastic licen[sc]e agreement
+redis-sal | redis | redis source available licen[sc]e(?: agreement)?
+timescale | timescale | timescale licen[sc]e
+cockroach | community | cockroachdb? community licen[sc]e
+functional-source | functional | functional source licen[sc]e(?:{v}1 [01])?
+proprietary | trade | (?:contains |is )?(?:confidential )?trade secrets? of
+proprietary | redistribute | you may not (?:copy modify or )?redistribute
+proprietary | personal | for (?:your )?personal (?:and )?non ?commercial use only
+proprietary | content | subscribers? only content
+reserved | diritti | tutti i diritti(?: sono)? riservati
+reserved | direitos | todos os direitos reservados
+reserved | rechten | alle rechten voorbehouden
+reserved | rechte | alle rechte (?:liegen bei|beim)
+reserved | derechos | derechos reservados
+reserved | some | some rights reserved
+warranty | damages | in no event shall the (?:authors?|copyright holders?) be liable for any (?:claim damages or other liability|direct indirect incidental special exemplary or consequential damages)
+warranty | fitness | fitness for a particular purpose
 """
 
 #: The GNU and Creative Commons families, whose rules follow one form.
@@ -262,10 +343,20 @@ class Detection:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Kept detections: by priority, then length; inside a kept one of any label means suppressed."""
+    """The detections that stay, in order of their places: one pass over them sorted.
+
+    Inside another one's words: suppressed; on the same words: by priority. What is left rises in both ends,
+    so only neighbours can cross: the one of worse priority goes, then the next neighbours are looked at.
+    """
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (d.priority, d.first - d.last, d.first)):
-        if not any(k.first <= d.first and d.last <= k.last for k in kept):
+    furthest = -1
+    for d in sorted(found, key=lambda d: (d.first, -d.last, d.priority)):
+        if d.last <= furthest:
+            continue
+        furthest = d.last
+        while kept and kept[-1].last >= d.first and d.priority < kept[-1].priority:
+            kept.pop()
+        if not kept or kept[-1].last < d.first:
             kept.append(d)
     return kept
 
@@ -284,33 +375,28 @@ def scan(text: str | None) -> tuple[int, list[Detection], list[Detection]]:
         return len(words), [], []
     joined = b" " + b" ".join(words) + b" "
     base: list[Detection] = []
-    starts: list[int] = []
 
-    def word_at(byte: int) -> int:
-        if not starts:
-            at = 1
-            for w in words:
-                starts.append(at)
-                at += len(w) + 1
-        return bisect_right(starts, byte) - 1
+    def places(lengths: list[int]) -> np.ndarray:
+        """Where words of these lengths begin in the joined text."""
+        spans = np.array(lengths, np.int64) + 1
+        return 1 + np.cumsum(spans) - spans
 
+    starts = places([len(w) for w in words])
     for phrase, label in _BASE_WORDS:
         at = joined.find(b" " + phrase + b" ")
         while at >= 0:
-            first = word_at(at + 1)
+            first = int(np.searchsorted(starts, at + 1, side="right")) - 1
             base.append(Detection(label, first, first + phrase.count(b" "), -1))
             at = joined.find(b" " + phrase + b" ", at + 1)
     own: list[Detection] = []
     live = {r.priority: r for k in hit for r in by[k] if any(keys <= have for keys in (r.keywords, *r.glued))}.values()
     if live:
         chars = joined.decode("utf-8", "surrogatepass")
-        ends = None if len(chars) == len(joined) else [0]
-        if ends is not None:
-            for c in chars:
-                ends.append(ends[-1] + len(c.encode("utf-8", "surrogatepass")))
-        byte = (lambda i: i) if ends is None else ends.__getitem__
+        if len(chars) != len(joined):
+            starts = places([len(w.decode("utf-8", "surrogatepass")) for w in words])
+        word_at = lambda i: int(np.searchsorted(starts, i, side="right")) - 1
         for r in live:
-            own += [Detection(r.label, word_at(byte(m.start())), word_at(byte(m.end() - 1)), r.priority) for m in r.regex.finditer(chars)]
+            own += [Detection(r.label, word_at(m.start()), word_at(m.end() - 1), r.priority) for m in r.regex.finditer(chars)]
     return len(words), base, resolve(own)
 
 
@@ -325,7 +411,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([show(g[1]) for g in got], kind), pa.array([show(g[2]) for g in got], kind)], ["doc_id", "n_words", "base", "detections"])
 
     kind = "array<struct<label:string,first:bigint,last:bigint>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_words long, base {kind}, detections {kind}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id long, n_words long, base {kind}, detections {kind}")
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -243,6 +243,38 @@ def test_toxicity(docs, none, spark):
     assert len({r.score for r in toxicity.predict(docs, flat).collect()}) <= 2
 
 
+def test_pooled_responses_match_brute_force():
+    rng = np.random.default_rng(17)
+    net = toxicity.Net()
+    docs = [rng.integers(1, toxicity.BUCKETS, n).astype(np.int32) for n in (0, 1, 2, 5, 40)]
+    got, _ = net.pooled(*toxicity._joined(docs))
+    for d, row in zip(docs, got):
+        want = []
+        ids = np.concatenate([d if len(d) else np.zeros(1, np.int32), np.zeros(toxicity._PAD, np.int32)])
+        for w, filters, bias in zip(toxicity.WIDTHS, net.W, net.b):
+            spots = [net.E[ids[i : i + w]].reshape(-1) @ filters[: len(ids[i : i + w]) * toxicity.DIM] + bias for i in range(max(1, len(d)))]
+            want += np.maximum(np.max(spots, 0), 0).tolist()
+        assert row == pytest.approx(want, abs=1e-5)
+
+
+def test_training_rows_are_bounded_in_characters(spark):
+    rows = [(i, ("bad" if i % 2 else "good") + " word" * (100_000 if i == 6 else 20)) for i in range(60)]
+    d = spark.createDataFrame(rows + [(3, None), (3, "bad")], "doc_id long, text string")
+    net = toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), most_chars=20_000)
+    got = {r.doc_id: r.predicted for r in toxicity.predict(d.where("text is not null"), net).collect()}
+    assert [got[i] for i in (0, 1, 2, 5)] == [0, 1, 0, 1]
+
+
+def test_tongues_tell_languages_apart():
+    rng = np.random.default_rng(18)
+    kinds = [rng.integers(1, 30_000, 40) for _ in range(3)]
+    docs = [np.concatenate([rng.choice(kinds[i % 3], 60), rng.integers(1, 30_000, 60)]).astype(np.int32) for i in range(90)]
+    t = toxicity.Tongues(docs)
+    groups = [{t.guess(d) for d in docs[k::3]} for k in range(3)]
+    assert not groups[0] & groups[1] and not groups[1] & groups[2] and not groups[0] & groups[2]
+    assert t.guess(np.empty(0, np.int32)) == -1 and toxicity.Tongues([]).guess(docs[0]) == -1
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.label_documents(docs.where("doc_id is not null")).collect()}
     r = got[12]
@@ -260,6 +292,41 @@ def test_license_base_places_and_suppression():
     assert [d for d in own if d.label == "mit"] and not any(d.label == "cc-by" and d.first == 3 for d in own)
 
 
+def test_specific_licenses_suppress_general_ones():
+    own = lambda text: {d.label for d in licenses.scan(text)[2]}
+    assert own("GNU Lesser General Public License version 2.1") == {"lgpl-2.1"}
+    assert own("the GNU Affero General Public License version 3") == {"agpl-3"}
+    assert own("GNU General Public License v2 or later") == {"gpl-2"} and own("Apache License 2.0") == {"apache-2.0"}
+    assert own("Creative Commons Attribution-ShareAlike 4.0 International") == {"cc-by-sa-4.0"}
+
+
+def test_resolution_by_definition():
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        found = [licenses.Detection("x", a := int(rng.integers(0, 30)), a + int(rng.integers(0, 8)), i) for i in rng.permutation(int(rng.integers(0, 25))).tolist()]
+        inside = lambda d, e: e.first <= d.first and d.last <= e.last and ((e.first, e.last) != (d.first, d.last) or e.priority < d.priority)
+        left = [d for d in found if not any(inside(d, e) for e in found)]
+        kept = licenses.resolve(found)
+        assert set(kept) <= set(left) and all(a.last < b.first for a, b in zip(kept, kept[1:]))
+        for d in set(left) - set(kept):  # crossed by one of better priority
+            assert any(e.first <= d.last and d.first <= e.last and e.priority < d.priority for e in left)
+    many = [licenses.Detection("x", i, i + 2, i % 7) for i in range(100_000)]
+    assert licenses.resolve(many)
+
+
+def test_license_base_columns_match_sql(spark):
+    import duckdb
+
+    from ledgerloom.llm.queries import _WORDS
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    sql = f"""with w as (select doc_id, {_WORDS} as w from '{path}'), p as (select * from (values ('cc by', 'cc-by'), ('general public license', 'gpl'), ('all rights reserved', 'reserved')) v(phrase, label)),
+    i as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w), f as (select doc_id, i - 1 as i, label from i, p where array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase)
+    select w.doc_id, len(w)::bigint, count(label), min(i), max(i), coalesce(string_agg(distinct label, ',' order by label), '') from w left join f using (doc_id) group by 1, 2"""
+    got = licenses.label_documents(spark.read.parquet(path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert as_counter(got) == Counter(duckdb.sql(sql).fetchall())
+
+
 def phrases(tree, most=400):
     """Texts that a parsed regex matches: all branches, options and the ends of ranges, `most` at most."""
     import re._constants as k
@@ -556,13 +623,31 @@ def test_pack_histogram_places_everything():
         assert n <= 1.2 * need + 2
 
 
+def test_pack_histogram_is_shortest_pack_first_piece_by_piece():
+    rng = np.random.default_rng(19)
+    for _ in range(60):
+        h = {int(k): int(n) for k, n in zip(rng.integers(1, 60, 12), rng.integers(1, 40, 12))}
+        packs: list[int] = []
+        for length in sorted((x for x, n in h.items() for _ in range(n)), reverse=True):
+            at = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if at is not None and packs[at] + length <= 100:
+                packs[at] += length
+            else:
+                packs.append(length)
+        got = Counter()
+        for p in packing.pack_histogram(h, 100):
+            got[sum(a * b for a, b in p.items)] += p.count
+        assert got == Counter(packs)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(10)
     centres = rng.standard_normal((12, 24))
     x = (centres[rng.integers(0, 12, 900)] + 0.7 * rng.standard_normal((900, 24))).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 24), (5040, [float("nan")] + [1.0] * 23), (5060, [None] + [1.0] * 23), (5080, [1.0, 2.0]), (None, [1.0] * 24), (7, x[7].tolist())]
     df = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    got = ann.nearest(df, block=300).collect()
+    got = ann.nearest(df, block=300, query_block=20).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, ann.nearest(df.repartition(5), block=300).collect()))
     y = np.vstack([x, x[7:8]]).astype(np.float64)
     ids = np.append(np.arange(900), 7)
     by, hits = {}, 0

@@ -1,104 +1,80 @@
 """Detectors of anomalies and policy breaches: each gives (kind, severity, account_id, txn_id, amount_paise).
 
-Keyword and amount detectors are projections of one scan; the others are windows partitioned by account or
-party. `detect_all` unites them over one ledger. Amounts are paise: a lakh of rupees is 10^7.
+`detect_all` computes neighbours and statistics once and reads all single-row detectors off them. Amounts are paise: a lakh of rupees is 10^7.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAKH = 10**7
-#: Keyword patterns of the single-row detectors.
+#: Words of the single-row detectors, any of which a narration must contain.
 KEYWORDS = {
-    "cash_withdrawal": (r"ATM|CASH WITHDRAWAL", "high"),
-    "penal_charge": (r"PENAL|BOUNCE|CHARGES", "medium"),
-    "reversal": (r"REVERSAL|RETURN", "medium"),
-    "international": (r"INTL|USD|FOREIGN", "medium"),
-    "cheque_return": (r"CHQ RETURN|CHEQUE RETURN", "high"),
+    "cash_withdrawal": ("high", ["ATM", "CASH WDL", "CWDR", "SELF", "ATM-WDL", "NFS*", "CASH WITHDRAWAL"]),
+    "penal_charge": ("medium", ["PENAL", "BOUNCE CHG", "MIN BAL", "CONSOL CHG", "OD INT", "OVERDRAFT FEE", "INSUFFICIENT FUNDS FEE", "CHEQUE RETURN CHG", "ECS REJECT"]),
+    "reversal": ("medium", ["REVERSAL", "RETURN", "BOUNCED", "REVERSED", "REV-", "DECLINE", "UNPAID"]),
+    "risky_merchant": ("high", ["CASINO", "BETTING", "DREAM11", "POKER", "CRYPTO", "BINANCE", "LOTTERY", "RUMMY"]),
+    "international": ("medium", ["FOREX", "FCY", "CROSS BORDER", "INTERNATIONAL", "USD ", "EUR ", "GBP ", "AED ", "FOREIGN CURRENCY", "MARKUP FEE"]),
+    "penal_interest": ("medium", ["PENAL INTEREST", "INT.DR", "OVERDRAFT INTEREST"]),
+    "cheque_return": ("high", ["CHQ RTN", "CHEQUE RETURN", "DISHONOUR", "INSUFFICIENT FUNDS", "CHEQUE BOUNCE"]),
 }
 
 
-def _found(df: DataFrame, kind: str, severity: str, amount: Column | None = None, txn: Column | None = None) -> DataFrame:
-    return df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "account_id", (F.col("txn_id") if txn is None else txn).cast("long").alias("txn_id"), (F.col("amount_paise") if amount is None else amount).cast("long").alias("amount_paise"))
-
-
-def keyword(txn: DataFrame, kind: str) -> DataFrame:
-    pattern, severity = KEYWORDS[kind]
-    rows = txn.where(F.upper("narration").rlike(pattern))
-    if kind == "cash_withdrawal":
-        rows = rows.where(F.col("debit_paise") >= 2 * LAKH)
-    if kind == "penal_charge":
-        rows = rows.where("debit_paise > 0")
-    return _found(rows, kind, severity)
-
-
-def first_large_transfer(txn: DataFrame, least: int = 5 * LAKH) -> DataFrame:
-    """A party's very first row, if a debit of at least `least`."""
-    first = txn.groupBy("counterparty").agg(F.min(F.struct("txn_date", "txn_id")).alias("f")).select("counterparty", "f.txn_id")
-    return _found(txn.join(first, ["counterparty", "txn_id"]).where(F.col("debit_paise") >= least), "first_large_transfer", "high")
-
-
-def outlier(txn: DataFrame, sigmas: float = 3.8, rows: int = 25, least: int = 5 * LAKH) -> DataFrame:
-    """Debits above mean + sigmas * sample deviation of their account's debits."""
-    stats = txn.where("debit_paise > 0").groupBy("account_id").agg(F.avg("debit_paise").alias("m"), F.stddev_samp("debit_paise").alias("s"), F.count(F.lit(1)).alias("c"))
-    hit = txn.join(stats, "account_id").where((F.col("c") >= rows) & (F.col("debit_paise") > F.col("m") + sigmas * F.col("s")) & (F.col("debit_paise") >= least))
-    return _found(hit, "amount_outlier", "high")
-
-
-def weekend(txn: DataFrame, least: int = 10 * LAKH) -> DataFrame:
-    return _found(txn.where((F.weekday("txn_date") >= 5) & (F.col("debit_paise") >= least)), "weekend_debit", "low")
-
-
-def gap(txn: DataFrame, days: int = 60, rows: int = 15) -> DataFrame:
-    """Rows after more than `days` without activity on an account of at least `rows` rows."""
-    w = Window.partitionBy("account_id")
-    x = txn.withColumn("prev", F.lag("txn_date").over(w.orderBy("txn_date", "txn_id"))).withColumn("c", F.count(F.lit(1)).over(w))
-    return _found(x.where((F.col("c") >= rows) & (F.datediff("txn_date", "prev") > days)), "activity_gap", "medium")
-
-
-def party_spike(txn: DataFrame, rows: int = 5, excess: int = 2 * LAKH) -> DataFrame:
-    """Debits above twice their party's median debit, by at least `excess`."""
-    d = txn.where("debit_paise > 0")
-    stats = d.groupBy("counterparty").agg(F.median("debit_paise").alias("m"), F.count(F.lit(1)).alias("c"))
-    return _found(d.join(stats, "counterparty").where((F.col("c") >= rows) & (F.col("debit_paise") > 2 * F.col("m")) & (F.col("debit_paise") - F.col("m") >= excess)), "party_spike", "medium")
-
-
-def balance_break(txn: DataFrame) -> DataFrame:
-    """Rows whose balance moved by another amount than their own, in absolute terms."""
-    w = Window.partitionBy("account_id").orderBy("txn_date", "txn_id")
-    x = txn.withColumn("prev", F.lag("balance_paise").over(w)).where("prev is not null and balance_paise is not null")
-    return _found(x.where(F.abs(F.abs(F.col("balance_paise") - F.col("prev")) - F.col("amount_paise")) > 100), "balance_break", "high")
+def pattern(words: list[str]) -> str:
+    """The words as one regex of alternatives."""
+    return "|".join(w.replace(".", "[.]").replace("*", "[*]") for w in words)
+
+
+def with_context(txn: DataFrame) -> DataFrame:
+    """txn with what the detectors look at: neighbours in the account, statistics of account and party.
+
+    One shuffle by account serves all account windows; party statistics are one aggregation.
+    """
+    account, at = Window.partitionBy("account_id"), Window.partitionBy("account_id").orderBy("txn_date", "txn_id")
+    debit = F.when(F.col("debit_paise") > 0, F.col("debit_paise"))
+    party = txn.groupBy("counterparty").agg(F.min(F.struct("txn_date", "txn_id"))["txn_id"].alias("party_first"), F.median(debit).alias("party_median"), F.count(debit).alias("party_debits"))
+    x = txn.join(party, txn.counterparty.eqNullSafe(party.counterparty), "left").drop(party.counterparty)
+    ahead = {f"{c}_{k}": F.lead(n, k).over(at) for k in (1, 2, 3) for c, n in (("next_debit", "debit_paise"), ("next_date", "txn_date"))}
+    return x.withColumns({
+        "prev_date": F.lag("txn_date").over(at), "prev_balance": F.lag("balance_paise").over(at), "account_rows": F.count(F.lit(1)).over(account),
+        "debit_mean": F.avg(debit).over(account), "debit_sd": F.stddev_samp(debit).over(account), "account_debits": F.count(debit).over(account), **ahead})
+
+
+def detectors(today: str) -> list[tuple[str, str, Column]]:
+    """(kind, severity, condition on with_context's rows) of every single-row detector."""
+    debit, said = F.col("debit_paise"), F.upper("narration")
+    out = [(kind, severity, said.rlike(pattern(words))) for kind, (severity, words) in KEYWORDS.items()]
+    more = {"cash_withdrawal": debit >= 2 * LAKH, "penal_charge": debit > 0, "penal_interest": debit > 0}
+    out = [(k, s, c & more[k] if k in more else c) for k, s, c in out]
+    leaves = F.lit(False)
+    for k in (1, 2, 3):
+        leaves |= F.coalesce((F.col(f"next_debit_{k}") * 100 >= F.col("credit_paise") * 95) & (F.datediff(f"next_date_{k}", "txn_date") <= 1), F.lit(False))
+    return out + [
+        ("first_large_transfer", "high", (F.col("txn_id") == F.col("party_first")) & (debit >= 5 * LAKH)),
+        ("amount_outlier", "high", (F.col("account_debits") >= 25) & (debit > F.col("debit_mean") + 3.8 * F.col("debit_sd")) & (debit >= 5 * LAKH)),
+        ("weekend_debit", "low", (F.weekday("txn_date") >= 5) & (debit >= 10 * LAKH)),
+        ("activity_gap", "medium", (F.col("account_rows") >= 15) & (F.datediff("txn_date", "prev_date") > 60)),
+        ("party_spike", "medium", (F.col("party_debits") >= 5) & (debit > 2 * F.col("party_median")) & (debit - F.col("party_median") >= 2 * LAKH)),
+        ("balance_break", "high", F.abs(F.abs(F.col("balance_paise") - F.col("prev_balance")) - F.col("amount_paise")) > 100),
+        ("pass_through", "critical", (F.col("credit_paise") >= 10 * LAKH) & leaves),
+        ("future_date", "medium", F.col("txn_date") > F.date_add(F.lit(today).cast("date"), 2)),
+    ]
 
 
 def daily_surge(txn: DataFrame, sigmas: float = 3.8, days: int = 20, least: int = 15) -> DataFrame:
     """Days with many more rows than the account's active days have; txn_id is the day's first."""
-    d = txn.groupBy("account_id", "txn_date").agg(F.count(F.lit(1)).alias("c"), F.min("txn_id").alias("txn_id"), F.sum("amount_paise").alias("amount_paise"))
+    d = txn.groupBy("account_id", "txn_date").agg(F.count(F.lit(1)).alias("c"), F.min("txn_id").alias("txn_id"), F.sum("amount_paise").cast("long").alias("amount_paise"))
     s = d.groupBy("account_id").agg(F.avg("c").alias("m"), F.stddev_samp("c").alias("s"), F.count(F.lit(1)).alias("k"))
-    return _found(d.join(s, "account_id").where((F.col("k") >= days) & (F.col("c") > F.col("m") + sigmas * F.col("s")) & (F.col("c") >= least)), "daily_surge", "medium")
-
-
-def pass_through(txn: DataFrame, least: int = 10 * LAKH, share: int = 95, ahead: int = 3) -> DataFrame:
-    """A large credit of which most leaves within the next rows and a day: the first such debit."""
-    w = Window.partitionBy("account_id").orderBy("txn_date", "txn_id")
-    hits = []
-    for k in range(1, ahead + 1):
-        d, on = F.lead("debit_paise", k).over(w), F.lead("txn_date", k).over(w)
-        hits.append(F.when((d * 100 >= F.col("credit_paise") * share) & (F.datediff(on, "txn_date") <= 1), F.lead("txn_id", k).over(w)))
-    x = txn.withColumn("out_id", F.coalesce(*hits)).where((F.col("credit_paise") >= least) & F.col("out_id").isNotNull())
-    return _found(x, "pass_through", "critical")
-
-
-def future(txn: DataFrame, today: str) -> DataFrame:
-    return _found(txn.where(F.col("txn_date") > F.date_add(F.lit(today).cast("date"), 2)), "future_date", "medium")
+    hit = d.join(s, "account_id").where((F.col("k") >= days) & (F.col("c") > F.col("m") + sigmas * F.col("s")) & (F.col("c") >= least))
+    return hit.select(F.lit("daily_surge").alias("kind"), F.lit("medium").alias("severity"), "account_id", "txn_id", "amount_paise")
 
 
 def detect_all(txn: DataFrame, today: str) -> DataFrame:
-    parts = [keyword(txn, k) for k in KEYWORDS] + [first_large_transfer(txn), outlier(txn), weekend(txn), gap(txn), party_spike(txn), balance_break(txn), daily_surge(txn), pass_through(txn), future(txn, today)]
-    return reduce(DataFrame.unionByName, parts)
+    """kind, severity, account_id, txn_id, amount_paise of all findings: one pass over the rows, and one over the days."""
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, s, c in detectors(today)]))
+    rows = with_context(txn).select("account_id", "txn_id", "amount_paise", F.explode(hits).alias("x"))
+    return rows.select("x.kind", "x.severity", "account_id", "txn_id", "amount_paise").unionByName(daily_surge(txn))
 
 
 def findings_overview(found: DataFrame) -> DataFrame:

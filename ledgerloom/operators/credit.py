@@ -7,7 +7,7 @@ sum(x)^2 a population deviation is sqrt(s)/n, and a bound on it becomes a bound
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anomalies
@@ -123,3 +123,25 @@ def history_warnings(txn: DataFrame, least_days: int = 90, least_rows: int = 5)
     g = txn.groupBy("account_id").agg((F.datediff(F.max("txn_date"), F.min("txn_date")) + 1).cast("long").alias("days"), F.countDistinct(F.date_trunc("month", "txn_date")).alias("months"), F.count(F.lit(1)).alias("n"))
     said = F.concat_ws(",", F.when(F.col("days") < least_days, "short_history"), F.when(F.col("n") < least_rows * F.col("months"), "sparse_history"))
     return g.withColumn("warnings", said)
+
+
+def cash_flow(txn: DataFrame) -> DataFrame:
+    """For each account: in, out, net, months and those of surplus, savings in basis points of income, days that the balance lasts."""
+    zero = F.lit(0)
+    m = txn.groupBy("account_id", F.date_trunc("month", "txn_date").alias("month")).agg(F.coalesce(F.sum("credit_paise"), zero).alias("i"), F.coalesce(F.sum("debit_paise"), zero).alias("o"))
+    g = m.groupBy("account_id").agg(F.sum("i").cast("long").alias("in_paise"), F.sum("o").cast("long").alias("out_paise"), F.count(F.lit(1)).alias("months"), F.count(F.when(F.col("i") >= F.col("o"), 1)).alias("surplus_months"))
+    last = txn.groupBy("account_id").agg(F.max_by("balance_paise", F.struct("txn_date", "txn_id")).alias("closing"))
+    return g.join(last, "account_id").select(
+        "account_id", "in_paise", "out_paise", (F.col("in_paise") - F.col("out_paise")).alias("net_paise"), "months", "surplus_months",
+        F.when(F.col("in_paise") > 0, F.expr("cast((cast(in_paise as decimal(20,0)) - out_paise) * 10000 div in_paise as bigint)")).alias("savings_bp"),
+        F.when((F.col("out_paise") > 0) & (F.col("closing") > 0), F.expr("cast(cast(closing as decimal(20,0)) * months * 30 div out_paise as bigint)")).alias("runway_days"))
+
+
+def overall_confidence(txn: DataFrame, known) -> DataFrame:
+    """Half of rows read, a quarter each of balances that flow and rows whose party is known, in basis points; a missing part counts as 0."""
+    at = Window.partitionBy("account_id").orderBy("txn_date", "txn_id")
+    off = F.abs(F.col("balance_paise") - F.col("signed_paise") - F.lag("balance_paise").over(at))
+    one = F.lit(1)
+    g = txn.withColumns({"off": off, "known": known}).groupBy("account_id").agg(F.count(one).alias("n"), F.count("balance_paise").alias("read"), F.count("off").alias("c"), F.count(F.when(F.col("off") <= 100, one)).alias("ok"), F.count(F.when(F.col("known"), one)).alias("k"))
+    g = g.select("account_id", F.expr("read * 10000 div n").alias("parse_bp"), F.expr("case when c > 0 then ok * 10000 div c else 0 end").alias("continuity_bp"), F.expr("k * 10000 div n").alias("coverage_bp"))
+    return g.withColumn("confidence_bp", F.expr("(2 * parse_bp + continuity_bp + coverage_bp) div 4"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.scratch import stored
 
 
 def block_keys(names: DataFrame) -> DataFrame:
@@ -38,11 +39,20 @@ def pairs(names: DataFrame, most: int = 200, least: int = 0) -> DataFrame:
 def clusters(names: DataFrame, pairs: DataFrame, least: int = 860) -> DataFrame:
     """id, cluster (smallest id reached over pairs of at least `least`): labels spread until none changes."""
     e = pairs.where(F.col("ratio") >= least).select("a_id", "b_id")
-    e = e.unionByName(e.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).localCheckpoint()
-    labels = names.select("id", F.col("id").alias("cluster")).localCheckpoint()
+    e = stored(e.unionByName(e.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))), "name-links")
+    labels = stored(names.select("id", F.col("id").alias("cluster")), "labels")
     while True:
         near = e.join(labels, e.b_id == labels.id).groupBy("a_id").agg(F.min("cluster").alias("m"))
-        new = labels.join(near, labels.id == near.a_id, "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).localCheckpoint()
-        if not new.join(labels, ["id", "cluster"], "left_anti").limit(1).count():
+        new = labels.join(near, labels.id == near.a_id, "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        # and the label of one's label, which halves the way each time
+        new = stored(new.join(new.select(F.col("id").alias("cluster"), F.col("cluster").alias("further")), "cluster", "left").select("id", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster")), "labels")
+        if new.join(labels, ["id", "cluster"], "left_anti").isEmpty():
             return new
         labels = new
+
+
+def canonical(names: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, name, aliases: the commonest spelling of each cluster (of equals the longest, then the first), and how many others it has."""
+    n = names.join(clusters, "id").groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by("name", F.struct((-F.col("n")).alias("n"), (-F.length("name")).alias("l"), "name"))
+    return n.groupBy("cluster").agg(best.alias("name"), (F.count(F.lit(1)) - 1).alias("aliases"))

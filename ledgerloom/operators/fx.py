@@ -1,26 +1,64 @@
-"""As-of exchange rates and conversion."""
+"""As-of exchange rates, conversion, quote checks and cross rates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The band of plausible quotes and the largest step from the last one.
+LEAST_RATE, MOST_RATE, LARGEST_STEP = 0.0001, 1000, 0.10
+
 
 def validity(rates: DataFrame) -> DataFrame:
     """Each quote with the day before which it holds; the earliest of a code also holds before its own day."""
     w = Window.partitionBy("code").orderBy("as_of")
-    return rates.select("code", "inr_per_unit", F.when(F.lag("as_of").over(w).isNull(), F.lit("0001-01-01").cast("date")).otherwise(F.col("as_of")).alias("from_day"), F.coalesce(F.lead("as_of").over(w), F.lit("9999-12-31").cast("date")).alias("to_day"))
+    return rates.select("code", "as_of", "inr_per_unit", F.when(F.lag("as_of").over(w).isNull(), F.lit("0001-01-01").cast("date")).otherwise(F.col("as_of")).alias("from_day"), F.coalesce(F.lead("as_of").over(w), F.lit("9999-12-31").cast("date")).alias("to_day"))
+
+
+def with_rate(txn: DataFrame, rates: DataFrame, code: str) -> DataFrame:
+    """txn with inr_per_unit: the newest rate at the date, before the first quote that one; null dates take the latest.
+
+    Every row stays; without quotes of the code the rate is null. Quotes are spread over the months in which
+    they hold, within the span of all quotes, and rows outside it go to its ends: the band meets within equal months.
+    """
+    month = lambda c: F.date_trunc("month", c).cast("date")
+    of = rates.where(F.col("code") == code)
+    first, last = of.agg(month(F.min("as_of"))).scalar(), of.agg(month(F.max("as_of"))).scalar()
+    v = validity(of).withColumns({"first": first, "last": last})
+    v = v.select("inr_per_unit", "from_day", "to_day", F.explode(F.sequence(month(F.col("as_of")), F.least(month(F.date_sub("to_day", 1)), "last"), F.expr("interval 1 month"))).alias("rate_month"))
+    day = F.coalesce("txn_date", F.lit("9999-12-30").cast("date"))
+    x = txn.withColumns({"rate_day": day, "rate_month": F.greatest(F.least(month(day), last), first)})
+    return x.join(v, (x.rate_month == v.rate_month) & (F.col("rate_day") >= F.col("from_day")) & (F.col("rate_day") < F.col("to_day")), "left").drop("rate_month", "rate_day", "from_day", "to_day")
+
+
+def half_up(amount: Column, rate: Column) -> Column:
+    return F.round(amount.cast("decimal(20,0)") / rate, 0).cast("long")
 
 
 def convert(txn: DataFrame, rates: DataFrame, code: str) -> DataFrame:
-    """txn_id, inr_per_unit, converted: minor units of `code` by the newest rate at the date, rounded half up.
+    """txn_id, inr_per_unit, converted: minor units of `code` by the rate at the date, rounded half up once."""
+    return with_rate(txn, rates, code).select("txn_id", F.col("inr_per_unit").cast("double").alias("inr_per_unit"), half_up(F.col("amount_paise"), F.col("inr_per_unit")).alias("converted"))
 
-    The quotes of one code are few (a row a day at most) and are broadcast with their month, so that the
-    band is met within equal months.
+
+def vet_quotes(quotes: DataFrame) -> DataFrame:
+    """quotes(code, as_of, inr_per_unit) with reason: why a quote is refused, null if it is taken.
+
+    The step is measured from the code's quote before, whether that one was taken or not.
     """
-    v = validity(rates.where(F.col("code") == code))
-    lo, hi = F.lit("1990-01-01").cast("date"), F.lit("2035-12-31").cast("date")
-    months = F.sequence(F.date_trunc("month", F.greatest("from_day", lo)).cast("date"), F.date_trunc("month", F.least("to_day", hi)).cast("date"), F.expr("interval 1 month"))
-    v = v.withColumn("month", F.explode(months))
-    x = txn.withColumn("month", F.date_trunc("month", "txn_date").cast("date")).join(F.broadcast(v), "month").where("txn_date >= from_day and txn_date < to_day")
-    return x.select("txn_id", F.col("inr_per_unit").cast("double").alias("inr_per_unit"), F.round(F.col("amount_paise").cast("decimal(20,0)") / F.col("inr_per_unit"), 0).cast("long").alias("converted"))
+    last = F.lag("inr_per_unit").over(Window.partitionBy("code").orderBy("as_of"))
+    rate = F.col("inr_per_unit")
+    return quotes.withColumn("reason", F.when(rate <= 0, "not_positive").when(~rate.between(LEAST_RATE, MOST_RATE), "out_of_band").when((last > 0) & (F.abs(rate - last) > last * F.lit(LARGEST_STEP).cast("decimal(3,2)")), "step_too_large"))
+
+
+def upsert_quotes(stored: DataFrame, new: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """One quote for each code and day: of the source that comes first in `order`, of equals the new one."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("source")), F.lit(0))
+    both = stored.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
+    best = Window.partitionBy("code", "as_of").orderBy(F.when(rank == 0, len(order) + 1).otherwise(rank), "age", "inr_per_unit")
+    return both.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "age")
+
+
+def cross_rates(per_euro: DataFrame, base: str = "INR") -> DataFrame:
+    """code, as_of, inr_per_unit from per_euro(code, as_of, rate): units of base for one unit of each code, 8 places."""
+    of = per_euro.where(F.col("code") == base).select("as_of", F.col("rate").alias("base_rate"))
+    return per_euro.where(F.col("code") != base).join(of, "as_of").select("code", "as_of", F.round(F.col("base_rate") / F.col("rate"), 8).alias("inr_per_unit"))

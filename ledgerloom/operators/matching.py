@@ -1,15 +1,62 @@
 """Duplicate detection, consolidation and books-to-bank matching.
 
-Passes that are exact in relational terms are joins on (account, direction, amount) with a band on days;
-one-to-one greedy choices run inside such groups, which no candidate leaves.
+Candidates are joins on (account, direction, amount) and a bucket of days, so that a band of days is an
+equi-join. One-to-one choices are rounds of mutual first choices over the candidates, each a join: no group
+is collected in one task. Rounds are written to shared storage.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
+
+#: Windows of days and bounds of the reconciliation passes.
+NEAR_DAYS, CHEQUE_DAYS, SUGGEST_DAYS, MOST_PARTS, MOST_CANDIDATES, MOST_STEPS = 7, 90, 30, 5, 30, 50_000
+#: Words of bank rows by which an open item is named.
+RETURN_WORDS = ["RETURN", "RTN", "DISHONOUR", "CHQ RET", "INSUFF", "BOUNCE"]
+CHARGE_WORDS = ["CHARGES", "FEE", " GST", "GST ", "TAX", " CHG", "CHRG", "LEVY", "PENALTY", "COMMISSION", "MAINT", "SMS CHG", "SMSCHG", "DEMAT", "FOLIO", "LOCKER"]
+STANDING_WORDS = ["EMI", "LOAN", "ACH", "NACH", "ECS", "SI "]
+INTEREST_WORDS = ["INT.PD", "INTEREST", "CR INT", "INT.CR", "1NT.CR", "INT CR"]
+CREDIT_RAILS = ["NEFT", "UPI", "IMPS", "RTGS"]
+
+
+def day_band(a: DataFrame, a_day: str, b: DataFrame, b_day: str, key: list[str], days: int) -> DataFrame:
+    """Rows of a and b with equal key and at most `days` between their days: an inner equi-join on key and buckets of days."""
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / (days + 1))
+    x = a.withColumn("bucket_", F.explode(F.array(*[bucket(a_day) + i for i in (-1, 0, 1)])))
+    return x.join(b.withColumn("bucket_", bucket(b_day)), [*key, "bucket_"]).where(F.abs(F.datediff(a_day, b_day)) <= days).drop("bucket_")
+
+
+def mutual_best(cand: DataFrame, left: str, right: str, left_order: list, right_order: list, most_rounds: int = 200) -> DataFrame:
+    """One-to-one pairs of cand: in rounds, those that are each other's first choice among what is left.
+
+    A left row prefers by left_order, a right row by right_order; after that both by one hash of the pair, so
+    that crowds of equal candidates settle in few rounds. Where both follow one order this is the greedy
+    choice in that order; where right rows follow an order of the left ones it is each left row, in that order,
+    taking the best row still free.
+    """
+    tie = F.xxhash64(left, right)
+    cand = stored(cand.dropDuplicates([left, right]).withColumn("tie_", tie), "candidates")
+    out = None
+    for _ in range(most_rounds):
+        l = Window.partitionBy(left).orderBy(*left_order, "tie_", right)  # noqa: E741
+        r = Window.partitionBy(right).orderBy(*right_order, "tie_", left)
+        won = stored(cand.withColumn("l_", F.row_number().over(l)).withColumn("r_", F.row_number().over(r)).where("l_ = 1 and r_ = 1").drop("l_", "r_"), "chosen")
+        out = won if out is None else out.unionByName(won)
+        cand = stored(cand.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"), "candidates")
+        if cand.isEmpty():
+            return out.drop("tie_")
+    raise RuntimeError("choices did not settle")
+
+
+def has_any(text: Column, words: list[str]) -> Column:
+    return text.rlike("|".join(w.replace(".", "[.]") for w in words))
+
 
 def tier_one(led: DataFrame, days: int = 3) -> DataFrame:
     """Pairs of one account with equal reference, direction and amount, a few days apart, balances not in conflict."""
@@ -30,15 +77,14 @@ def tokens(c: str):
 def tier_two(led: DataFrame, days: int = 3) -> DataFrame:
     """Pairs without a common reference: same day scores 8500, else 7000 + 1000 * token overlap (basis points, floor)."""
     x = led.withColumn("tok", tokens("narration"))
-    a, b, c = x.alias("a"), x.alias("b"), F.col
-    near = a.join(b, ["account_id", "direction", "amount_paise"]).where((c("a.txn_id") < c("b.txn_id")) & (F.abs(F.datediff(c("a.txn_date"), c("b.txn_date"))) <= days))
-    near = near.where(~F.coalesce(c("a.statement_id") == c("b.statement_id"), F.lit(False)))
-    near = near.where(~F.coalesce(c("a.balance_paise") != c("b.balance_paise"), F.lit(False)))
-    near = near.where(~F.coalesce(c("a.reference_no") == c("b.reference_no"), F.lit(False)))
-    clash = c("a.reference_no").isNotNull() & c("b.reference_no").isNotNull()
-    both, either = F.size(F.array_intersect("a.tok", "b.tok")), F.size(F.array_union("a.tok", "b.tok"))
-    score = F.when(clash, 6000).when(c("a.txn_date") == c("b.txn_date"), 8500).otherwise(7000 + F.floor(both * 1000 / F.greatest(either, F.lit(1))))
-    return near.select(c("a.txn_id").alias("a_id"), c("b.txn_id").alias("b_id"), score.cast("long").alias("score"))
+    key, c = ["account_id", "direction", "amount_paise"], F.col
+    side = lambda p: x.select(*key, *[c(n).alias(f"{p}_{n}") for n in ("txn_id", "txn_date", "statement_id", "balance_paise", "reference_no", "tok")])
+    near = day_band(side("a"), "a_txn_date", side("b"), "b_txn_date", key, days).where("a_txn_id < b_txn_id")
+    near = near.where("not coalesce(a_statement_id = b_statement_id, false) and not coalesce(a_balance_paise <> b_balance_paise, false) and not coalesce(a_reference_no = b_reference_no, false)")
+    clash = c("a_reference_no").isNotNull() & c("b_reference_no").isNotNull()
+    both, either = F.size(F.array_intersect("a_tok", "b_tok")), F.size(F.array_union("a_tok", "b_tok"))
+    score = F.when(clash, 6000).when(c("a_txn_date") == c("b_txn_date"), 8500).otherwise(7000 + F.floor(both * 1000 / F.greatest(either, F.lit(1))))
+    return near.select(c("a_txn_id").alias("a_id"), c("b_txn_id").alias("b_id"), score.cast("long").alias("score"))
 
 
 def survivors(led: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -46,29 +92,29 @@ def survivors(led: DataFrame, pairs: DataFrame) -> DataFrame:
     return led.join(pairs.select(F.col("duplicate_id").alias("txn_id")).distinct(), "txn_id", "left_anti")
 
 
-def shared_id(book: DataFrame, bank: DataFrame, days: int = 90) -> DataFrame:
-    """Pairs of equal account, direction, amount and cheque or reference number: entries by date take the nearest row left.
+def _ids(c: str) -> Column:
+    """A reference or cheque number in letters and digits, without leading zeros if all digits; null where it names nothing."""
+    x = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    x = F.when(x.rlike("^[0-9]+$"), F.regexp_replace(x, "^0+", "")).otherwise(x)
+    return F.when((F.length(x) >= 3) & ~x.isin("NONE", "NAN"), x)
+
+
+def _by_id(book: DataFrame, bank: DataFrame, days: int) -> DataFrame:
+    b = book.withColumn("ref", _ids("instrument_no")).where("ref is not null").select("book_id", "account_id", "direction", "ref", "entry_date", F.col("amount_paise").alias("booked"))
+    t = bank.withColumn("ref", _ids("reference_no")).where("ref is not null").select("txn_id", "account_id", "direction", "ref", "txn_date", "amount_paise")
+    return b.join(t, ["account_id", "direction", "ref"]).withColumn("gap", F.abs(F.datediff("entry_date", "txn_date"))).where(F.col("gap") <= days)
 
-    Numbers of under three characters and the words for none match nothing.
-    """
-    key = ["account_id", "direction", "amount_paise", "ref"]
-    norm = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
-    held = (F.length("ref") >= 3) & ~F.col("ref").isin("NONE", "NAN")
-    b = book.withColumn("ref", norm("instrument_no")).where(held).select("book_id", *key, "entry_date")
-    t = bank.withColumn("ref", norm("reference_no")).where(held).select("txn_id", *key, "txn_date")
-    gap = F.abs(F.datediff("entry_date", "txn_date")).cast("long")
-    cand = b.join(t, key).where(gap <= days).select(*key, "book_id", "txn_id", gap.alias("gap"), F.datediff("entry_date", F.lit("1970-01-01")).alias("b_day"), F.datediff("txn_date", F.lit("1970-01-01")).alias("t_day"))
-
-    def pick(pdf):
-        used_b, used_t, out = set(), set(), []
-        for _, b, _, _, t in sorted(zip(pdf["b_day"], pdf["book_id"], pdf["gap"], pdf["t_day"], pdf["txn_id"])):
-            if b not in used_b and t not in used_t:
-                used_b.add(b)
-                used_t.add(t)
-                out.append((b, t))
-        return pd.DataFrame(out, columns=["book_id", "txn_id"])
-
-    return cand.groupBy(*key).applyInPandas(pick, "book_id long, txn_id long")
+
+def shared_id(book: DataFrame, bank: DataFrame, days: int = CHEQUE_DAYS) -> DataFrame:
+    """Pass A: pairs of equal account, direction, amount and cheque number; entries by day take the nearest row left."""
+    cand = _by_id(book, bank, days).where("booked = amount_paise")
+    return mutual_best(cand, "book_id", "txn_id", ["gap"], ["entry_date", "book_id"]).select("book_id", "txn_id")
+
+
+def other_amount_pairs(book: DataFrame, bank: DataFrame, days: int = CHEQUE_DAYS) -> DataFrame:
+    """Pass D: one-to-one pairs of one number but different amounts: nearest day, then amount."""
+    cand = _by_id(book, bank, days).where("booked <> amount_paise").withColumn("off", F.abs(F.col("booked") - F.col("amount_paise")))
+    return mutual_best(cand, "book_id", "txn_id", ["gap", "off"], ["entry_date", "book_id"]).select("book_id", "txn_id")
 
 
 def same_day(book: DataFrame, bank: DataFrame) -> DataFrame:
@@ -79,64 +125,161 @@ def same_day(book: DataFrame, bank: DataFrame) -> DataFrame:
     return b.join(t, [*key, "k"]).select("book_id", "txn_id")
 
 
-def only_candidates(book: DataFrame, bank: DataFrame, days: int = 7) -> DataFrame:
-    """Pairs within `days` of which each is the other's only candidate (one sweep)."""
-    c = book.join(bank, ["account_id", "direction", "amount_paise"]).where(F.abs(F.datediff("entry_date", "txn_date")) <= days).select("book_id", "txn_id")
-    one = F.count(F.lit(1))
-    return c.join(c.groupBy("book_id").agg(one.alias("x")).where("x = 1"), "book_id").join(c.groupBy("txn_id").agg(one.alias("y")).where("y = 1"), "txn_id").select("book_id", "txn_id")
+_SAME = ["account_id", "direction", "amount_paise"]
+
 
+def only_candidates(book: DataFrame, bank: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
+    """Pass C: pairs within `days` of which each is the other's only candidate.
 
-def nearest_first(book: DataFrame, bank: DataFrame, days: int = 30) -> DataFrame:
-    """One-to-one by nearest date within (account, direction, amount): greedy by gap, book id, bank id.
+    Neither is in any other candidate pair, so taking them makes no new one: one sweep is the fixpoint.
+    """
+    c = day_band(book.select("book_id", *_SAME, "entry_date"), "entry_date", bank.select("txn_id", *_SAME, "txn_date"), "txn_date", _SAME, days)
+    x = c.withColumn("x", F.count(F.lit(1)).over(Window.partitionBy("book_id"))).withColumn("y", F.count(F.lit(1)).over(Window.partitionBy("txn_id")))
+    return x.where("x = 1 and y = 1").select("book_id", "txn_id")
+
+
+def words(c: str) -> Column:
+    """Words of four letters and more."""
+    return F.array_distinct(F.filter(F.split(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]+"), lambda w: F.length(w) >= 4))
+
+
+def suggestions(book: DataFrame, bank: DataFrame, days: int = SUGGEST_DAYS) -> DataFrame:
+    """Pass E: equal amounts up to `days` apart: most words in common, then nearest; without common words within a week only."""
+    b = book.select("book_id", *_SAME, "entry_date", words("party_name").alias("b_words"))
+    t = bank.select("txn_id", *_SAME, "txn_date", words("counterparty").alias("t_words"))
+    cand = day_band(b, "entry_date", t, "txn_date", _SAME, days).withColumns({"gap": F.abs(F.datediff("entry_date", "txn_date")), "common": F.size(F.array_intersect("b_words", "t_words"))})
+    cand = cand.where((F.col("common") > 0) | (F.col("gap") <= NEAR_DAYS)).drop("b_words", "t_words")
+    return mutual_best(cand, "book_id", "txn_id", [F.desc("common"), "gap"], ["entry_date", "book_id"]).select("book_id", "txn_id")
+
+
+def parts_of(target: int, pool: list[tuple], most_steps: int = MOST_STEPS) -> list | None:
+    """The first two to MOST_PARTS of pool(id, amount), nearest first, that sum to target; fewest first, at most most_steps tries."""
+    steps = 0
+    for k in range(2, MOST_PARTS + 1):
+        for some in combinations(pool, k):
+            steps += 1
+            if steps > most_steps:
+                return None
+            if sum(x[1] for x in some) == target:
+                return [x[0] for x in some]
+    return None
+
+
+def group_matches(targets: DataFrame, target: str, target_day: str, pool: DataFrame, part: str, part_day: str, days: int = NEAR_DAYS, most_rounds: int = 50) -> DataFrame:
+    """Pass F, one side: target, part: rows of pool that sum to a row of targets, each used once; larger targets first.
 
-    A band join finds the candidates. A book row and a bank row that only have each other are a pair at
-    once; the greedy choice runs in Python only for what is left, in groups of one account and amount.
+    A target looks at its MOST_CANDIDATES nearest smaller rows. Groups that want one part go by amount; the
+    losers look again among what is left.
     """
-    key = ["account_id", "direction", "amount_paise"]
-    b, t = book.select("book_id", *key, "entry_date"), bank.select("txn_id", *key, "txn_date")
-    gap = F.abs(F.datediff("entry_date", "txn_date")).cast("long")
-    cand = b.join(t, key).where(gap <= days).select(*key, "book_id", "txn_id", gap.alias("gap"))
-    group = Window.partitionBy(*key)
-    cand = cand.withColumn("rows", F.count(F.lit(1)).over(group))
-
-    def pick(pdf):
-        used_b, used_t, out = set(), set(), []
-        for g, b, t in sorted(zip(pdf["gap"], pdf["book_id"], pdf["txn_id"])):
-            if b not in used_b and t not in used_t:
-                used_b.add(b)
-                used_t.add(t)
-                out.append((b, t, g))
-        return pd.DataFrame(out, columns=["book_id", "txn_id", "gap"])
-
-    alone = cand.where("rows = 1").select("book_id", "txn_id", "gap")
-    return alone.unionByName(cand.where("rows > 1").groupBy(*key).applyInPandas(pick, "book_id long, txn_id long, gap long"))
-
-
-def reconcile(book: DataFrame, bank: DataFrame) -> DataFrame:
-    """Passes in order, each over what the former left: book_id, txn_id, method."""
-    book, bank, out = book.persist(), bank.persist(), None
-    passes = [("same_day", same_day), ("only_candidate", only_candidates), ("nearest", nearest_first)]
-    if "instrument_no" in book.columns and "reference_no" in bank.columns:
-        passes.insert(0, ("shared_id", shared_id))
+    key, taken = ["account_id", "direction"], None
+    left = targets.select(target, *key, target_day, F.col("amount_paise").alias("whole"))
+
+    def search(batches):
+        for b in batches:
+            got = [parts_of(w, [(p["id"], p["amount"]) for p in ps]) for w, ps in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            keep = [i for i, g in enumerate(got) if g]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array([got[i] for i in keep], pa.list_(pa.int64()))], [target, "whole", "parts"])
+
+    for _ in range(most_rounds):
+        small = pool.select(part, *key, part_day, "amount_paise")
+        near = day_band(left, target_day, small, part_day, key, days).where("amount_paise < whole").withColumn("gap", F.abs(F.datediff(target_day, part_day)))
+        near = near.withColumn("k", F.row_number().over(Window.partitionBy(target).orderBy("gap", part))).where(F.col("k") <= MOST_CANDIDATES)
+        pools = near.groupBy(target, "whole").agg(F.sort_array(F.collect_list(F.struct("k", F.col(part).alias("id"), F.col("amount_paise").alias("amount")))).alias("pool")).where(F.size("pool") > 1)
+        found = stored(pools.mapInArrow(search, f"{target} long, whole long, parts array<bigint>"), "groups")
+        each = found.select(target, "whole", F.explode("parts").alias(part), F.size("parts").alias("n"))
+        first = each.withColumn("r", F.row_number().over(Window.partitionBy(part).orderBy(F.desc("whole"), target))).where("r = 1")
+        whole = first.groupBy(target).agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where("m = n").select(target)
+        won = stored(each.join(whole, target).select(target, part), "groups-chosen")
+        taken = won if taken is None else taken.unionByName(won)
+        lost = found.join(won.select(target).distinct(), target, "left_anti")
+        if lost.isEmpty():
+            return taken
+        left, pool = stored(left.join(lost.select(target), target, "left_semi"), "targets"), stored(small.join(won.select(part), part, "left_anti"), "pool")
+    return taken
+
+
+def reconcile(book: DataFrame, bank: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Passes A B C D F E in order, each over what the former left: book_id, txn_id, method, one row a pair of a match.
+
+    Pairs in rejected(book_id, txn_id) never match again; a group with such a pair is dropped whole.
+    """
+    book, bank, out = stored(book, "book"), stored(bank, "bank"), None
+    passes = [
+        ("shared_id", shared_id), ("same_day", same_day), ("only_candidate", only_candidates), ("other_amount", other_amount_pairs),
+        ("one_bank_row", lambda b, t: group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date")), ("one_entry", lambda b, t: group_matches(b, "book_id", "entry_date", t, "txn_id", "txn_date")),
+        ("suggestion", suggestions),
+    ]
     for method, f in passes:
-        got = f(book, bank).select("book_id", "txn_id", F.lit(method).alias("method")).persist()  # read by every later pass
-        out = got if out is None else out.unionByName(got)
-        book, bank = book.join(got, "book_id", "left_anti"), bank.join(got, "txn_id", "left_anti")
+        got = f(book, bank).select("book_id", "txn_id", F.lit(method).alias("method"))
+        if rejected is not None:
+            one = "txn_id" if method == "one_bank_row" else "book_id"
+            got = got.join(got.join(rejected, ["book_id", "txn_id"]).select(one).distinct(), one, "left_anti")
+        got = stored(got, f"pass-{method}")
+        out = got.select("book_id", "txn_id", "method") if out is None else out.unionByName(got.select("book_id", "txn_id", "method"))
+        book, bank = book.join(got.select("book_id").distinct(), "book_id", "left_anti"), bank.join(got.select("txn_id").distinct(), "txn_id", "left_anti")
     return out
 
 
+def bank_item(narration: str = "narration") -> Column:
+    """What an open bank row is: by words for returns, charges, standing orders, interest and credits."""
+    text = F.concat(F.lit(" "), F.upper(F.coalesce(narration, F.lit(""))), F.lit(" "))
+    out = F.when(has_any(text, RETURN_WORDS), "dishonoured_cheque").when(has_any(text, CHARGE_WORDS), "bank_charge").when(has_any(text, STANDING_WORDS), "standing_instruction").otherwise("unmatched")
+    credit = F.when(has_any(text, INTEREST_WORDS), "interest_credit").when(has_any(text, RETURN_WORDS), "dishonoured_cheque").when(has_any(text, CREDIT_RAILS), "direct_credit").otherwise("unmatched")
+    return F.when(F.col("direction") == "credit", credit).otherwise(out)
+
+
+def verdicts(book: DataFrame, bank: DataFrame, matches: DataFrame, openings: DataFrame) -> DataFrame:
+    """For each account: the books' computed closing, the bank's, what open items explain, the residual and a verdict.
+
+    openings(account_id, opening_paise) are the books' openings (0 where missing). An account without a bank
+    balance is unreconciled with residual 0.
+    """
+    signed = F.when(F.col("direction") == "credit", F.col("amount_paise")).otherwise(-F.col("amount_paise"))
+    total = lambda df, name: df.groupBy("account_id").agg(F.sum(signed).cast("long").alias(name))
+    last = bank.where("balance_paise is not null").groupBy("account_id").agg(F.max_by("balance_paise", F.struct("txn_date", "txn_id")).alias("bank_closing"))
+    pairs = matches.select("book_id", "txn_id")
+    x = total(book, "moved").join(openings, "account_id", "left").join(last, "account_id", "left")
+    x = x.join(total(book.join(pairs.select("book_id").distinct(), "book_id", "left_anti"), "open_book"), "account_id", "left").join(total(bank.join(pairs.select("txn_id").distinct(), "txn_id", "left_anti"), "open_bank"), "account_id", "left")
+    zero = F.lit(0)
+    x = x.select("account_id", (F.coalesce("opening_paise", zero) + F.col("moved")).cast("long").alias("book_closing"), "bank_closing", F.coalesce("open_book", zero).alias("open_book"), F.coalesce("open_bank", zero).alias("open_bank"))
+    rest = F.col("bank_closing") - (F.col("book_closing") - F.col("open_book") + F.col("open_bank"))
+    return x.withColumn("residual_paise", F.coalesce(rest, zero).cast("long")).withColumn("verdict", F.when(F.col("bank_closing").isNull() | (F.col("residual_paise") != 0), "unreconciled").otherwise("reconciled"))
+
+
 def bridge(book: DataFrame, bank: DataFrame, matches: DataFrame) -> DataFrame:
     """What stays open, by account and side."""
     side = lambda df, key, name: df.join(matches, key, "left_anti").groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").cast("long").alias("amount_paise")).withColumn("side", F.lit(name))
     return side(book, "book_id", "book").unionByName(side(bank, "txn_id", "bank"))
 
 
-def transfers(txn: DataFrame, days: int = 3) -> DataFrame:
-    """Candidates for internal transfers: equal amounts on different accounts, -1 to `days` days apart, nearest debit first."""
-    d = txn.where("debit_paise is not null").select(F.col("txn_id").alias("debit_id"), F.col("account_id").alias("da"), "amount_paise", F.col("txn_date").alias("dd"))
-    c = txn.where("credit_paise is not null").select(F.col("txn_id").alias("credit_id"), F.col("account_id").alias("ca"), "amount_paise", F.col("txn_date").alias("cd"))
-    gap = F.datediff("cd", "dd")
-    return d.join(c, "amount_paise").where((F.col("da") != F.col("ca")) & gap.between(-1, days)).groupBy("debit_id").agg(F.min(F.struct(F.abs(gap).alias("g"), "credit_id"))["credit_id"].alias("credit_id"))
+def transfers(txn: DataFrame, accounts: DataFrame, days: int = 3) -> DataFrame:
+    """debit_id, credit_id, evidence: one-to-one transfers between accounts, equal amounts, -1 to `days` days apart.
+
+    Evidence is a common run of nine digits in the narrations, the other account's number (whole or its last
+    four after X's) or its holder's first two distinctive words; accounts(account_id, number, holder).
+    Only a common number lets the credit be a day early. Debits by day take the nearest credit left.
+    """
+    told = txn.join(accounts, "account_id", "left").withColumn("said", F.upper(F.coalesce("narration", F.lit(""))))
+    runs = F.array_except(F.regexp_extract_all(F.regexp_replace("said", "[^0-9A-Z]", " "), F.lit("[0-9]{9,}"), 0), F.array("number"))
+    told = told.withColumns({"runs": runs, "names": F.slice(F.filter(F.split(F.upper(F.coalesce("holder", F.lit(""))), "[^A-Z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin("PRIVATE", "LIMITED", "PVT", "LTD", "THE", "AND", "MRS", "SMT")), 1, 2)})
+    side = lambda way, p: told.where(F.col("direction") == way).select("amount_paise", *[F.col(c).alias(f"{p}_{c}") for c in ("txn_id", "account_id", "txn_date", "said", "runs", "number", "names")])
+    c = day_band(side("debit", "d"), "d_txn_date", side("credit", "c"), "c_txn_date", ["amount_paise"], max(days, 1))
+    gap = F.datediff("c_txn_date", "d_txn_date")
+    digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
+
+    def told_of(number: str, said: str) -> Column:
+        tail = F.concat(F.lit("X{2,}"), F.right(digits(F.col(number)), F.lit(4)), F.lit("([^A-Z0-9_]|$)"))
+        return (F.length(digits(F.col(number))) >= 6) & (F.contains(digits(F.col(said)), digits(F.col(number))) | F.regexp_like(F.col(said), tail))
+
+    def named(names: str, said: str) -> Column:
+        padded = F.concat(F.lit(" "), F.regexp_replace(said, "[^A-Z0-9]+", " "), F.lit(" "))
+        return (F.size(names) == 2) & F.forall(names, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))
+
+    ref = F.size(F.array_intersect("d_runs", "c_runs")) > 0
+    why = F.when(ref, "shared reference").when(told_of("c_number", "d_said") | told_of("d_number", "c_said"), "account number").when(named("c_names", "d_said") | named("d_names", "c_said"), "holder name")
+    c = c.where((F.col("d_account_id") != F.col("c_account_id")) & gap.between(-1, days)).withColumns({"evidence": why, "gap": F.abs(gap)}).where(F.col("evidence").isNotNull() & ((gap >= 0) | (F.col("evidence") == "shared reference")))
+    c = c.select(F.col("d_txn_id").alias("debit_id"), F.col("c_txn_id").alias("credit_id"), F.col("d_txn_date").alias("debit_date"), "gap", "evidence")
+    return mutual_best(c, "debit_id", "credit_id", ["gap"], ["debit_date", "debit_id"]).select("debit_id", "credit_id", "evidence")
 
 
 def other_amounts(book: DataFrame, bank: DataFrame, days: int = 7) -> DataFrame:

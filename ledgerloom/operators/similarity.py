@@ -58,3 +58,11 @@ def merge_suggestions(names: DataFrame, name: str, least: int = 8) -> DataFrame:
     key = F.substring(F.regexp_replace(F.upper("name"), "[^A-Z0-9]", ""), 1, least)
     x = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("key", key).where(F.length("key") >= least)
     return x.groupBy("key").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("keep")).where("names > 1")
+
+
+def edit_ratios(names: DataFrame, name: str, prefix: int = 5) -> DataFrame:
+    """a_name, b_name, ratio in thousandths: edit distance of different compact names that share a prefix."""
+    x = names.select(F.replace(F.upper(name), F.lit(" ")).alias("x")).where("x is not null").distinct().withColumn("p", F.substring("x", 1, prefix))
+    size = F.greatest(F.length("a_name"), F.length("b_name"))
+    pairs = x.withColumnRenamed("x", "a_name").join(x.withColumnRenamed("x", "b_name"), "p").where("a_name < b_name")
+    return pairs.select("a_name", "b_name", F.floor((size - F.levenshtein("a_name", "b_name")) * 1000 / size).cast("long").alias("ratio"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cadences by the median gap in days (name, nominal days, from, to).
-CADENCES = [("weekly", 7, 5, 9), ("fortnightly", 14, 12, 17), ("monthly", 30, 26, 35), ("bimonthly", 60, 55, 66), ("quarterly", 91, 84, 98), ("half_yearly", 182, 170, 195), ("yearly", 365, 350, 380)]
+CADENCES = [("daily", 1, 1, 4), ("weekly", 7, 5, 9), ("bi-weekly", 14, 10, 18), ("monthly", 30, 19, 45), ("quarterly", 90, 70, 115), ("semi-annual", 180, 140, 220), ("annual", 365, 300, 420)]
 
 
 def day_close(txn: DataFrame) -> DataFrame:
@@ -68,3 +68,20 @@ def forecast(series: DataFrame, horizons: tuple[int, ...] = (30, 60, 90)) -> Dat
     """Expected and conservative (high tier only) in and out over each horizon."""
     x = series.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("value", F.floor(F.col("horizon") / F.col("nominal_days")) * F.col("amount_paise") * F.when(F.col("direction") == "credit", 1).otherwise(-1))
     return x.groupBy("horizon").agg(F.sum("value").cast("long").alias("expected_paise"), F.coalesce(F.sum(F.when(F.col("tier") == "high", F.col("value"))), F.lit(0)).cast("long").alias("conservative_paise"))
+
+
+def statement_openings(txn: DataFrame, printed) -> DataFrame:
+    """statement_id, opening_paise, basis: as printed, else the closing of the account's statement before, else from the first row.
+
+    `printed` is a column over first_open, last_close and statement_id.
+    """
+    x = txn.groupBy("account_id", "statement_id").agg(F.min_by(F.col("balance_paise") - F.col("signed_paise"), "row_index").alias("first_open"), F.max_by("balance_paise", "row_index").alias("last_close"))
+    x = x.withColumns({"printed": printed, "before": F.lag("last_close").over(Window.partitionBy("account_id").orderBy("statement_id"))})
+    basis = F.when(F.col("printed").isNotNull(), "reported").when(F.col("before").isNotNull(), "movement").otherwise("reconstructed")
+    return x.select("statement_id", F.coalesce("printed", "before", "first_open").alias("opening_paise"), basis.alias("basis"))
+
+
+def series_members(txn: DataFrame, key: str, least: int) -> DataFrame:
+    """Groups of (direction, key) seen in at least `least` months: months, rows, smallest and largest amount."""
+    g = txn.groupBy("direction", key).agg(F.count_distinct(F.date_trunc("month", "txn_date")).alias("months"), F.count(F.lit(1)).alias("n"), F.min("amount_paise").alias("low"), F.max("amount_paise").alias("high"))
+    return g.where(F.col("months") >= least)

@@ -6,36 +6,76 @@ import random
 import pytest
 
 from ledgerloom.functions import text
-from ledgerloom.operators import entities, matching
+from ledgerloom.operators import entities, fx, matching
 from ledgerloom.sources import statements
 from ledgerloom.streaming import metering
 from pyspark.sql import functions as F
 
 
-def test_nearest_first_is_greedy(spark):
+def test_mutual_best_is_each_entry_in_turn_taking_the_best_row_left(spark):
     rng, day = random.Random(4), dt.date(2024, 1, 1)
-    book = [(i, rng.randrange(2), "debit", rng.randrange(3), day + dt.timedelta(rng.randrange(60))) for i in range(60)]
-    bank = [(i, rng.randrange(2), "debit", rng.randrange(3), day + dt.timedelta(rng.randrange(60))) for i in range(60)]
-    got = matching.nearest_first(
-        spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date"),
-        spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date"),
-    )
-    pairs = sorted((abs((b[4] - t[4]).days), b[0], t[0]) for b in book for t in bank if b[1:4] == t[1:4] and abs((b[4] - t[4]).days) <= 30)
-    used_b, used_t, want = set(), set(), set()
-    for g, b, t in pairs:
-        if b not in used_b and t not in used_t:
-            used_b.add(b)
-            used_t.add(t)
-            want.add((b, t, g))
-    assert {tuple(r) for r in got.collect()} == want
+    book = [(i, rng.randrange(2), "debit", rng.randrange(3), day + dt.timedelta(rng.randrange(60)), rng.choice(["ACME TOOLS", "BOLTS", None])) for i in range(60)]
+    bank = [(i, rng.randrange(2), "debit", rng.randrange(3), day + dt.timedelta(rng.randrange(60)), rng.choice(["ACME", "BOLTS LTD", None])) for i in range(60)]
+    b = spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date, party_name string")
+    t = spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, counterparty string")
+    tie = {(r.b, r.t): r.h for r in spark.range(60).selectExpr("id as b").crossJoin(spark.range(60).selectExpr("id as t")).select("b", "t", F.xxhash64("b", "t").alias("h")).collect()}
+    named = lambda c: {w for w in (c or "").split() if len(w) >= 4}
+    used, want = set(), set()
+    for x in sorted(book, key=lambda x: (x[4], x[0])):
+        near = [(-len(named(x[5]) & named(y[5])), abs((x[4] - y[4]).days), tie[x[0], y[0]], y[0]) for y in bank if y[1:4] == x[1:4] and y[0] not in used and abs((x[4] - y[4]).days) <= 30]
+        near = [n for n in near if n[0] < 0 or n[1] <= 7]
+        if near:
+            used.add(min(near)[3])
+            want.add((x[0], min(near)[3]))
+    assert {tuple(r) for r in matching.suggestions(b, t).collect()} == want
+
+
+def test_group_matches(spark):
+    day = lambda n: dt.date(2024, 5, 1) + dt.timedelta(n)
+    bank = spark.createDataFrame([(1, 1, "debit", 100, day(3)), (2, 1, "debit", 60, day(3)), (3, 1, "credit", 30, day(0)), (4, 2, "debit", 100, day(0)), (5, 1, "debit", 77, day(0))], "txn_id long, account_id long, direction string, amount_paise long, txn_date date")
+    book = spark.createDataFrame([(11, 1, "debit", 40, day(3)), (12, 1, "debit", 60, day(4)), (13, 1, "debit", 20, day(3)), (14, 1, "credit", 10, day(0)), (15, 1, "credit", 20, day(9)), (16, 2, "debit", 50, day(1)), (17, 2, "debit", 30, day(1)), (18, 2, "debit", 20, day(1)), (19, 1, "debit", 76, day(0))], "book_id long, account_id long, direction string, amount_paise long, entry_date date")
+    got = {tuple(r) for r in matching.group_matches(bank, "txn_id", "txn_date", book, "book_id", "entry_date").collect()}
+    assert got == {(1, 11), (1, 12), (4, 16), (4, 17), (4, 18)}
+    assert matching.parts_of(10, [(i, 1) for i in range(30)]) is None and matching.parts_of(5, [(1, 9), (2, 2), (3, 3)]) == [2, 3]
+
+
+def test_rejected_pairs_never_match_again(spark):
+    day = dt.date(2024, 5, 1)
+    book = spark.createDataFrame([(1, 1, "debit", 100, day, "R-1", None), (2, 1, "debit", 9, day, None, None)], "book_id long, account_id long, direction string, amount_paise long, entry_date date, instrument_no string, party_name string")
+    bank = spark.createDataFrame([(11, 1, "debit", 100, day, "r1x", None), (12, 1, "debit", 9, day, None, None)], "txn_id long, account_id long, direction string, amount_paise long, txn_date date, reference_no string, counterparty string")
+    no = spark.createDataFrame([(2, 12)], "book_id long, txn_id long")
+    assert {tuple(r)[:2] for r in matching.reconcile(book, bank, no).collect()} == {(1, 11)}
+
+
+def test_transfers_are_one_to_one_and_need_evidence(spark):
+    day = lambda n: dt.date(2024, 5, 1) + dt.timedelta(n)
+    rows = [
+        (1, 1, "debit", 500, day(0), "UTR 123456789012"), (2, 1, "debit", 500, day(1), "UTR 123456789012"), (3, 2, "credit", 500, day(1), "IN 123456789012"),
+        (4, 1, "debit", 70, day(0), "TO XX0002 Y"), (5, 2, "credit", 70, day(2), "IN"), (6, 1, "debit", 71, day(0), "shop"), (7, 2, "credit", 71, day(0), "shop"),
+        (8, 2, "debit", 90, day(0), "paid RED SQUARE infra"), (9, 1, "credit", 90, day(0), "in"), (10, 2, "debit", 91, day(1), "paid RED SQUARE infra"), (11, 1, "credit", 91, day(0), "in"),
+    ]
+    txn = spark.createDataFrame(rows, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, narration string")
+    accounts = spark.createDataFrame([(1, "9000000001", "Red Square Pvt Ltd"), (2, "9000000002", None)], "account_id long, number string, holder string")
+    got = {tuple(r) for r in matching.transfers(txn, accounts).collect()}
+    assert got == {(1, 3, "shared reference"), (4, 5, "account number"), (8, 9, "holder name")}
+
+
+def test_rates_keep_every_row(spark):
+    quotes = spark.createDataFrame([("USD", dt.date(2000, 1, 10), "80"), ("USD", dt.date(2000, 3, 5), "81"), ("EUR", dt.date(2000, 1, 1), "90")], "code string, as_of date, x string").selectExpr("code", "as_of", "cast(x as decimal(20,8)) as inr_per_unit")
+    days = [dt.date(1985, 1, 1), dt.date(2000, 1, 9), dt.date(2000, 1, 10), dt.date(2000, 3, 4), dt.date(2000, 3, 5), dt.date(2040, 1, 1), None]
+    txn = spark.createDataFrame(list(enumerate(days)), "txn_id long, txn_date date").withColumn("amount_paise", F.lit(8000).cast("long"))
+    got = {r.txn_id: (float(r.inr_per_unit), r.converted) for r in fx.convert(txn, quotes, "USD").collect()}
+    assert [got[i][0] for i in range(7)] == [80, 80, 80, 80, 81, 81, 81] and got[0][1] == 100
+    assert {r.inr_per_unit for r in fx.with_rate(txn, quotes, "GBP").collect()} == {None} and fx.with_rate(txn, quotes, "GBP").count() == 7
 
 
 def test_reconcile_is_one_to_one(spark):
     day = dt.date(2024, 5, 1)
     book = spark.createDataFrame([(1, 1, "debit", 100, day), (2, 1, "debit", 100, day), (3, 1, "debit", 7, day), (4, 2, "credit", 9, day)], "book_id long, account_id long, direction string, amount_paise long, entry_date date")
     bank = spark.createDataFrame([(11, 1, "debit", 100, day), (12, 1, "debit", 100, day + dt.timedelta(2)), (13, 1, "debit", 7, day + dt.timedelta(20))], "txn_id long, account_id long, direction string, amount_paise long, txn_date date")
+    book, bank = book.selectExpr("*", "cast(null as string) as instrument_no", "if(book_id = 3, 'BLUE HARBOUR', null) as party_name"), bank.selectExpr("*", "cast(null as string) as reference_no", "'BLUE HARBOUR' as counterparty")
     got = matching.reconcile(book, bank)
-    assert {tuple(r) for r in got.collect()} == {(1, 11, "same_day"), (2, 12, "only_candidate"), (3, 13, "nearest")}
+    assert {tuple(r) for r in got.collect()} == {(1, 11, "same_day"), (2, 12, "only_candidate"), (3, 13, "suggestion")}
     left = {(r.account_id, r.side, r.n, r.amount_paise) for r in matching.bridge(book, bank, got).collect()}
     assert left == {(2, "book", 1, 9)}
 
@@ -44,9 +84,9 @@ def test_reconcile_by_shared_id(spark):
     day = lambda n: dt.date(2024, 5, 1) + dt.timedelta(n)
     book = [(4, 1, "debit", 55, day(0), "CHQ-0042"), (5, 1, "debit", 55, day(60), None), (6, 1, "debit", 56, day(0), "NONE"), (7, 1, "debit", 57, day(0), "ABC1"), (8, 1, "debit", 57, day(1), "ABC1")]
     bank = [(14, 1, "debit", 55, day(60), "chq0042"), (15, 1, "debit", 56, day(80), "NONE"), (16, 1, "debit", 57, day(1), "ABC1"), (17, 1, "debit", 57, day(91), "ABC1")]
-    b = spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date, instrument_no string")
-    t = spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, reference_no string")
-    got = {tuple(r) for r in matching.reconcile(b, t).collect()}
+    b = spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date, instrument_no string").withColumn("party_name", F.lit(None).cast("string"))
+    t = spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, reference_no string").withColumn("counterparty", F.lit(None).cast("string"))
+    got = {tuple(r) for r in matching.reconcile(b, t).collect() if r.method == "shared_id"}
     assert got == {(4, 14, "shared_id"), (7, 16, "shared_id"), (8, 17, "shared_id")}
 
 

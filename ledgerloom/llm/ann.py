@@ -73,21 +73,25 @@ def learn(sample: np.ndarray, longest: float, k: int, found: float, probes: int
 
 
 class MultiIndex:
+    """For each substring of the codes, rows in order of its value and where each value begins."""
+
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         subs = codes.view(np.uint8).reshape(-1, PARTS).astype(np.int64)
-        self.order = [np.argsort(subs[:, p], kind="stable") for p in range(PARTS)]
-        self.bounds = [np.searchsorted(subs[o, p], np.arange((1 << _WIDTH) + 1)) for p, o in enumerate(self.order)]
+        order = [np.argsort(subs[:, p], kind="stable") for p in range(PARTS)]
+        self.order = np.concatenate(order)
+        self.bounds = np.array([p * len(codes) + np.searchsorted(subs[o, p], np.arange((1 << _WIDTH) + 1)) for p, o in enumerate(order)])
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Row numbers of every code within the radius."""
+        """Row numbers of every code within the radius: the values up to radius // PARTS flips away are probed in every index."""
+        own = np.array([code], np.uint64).view(np.uint8).astype(np.int64)
+        values = own[:, None] ^ np.concatenate(_FLIPS[: min(radius // PARTS, _WIDTH) + 1])[None, :]
+        part = np.arange(PARTS)[:, None]
+        starts, ends = self.bounds[part, values].ravel(), self.bounds[part, values + 1].ravel()
+        n = ends - starts
+        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         mark = np.zeros(len(self.codes), bool)
-        own = np.array([code], np.uint64).view(np.uint8)
-        for p in range(PARTS):
-            bounds, order = self.bounds[p], self.order[p]
-            for flips in range(min(radius // PARTS, _WIDTH) + 1):
-                for v in (int(own[p]) ^ _FLIPS[flips]).tolist():
-                    mark[order[bounds[v] : bounds[v + 1]]] = True
+        mark[self.order[at]] = True
         at = np.flatnonzero(mark)
         return at[np.bitwise_count(self.codes[at] ^ code) <= radius]
 

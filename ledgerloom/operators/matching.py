@@ -8,7 +8,9 @@ is collected in one task. Rounds are written to shared storage.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,8 +156,17 @@ def suggestions(book: DataFrame, bank: DataFrame, days: int = SUGGEST_DAYS) -> D
 
 def parts_of(target: int, pool: list[tuple], most_steps: int = MOST_STEPS) -> list | None:
     """The first two to MOST_PARTS of pool(id, amount), nearest first, that sum to target; fewest first, at most most_steps tries."""
-    steps = 0
+    amounts, steps = np.array([x[1] for x in pool], np.int64), 0
+    sums = {1: amounts}
+    for k in (2, 3):
+        sums[k] = np.array([sum(c) for c in combinations(amounts.tolist(), k)], np.int64)
     for k in range(2, MOST_PARTS + 1):
+        # without two smaller sums that add up to the target there is nothing to try
+        if not np.isin(target - sums[(k + 1) // 2], sums[k // 2]).any():
+            steps += comb(len(pool), k)
+            if steps > most_steps:
+                return None
+            continue
         for some in combinations(pool, k):
             steps += 1
             if steps > most_steps:

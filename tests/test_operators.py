@@ -1,6 +1,7 @@
 """Small cases for operators, readers and streams that SQL does not cover."""
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -39,6 +40,15 @@ def test_group_matches(spark):
     assert matching.parts_of(10, [(i, 1) for i in range(30)]) is None and matching.parts_of(5, [(1, 9), (2, 2), (3, 3)]) == [2, 3]
 
 
+def test_parts_of_is_the_first_combination():
+    rng = random.Random(6)
+    for _ in range(300):
+        pool = [(i, rng.randrange(1, 400)) for i in range(rng.randrange(0, 14))]
+        target = rng.randrange(2, 900)
+        want = next((list(c) for k in range(2, 6) for c in itertools.combinations([i for i, _ in pool], k) if sum(dict(pool)[i] for i in c) == target), None)
+        assert matching.parts_of(target, pool) == want
+
+
 def test_rejected_pairs_never_match_again(spark):
     day = dt.date(2024, 5, 1)
     book = spark.createDataFrame([(1, 1, "debit", 100, day, "R-1", None), (2, 1, "debit", 9, day, None, None)], "book_id long, account_id long, direction string, amount_paise long, entry_date date, instrument_no string, party_name string")

@@ -146,12 +146,13 @@ def words(c: str) -> Column:
 
 
 def suggestions(book: DataFrame, bank: DataFrame, days: int = SUGGEST_DAYS) -> DataFrame:
-    """Pass E: equal amounts up to `days` apart: most words in common, then nearest; without common words within a week only."""
+    """Pass E: equal amounts up to `days` apart, best pairs first: most words in common, then nearest; without common words within a week only."""
     b = book.select("book_id", *_SAME, "entry_date", words("party_name").alias("b_words"))
     t = bank.select("txn_id", *_SAME, "txn_date", words("counterparty").alias("t_words"))
     cand = day_band(b, "entry_date", t, "txn_date", _SAME, days).withColumns({"gap": F.abs(F.datediff("entry_date", "txn_date")), "common": F.size(F.array_intersect("b_words", "t_words"))})
     cand = cand.where((F.col("common") > 0) | (F.col("gap") <= NEAR_DAYS)).drop("b_words", "t_words")
-    return mutual_best(cand, "book_id", "txn_id", [F.desc("common"), "gap"], ["entry_date", "book_id"]).select("book_id", "txn_id")
+    order = [F.desc("common"), "gap"]
+    return mutual_best(cand, "book_id", "txn_id", order, order).select("book_id", "txn_id")
 
 
 def parts_of(target: int, pool: list[tuple], most_steps: int = MOST_STEPS) -> list | None:

@@ -13,7 +13,7 @@ from ledgerloom.streaming import metering
 from pyspark.sql import functions as F
 
 
-def test_mutual_best_is_each_entry_in_turn_taking_the_best_row_left(spark):
+def test_suggestions_take_the_best_pairs_first(spark):
     rng, day = random.Random(4), dt.date(2024, 1, 1)
     book = [(i, rng.randrange(2), "debit", rng.randrange(3), day + dt.timedelta(rng.randrange(60)), rng.choice(["ACME TOOLS", "BOLTS", None])) for i in range(60)]
     bank = [(i, rng.randrange(2), "debit", rng.randrange(3), day + dt.timedelta(rng.randrange(60)), rng.choice(["ACME", "BOLTS LTD", None])) for i in range(60)]
@@ -21,13 +21,13 @@ def test_mutual_best_is_each_entry_in_turn_taking_the_best_row_left(spark):
     t = spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, counterparty string")
     tie = {(r.b, r.t): r.h for r in spark.range(60).selectExpr("id as b").crossJoin(spark.range(60).selectExpr("id as t")).select("b", "t", F.xxhash64("b", "t").alias("h")).collect()}
     named = lambda c: {w for w in (c or "").split() if len(w) >= 4}
-    used, want = set(), set()
-    for x in sorted(book, key=lambda x: (x[4], x[0])):
-        near = [(-len(named(x[5]) & named(y[5])), abs((x[4] - y[4]).days), tie[x[0], y[0]], y[0]) for y in bank if y[1:4] == x[1:4] and y[0] not in used and abs((x[4] - y[4]).days) <= 30]
-        near = [n for n in near if n[0] < 0 or n[1] <= 7]
-        if near:
-            used.add(min(near)[3])
-            want.add((x[0], min(near)[3]))
+    pairs = [(-len(named(x[5]) & named(y[5])), abs((x[4] - y[4]).days), tie[x[0], y[0]], x[0], y[0]) for x in book for y in bank if y[1:4] == x[1:4] and abs((x[4] - y[4]).days) <= 30]
+    used_b, used_t, want = set(), set(), set()
+    for common, gap, _, x, y in sorted(pairs):
+        if (common < 0 or gap <= 7) and x not in used_b and y not in used_t:
+            used_b.add(x)
+            used_t.add(y)
+            want.add((x, y))
     assert {tuple(r) for r in matching.suggestions(b, t).collect()} == want
 
 

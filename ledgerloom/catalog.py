@@ -571,13 +571,17 @@ def e13_against_truth(t, spark, sf_dir):
     return similarity.against_truth(read(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
 
 
-@query("""+ x as (select distinct p_name as name, substr(regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g'), 1, 4) as key from part where p_name is not null)
-select key, count(*) as names, min(name) as keep from x where length(key) >= 4 group by 1 having count(*) > 1""")
+_SKELETON = "substr(list_reduce(string_split(regexp_replace(regexp_replace(upper({0}), '[^A-Z]|[AEIOU]', '', 'g'), '(.)H+', '\\1', 'g'), ''), lambda a, b: case when right(a, 1) = b then a else a || b end), 1, 12)"
+
+
+@query(f"""+ n as (select distinct p_name as name from part where p_name is not null), x as (select 'prefix' as kind, name, substr(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), 1, 4) as key from n
+  union all select 'skeleton', name, {_SKELETON.format("name")} from n)
+select kind, key, count(*) as names, min(name) as keep from x where length(key) >= case kind when 'prefix' then 4 else 3 end group by 1, 2 having count(*) > 1""")
 def k20_merge_suggestions(t, spark, sf_dir):
     return similarity.merge_suggestions(read(spark, sf_dir, "part"), "p_name", 4)
 
 
-from . import catalog_more  # noqa: E402, F401  registers its queries
+from . import catalog_more, catalog_text  # noqa: E402, F401  register their queries
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _PASS_B, FINDINGS_SQL, TODAY, _cases, query
+from .catalog import _PASS_B, _SKELETON, FINDINGS_SQL, TODAY, _cases, query
 from .functions import cells, text
 from .operators import anomalies, classify, consolidation, credit, entities, fx, matching, policy, scoping, timeseries, validation
 from .plans.ledger import BOOKS_SQL, COPIES_SQL, RATES_SQL, books, rates, read, with_copies
@@ -82,7 +82,7 @@ def r37_shape_key(t, spark, sf_dir):
     return t.select("txn_id", cells.shape_key(F.concat(F.col("narration"), F.lit(" 12 MAR 99"))).alias("shape"))
 
 
-@query("""+ c as (select distinct counterparty, regexp_replace(upper(counterparty), '[^A-Z]|[AEIOU]', '', 'g') as x from txn), s as (select counterparty, substr(list_reduce(string_split(x, ''), lambda a, b: case when right(a, 1) = b then a else a || b end), 1, 12) as sk from c)
+@query(f"""+ s as (select distinct counterparty, {_SKELETON.format("counterparty")} as sk from txn)
 select counterparty, case when length(sk) >= 5 then substr(sk, 1, 7) else counterparty end as key from s""")
 def r38_group_key(t, spark, sf_dir):
     sk = text.skeleton(F.col("counterparty"))

@@ -17,12 +17,25 @@ def amount_side(c: Column) -> Column:
     return F.when(F.upper(c).rlike(r"CR\.?\s*$"), "credit").when(F.upper(c).rlike(r"DR\.?\s*$") | c.rlike(r"^\s*\("), "debit")
 
 
-#: Date formats in the order in which they are tried, day first.
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd MMM yyyy", "dd-MMM-yyyy", "dd/MM/yy", "dd-MM-yy", "yyyy/MM/dd", "yyyyMMdd"]
-
-
-def date(c: Column, first_year: int = 1990, last_year: int = 2100) -> Column:
-    tried = [F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in DATE_FORMATS]
+#: Date formats in the order in which they are tried, day first; then those without a year.
+DATE_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "d/M/yy", "d-M-yy", "d.M.yy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "dMMMyyyy", "dMMMyy", "MMM d, yyyy", "MMM d yyyy", "yyyyMMdd"]
+YEARLESS = ["d MMM", "MMM d"]
+
+
+def date(c: Column, first_year: int = 1990, last_year: int = 2100, this_year: int | None = None) -> Column:
+    """The day by the first format that gives a year in range; two-digit years from 69 are of the last century.
+
+    A day without a year is of `this_year`, and null if that is not given.
+    """
+    s = F.trim(c)
+    tried = []
+    for f in DATE_FORMATS:
+        day = F.try_to_timestamp(s, F.lit(f)).cast("date")
+        if "yy" in f and "yyyy" not in f:
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        tried.append(day)
+    if this_year is not None:
+        tried += [F.try_to_timestamp(F.concat(s, F.lit(f" {this_year}")), F.lit(f"{f} yyyy")).cast("date") for f in YEARLESS]
     return F.coalesce(*[F.when(F.year(t).between(first_year, last_year), t) for t in tried])
 
 
@@ -47,8 +60,8 @@ def series_key(c: Column) -> Column:
 
 
 def skeleton(c: Column) -> Column:
-    """Consonants only, repeats collapsed, at most 12."""
-    s = F.regexp_replace(F.upper(c), "[^A-Z]|[AEIOU]", "")
+    """Consonants only, an H only where it is the first, repeats collapsed, at most 12."""
+    s = F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z]|[AEIOU]", ""), "(?<!^)H", "")
     return F.substring(F.regexp_replace(s, r"(.)\1+", "$1"), 1, 12)
 
 

@@ -84,3 +84,14 @@ def keyword_scores(txn: DataFrame, rules: DataFrame) -> DataFrame:
     per = words.join(rules, "word").groupBy("txn_id", "category").agg(F.max("score").alias("score"))
     top = per.groupBy("txn_id").agg(F.max("score").alias("score"))
     return per.join(top, ["txn_id", "score"]).groupBy("txn_id", "score").agg(F.max("category").alias("category"), (F.count(F.lit(1)) > 1).alias("ambiguous"))
+
+
+def propagate(rows: DataFrame, decisions: DataFrame, key: str = "party_key") -> DataFrame:
+    """rows with the category, method and confidence of their party's decision where a decision is still needed
+    (category null or needs_review); settled rows and rows without a decision stay. decisions(key, category): one a key.
+    """
+    d = decisions.select(key, F.col("category").alias("_decided"))
+    x = rows.join(d, key, "left")
+    take = (F.col("category").isNull() | F.coalesce(F.col("needs_review"), F.lit(False))) & F.col("_decided").isNotNull()
+    new = {"category": F.col("_decided"), "method": F.lit("counterparty_memory"), "confidence": F.lit(0.95), "needs_review": F.lit(False)}
+    return x.withColumn("_take", take).withColumns({c: F.when(F.col("_take"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("_decided", "_take")

@@ -58,3 +58,19 @@ def openings(accounts: DataFrame) -> DataFrame:
     found = [("manual", F.col("typed_paise")), ("batch", F.col("batch_paise")), ("previous_run", F.when(follows, F.col("previous_paise"))), ("file", F.col("file_paise"))]
     basis = F.coalesce(*[F.when(v.isNotNull(), n) for n, v in found])
     return accounts.select("account_id", F.coalesce(*[v for _, v in found]).alias("opening_paise"), F.coalesce(basis, F.lit("missing")).alias("basis"))
+
+
+def salary_payers(txn: DataFrame, payer: Column, labelled: Column, percent: int = 2, least: int = 2) -> DataFrame:
+    """account_id, payer, n: payers of `least` credits and more, each within `percent` of some labelled salary of the account.
+
+    Amounts and salaries meet by buckets of a logarithm, of which only the least and largest salary matter: those of an
+    amount's own bucket are all near enough, those beside it at their nearer end.
+    """
+    width = F.log(F.lit(1 + percent / 100))
+    c = txn.where("direction = 'credit' and amount_paise > 0").select("account_id", payer.alias("payer"), labelled.alias("labelled"), "amount_paise", F.floor(F.log("amount_paise") / width).alias("bucket"))
+    ends = c.where("labelled").groupBy("account_id", "bucket").agg(F.min("amount_paise").alias("low"), F.max("amount_paise").alias("high"))
+    ends = ends.select("account_id", "low", "high", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.col("bucket") + i)).alias("bucket"))
+    near = lambda s: F.abs(F.col("amount_paise") - s) * 100 <= s * percent
+    amounts = c.where("payer is not null").groupBy("account_id", "payer", "bucket", "amount_paise").agg(F.count(F.lit(1)).alias("n"))
+    hit = amounts.join(ends, ["account_id", "bucket"], "left").groupBy("account_id", "payer", "bucket", "amount_paise").agg(F.first("n").alias("n"), F.max(F.coalesce(near(F.col("low")) | near(F.col("high")), F.lit(False))).alias("near"))
+    return hit.groupBy("account_id", "payer").agg(F.sum("n").alias("n"), F.min("near").alias("all_near")).where(F.col("all_near") & (F.col("n") >= least)).drop("all_near")

@@ -303,3 +303,22 @@ def other_amounts(book: DataFrame, bank: DataFrame, days: int = 7) -> DataFrame:
     c = b.join(bank, ["account_id", "direction", "reference_no"]).withColumn("gap", F.abs(F.datediff("entry_date", "txn_date"))).where((F.col("gap") <= days) & (F.col("booked") != F.col("amount_paise")))
     best = c.groupBy("book_id").agg(F.min(F.struct("gap", F.abs(F.col("booked") - F.col("amount_paise")).alias("off"), "txn_id")).alias("m"))
     return best.select("book_id", "m.txn_id", F.col("m.off").cast("long").alias("off_paise"))
+
+
+def replay_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Candidate pairs (txn_id, book_id, ...) that earlier decisions leave open.
+
+    decisions(txn_ids, book_ids, status): a rejected one bars every pair of its lines, a confirmed one takes its rows out.
+    """
+    d = decisions.select("status", F.explode("txn_ids").alias("txn_id"), "book_ids").select("status", "txn_id", F.explode("book_ids").alias("book_id"))
+    done = d.where("status = 'confirmed'")
+    x = candidates.join(d.where("status = 'rejected'").select("txn_id", "book_id").distinct(), ["txn_id", "book_id"], "left_anti")
+    return x.join(done.select("txn_id").distinct(), "txn_id", "left_anti").join(done.select("book_id").distinct(), "book_id", "left_anti").select(*candidates.columns)
+
+
+def carry_forward(items: DataFrame, rows: DataFrame, since) -> DataFrame:
+    """Rows of a period (from `since` on) together with those that an earlier run left open: txn_id of items still open,
+    not in this period; carried says which. Each row comes once."""
+    open_items = items.where("resolved_on is null").select("txn_id").distinct()
+    old = rows.where(F.col("txn_date") < since).join(open_items, "txn_id", "left_semi").withColumn("carried", F.lit(True))
+    return rows.where(F.col("txn_date") >= since).withColumn("carried", F.lit(False)).unionByName(old)

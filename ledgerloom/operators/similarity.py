@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions import text
+
 
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
@@ -54,10 +56,13 @@ def against_truth(df: DataFrame, cluster: str, truth: str) -> DataFrame:
 
 
 def merge_suggestions(names: DataFrame, name: str, least: int = 8) -> DataFrame:
-    """Groups of different names whose letters and digits start with the same `least` characters."""
-    key = F.substring(F.regexp_replace(F.upper("name"), "[^A-Z0-9]", ""), 1, least)
-    x = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("key", key).where(F.length("key") >= least)
-    return x.groupBy("key").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("keep")).where("names > 1")
+    """kind, key, names, keep: groups of different names whose letters and digits start with the same `least` characters
+    (kind prefix), or whose consonant skeletons of three letters and more are equal (kind skeleton)."""
+    prefix = F.substring(F.regexp_replace(F.upper("name"), "[^A-Z0-9]", ""), 1, least)
+    keys = F.array(F.struct(F.lit("prefix").alias("kind"), prefix.alias("key")), F.struct(F.lit("skeleton").alias("kind"), text.skeleton(F.col("name")).alias("key")))
+    x = names.select(F.col(name).alias("name")).where("name is not null").distinct().select("name", F.inline(keys))
+    x = x.where(F.length("key") >= F.when(F.col("kind") == "prefix", least).otherwise(3))
+    return x.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("keep")).where("names > 1")
 
 
 def edit_ratios(names: DataFrame, name: str, prefix: int = 5) -> DataFrame:

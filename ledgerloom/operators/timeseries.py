@@ -85,3 +85,45 @@ def series_members(txn: DataFrame, key: str, least: int) -> DataFrame:
     """Groups of (direction, key) seen in at least `least` months: months, rows, smallest and largest amount."""
     g = txn.groupBy("direction", key).agg(F.count_distinct(F.date_trunc("month", "txn_date")).alias("months"), F.count(F.lit(1)).alias("n"), F.min("amount_paise").alias("low"), F.max("amount_paise").alias("high"))
     return g.where(F.col("months") >= least)
+
+
+def _over_cuts(df: DataFrame, start: str, end: str, first, last, history: int, horizon: int, step: int) -> DataFrame:
+    """A row of df for each cut-off that lies in [start, end): end null is open, so that rows don't multiply beyond what holds then."""
+    origin = F.date_add(first, history)
+    lo = F.greatest(F.ceil(F.datediff(start, origin) / step), F.lit(0))
+    hi = F.floor(F.datediff(F.least(F.date_sub(end, 1), F.date_sub(last, horizon)), origin) / step)
+    x = df.withColumns({"origin": origin, "lo": lo.cast("int"), "hi": hi.cast("int")}).where("lo <= hi")
+    return x.withColumn("as_of", F.explode(F.transform(F.sequence("lo", "hi"), lambda i: F.date_add("origin", i * step)))).drop("origin", "lo", "hi")
+
+
+def backtest(txn: DataFrame, key: str = "counterparty", horizon: int = 30, history: int = 90, step: int = 30, least: int = 3, tail: int = 10) -> DataFrame:
+    """The forecast replayed: for each cut-off (every `step` days from `history` days on) with a series by then, the balance
+    then, the expected and conservative balance `horizon` days on, the balance that came and the error in basis points.
+
+    A series' state after each of its rows (count, median gap, median of the last amounts) holds until its next row, so
+    each cut-off takes one row of a series and no history is read again. The error is null where the balance is 0.
+    """
+    days = (F.min("txn_date"), F.max("txn_date"))
+    first, last = (txn.agg(f).scalar() for f in days)
+    by = ["account_id", "direction", key]
+    w = Window.partitionBy(*by).orderBy("txn_date", "txn_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = txn.select(*by, "txn_date", "txn_id", "amount_paise").withColumns({"gap": F.datediff("txn_date", F.lag("txn_date").over(w)), "until": F.lead("txn_date").over(w), "n": F.row_number().over(w)})
+    x = x.withColumns({"g": F.percentile("gap", F.lit(0.5)).over(so_far), "m": F.percentile("amount_paise", F.lit(0.5)).over(w.rowsBetween(1 - tail, 0))}).where(F.col("n") >= least)
+    nominal = F.coalesce(*[F.when(F.col("g").between(lo, hi), d) for _, d, lo, hi in CADENCES])
+    value = F.floor(F.lit(horizon) / nominal) * F.floor("m") * F.when(F.col("direction") == "credit", 1).otherwise(-1)
+    x = x.select("txn_date", "until", "n", value.alias("value")).where("value is not null")
+    s = _over_cuts(x, "txn_date", F.coalesce("until", F.date_add(last, 1)), first, last, history, horizon, step)
+    s = s.groupBy("as_of").agg(F.sum("value").cast("long").alias("flow"), F.coalesce(F.sum(F.when(F.col("n") >= 6, F.col("value"))), F.lit(0)).cast("long").alias("sure"))
+    p = cash_position(txn).withColumn("until", F.coalesce(F.lead("txn_date").over(Window.orderBy("txn_date")), F.date_add(last, 1)))  # at most a row for each calendar day
+    base = _over_cuts(p, "txn_date", F.col("until"), first, last, history, horizon, step).select("as_of", F.col("position_paise").alias("baseline_paise"))
+    later = p.select(F.date_sub("txn_date", horizon).alias("txn_date"), F.date_sub("until", horizon).alias("until"), "position_paise")
+    later = _over_cuts(later, "txn_date", F.col("until"), first, last, history, horizon, step).select("as_of", F.col("position_paise").alias("actual_paise"))
+    expected = F.col("baseline_paise") + F.col("flow")
+    error = F.floor(F.abs(expected - F.col("actual_paise")) * 10000 / F.nullif(F.abs("actual_paise"), F.lit(0))).cast("long")
+    return s.join(base, "as_of").join(later, "as_of").select("as_of", "baseline_paise", expected.alias("expected_paise"), (F.col("baseline_paise") + F.col("sure")).alias("conservative_paise"), "actual_paise", error.alias("error_bp"))
+
+
+def backtest_accuracy(points: DataFrame) -> DataFrame:
+    """points and accuracy in basis points: 10000 less the mean error, each counted up to 10000; null below two points."""
+    return points.agg(F.count(F.lit(1)).alias("points"), F.when(F.count(F.lit(1)) >= 2, 10000 - F.floor(F.avg(F.least("error_bp", F.lit(10000))))).cast("long").alias("accuracy_bp"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import detect
 
 #: Header names by field.
 HEADERS = {
@@ -49,15 +50,26 @@ def sniff(sample: list[str]) -> str:
     return best[0]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Rows of a delimited file; the header is the first of 100 lines that names a date and an amount."""
-    head = [r[0] for r in spark.read.text(path).limit(100).collect()]
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
+    """Rows of a delimited file; the header is the first of head_lines that names a date and an amount, else ValueError.
+
+    One pass over all lines finds the widest (beyond most_columns: ValueError) and the encoding: UTF-16 if there are zero
+    bytes, ISO-8859-1 if not UTF-8. Narrower lines end in nulls.
+    """
+    line, seps = F.col("value"), [sep] if sep else list(",\t;|")
+    seen = spark.read.text(path).agg(
+        F.max(line.contains("\x00")).alias("zeros"), F.max(~F.is_valid_utf8(line)).alias("odd"),
+        *[F.max(F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))).alias(f"w{i}") for i, s in enumerate(seps)]).first()
+    how = {"encoding": "UTF-16", "multiLine": True} if seen.zeros else {"encoding": "ISO-8859-1" if seen.odd else "UTF-8"}
+    head = [r[0] or "" for r in spark.read.csv(path, sep="\x01", quote="", schema="line string", **how).limit(head_lines).collect()]
     sep = sep or sniff(head)
-    found = next(((i, m) for i, line in enumerate(head) if "date" in (m := map_headers([x.strip(' "') for x in line.split(sep)])) and {"debit", "credit", "amount"} & set(m)), None)
+    found = next(((i, m) for i, row in enumerate(head) if "date" in (m := map_headers([x.strip(' "\ufeff') for x in row.split(sep)])) and {"debit", "credit", "amount"} & set(m)), None)
     if found is None:
-        raise ValueError("no header row")
-    width = max(len(line.split(sep)) for line in head)
-    raw = spark.read.csv(path, sep=sep, header=False, schema=", ".join(f"c{i} string" for i in range(width)), mode="PERMISSIVE")
+        raise ValueError(f"no header row in the first {head_lines} lines")
+    width = 1 + seen[f"w{seps.index(sep)}"]
+    if width > most_columns:
+        raise ValueError(f"a line of {width} columns")
+    raw = spark.read.csv(path, sep=sep, header=False, schema=", ".join(f"c{i} string" for i in range(width)), mode="PERMISSIVE", **how)
     m = found[1]
     col = lambda f: F.trim(F.col(f"c{m[f]}")) if f in m else F.lit(None).cast("string")
     rows = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), *[col(f).alias(f) for f in HEADERS])
@@ -65,7 +77,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
 
 
 def read_json(spark: SparkSession, path: str, list_keys: tuple[str, ...] = ("transactions", "data", "records", "items", "entries")) -> DataFrame:
-    """Records of a JSON document: an array, or the first known list key; nested objects become dotted names."""
+    """Records of a JSON document: an array, or the first known list key; nested objects become dotted names.
+
+    Where any lone amount of a document is negative, its amounts without a sign are credits.
+    """
     df = spark.read.json(path, multiLine=True, primitivesAsString=True)
     if key := next((k for k in list_keys if k in df.columns), None):
         df = df.select(F.explode(key).alias("r")).select("r.*")
@@ -77,7 +92,10 @@ def read_json(spark: SparkSession, path: str, list_keys: tuple[str, ...] = ("tra
         elif kind.typeName() != "array":
             flat.append(name)
     m = map_headers([x.split(".")[-1] for x in flat])
-    return df.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), *[(F.col(flat[m[f]]) if f in m else F.lit(None).cast("string")).alias(f) for f in HEADERS])
+    rows = df.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), *[(F.col(flat[m[f]]) if f in m else F.lit(None).cast("string")).alias(f) for f in HEADERS])
+    signed = rows.groupBy("file").agg(F.max(F.col("amount").rlike(r"^\s*-")).alias("signed"))
+    lone = F.col("debit").isNull() & F.col("credit").isNull() & F.col("signed") & ~F.col("amount").rlike(r"^\s*-")
+    return rows.join(signed, "file").withColumn("credit", F.when(lone, F.col("amount")).otherwise(F.col("credit"))).drop("signed")
 
 
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +108,34 @@ def read_ofx(spark: SparkSession, path: str) -> DataFrame:
         F.when(amount.startswith("-"), F.substring(amount, 2, 40)).alias("debit"), F.when(~amount.startswith("-"), amount).alias("credit"), F.lit(None).cast("string").alias("balance"), amount.alias("amount"))
 
 
+def ofx_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """file, bank, account and currency of every statement of OFX files, its ledger balance in minor units with sign, and its day."""
+    block = F.regexp_extract_all("value", F.lit(r"(?s)<((?:CC)?STMTRS)>(.*?)(?=<(?:CC)?STMTRS>|</(?:CC)?STMTRS>|$)"), 2)
+    b = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.explode(block).alias("b"))
+    tag = lambda t, c="b": F.nullif(F.trim(F.regexp_extract(c, rf"<{t}>([^<\r\n]*)", 1)), F.lit(""))
+    b = b.withColumn("held", F.regexp_extract("b", r"(?s)<LEDGERBAL>(.*?)(?=</LEDGERBAL>|<AVAILBAL>|$)", 1))
+    value, day = F.expr("try_cast(regexp_extract(held, '<BALAMT>([^<\\r\\n]*)', 1) AS decimal(24,6))"), tag("DTASOF", "held")
+    return b.select("file", tag("BANKID").alias("bank"), tag("ACCTID").alias("account"), tag("CURDEF").alias("currency"), F.round(value * 100).cast("long").alias("balance_paise"),
+                    F.try_to_timestamp(F.substring(day, 1, 8), F.lit("yyyyMMdd")).cast("date").alias("balance_date"))
+
+
+#: Balance codes of CAMT statements.
+OPENING_CODES, CLOSING_CODES = ("OPBD", "PRCD"), ("CLBD",)
+
+
+def camt_statements(spark: SparkSession, path: str) -> DataFrame:
+    """file, masked account, currency, declared period and reported balances (minor units, overdrawn ones negative) of CAMT statements."""
+    schema = ("Acct struct<Id:struct<IBAN:string,Othr:struct<Id:string>>,Ccy:string>, FrToDt struct<FrDtTm:string,ToDtTm:string,FrDt:string,ToDt:string>, "
+              "Bal array<struct<Tp:struct<CdOrPrtry:struct<Cd:string>>,Amt:struct<_VALUE:string,_Ccy:string>,CdtDbtInd:string>>")
+    s = spark.read.format("xml").option("rowTag", "Stmt").schema(schema).load(path)
+    paise = lambda b: F.round(b["Amt"]["_VALUE"].try_cast("decimal(24,6)") * 100).cast("long") * F.when(b["CdtDbtInd"] == "DBIT", -1).otherwise(1)
+    first = lambda codes: F.get(F.transform(F.filter("Bal", lambda b: F.upper(b["Tp"]["CdOrPrtry"]["Cd"]).isin(*codes) & paise(b).isNotNull()), paise), 0)
+    begin, end = (F.substring(F.coalesce(f"FrToDt.{x}DtTm", f"FrToDt.{x}Dt"), 1, 10).try_cast("date") for x in ("Fr", "To"))
+    both = begin.isNotNull() & end.isNotNull()
+    return s.select(F.input_file_name().alias("file"), text.mask(F.coalesce("Acct.Id.IBAN", "Acct.Id.Othr.Id")).alias("account"), F.upper("Acct.Ccy").alias("currency"),
+                    F.when(both, begin).alias("period_start"), F.when(both, end).alias("period_end"), first(OPENING_CODES).alias("opening_paise"), first(CLOSING_CODES).alias("closing_paise"))
+
+
 def read_camt(spark: SparkSession, path: str) -> DataFrame:
     """Entries of CAMT.053 files; an entry is split to its details only if more than one of them has an amount."""
     schema = ("Amt struct<_VALUE:string,_Ccy:string>, CdtDbtInd string, BookgDt struct<Dt:string>, AddtlNtryInf string, "
@@ -107,8 +153,15 @@ READERS = {"csv": read_delimited, "tsv": read_delimited, "txt": read_delimited,
 
 
 def read_statement(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Typed rows of a statement file by its kind or extension."""
-    kind = kind or path.rsplit(".", 1)[-1].lower()
+    """Typed rows of statement files of one kind; without kind their bytes tell it, whatever their names say.
+
+    ValueError if no reader fits, kinds are mixed or a file is too long to be looked at whole: then kind must be given.
+    """
+    if kind is None:
+        kinds = [r[0] for r in detect.detect(spark, path).select("format").distinct().collect()]
+        if len(kinds) != 1:
+            raise ValueError(f"kinds of {path}: {sorted(kinds)}")
+        kind = kinds[0]
     if kind not in READERS:
         raise ValueError(f"no reader for {kind}")
     return typed(READERS[kind](spark, path))

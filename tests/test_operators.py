@@ -1,14 +1,16 @@
 """Small cases for operators, readers and streams that SQL does not cover."""
 
 import datetime as dt
+import io
 import itertools
 import random
+import zipfile
 
 import pytest
 
 from ledgerloom.functions import text
 from ledgerloom.operators import entities, fx, matching
-from ledgerloom.sources import statements
+from ledgerloom.sources import detect, statements
 from ledgerloom.streaming import metering
 from pyspark.sql import functions as F
 
@@ -139,6 +141,63 @@ def test_readers(spark, tmp_path):
     assert [(str(r.txn_date), r.direction, r.amount_paise, r.narration) for r in got] == [("2024-04-01", "debit", 725, "shop"), ("2024-04-02", "credit", 300, "gift")]
 
 
+def test_delimited_encodings_and_ragged_lines(spark, tmp_path):
+    lines = "Date;Narration;Amount\n01/02/2024;caf\u00e9;-5.00\n"
+    (tmp_path / "w.csv").write_bytes(lines.encode("cp1252"))
+    (tmp_path / "u.csv").write_bytes(lines.encode("utf-16"))
+    for name in ("w.csv", "u.csv"):
+        r = statements.read_statement(spark, str(tmp_path / name), "csv").collect()
+        assert [(x.narration, x.direction, x.amount_paise) for x in r] == [("caf\u00e9", "debit", 500)]
+    rows = ["Date,Narration,Amount"] + ["01/02/2024,a,1"] * 150 + ["02/02/2024,b,2,x,y,z"]
+    (tmp_path / "r.csv").write_text("\n".join(rows))
+    assert statements.read_delimited(spark, str(tmp_path / "r.csv")).count() == 151
+    (tmp_path / "none.csv").write_text("a,b,c\n1,2,3\n")
+    with pytest.raises(ValueError, match="no header"):
+        statements.read_delimited(spark, str(tmp_path / "none.csv"))
+
+
+def test_json_signs_are_decided_by_document(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"date": "2024-03-01", "amount": "-5"}, {"date": "2024-03-02", "amount": "7"}]')
+    (tmp_path / "b.json").write_text('[{"date": "2024-03-03", "amount": "9"}]')
+    got = {str(r.txn_date): r.direction for r in statements.read_statement(spark, str(tmp_path)).collect()}
+    assert got == {"2024-03-01": "debit", "2024-03-02": "credit", "2024-03-03": None}
+
+
+def test_statement_headers(spark, tmp_path):
+    (tmp_path / "a.ofx").write_text("<OFX><STMTRS><CURDEF>INR<BANKID>B1<ACCTID>123<LEDGERBAL><BALAMT>-12.50<DTASOF>20240430</LEDGERBAL></STMTRS>"
+                                    "<CCSTMTRS><CURDEF>USD<ACCTID>9<LEDGERBAL><BALAMT>x</LEDGERBAL></CCSTMTRS></OFX>")
+    got = statements.ofx_accounts(spark, str(tmp_path / "a.ofx")).orderBy("account").collect()
+    assert [(r.bank, r.account, r.currency, r.balance_paise, str(r.balance_date)) for r in got] == [("B1", "123", "INR", -1250, "2024-04-30"), (None, "9", "USD", None, "None")]
+    bal = "<Bal><Tp><CdOrPrtry><Cd>{}</Cd></CdOrPrtry></Tp><Amt Ccy='EUR'>{}</Amt><CdtDbtInd>{}</CdtDbtInd></Bal>"
+    (tmp_path / "b.xml").write_text("<Document><BkToCstmrStmt><Stmt><Acct><Id><IBAN>DE123456</IBAN></Id><Ccy>eur</Ccy></Acct><FrToDt><FrDt>2024-01-01</FrDt><ToDt>2024-01-31</ToDt></FrToDt>"
+                                    + bal.format("OPBD", "10.00", "DBIT") + bal.format("CLBD", "2.5", "CRDT") + "</Stmt></BkToCstmrStmt></Document>")
+    r = statements.camt_statements(spark, str(tmp_path / "b.xml")).first()
+    assert (r.account, r.currency, str(r.period_start), str(r.period_end), r.opening_paise, r.closing_paise) == ("****3456", "EUR", "2024-01-01", "2024-01-31", -1000, 250)
+
+
+def test_kinds_by_bytes_and_archives(spark, tmp_path):
+    def packed(names):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for name in names:
+                z.writestr(name, "x" * 50)
+        return held.getvalue()
+
+    files = {"a.csv": b"%PDF-1.4", "b.txt": b"a,b,c\n1,2,3\n", "c.tsv": b"a\tb\tc\n1\t2\t3", "d.dat": b"[1]", "e.qfx": b"<OFX>", "f.xml": b"<Document xmlns='urn:camt.053.001'/>", "g.xml": b"<html/>",
+             "h.zip": packed(["xl/workbook.xml"]), "i.zip": packed(["d/s.csv", "__MACOSX/t.csv", "note.doc"]), "j.png": b"\x89PNG\r\n", "k.txt": b"plain words", "l.csv": b""}
+    (tmp_path / "kinds").mkdir()
+    for name, data in files.items():
+        (tmp_path / "kinds" / name).write_bytes(data)
+    got = {r.file.rsplit("/", 1)[1]: (r.format, r.mismatch) for r in detect.detect(spark, str(tmp_path / "kinds")).collect()}
+    assert got == {"a.csv": ("pdf", True), "b.txt": ("csv", False), "c.tsv": ("tsv", False), "d.dat": ("json", False), "e.qfx": ("qfx", False), "f.xml": ("camt", False), "g.xml": ("unknown", False),
+                   "h.zip": ("xlsx", True), "i.zip": ("zip", False), "j.png": ("unknown", False), "k.txt": ("txt", False)}
+    assert {r.format for r in detect.detect(spark, str(tmp_path / "kinds" / "b.txt"), most_bytes=3).collect()} == {"too_long"}
+    archives = str(tmp_path / "kinds" / "[ib].*")
+    assert {(r.archive[-5:], r.member, bytes(r.content or b""), r.problem) for r in detect.expand_zip(spark, archives).collect()} == {
+        ("i.zip", "d/s.csv", b"x" * 50, None), ("b.txt", None, b"", "not a readable archive")}
+    assert {r.problem for r in detect.expand_zip(spark, archives, most_member_bytes=10).collect()} == {"too long", "not a readable archive"}
+
+
 def test_upsert_keeps_status(spark):
     old = spark.createDataFrame([(1, "a", "done"), (2, "b", "open")], "id long, v string, status string")
     new = spark.createDataFrame([(1, "z", "open"), (3, "c", "open")], "id long, v string, status string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, licenses, packing, sharding, simhash, substrings, toxicity, warc
+from . import ann, decontam, divergence, langid, licenses, packing, pivots, sharding, simhash, substrings, toxicity, warc, whitening
 from .common import fold, ship_package, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,18 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
+def op13_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +87,7 @@ def _ready(f):
 
 
 def queries() -> dict:
-    own = [op1_minimax_sharding, op2_language_id, op3_warc_zip, op4_wu_manber, op5_toxicity_cnn, op6_license_rules, op7_simhash, op8_suffix_trees, op9_shortest_pack_first, op10_multi_index_hashing, pipeline]
+    own = [op1_minimax_sharding, op2_language_id, op3_warc_zip, op4_wu_manber, op5_toxicity_cnn, op6_license_rules, op7_simhash, op8_suffix_trees, op9_shortest_pack_first, op10_multi_index_hashing, op11_subspace_whitening, op12_source_divergence, op13_pivot_permutations, pipeline]
     return {f.__name__: _ready(f) for f in own}
 
 
@@ -120,6 +132,27 @@ select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n
 from d left join kept using (rid)
 """
 
+OP12_SQL = """
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+g as (select distinct lang, source from d),
+o as (select rid, lang, source, unnest(w) as t from d),
+c as (select lang, source, t, count(*) as c, count(distinct rid) as r from o group by all),
+k as (select lang, t, sum(c) as c from c group by all having sum(r) >= 3),
+v as (select lang, count(*) as v, sum(c) as n from k group by lang),
+n as (select g.lang, g.source, coalesce(sum(c.c), 0) as n from g left join (select c.* from c join k using (lang, t)) c using (lang, source) group by all),
+p as (select n.lang, n.source, k.t, coalesce(c.c, 0)::hugeint as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (n.n + v.v)::hugeint as p
+  from n join k using (lang) join v using (lang) left join c on c.lang = n.lang and c.source = n.source and c.t = k.t),
+q as (select k.lang, k.t, 1 + (1000000000::hugeint * (k.c::hugeint + 1)) // (v.n + v.v)::hugeint as q from k join v using (lang)),
+pairs as (select a.lang, a.source, b.source as item, coalesce(f, 0) as value from g a join g b on a.lang = b.lang and a.source != b.source
+  left join (select x.lang, x.source, y.source as o, sum(((x.p - y.p) * (x.p - y.p)) // y.p) as f from p x join p y on x.lang = y.lang and x.t = y.t and x.source != y.source group by all) f
+  on f.lang = a.lang and f.source = a.source and f.o = b.source),
+terms as (select p.lang, p.source, p.t as item, ((p - q) * (p - q)) // q as value from p join q using (lang, t) where c > 0 and p > q),
+r as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_zip": OP3_SQL, "op4_wu_manber": OP4_SQL, "op8_suffix_trees": OP8_SQL}
+    return {"op3_warc_zip": OP3_SQL, "op4_wu_manber": OP4_SQL, "op8_suffix_trees": OP8_SQL, "op12_source_divergence": OP12_SQL}

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms.
+BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SCALE = 1_000_000_000
 
@@ -37,10 +38,10 @@ def gain(p: Column, q: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows with the term)."""
-    rows = docs.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    rows = docs.select("lang", "source", F.split(ascii_lower(F.col("text")), BREAK).alias("terms"))
     # all occurrences, then the row's distinct terms: one pass over the text, one aggregation
     both = F.explode(F.array(F.struct(F.lit(0).alias("once"), F.col("terms")), F.struct(F.lit(1).alias("once"), F.array_distinct("terms").alias("terms"))))
-    rows = rows.select("lang", "source", both.alias("x")).select("lang", "source", "x.once", F.explode("x.terms").alias("term"))
+    rows = rows.select("lang", "source", both.alias("x")).select("lang", "source", "x.once", F.explode("x.terms").alias("term")).where("term != ''")
     return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").cast("long").alias("docs"))
 
 

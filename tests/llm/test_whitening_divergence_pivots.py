@@ -75,7 +75,7 @@ TEXTS = [
 
 
 def brute_divergence(rows, least, most):
-    terms = [(lang or "", source or "", [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in re.findall(divergence.TERM, text or "")]) for _, text, lang, source in rows]
+    terms = [(lang or "", source or "", [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]) for _, text, lang, source in rows]
     out = []
     for lang in {t[0] for t in terms}:
         of = [t for t in terms if t[0] == lang]

@@ -40,8 +40,11 @@ def norm_id(c: Column) -> Column:
 
 
 def strong_ids(c: Column, amount_paise: Column) -> Column:
-    """Tokens that can identify a payment: six digits and more, or 10 to 22 letters and digits with six digits; not the row's own amount."""
+    """Tokens that can identify a payment: six digits and more, or 10 to 22 letters and digits with six digits; not the row's own amount
+    and not a day of 2000 to 2099 in eight digits (six are a cheque number more often than a day)."""
+    is_day = lambda t: F.try_to_timestamp(t, F.lit("ddMMyyyy")).isNotNull() & F.substring(t, 5, 2).eqNullSafe("20") | F.try_to_timestamp(t, F.lit("yyyyMMdd")).isNotNull() & t.startswith("20")
     tokens = F.filter(F.split(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+"), lambda t: t.rlike("^[0-9]{6,}$") | (t.rlike("^[A-Z0-9]{10,22}$") & (F.length(F.regexp_replace(t, "[^0-9]", "")) >= 6)))
+    tokens = F.filter(tokens, lambda t: ~(t.rlike("^[0-9]{8}$") & is_day(t)))
     ids = F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+", "")).otherwise(t))
     return F.sort_array(F.array_distinct(F.filter(ids, lambda t: (t != amount_paise.cast("string")) & (F.length(t) >= 6))))
 

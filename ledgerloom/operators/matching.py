@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import stored
+from ..functions import cells
+from ..plans.scratch import discard, ship_package, stored
 
 #: Windows of days and bounds of the reconciliation passes.
 NEAR_DAYS, CHEQUE_DAYS, SUGGEST_DAYS, MOST_PARTS, MOST_CANDIDATES, MOST_STEPS = 7, 90, 30, 5, 30, 50_000
@@ -24,6 +25,13 @@ RETURN_WORDS = ["RETURN", "RTN", "DISHONOUR", "CHQ RET", "INSUFF", "BOUNCE"]
 CHARGE_WORDS = ["CHARGES", "FEE", " GST", "GST ", "TAX", " CHG", "CHRG", "LEVY", "PENALTY", "COMMISSION", "MAINT", "SMS CHG", "SMSCHG", "DEMAT", "FOLIO", "LOCKER"]
 STANDING_WORDS = ["EMI", "LOAN", "ACH", "NACH", "ECS", "SI "]
 INTEREST_WORDS = ["INT.PD", "INTEREST", "CR INT", "INT.CR", "1NT.CR", "INT CR"]
+#: Words that say nothing about a party.
+STOP_WORDS = """
+ACCOUNT AND APR APRIL AUG AUGUST BANK BY CASH CHARGE CHARGES CHEQUE CHG CHQ CLEARING CORP CREDIT DEBIT DEC DECEMBER DEPOSIT
+DISBURSEMENT EBANK FEB FEBRUARY FEE FOR FROM FY IMPS INF INWARD JAN JANUARY JUL JULY JUN JUNE LIMITED LTD MAR MARCH MAY NEFT NO
+NOV NOVEMBER OCT OCTOBER ONLINE OUTWARD OWN PAID PAYMENT PAYMENTS PRIVATE PVT RECEIPT RECEIVED REF RTGS SELF SEP SEPT SEPTEMBER
+THE TO TRANSFER TRF TXN UPI WITH WITHDRAWAL
+""".split()
 CREDIT_RAILS = ["NEFT", "UPI", "IMPS", "RTGS"]
 
 
@@ -37,23 +45,29 @@ def day_band(a: DataFrame, a_day: str, b: DataFrame, b_day: str, key: list[str],
 def mutual_best(cand: DataFrame, left: str, right: str, left_order: list, right_order: list, most_rounds: int = 200) -> DataFrame:
     """One-to-one pairs of cand: in rounds, those that are each other's first choice among what is left.
 
-    A left row prefers by left_order, a right row by right_order; after that both by one hash of the pair, so
-    that crowds of equal candidates settle in few rounds. Where both follow one order this is the greedy
+    A left row prefers by left_order, a right row by right_order (least first); after that both by one hash of the
+    pair, so that crowds of equal candidates settle in few rounds. Where both follow one order this is the greedy
     choice in that order; where right rows follow an order of the left ones it is each left row, in that order,
-    taking the best row still free.
+    taking the best row still free. First choices are least structs, of which each task sends one a row.
     """
-    tie = F.xxhash64(left, right)
-    cand = stored(cand.dropDuplicates([left, right]).withColumn("tie_", tie), "candidates")
-    out = None
+    cand, out = stored(cand.dropDuplicates([left, right]).withColumn("tie_", F.xxhash64(left, right)), "candidates"), None
+    n, columns = cand.count(), [c for c in cand.columns if c not in (left, right)]
     for _ in range(most_rounds):
-        l = Window.partitionBy(left).orderBy(*left_order, "tie_", right)  # noqa: E741
-        r = Window.partitionBy(right).orderBy(*right_order, "tie_", left)
-        won = stored(cand.withColumn("l_", F.row_number().over(l)).withColumn("r_", F.row_number().over(r)).where("l_ = 1 and r_ = 1").drop("l_", "r_"), "chosen")
+        l = cand.groupBy(left).agg(F.min_by(F.struct(right, *columns), F.struct(*left_order, "tie_", right)).alias("x_")).select(left, "x_.*")  # noqa: E741
+        r = cand.groupBy(right).agg(F.min_by(left, F.struct(*right_order, "tie_", left)).alias(left))
+        won = stored(l.join(r, [left, right]).select(*cand.columns), "chosen")
         out = won if out is None else out.unionByName(won)
-        cand = stored(cand.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"), "candidates")
-        if cand.isEmpty():
-            return out.drop("tie_")
-    raise RuntimeError("choices did not settle")
+        if won.count() == n:  # all that was left is one-to-one
+            break
+        rest = stored(cand.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"), "candidates")
+        discard(cand)
+        cand, n = rest, rest.count()
+        if not n:
+            break
+    else:
+        raise RuntimeError("choices did not settle")
+    discard(cand)
+    return out.drop("tie_")
 
 
 def has_any(text: Column, words: list[str]) -> Column:
@@ -62,14 +76,12 @@ def has_any(text: Column, words: list[str]) -> Column:
 
 def tier_one(led: DataFrame, days: int = 3) -> DataFrame:
     """Pairs of one account with equal reference, direction and amount, a few days apart, balances not in conflict."""
-    a, b = led.where("reference_no is not null").alias("a"), led.where("reference_no is not null").alias("b")
-    on = ["account_id", "reference_no", "direction", "amount_paise"]
-    c = lambda s: F.col(s)
-    pairs = a.join(b, on).where((c("a.txn_id") < c("b.txn_id")) & (F.abs(F.datediff(c("a.txn_date"), c("b.txn_date"))) <= days))
-    pairs = pairs.where(c("a.balance_paise").isNull() | c("b.balance_paise").isNull() | (c("a.balance_paise") == c("b.balance_paise")))
+    on, c = ["account_id", "reference_no", "direction", "amount_paise"], F.col
+    side = lambda p: led.where("reference_no is not null").select(*on, *[c(n).alias(f"{p}_{n}") for n in ("txn_id", "txn_date", "balance_paise", "source_type", "row_index")])
+    pairs = day_band(side("a"), "a_txn_date", side("b"), "b_txn_date", on, days).where("a_txn_id < b_txn_id and not coalesce(a_balance_paise <> b_balance_paise, false)")
     # a statement row outlives an alert; of equals the lower row index, then the lower id
-    first = F.struct((c("a.source_type") != "statement").cast("int"), c("a.row_index"), c("a.txn_id")) <= F.struct((c("b.source_type") != "statement").cast("int"), c("b.row_index"), c("b.txn_id"))
-    return pairs.select(F.when(first, c("a.txn_id")).otherwise(c("b.txn_id")).alias("kept_id"), F.when(first, c("b.txn_id")).otherwise(c("a.txn_id")).alias("duplicate_id"))
+    first = F.struct((c("a_source_type") != "statement").cast("int"), c("a_row_index"), c("a_txn_id")) <= F.struct((c("b_source_type") != "statement").cast("int"), c("b_row_index"), c("b_txn_id"))
+    return pairs.select(F.when(first, c("a_txn_id")).otherwise(c("b_txn_id")).alias("kept_id"), F.when(first, c("b_txn_id")).otherwise(c("a_txn_id")).alias("duplicate_id"))
 
 
 def tokens(c: str):
@@ -101,57 +113,85 @@ def _ids(c: str) -> Column:
     return F.when((F.length(x) >= 3) & ~x.isin("NONE", "NAN"), x)
 
 
+def _with_ids(rows: DataFrame, number: str, keep: list[str]) -> DataFrame:
+    """A row for each id: its number, and the strong ids of its narration and voucher number where it has such columns."""
+    told = F.concat_ws(" ", *[c for c in ("narration", "voucher_no") if c in rows.columns]) if {"narration", "voucher_no"} & set(rows.columns) else F.lit("")
+    ids = F.array_distinct(F.array_compact(F.concat(F.array(_ids(number)), cells.strong_ids(told, F.col("amount_paise")))))
+    return rows.select(*keep, F.explode(ids).alias("ref"))
+
+
+def without(cand: DataFrame, rejected: DataFrame | None) -> DataFrame:
+    """Candidates without the pairs of rejected(book_id, txn_id)."""
+    return cand if rejected is None else cand.join(rejected.select("book_id", "txn_id").distinct(), ["book_id", "txn_id"], "left_anti")
+
+
 def _by_id(book: DataFrame, bank: DataFrame, days: int) -> DataFrame:
-    b = book.withColumn("ref", _ids("instrument_no")).where("ref is not null").select("book_id", "account_id", "direction", "ref", "entry_date", F.col("amount_paise").alias("booked"))
-    t = bank.withColumn("ref", _ids("reference_no")).where("ref is not null").select("txn_id", "account_id", "direction", "ref", "txn_date", "amount_paise")
-    return b.join(t, ["account_id", "direction", "ref"]).withColumn("gap", F.abs(F.datediff("entry_date", "txn_date"))).where(F.col("gap") <= days)
+    """Pairs of one account and side with an id in common, at most `days` apart; bank rows in buckets of days, as an id may be a frequent word."""
+    key = ["account_id", "direction"]
+    b = _with_ids(book.withColumn("booked", F.col("amount_paise")), "instrument_no", ["book_id", *key, "entry_date", "booked"])
+    t = _with_ids(bank, "reference_no", ["txn_id", *key, "txn_date", "amount_paise"])
+    near = day_band(b, "entry_date", t, "txn_date", [*key, "ref"], days)
+    return near.drop("ref").distinct().withColumn("gap", F.abs(F.datediff("entry_date", "txn_date")))
 
 
-def shared_id(book: DataFrame, bank: DataFrame, days: int = CHEQUE_DAYS) -> DataFrame:
-    """Pass A: pairs of equal account, direction, amount and cheque number; entries by day take the nearest row left."""
-    cand = _by_id(book, bank, days).where("booked = amount_paise")
+def shared_id(book: DataFrame, bank: DataFrame, days: int = CHEQUE_DAYS, rejected: DataFrame | None = None) -> DataFrame:
+    """Pass A: pairs of equal account, direction and amount with a number in common; entries by day take the nearest row left."""
+    cand = without(_by_id(book, bank, days).where("booked = amount_paise"), rejected)
     return mutual_best(cand, "book_id", "txn_id", ["gap"], ["entry_date", "book_id"]).select("book_id", "txn_id")
 
 
-def other_amount_pairs(book: DataFrame, bank: DataFrame, days: int = CHEQUE_DAYS) -> DataFrame:
+def other_amount_pairs(book: DataFrame, bank: DataFrame, days: int = CHEQUE_DAYS, rejected: DataFrame | None = None) -> DataFrame:
     """Pass D: one-to-one pairs of one number but different amounts: nearest day, then amount."""
-    cand = _by_id(book, bank, days).where("booked <> amount_paise").withColumn("off", F.abs(F.col("booked") - F.col("amount_paise")))
+    cand = without(_by_id(book, bank, days).where("booked <> amount_paise"), rejected).withColumn("off", F.abs(F.col("booked") - F.col("amount_paise")))
     return mutual_best(cand, "book_id", "txn_id", ["gap", "off"], ["entry_date", "book_id"]).select("book_id", "txn_id")
 
 
-def same_day(book: DataFrame, bank: DataFrame) -> DataFrame:
-    """k-th with k-th of equal account, direction, amount and day: exact by ranks on both sides."""
+def same_day(book: DataFrame, bank: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Pass B: k-th with k-th of equal account, direction, amount and day: exact by ranks on both sides.
+
+    Groups in which a pair is rejected take other pairs of the group instead, by rounds of first choices.
+    """
     key = ["account_id", "direction", "amount_paise", "day"]
-    b = book.withColumn("day", F.col("entry_date")).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("book_id")))
-    t = bank.withColumn("day", F.col("txn_date")).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("txn_id")))
-    return b.join(t, [*key, "k"]).select("book_id", "txn_id")
+    b, t = book.withColumn("day", F.col("entry_date")), bank.withColumn("day", F.col("txn_date"))
+    more = None
+    if rejected is not None:
+        barred = rejected.select("book_id", "txn_id").distinct()
+        odd = stored(b.select("book_id", *key).join(barred, "book_id").join(t.select("txn_id", *key), ["txn_id", *key]).select(*key).distinct(), "struck")
+        pairs = b.join(odd, key, "left_semi").select("book_id", *key).join(t.join(odd, key, "left_semi").select("txn_id", *key), key)
+        more = mutual_best(without(pairs.select("book_id", "txn_id"), barred), "book_id", "txn_id", [], [])
+        b, t = b.join(odd, key, "left_anti"), t.join(odd, key, "left_anti")
+    b = b.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("book_id")))
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("txn_id")))
+    got = b.join(t, [*key, "k"]).select("book_id", "txn_id")
+    return got if more is None else got.unionByName(more.select("book_id", "txn_id"))
 
 
 _SAME = ["account_id", "direction", "amount_paise"]
 
 
-def only_candidates(book: DataFrame, bank: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
+def only_candidates(book: DataFrame, bank: DataFrame, days: int = NEAR_DAYS, rejected: DataFrame | None = None) -> DataFrame:
     """Pass C: pairs within `days` of which each is the other's only candidate.
 
     Neither is in any other candidate pair, so taking them makes no new one: one sweep is the fixpoint.
     """
     c = day_band(book.select("book_id", *_SAME, "entry_date"), "entry_date", bank.select("txn_id", *_SAME, "txn_date"), "txn_date", _SAME, days)
+    c = without(c, rejected)
     x = c.withColumn("x", F.count(F.lit(1)).over(Window.partitionBy("book_id"))).withColumn("y", F.count(F.lit(1)).over(Window.partitionBy("txn_id")))
     return x.where("x = 1 and y = 1").select("book_id", "txn_id")
 
 
 def words(c: str) -> Column:
-    """Words of four letters and more."""
-    return F.array_distinct(F.filter(F.split(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]+"), lambda w: F.length(w) >= 4))
+    """Words of four letters and more that may name a party."""
+    return F.array_distinct(F.filter(F.split(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]+"), lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS)))
 
 
-def suggestions(book: DataFrame, bank: DataFrame, days: int = SUGGEST_DAYS) -> DataFrame:
+def suggestions(book: DataFrame, bank: DataFrame, days: int = SUGGEST_DAYS, rejected: DataFrame | None = None) -> DataFrame:
     """Pass E: equal amounts up to `days` apart, best pairs first: most words in common, then nearest; without common words within a week only."""
     b = book.select("book_id", *_SAME, "entry_date", words("party_name").alias("b_words"))
     t = bank.select("txn_id", *_SAME, "txn_date", words("counterparty").alias("t_words"))
     cand = day_band(b, "entry_date", t, "txn_date", _SAME, days).withColumns({"gap": F.abs(F.datediff("entry_date", "txn_date")), "common": F.size(F.array_intersect("b_words", "t_words"))})
-    cand = cand.where((F.col("common") > 0) | (F.col("gap") <= NEAR_DAYS)).drop("b_words", "t_words")
-    order = [F.desc("common"), "gap"]
+    cand = without(cand.where((F.col("common") > 0) | (F.col("gap") <= NEAR_DAYS)).drop("b_words", "t_words"), rejected)
+    order = [-F.col("common"), "gap"]
     return mutual_best(cand, "book_id", "txn_id", order, order).select("book_id", "txn_id")
 
 
@@ -177,57 +217,76 @@ def parts_of(target: int, pool: list[tuple], most_steps: int = MOST_STEPS) -> li
     return None
 
 
-def group_matches(targets: DataFrame, target: str, target_day: str, pool: DataFrame, part: str, part_day: str, days: int = NEAR_DAYS, most_rounds: int = 50) -> DataFrame:
+def deal_groups(whole: int, pool: list[tuple], rank: int) -> list | None:
+    """The group that a target takes after `rank` - 1 targets of the same sum and pool took theirs."""
+    for _ in range(rank - 1):
+        taken = parts_of(whole, pool)
+        if taken is None:
+            return None
+        pool = [x for x in pool if x[0] not in taken]
+    return parts_of(whole, pool)
+
+
+def group_matches(targets: DataFrame, target: str, target_day: str, pool: DataFrame, part: str, part_day: str, days: int = NEAR_DAYS, rejected: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
     """Pass F, one side: target, part: rows of pool that sum to a row of targets, each used once; larger targets first.
 
-    A target looks at its MOST_CANDIDATES nearest smaller rows. Groups that want one part go by amount; the
-    losers look again among what is left.
+    A target looks at its MOST_CANDIDATES nearest smaller rows. Targets of one sum that look at the same rows deal
+    their groups among them, by id; groups that still want one part go by amount, and the losers look again among
+    what is left, until none is. Pairs of rejected(target, part) are no candidates. RuntimeError beyond most_rounds.
     """
+    ship_package(targets.sparkSession)
     key, taken = ["account_id", "direction"], None
     left = targets.select(target, *key, target_day, F.col("amount_paise").alias("whole"))
 
     def search(batches):
         for b in batches:
-            got = [parts_of(w, [(p["id"], p["amount"]) for p in ps]) for w, ps in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            keep = [i for i, g in enumerate(got) if g]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array([got[i] for i in keep], pa.list_(pa.int64()))], [target, "whole", "parts"])
+            got = [deal_groups(w, [(p["id"], p["amount"]) for p in ps], r) for w, ps, r in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(got, pa.list_(pa.int64()))], [target, "whole", "rank", "parts"])
 
     for _ in range(most_rounds):
         small = pool.select(part, *key, part_day, "amount_paise")
         near = day_band(left, target_day, small, part_day, key, days).where("amount_paise < whole").withColumn("gap", F.abs(F.datediff(target_day, part_day)))
+        if rejected is not None:
+            near = near.join(rejected.select(target, part).distinct(), [target, part], "left_anti")
         near = near.withColumn("k", F.row_number().over(Window.partitionBy(target).orderBy("gap", part))).where(F.col("k") <= MOST_CANDIDATES)
         pools = near.groupBy(target, "whole").agg(F.sort_array(F.collect_list(F.struct("k", F.col(part).alias("id"), F.col("amount_paise").alias("amount")))).alias("pool")).where(F.size("pool") > 1)
-        found = stored(pools.mapInArrow(search, f"{target} long, whole long, parts array<bigint>"), "groups")
+        # a pool has no more than so many groups of two: of a crowd, the others wait for the next round
+        pools = pools.withColumn("rank", F.row_number().over(Window.partitionBy("whole", "pool").orderBy(target)))
+        pools = stored(pools.withColumn("waits", F.col("rank") > MOST_CANDIDATES // 2), "pools")
+        tried = stored(pools.where("not waits").drop("waits").mapInArrow(search, f"{target} long, whole long, rank int, parts array<bigint>"), "groups")
+        found = tried.where("parts is not null")
         each = found.select(target, "whole", F.explode("parts").alias(part), F.size("parts").alias("n"))
-        first = each.withColumn("r", F.row_number().over(Window.partitionBy(part).orderBy(F.desc("whole"), target))).where("r = 1")
+        first = each.groupBy(part).agg(F.min_by(F.struct(target, "n"), F.struct(-F.col("whole"), target)).alias("x")).select(part, "x.*")
         whole = first.groupBy(target).agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where("m = n").select(target)
         won = stored(each.join(whole, target).select(target, part), "groups-chosen")
         taken = won if taken is None else taken.unionByName(won)
-        lost = found.join(won.select(target).distinct(), target, "left_anti")
-        if lost.isEmpty():
+        # who lost a part, came after another target or waits looks again; a target that is first and finds nothing is done
+        again = tried.where("parts is not null or rank > 1").select(target).unionByName(pools.where("waits").select(target)).join(won.select(target).distinct(), target, "left_anti")
+        rest = stored(left.join(again, target, "left_semi"), "targets")
+        fewer = stored(small.join(won.select(part), part, "left_anti"), "pool")
+        discard(pools, tried)
+        left, pool = rest, fewer
+        if left.isEmpty():
             return taken
-        left, pool = stored(left.join(lost.select(target), target, "left_semi"), "targets"), stored(small.join(won.select(part), part, "left_anti"), "pool")
-    return taken
+    raise RuntimeError("groups did not settle")
 
 
 def reconcile(book: DataFrame, bank: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Passes A B C D F E in order, each over what the former left: book_id, txn_id, method, one row a pair of a match.
 
-    Pairs in rejected(book_id, txn_id) never match again; a group with such a pair is dropped whole.
+    Pairs in rejected(book_id, txn_id) are no candidates of any pass, so that their rows can match others.
     """
     book, bank, out = stored(book, "book"), stored(bank, "bank"), None
+    rejected = rejected if rejected is None else stored(rejected.select("book_id", "txn_id").distinct(), "rejected")
     passes = [
         ("shared_id", shared_id), ("same_day", same_day), ("only_candidate", only_candidates), ("other_amount", other_amount_pairs),
-        ("one_bank_row", lambda b, t: group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date")), ("one_entry", lambda b, t: group_matches(b, "book_id", "entry_date", t, "txn_id", "txn_date")),
+        ("one_bank_row", lambda b, t, rejected: group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date", rejected=rejected)),
+        ("one_entry", lambda b, t, rejected: group_matches(b, "book_id", "entry_date", t, "txn_id", "txn_date", rejected=rejected)),
         ("suggestion", suggestions),
     ]
     for method, f in passes:
-        got = f(book, bank).select("book_id", "txn_id", F.lit(method).alias("method"))
-        if rejected is not None:
-            one = "txn_id" if method == "one_bank_row" else "book_id"
-            got = got.join(got.join(rejected, ["book_id", "txn_id"]).select(one).distinct(), one, "left_anti")
-        got = stored(got, f"pass-{method}")
-        out = got.select("book_id", "txn_id", "method") if out is None else out.unionByName(got.select("book_id", "txn_id", "method"))
+        got = stored(f(book, bank, rejected=rejected).select("book_id", "txn_id", F.lit(method).alias("method")), f"pass-{method}")
+        out = got if out is None else out.unionByName(got)
         book, bank = book.join(got.select("book_id").distinct(), "book_id", "left_anti"), bank.join(got.select("txn_id").distinct(), "txn_id", "left_anti")
     return out
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text
+from ..plans.scratch import ship_package
 
 
 def _jaro_winkler(a: str, b: str) -> float:
@@ -30,11 +31,16 @@ def _jaro_winkler(a: str, b: str) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler: a common prefix of up to 4 counts where the base is at least 0.7; null for nulls. No built-in has it."""
+def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def jaro_winkler(a: Column | str, b: Column | str) -> Column:
+    """Jaro-Winkler: a common prefix of up to 4 counts where the base is at least 0.7; null for nulls. No built-in has it."""
+    ship_package(SparkSession.active())
+    return _scores(a, b)
+
+
 def trigrams(c: Column) -> Column:
     """The different three-character runs of the upper-cased text's letters and digits."""
     s = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")

@@ -1,13 +1,32 @@
-"""Tables that a loop writes to the shared folder, so that rounds don't grow one plan and survive lost executors."""
+"""Tables that a loop writes to the shared folder, so that rounds don't grow one plan and survive lost executors; the
+package for Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not see the driver's folders; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom-operators.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for n in sorted(x for x in names if x.endswith(".py")):
+                z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(package)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -18,7 +37,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not base:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="ledgerloom-"))
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
+        base = _own[sc.applicationId]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote; only for tables whose every reader has been stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

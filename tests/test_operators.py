@@ -3,7 +3,10 @@
 import datetime as dt
 import io
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -14,6 +17,8 @@ from ledgerloom.sources import detect, statements
 from ledgerloom.streaming import metering
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def test_suggestions_take_the_best_pairs_first(spark):
     rng, day = random.Random(4), dt.date(2024, 1, 1)
@@ -42,6 +47,60 @@ def test_group_matches(spark):
     assert matching.parts_of(10, [(i, 1) for i in range(30)]) is None and matching.parts_of(5, [(1, 9), (2, 2), (3, 3)]) == [2, 3]
 
 
+def test_crowds_of_groups_lose_no_match(spark):
+    """60 equal targets and 60 of other sums in one week: each takes its own group, whatever the rounds."""
+    day = dt.date(2024, 5, 1)
+    bank = [(i, 1, "debit", 1000, day) for i in range(60)] + [(100 + i, 2, "debit", 5000 + i, day) for i in range(60)]
+    book = [(1000 + 2 * i + k, 1, "debit", (400, 600)[k], day) for i in range(60) for k in (0, 1)] + [(2000 + 2 * i + k, 2, "debit", (2000, 3000 + i)[k], day) for i in range(60) for k in (0, 1)]
+    t = spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date")
+    b = spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date")
+    got = matching.group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date").toPandas()
+    amounts, whole = {x[0]: x[3] for x in book}, {x[0]: x[3] for x in bank}
+    assert got.book_id.is_unique and all(sum(amounts[p] for p in g.book_id) == whole[k] for k, g in got.groupby("txn_id"))
+    assert sum(k < 100 for k in got.txn_id.unique()) == 60 and set(range(100, 115)) == {int(k) for k in got.txn_id.unique() if k >= 100}  # the others see none of their parts among the 30 nearest
+    with pytest.raises(RuntimeError, match="settle"):
+        matching.group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date", most_rounds=1)
+
+
+def test_mutual_best_is_the_greedy_choice(spark):
+    rng = random.Random(4)
+    for _ in range(4):
+        pairs = {(rng.randrange(12), rng.randrange(12)): rng.randrange(4) for _ in range(50)}
+        df = spark.createDataFrame([(a, b, g) for (a, b), g in pairs.items()], "l long, r long, gap long").withColumn("h", F.xxhash64("l", "r"))
+        rows = sorted(df.collect(), key=lambda x: (x.gap, x.h))
+        want, ls, rs = set(), set(), set()
+        for x in rows:
+            if x.l not in ls and x.r not in rs:
+                want.add((x.l, x.r)), ls.add(x.l), rs.add(x.r)
+        assert {tuple(x) for x in matching.mutual_best(df, "l", "r", ["gap"], ["gap"]).select("l", "r").collect()} == want
+
+
+def test_rejected_pairs_make_way_within_their_pass(spark):
+    day = dt.date(2024, 5, 1)
+    book = spark.createDataFrame([(1, 1, "debit", 100, day, None, None), (2, 1, "debit", 200, day, "REF 1234567", None)], "book_id long, account_id long, direction string, amount_paise long, entry_date date, instrument_no string, party_name string")
+    bank = spark.createDataFrame([(1, 1, "debit", 100, day, None, None, None), (2, 1, "debit", 100, day, None, None, None), (3, 1, "debit", 200, day + dt.timedelta(40), None, "NEFT REF1234567 X 01052024", None)], "txn_id long, account_id long, direction string, amount_paise long, txn_date date, reference_no string, narration string, counterparty string")
+    no = spark.createDataFrame([(1, 1)], "book_id long, txn_id long")
+    assert {tuple(r) for r in matching.reconcile(book, bank, no).collect()} == {(1, 2, "same_day"), (2, 3, "shared_id")}
+
+
+def test_python_workers_find_the_package_from_anywhere(tmp_path):
+    """A session that was started in another folder, without the repository on the workers' path."""
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from ledgerloom.operators import matching, similarity
+df = spark.createDataFrame([("MARTHA", "MARHTA")], "a string, b string")
+assert round(df.select(similarity.jaro_winkler("a", "b")).first()[0], 3) == 0.961
+t = spark.sql("select 1L as txn_id, 1L as account_id, 'debit' as direction, 10L as amount_paise, date'2024-01-01' as txn_date")
+b = spark.sql("select id as book_id, 1L as account_id, 'debit' as direction, 5L as amount_paise, date'2024-01-01' as entry_date from range(2)")
+assert matching.group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date").count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CONF_DIR")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_parts_of_is_the_first_combination():
     rng = random.Random(6)
     for _ in range(300):

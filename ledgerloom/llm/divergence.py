@@ -3,7 +3,8 @@
 Terms are counted by language and source; each kept term of a language becomes an array indexed by the
 language's sources. Higher-order functions turn an array of counts into smoothed shares and a share and
 the array into its contributions to all pairs of sources, which partial sums add before any shuffle.
-Terms with the same counts share one array and a multiplicity. Only DataFrame functions; all integers.
+Terms with the same counts share one array and a multiplicity; a pair's terms that neither source has
+contribute one value each, which is taken times their number. Only DataFrame functions; all integers.
 """
 
 from __future__ import annotations
@@ -68,17 +69,24 @@ def audit(documents: DataFrame, least_docs: int = 3, most_terms: int = 200) -> D
     totals = groups.join(sums, ["lang", "s"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("s", F.coalesce("n", F.lit(0)).alias("n")))).alias("by"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     langs = totals.join(sizes, "lang").select("lang", F.col("by.n").alias("ns"), F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), "v")
+    langs = langs.withColumn("none", F.transform("ns", lambda n: share(F.lit(0).cast("long"), n, F.col("v"))))
     langs = stored(langs, "divergence-langs")
 
     alike = kept.groupBy("lang", "at").agg(F.count(F.lit(1)).alias("times")).join(langs, "lang")
-    # source-indexed counts, then shares
-    wide = alike.withColumn("m", F.map_from_entries("at")).select("lang", "times", F.transform("ns", lambda n, i: share(F.coalesce(F.col("m")[i], F.lit(0)), n, F.col("v"))).alias("ps"))
-    own = wide.select("lang", "times", "ps", F.posexplode("ps").alias("s", "p"))
-    each = own.select("lang", "s", "times", F.posexplode(F.transform("ps", lambda q: gain(F.col("p"), q))).alias("o", "f"))
-    summed = stored(each.where("s != o").groupBy("lang", "s", "o").agg(F.sum(F.col("f") * F.col("times")).alias("f")), "divergence-pairs")
+    # source-indexed counts, then shares; most shares are those of no occurrence, whose pairs need no sum but a number
+    wide = alike.withColumn("m", F.map_from_entries("at")).select("lang", "times", "none", F.transform("ns", lambda n, i: share(F.coalesce(F.col("m")[i], F.lit(0)), n, F.col("v"))).alias("ps"))
+    own = wide.select("lang", "times", "none", "ps", F.posexplode("ps").alias("s", "p")).where("p != none[s]")
+    both = F.transform("ps", lambda q, o: F.struct(gain(F.col("p"), q).alias("f"), F.when(q == F.col("none")[o], gain(q, F.col("p"))).alias("back")))
+    each = own.select("lang", "s", "times", F.posexplode(both).alias("o", "x")).where("s != o")
+    times = F.col("times")
+    sums = [F.sum(F.col("x.f") * times).alias("f"), F.sum(times).alias("n"), F.sum(F.col("x.back") * times).alias("back"), F.sum(F.when(F.col("x.back").isNotNull(), times)).alias("m")]
+    summed = stored(each.groupBy("lang", "s", "o").agg(*sums), "divergence-pairs")
     others = groups.select("lang", F.col("source").alias("item"), F.col("s").alias("o"))
-    pairs = groups.join(others, "lang").where("s != o").join(summed, ["lang", "s", "o"], "left")
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("f", F.lit(0)).cast("long").alias("value"))
+    turned = summed.select("lang", F.col("s").alias("o"), F.col("o").alias("s"), "back", "m")
+    pairs = groups.join(others, "lang").where("s != o").join(summed.select("lang", "s", "o", "f", "n"), ["lang", "s", "o"], "left").join(turned, ["lang", "s", "o"], "left").join(langs.select("lang", "none", "v"), "lang", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    value = zero("f") + zero("back") + (F.col("v") - zero("n") - zero("m")) * gain(F.col("none")[F.col("s")], F.col("none")[F.col("o")])
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", zero(value).cast("long").alias("value"))
 
     whole = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     used = kept.withColumn("whole", whole).join(langs, "lang").select("lang", "term", share(F.col("whole"), F.col("n"), F.col("v")).alias("q"), "ns", "v", F.explode("at").alias("x"))

@@ -5,10 +5,12 @@ Every reader takes a path that Spark opens; nothing is inferred from data but th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.scratch import ship_package, stored
 from . import detect
 
 #: Header names by field.
@@ -50,30 +52,84 @@ def sniff(sample: list[str]) -> str:
     return best[0]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
-    """Rows of a delimited file; the header is the first of head_lines that names a date and an amount, else ValueError.
+#: What bytes 80 to 9F are in Windows text that is read as ISO-8859-1.
+_WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_PLACES = [f"{f}_at" for f in HEADERS]
+_LAYOUT = "file string, encoding string, sep string, width int, problem string, header_at int, " + ", ".join(f"{p} int" for p in _PLACES)
+
 
-    One pass over all lines finds the widest (beyond most_columns: ValueError) and the encoding: UTF-16 if there are zero
-    bytes, ISO-8859-1 if not UTF-8. Narrower lines end in nulls.
+def layouts(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
+    """file, encoding, sep, width, problem, the header's place among its lines that are not blank, and the places of the fields of every delimited file of a path.
+
+    One pass over all lines, as bytes: UTF-16 where there are zero bytes, UTF-8 where all lines are, else Windows text if
+    it has bytes that ISO-8859-1 leaves to control characters. A file's header is the first of its first head_lines
+    lines that names a date and an amount. Files without one, or wider than most_columns, have a problem and no places.
     """
     line, seps = F.col("value"), [sep] if sep else list(",\t;|")
-    seen = spark.read.text(path).agg(
-        F.max(line.contains("\x00")).alias("zeros"), F.max(~F.is_valid_utf8(line)).alias("odd"),
-        *[F.max(F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))).alias(f"w{i}") for i, s in enumerate(seps)]).first()
-    how = {"encoding": "UTF-16", "multiLine": True} if seen.zeros else {"encoding": "ISO-8859-1" if seen.odd else "UTF-8"}
-    head = [r[0] or "" for r in spark.read.csv(path, sep="\x01", quote="", schema="line string", **how).limit(head_lines).collect()]
-    sep = sep or sniff(head)
-    found = next(((i, m) for i, row in enumerate(head) if "date" in (m := map_headers([x.strip(' "\ufeff') for x in row.split(sep)])) and {"debit", "credit", "amount"} & set(m)), None)
-    if found is None:
-        raise ValueError(f"no header row in the first {head_lines} lines")
-    width = 1 + seen[f"w{seps.index(sep)}"]
-    if width > most_columns:
-        raise ValueError(f"a line of {width} columns")
-    raw = spark.read.csv(path, sep=sep, header=False, schema=", ".join(f"c{i} string" for i in range(width)), mode="PERMISSIVE", **how)
-    m = found[1]
-    col = lambda f: F.trim(F.col(f"c{m[f]}")) if f in m else F.lit(None).cast("string")
-    rows = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), *[col(f).alias(f) for f in HEADERS])
-    return rows.where(F.col("date").isNotNull() & ~F.lower("date").isin(HEADERS["date"]))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    latin = F.decode(line.cast("binary"), "ISO-8859-1")
+    told = lines.groupBy("file").agg(
+        F.max(latin.contains("\x00")).alias("zeros"), F.max(~F.is_valid_utf8(line)).alias("odd"), F.max(latin.rlike("[\x80-\x9f]")).alias("windows"),
+        *[F.max(F.length(latin) - F.length(F.replace(latin, F.lit(s), F.lit("")))).alias(f"w{i}") for i, s in enumerate(seps)])
+    first = Window.partitionBy("file").orderBy("at")
+    plain = F.regexp_replace(latin, "\x00|^\u00ff\u00fe|^\u00fe\u00ff|^\u00ef\u00bb\u00bf|\r", "")
+    heads = lines.where("block = 0").select("file", plain.alias("line"), F.monotonically_increasing_id().alias("at")).where("trim(line) != ''").withColumn("k", F.row_number().over(first)).where(F.col("k") <= head_lines)
+    heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("head"))
+
+    def place(batches):
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                head = [x["line"] for x in r["head"]]
+                by = sep or sniff(head)
+                found = next(((k, m) for k, row in enumerate(head, 1) if "date" in (m := map_headers([x.strip(' "\ufeff') for x in row.split(by)])) and {"debit", "credit", "amount"} & set(m)), None)
+                width = 1 + r[f"w{seps.index(by)}"]
+                problem = "no_header" if found is None else "too_wide" if width > most_columns else None
+                encoding = "UTF-16" if r["zeros"] else "UTF-8" if not r["odd"] else "windows-1252" if r["windows"] else "ISO-8859-1"
+                out.append([r["file"], encoding, by, width, problem, None if problem else found[0], *[None if problem else found[1].get(f) for f in HEADERS]])
+            yield pd.DataFrame(out, columns=["file", "encoding", "sep", "width", "problem", "header_at", *_PLACES]).astype({p: "Int32" for p in ("header_at", *_PLACES)})
+
+    ship_package(spark)
+    return heads.join(told, "file").mapInPandas(place, _LAYOUT)
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
+    """Rows of the delimited files of a path, each read by its own header, separator, width and encoding (see layouts).
+
+    Files of one separator and encoding are one scan. Narrower lines end in nulls. A line with neither date nor amount continues the
+    narration of the row before it in its file; other undated lines and repeated headers are left out. n orders a file's rows.
+    A file with a problem is one row with its name alone; ValueError if every file has one.
+    """
+    known = stored(layouts(spark, path, sep, head_lines, most_columns), "layouts")
+    scans = known.where("problem is null").groupBy("sep", "encoding").agg(F.max("width").alias("width"), F.collect_list("file").alias("files")).collect()
+    if not scans:
+        bad = known.select("problem", "width").first()
+        raise ValueError(f"no header row in the first {head_lines} lines" if bad is None or bad.problem == "no_header" else f"a line of {bad.width} columns")
+    rows = None
+    for s in scans:
+        how = {"encoding": "ISO-8859-1" if s.encoding == "windows-1252" else s.encoding} | ({"multiLine": True} if s.encoding == "UTF-16" else {})
+        raw = spark.read.csv(s.files, sep=s.sep, header=False, schema=", ".join(f"c{i} string" for i in range(s.width)), mode="PERMISSIVE", **how)
+        cells = F.array(*raw.columns)
+        if s.encoding == "windows-1252":
+            cells = F.transform(cells, lambda c: F.translate(c, "".join(_WINDOWS), "".join(_WINDOWS.values())))
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"))
+        rows = raw if rows is None else rows.unionByName(raw)
+    cell = lambda f: F.nullif(F.trim(F.get("cells", F.col(f"{f}_at"))), F.lit(""))
+    rows = rows.join(known.select("file", "header_at", *_PLACES), "file").select("file", "block", "at", "header_at", *[cell(f).alias(f) for f in HEADERS])
+    named = F.lower("date").isin(HEADERS["date"])
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    dated = F.col("date").isNotNull() & ~F.coalesce(named, F.lit(False))
+    rows = rows.withColumns({"n": F.col("block") + F.row_number().over(in_block), "dated": dated}).where("block > 0 or n > header_at")
+    # the row that a line continues: the last dated one of its block, else of the blocks before
+    rows = rows.withColumn("of", F.last(F.when(F.col("dated"), F.col("n")), ignorenulls=True).over(in_block))
+    more = rows.where("date is null and narration is not null and debit is null and credit is null and amount is null and balance is null")
+    ends = rows.groupBy("file", "block").agg(F.max(F.when(F.col("dated"), F.col("n"))).alias("end"))
+    ends = ends.select("file", "block", F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))
+    more = more.join(ends, ["file", "block"]).select("file", F.coalesce("of", "end").alias("n"), F.col("n").alias("line"), F.col("narration").alias("said"))
+    more = more.where("n is not null").groupBy("file", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), " ").alias("more"))
+    out = rows.where("dated").join(more, ["file", "n"], "left").withColumn("narration", F.nullif(F.concat_ws(" ", "narration", "more"), F.lit("")))
+    bad = known.where("problem is not null").select("file", F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("string").alias(f) for f in HEADERS], "problem")
+    return out.select("file", "n", *HEADERS, F.lit(None).cast("string").alias("problem")).unionByName(bad)
 
 
 def read_json(spark: SparkSession, path: str, list_keys: tuple[str, ...] = ("transactions", "data", "records", "items", "entries")) -> DataFrame:
@@ -172,9 +228,10 @@ def typed(rows: DataFrame) -> DataFrame:
     debit, credit, lone = text.amount(F.col("debit")), text.amount(F.col("credit")), text.amount(F.col("amount"))
     side = F.coalesce(F.when(debit.isNotNull(), "debit"), F.when(credit.isNotNull(), "credit"), F.when(F.col("amount").rlike(r"^\s*-"), "debit"), text.amount_side(F.col("amount")))
     day = text.date(F.col("date"))
+    problem = F.col("problem") if "problem" in rows.columns else F.lit(None).cast("string")
     return rows.select(
         "file", "n", day.alias("txn_date"), "narration", side.alias("direction"), F.coalesce(debit, credit, lone).alias("amount_paise"), text.amount(F.col("balance")).alias("balance_paise"),
-        F.array_compact(F.array(F.when(day.isNull(), "date_unreadable"), F.when(F.coalesce(debit, credit, lone).isNull(), "no_amount"), F.when(side.isNull(), "no_direction"))).alias("warnings"))
+        F.array_compact(F.array(problem, F.when(day.isNull(), "date_unreadable"), F.when(F.coalesce(debit, credit, lone).isNull(), "no_amount"), F.when(side.isNull(), "no_direction"))).alias("warnings"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -215,6 +215,35 @@ def test_delimited_encodings_and_ragged_lines(spark, tmp_path):
         statements.read_delimited(spark, str(tmp_path / "none.csv"))
 
 
+def test_each_file_by_its_own_header_separator_and_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Narration,Debit,Credit\n01/02/2024,rent,50.00,\n,of flat 7,,\n,second line,,\n,total,50.00,\n02/02/2024,pay,,10.00\n")
+    (tmp_path / "b.csv").write_text("Some Bank\nDate,Narration,Credit,Debit,Balance\n03/02/2024,fee,,50.00,1.00\n")
+    (tmp_path / "c.csv").write_bytes("Date;Narration;Amount\n04/02/2024;CAFÉ €;-7.00\n".encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes("Date;Narration;Amount\n05/02/2024;CAFÉ €;8.00 Cr\n".encode())
+    (tmp_path / "e.csv").write_bytes("Date\tNarration\tAmount\n06/02/2024\tCAFÉ €\t-9.00\n".encode("utf-16"))
+    (tmp_path / "f.csv").write_text("one,two,three\n1,2,3\n")
+    got = statements.typed(statements.read_delimited(spark, str(tmp_path))).collect()
+    rows = sorted((r.txn_date.day, r.narration, r.direction, r.amount_paise, r.file[-5:]) for r in got if r.txn_date)
+    assert rows == [
+        (1, "rent of flat 7 second line", "debit", 5000, "a.csv"), (2, "pay", "credit", 1000, "a.csv"), (3, "fee", "debit", 5000, "b.csv"),
+        (4, "CAFÉ €", "debit", 700, "c.csv"), (5, "CAFÉ €", "credit", 800, "d.csv"), (6, "CAFÉ €", "debit", 900, "e.csv"),
+    ]
+    assert [(r.file[-5:], r.warnings[0]) for r in got if not r.txn_date] == [("f.csv", "no_header")]
+
+
+def test_continuation_lines_over_block_borders(spark, tmp_path):
+    """Files split into small blocks: a line continues the row before it, wherever the block ends, and n keeps the order."""
+    lines = ["Date,Narration,Debit,Credit"] + [x for i in range(200) for x in (f"{i % 28 + 1:02d}/03/2024,row {i},{i + 1}.00,", f",more {i},,")]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = statements.read_delimited(spark, str(tmp_path / "a.csv")).orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.narration for r in rows] == [f"row {i} more {i}" for i in range(200)]
+
+
 def test_json_signs_are_decided_by_document(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"date": "2024-03-01", "amount": "-5"}, {"date": "2024-03-02", "amount": "7"}]')
     (tmp_path / "b.json").write_text('[{"date": "2024-03-03", "amount": "9"}]')

@@ -63,7 +63,7 @@ def r22_norm_id(t, spark, sf_dir):
     return t.select("txn_id", cells.norm_id(F.when(F.col("txn_id") % 2 == 0, F.concat_ws("-", F.substring("reference_no", 1, 3), F.expr("lower(substr(reference_no, 4))"))).otherwise(F.lpad(F.col("txn_id").cast("string"), 12, "0"))).alias("id"))
 
 
-@query("""+ k as (select distinct txn_id, unnest(string_split_regex(upper(narration), '[^A-Z]+')) as w from txn) select txn_id, string_agg(w, ',' order by w) as words from k where length(w) >= 4 group by 1""")
+@query(f"""+ k as (select distinct txn_id, unnest(string_split_regex(upper(narration), '[^A-Z]+')) as w from txn) select txn_id, string_agg(w, ',' order by w) as words from k where length(w) >= 4 and w not in ({", ".join(f"'{w}'" for w in matching.STOP_WORDS)}) group by 1""")
 def r23_party_words(t, spark, sf_dir):
     return t.select("txn_id", F.array_join(F.sort_array(matching.words("narration")), ",").alias("words")).where("words <> ''")
 
@@ -131,19 +131,23 @@ def v10_warning_counts(t, spark, sf_dir):
     return validation.warning_counts(t, codes)
 
 
-_QUOTES = "quote as (select 'USD' as code, (date '1995-01-01' + i::int)::date as as_of, (case when i % 50 = 7 then -1 when i % 50 = 9 then 2000 when i % 50 = 20 then 95 else 80 + (i % 12) / 10.0 end)::decimal(20,8) as inr_per_unit from range(0, 400) r(i))"
+#: A quote for each day of orders from their mean price; every 50th of a kind off by sign, band or step.
+_QUOTES = """qd_ as (select o_orderdate::date as as_of, (datediff('day', date '1992-01-01', o_orderdate::date))::bigint as i, count(*) as n from orders group by 1, 2),
+quote as (select 'USD' as code, as_of, (case when i % 50 = 7 then -1 when i % 50 = 9 then 2000 when i % 50 in (20, 21) then 95 else 80 + (n % 12) / 10.0 end)::decimal(20,8) as inr_per_unit from qd_)"""
 
 
-def _quotes(spark):
-    i = F.col("id")
-    rate = F.when(i % 50 == 7, F.lit(-1)).when(i % 50 == 9, F.lit(2000)).when(i % 50 == 20, F.lit(95)).otherwise(F.lit(80) + i % 12 / 10)
-    return spark.range(400).select(F.lit("USD").alias("code"), F.date_add(F.lit("1995-01-01").cast("date"), i.cast("int")).alias("as_of"), rate.cast("decimal(20,8)").alias("inr_per_unit"))
+def _quotes(spark, sf_dir):
+    days = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("as_of")).agg(F.count(F.lit(1)).alias("n"))
+    i = F.datediff("as_of", F.lit("1992-01-01").cast("date"))
+    rate = F.when(i % 50 == 7, F.lit(-1)).when(i % 50 == 9, F.lit(2000)).when((i % 50).isin(20, 21), F.lit(95)).otherwise(F.lit(80) + F.col("n") % 12 / 10)
+    return days.select(F.lit("USD").alias("code"), "as_of", rate.cast("decimal(20,8)").alias("inr_per_unit"))
 
 
-@query(f"""+ {_QUOTES}, l as (select *, lag(inr_per_unit) over (partition by code order by as_of) as prev from quote)
-select code, as_of, inr_per_unit::double as inr_per_unit, case when inr_per_unit <= 0 then 'not_positive' when inr_per_unit < 0.0001 or inr_per_unit > 1000 then 'out_of_band' when prev > 0 and abs(inr_per_unit - prev) > prev * 0.10 then 'step_too_large' end as reason from l""")
+@query(f"""+ {_QUOTES}, s as (select *, row_number() over (partition by code order by as_of) as k, inr_per_unit > 0 and inr_per_unit >= 0.0001 and inr_per_unit <= 1000 as fair from quote),
+l as (select *, case when fair and inr_per_unit < 90 then inr_per_unit end as taken from s), p as (select *, last_value(taken ignore nulls) over (partition by code order by k rows between unbounded preceding and 1 preceding) as prev from l)
+select code, as_of, inr_per_unit::double as inr_per_unit, case when inr_per_unit <= 0 then 'not_positive' when not fair then 'out_of_band' when prev is not null and abs(inr_per_unit - prev) > prev * 0.10 then 'step_too_large' end as reason from p""")
 def v13_vet_quotes(t, spark, sf_dir):
-    return fx.vet_quotes(_quotes(spark)).withColumn("inr_per_unit", F.col("inr_per_unit").cast("double"))
+    return fx.vet_quotes(_quotes(spark, sf_dir)).withColumn("inr_per_unit", F.col("inr_per_unit").cast("double"))
 
 
 @query("""select count(*) as n, count(case when debit_paise is null and credit_paise is null then 1 end) as no_side, count(case when amount_paise <= 0 then 1 end) as not_positive,
@@ -254,29 +258,54 @@ def k3_word_and_inside(t, spark, sf_dir):
 
 # ---- consolidation
 
-_FILES = """fl as (select statement_id * 2 as file_id, account_id, txn_date, row_index, direction, amount_paise, balance_paise, narration from txn
-  union all select statement_id * 2 + 1, account_id, txn_date, row_index + 7, direction, amount_paise, balance_paise, substr(narration, 1, 14) from txn where month(txn_date) >= 7),
-ck as (select *, substr(regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g'), 1, 8) as said from fl), cr as (select *, row_number() over (partition by file_id, account_id, txn_date, direction, amount_paise, balance_paise, said order by row_index) as k from ck),
-mg as (select account_id, txn_date, direction, amount_paise, balance_paise, said, k, min({'f': file_id, 'r': row_index, 'n': narration}) as f, count(*) as sources from cr group by 1, 2, 3, 4, 5, 6, 7),
-merged as (select account_id, txn_date, f.f as file_id, f.r as row_index, direction, amount_paise, balance_paise, f.n as narration, sources from mg)"""
+_FILES = """f1 as (select statement_id * 2 as file_id, account_id, txn_date, row_index, direction, amount_paise, balance_paise, narration from txn where txn_id % 7 <> 3 or month(txn_date) < 7),
+f2 as (select statement_id * 2 + 1 as file_id, account_id, txn_date, row_index + 7 as row_index, direction, amount_paise, balance_paise, substr(narration, 1, 14) as narration from txn where month(txn_date) >= 7),
+f3 as (select 1000000 + statement_id as file_id, account_id, txn_date, row_index, direction, amount_paise, balance_paise, substr(narration, 1, 10) || ' SOMEONE ELSE' as narration from txn where txn_id % 40 = 11),
+k1 as (select *, regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g') as said from f1), k2 as (select *, regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g') as said from f2),
+m2 as (select k2.*, k1.file_id as of_file from k2 left join k1 on k1.account_id = k2.account_id and k1.txn_date = k2.txn_date and k1.direction = k2.direction and k1.amount_paise = k2.amount_paise and k1.balance_paise = k2.balance_paise
+  and k1.file_id <> k2.file_id and ((starts_with(k1.said, k2.said) and length(k2.said) >= 8) or k1.said = k2.said)),
+merged12 as (select k1.account_id, k1.txn_date, k1.file_id, k1.row_index, k1.direction, k1.amount_paise, k1.balance_paise, k1.narration, (1 + (m2.file_id is not null)::int)::bigint as sources, m2.file_id as also
+    from k1 left join m2 on m2.of_file = k1.file_id and m2.txn_date = k1.txn_date and m2.direction = k1.direction and m2.amount_paise = k1.amount_paise and m2.balance_paise = k1.balance_paise
+  union all select account_id, txn_date, file_id, row_index, direction, amount_paise, balance_paise, narration, 1, null from m2 where of_file is null)"""
 
 
-def _files(t):
+def _files(t, third=False):
+    """Statements, second ones of each year's end that have all rows with cut narrations, and look-alikes of other parties."""
     cols = ["account_id", "txn_date", "row_index", "direction", "amount_paise", "balance_paise", "narration"]
-    first = t.select((F.col("statement_id") * 2).alias("file_id"), *cols)
+    first = t.where("txn_id % 7 <> 3 or month(txn_date) < 7").select((F.col("statement_id") * 2).alias("file_id"), *cols)
     second = t.where(F.month("txn_date") >= 7).select((F.col("statement_id") * 2 + 1).alias("file_id"), *cols).withColumns({"row_index": F.col("row_index") + 7, "narration": F.substring("narration", 1, 14)})
-    return first.unionByName(second)
+    other = t.where("txn_id % 40 = 11").select((F.col("statement_id") + 1_000_000).alias("file_id"), *cols).withColumn("narration", F.concat(F.substring("narration", 1, 10), F.lit(" SOMEONE ELSE")))
+    return first.unionByName(second).unionByName(other) if third else first.unionByName(second)
 
 
-@query(f"+ {_FILES} select * from merged")
+@query(f"+ {_FILES} select * exclude (also) from merged12 union all select account_id, txn_date, file_id, row_index, direction, amount_paise, balance_paise, narration, 1 from f3")
 def c1_merge_statements(t, spark, sf_dir):
-    return consolidation.merge_statements(_files(t))
+    return consolidation.merge_statements(_files(t, third=True)).drop("lineage")
 
 
-@query(f"""+ {_FILES}, x as (select *, lag(balance_paise) over o as pb, lag(file_id) over o as pf, case when direction = 'credit' then amount_paise else -amount_paise end as s from merged window o as (partition by account_id order by txn_date, file_id, row_index))
-select account_id, file_id, row_index, case when pf <> file_id then 'between_statements' else 'within_statement' end as kind, (balance_paise - pb - s)::bigint as diff_paise from x where balance_paise - pb - s <> 0""")
+#: The later file has every row of its months, so that its own order is the order of a day.
+_PLACED = "placed as (select m.*, row_number() over (partition by account_id order by txn_date, case when file_id % 2 = 1 then row_index - 7 else row_index end) as place from merged12 m)"
+
+
+@query(f"+ {_FILES}, {_PLACED} select account_id, file_id, row_index, place from placed")
+def c2_in_file_order(t, spark, sf_dir):
+    return consolidation.in_file_order(consolidation.merge_statements(_files(t))).select("account_id", "file_id", "row_index", "place")
+
+
+@query(f"""+ {_FILES}, {_PLACED}, x as (select *, lag(balance_paise) over o as pb, lag(file_id) over o as pf, lag(also) over o as pa, case when direction = 'credit' then amount_paise else -amount_paise end as s from placed window o as (partition by account_id order by place))
+select account_id, file_id, row_index, case when coalesce(pf in (file_id, also), false) or coalesce(pa in (file_id, also), false) then 'within_statement' else 'between_statements' end as kind, (balance_paise - pb - s)::bigint as diff_paise from x where balance_paise - pb - s <> 0""")
 def c3_balance_flags(t, spark, sf_dir):
-    return consolidation.balance_flags(consolidation.merge_statements(_files(t)), ["txn_date", "file_id", "row_index"])
+    return consolidation.balance_flags(consolidation.in_file_order(consolidation.merge_statements(_files(t))), ["place"])
+
+
+@query("""+ f as (select statement_id as file_id, arg_min(balance_paise, row_index) as b, arg_min(signed_paise, row_index) as s from txn group by 1),
+o as (select *, case when file_id % 11 <> 4 then b - s + case when file_id % 3 = 0 then 150 else 0 end end as opening_paise from f)
+select file_id, opening_paise::bigint as opening_paise, (opening_paise + s)::bigint as expected_paise, b as balance_paise, (b - opening_paise - s)::bigint as diff_paise from o where opening_paise + s <> b""")
+def c5_opening_flags(t, spark, sf_dir):
+    rows = t.withColumn("file_id", F.col("statement_id"))
+    first = rows.groupBy("file_id").agg(F.min_by(F.col("balance_paise") - F.col("signed_paise"), "row_index").alias("o"))
+    printed = first.select("file_id", F.when(F.col("file_id") % 11 != 4, F.col("o") + F.when(F.col("file_id") % 3 == 0, 150).otherwise(0)).alias("opening_paise"))
+    return consolidation.opening_flags(printed, rows)
 
 
 @query("+ s as (select statement_id as file_id, account_id, case when statement_id % 4 = 1 then 'BANK ' || (statement_id % 3) end as bank from txn group by 1, 2), k as (select account_id, arg_min(bank, file_id) as known from s where bank is not null group by 1) select file_id, account_id, coalesce(bank, known) as bank from s left join k using (account_id)")
@@ -370,15 +399,15 @@ b as (select *, 1 as age from s union all select *, 0 from n), r as (select *, r
 select code, as_of, inr_per_unit::double as inr_per_unit, source from r where k = 1""")
 def sk6_upsert_quotes(t, spark, sf_dir):
     day = F.dayofmonth("as_of")
-    s = _quotes(spark).where("inr_per_unit > 0 and inr_per_unit < 1000").withColumn("source", F.when(day % 2 == 0, "manual").otherwise("market"))
+    s = _quotes(spark, sf_dir).where("inr_per_unit > 0 and inr_per_unit < 1000").withColumn("source", F.when(day % 2 == 0, "manual").otherwise("market"))
     n = s.where(F.month("as_of") < 6).withColumns({"inr_per_unit": (F.col("inr_per_unit") + 1).cast("decimal(20,8)"), "source": F.when(day % 3 == 0, "official").otherwise("market")})
     return fx.upsert_quotes(s, n, ("manual", "official", "market")).withColumn("inr_per_unit", F.col("inr_per_unit").cast("double"))
 
 
-@query("""+ e as (select (date '1995-01-01' + i::int)::date as as_of, 88 + i % 7 as inr, 1 + (i % 5) / 8.0::double as usd from range(0, 300) r(i)) select 'USD' as code, as_of, round(inr / usd, 8)::double as inr_per_unit from e""")
+@query("""+ e as (select o_orderdate::date as as_of, 88 + count(*) % 7 as inr, 1 + (count(*) % 5) / 8.0::double as usd from orders group by 1) select 'USD' as code, as_of, round(inr / usd, 8)::double as inr_per_unit from e""")
 def x10_cross_rates(t, spark, sf_dir):
-    day = F.date_add(F.lit("1995-01-01").cast("date"), F.col("id").cast("int"))
-    e = spark.range(300).select(day.alias("as_of"), F.explode(F.array(F.struct(F.lit("INR").alias("code"), (88 + F.col("id") % 7).cast("double").alias("rate")), F.struct(F.lit("USD").alias("code"), (1 + F.col("id") % 5 / 8).cast("double").alias("rate")))).alias("x")).select("as_of", "x.*")
+    days = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("as_of")).agg(F.count(F.lit(1)).alias("n"))
+    e = days.select("as_of", F.explode(F.array(F.struct(F.lit("INR").alias("code"), (88 + F.col("n") % 7).cast("double").alias("rate")), F.struct(F.lit("USD").alias("code"), (1 + F.col("n") % 5 / 8).cast("double").alias("rate")))).alias("x")).select("as_of", "x.*")
     return fx.cross_rates(e)
 
 

@@ -2,33 +2,123 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cells
+from ..plans.scratch import discard, stored
+
+
+KEY = ["account_id", "txn_date", "direction", "amount_paise", "balance_paise"]
+_ROW = "array<struct<file_id:bigint,row_index:bigint>>"
+
 
-def merge_statements(rows: DataFrame) -> DataFrame:
+def merge_statements(rows: DataFrame, most_rounds: int = 100) -> DataFrame:
     """rows(file_id, account_id, txn_date, row_index, direction, amount_paise, balance_paise, narration) with copies of
-    other files made one: uid (smallest file and row), sources, and the columns of the first.
+    other files made one: file_id and row_index of the first, its columns, `lineage` (every file and row) and sources (their number).
 
-    Copies agree in day, side, amount, balance and the narration's first eight letters and digits (statements cut
-    narrations). Rows of one file are never made one: the k-th such row of a file meets the k-th of others.
+    Copies agree in day, side, amount, balance (nulls are equal) and their narrations match as cells.same_narration has it.
+    Rows of one file are never made one: of equal narrations the k-th of a file meets the k-th of others, other
+    narrations meet one to one, earlier files first, in rounds until no two rows that match are left.
     """
-    said = F.substring(F.regexp_replace(F.upper(F.coalesce("narration", F.lit(""))), "[^A-Z0-9]", ""), 1, 8)
-    key = ["account_id", "txn_date", "direction", "amount_paise", "balance_paise", "said"]
-    x = rows.withColumn("said", said).withColumn("k", F.row_number().over(Window.partitionBy("file_id", *key).orderBy("row_index")))
-    first = F.struct("file_id", "row_index", "narration")
-    return x.groupBy(*key, "k").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("sources")).select("account_id", "txn_date", F.col("f.file_id").alias("file_id"), F.col("f.row_index").alias("row_index"), "direction", "amount_paise", "balance_paise", F.col("f.narration").alias("narration"), "sources")
+    said = F.regexp_replace(F.upper(F.coalesce("narration", F.lit(""))), "[^A-Z0-9]", "")
+    group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in KEY])
+    x = rows.select("file_id", "row_index", *KEY, "narration", said.alias("said"), group.alias("g"))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "g", "said").orderBy("row_index")))
+    lineage = F.sort_array(F.collect_list(F.struct(F.col("file_id").cast("long").alias("file_id"), F.col("row_index").cast("long").alias("row_index"))))
+    x = x.groupBy(*KEY, "g", "said", "k").agg(F.min(F.struct("file_id", "row_index", "narration")).alias("f"), lineage.alias("lineage"))
+    x = stored(x.select(*KEY, "g", "said", "f.file_id", "f.row_index", "f.narration", "lineage"), "forms")
+    for _ in range(most_rounds):
+        # narrations can only match where they begin alike or have a long number in common: an equi-join on that
+        begins = F.when(F.length("said") >= 8, F.concat(F.lit("b"), F.substring("said", 1, 8)))
+        keys = F.array_distinct(F.array_compact(F.concat(F.array(begins), F.transform(F.regexp_extract_all("said", F.lit("[0-9]{9,}"), 0), lambda n: F.concat(F.lit("n"), n)))))
+        side = lambda p: x.select("g", F.explode(keys).alias("key"), F.struct("file_id", "row_index").alias(p), F.col("narration").alias(f"{p}_said"), F.col("lineage.file_id").alias(f"{p}_files"))
+        pairs = side("a").join(side("b"), ["g", "key"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("a_files", "b_files") & cells.same_narration(F.col("a_said"), F.col("b_said")))
+        pairs = stored(pairs.select("a", "b").distinct(), "alike")
+        if pairs.isEmpty():
+            discard(pairs)
+            return x.select(*KEY, "file_id", "row_index", "narration", F.col("lineage").cast(_ROW).alias("lineage"), F.size("lineage").cast("long").alias("sources"))
+        won = pairs.groupBy("b").agg(F.min("a").alias("a")).join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"])
+        won = stored(won.join(won.select(F.col("b").alias("a")), "a", "left_anti").select("a", F.col("b.file_id").alias("file_id"), F.col("b.row_index").alias("row_index")), "joined")
+        given = x.join(won, ["file_id", "row_index"]).select("a.file_id", "a.row_index", F.col("lineage").alias("more"))
+        y = x.join(won.select("file_id", "row_index"), ["file_id", "row_index"], "left_anti").join(given, ["file_id", "row_index"], "left")
+        y = stored(y.withColumn("lineage", F.sort_array(F.concat("lineage", F.coalesce("more", F.array().cast(_ROW))))).drop("more"), "forms")
+        discard(x, pairs, won)
+        x = y
+    raise RuntimeError("copies did not settle")
+
+
+def in_file_order(merged: DataFrame) -> DataFrame:
+    """merged (of merge_statements) with `place`: the row's number in its account, by day, and within a day so that every
+    file's own order is kept; what the files leave open goes by first appearance (earlier, then longer files first).
+
+    A row that only a later file has goes in front of the row that follows it there. A file's rows bind each other where their days do not fall,
+    so days can be ordered each on its own: those in which first appearance already keeps all orders need no
+    more; the others, one group a day of an account, are sorted topologically. Orders that conflict go by first appearance.
+    """
+    lines = merged.select("account_id", "txn_date", F.struct("file_id", "row_index").alias("uid"), F.explode("lineage").alias("at")).select("account_id", "txn_date", "uid", F.col("at.file_id").alias("file"), F.col("at.row_index").alias("row"))
+    files = lines.groupBy("account_id", "file").agg(F.min_by("txn_date", "row").alias("since"), F.count(F.lit(1)).alias("n"))
+    files = files.withColumn("f", F.row_number().over(Window.partitionBy("account_id").orderBy("since", F.desc("n"), "file")))
+    lines = stored(lines.join(files.select("account_id", "file", "f"), ["account_id", "file"]), "lines")
+    seen = stored(lines.groupBy("account_id", "txn_date", "uid").agg(F.min(F.struct("f", "row")).alias("seen")), "seen")
+    before = F.lag(F.struct("uid", "txn_date")).over(Window.partitionBy("account_id", "file").orderBy("row"))
+    edges = lines.withColumn("before", before).where("before.txn_date = txn_date and before.uid <> uid").select("account_id", "txn_date", F.col("before.uid").alias("a"), F.col("uid").alias("b")).distinct()
+    first = lambda p: seen.select("account_id", "txn_date", F.col("uid").alias(p), F.col("seen").alias(f"{p}_seen"))
+    edges = stored(edges.join(first("a"), ["account_id", "txn_date", "a"]).join(first("b"), ["account_id", "txn_date", "b"]), "edges")
+    day = ["account_id", "txn_date"]
+    mixed = stored(edges.where(F.col("a_seen") > F.col("b_seen")).select(*day).distinct(), "mixed-days")
+    plain = seen.join(mixed, day, "left_anti").withColumn("at", F.row_number().over(Window.partitionBy(*day).orderBy("seen")))
+
+    def sort(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        order = {(u["file_id"], u["row_index"]): (s["f"], s["row"]) for u, s in zip(rows["uid"], rows["seen"])}
+        after, waits = {u: [] for u in order}, dict.fromkeys(order, 0)
+        for a, b in zip(links["a"], links["b"]):
+            after[a["file_id"], a["row_index"]].append((b["file_id"], b["row_index"]))
+            waits[b["file_id"], b["row_index"]] += 1
+        ready, out = [(s, u) for u, s in order.items() if not waits[u]], []
+        heapq.heapify(ready)
+        while ready:
+            _, u = heapq.heappop(ready)
+            out.append(u)
+            for v in after[u]:
+                waits[v] -= 1
+                if not waits[v]:
+                    heapq.heappush(ready, (order[v], v))
+        out += sorted(order.keys() - set(out), key=order.get)
+        return pd.DataFrame({"account_id": rows["account_id"].iloc[0], "txn_date": rows["txn_date"].iloc[0], "file_id": [u[0] for u in out], "row_index": [u[1] for u in out], "at": range(1, len(out) + 1)})
+
+    kinds = dict(merged.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*day, "file_id", "row_index")) + ", at int"
+    sorted_days = seen.join(mixed, day, "left_semi").groupBy(*day).cogroup(edges.join(mixed, day, "left_semi").select(*day, "a", "b").groupBy(*day)).applyInPandas(sort, schema)
+    places = plain.select(*day, "uid.file_id", "uid.row_index", "at").unionByName(sorted_days)
+    out = merged.join(places.drop(*day), ["file_id", "row_index"])
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("account_id").orderBy("txn_date", "at")).cast("long")).drop("at")
 
 
 def balance_flags(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows whose balance doesn't follow from the row before: between statements if their files differ, else within one."""
+    """Rows whose balance doesn't follow from the row before: between statements if no file has both (by `lineage`; without
+    it by file_id), else within one. Rows without a balance or side say nothing."""
     w = Window.partitionBy("account_id").orderBy(*order)
-    signed = F.when(F.col("direction") == "credit", F.col("amount_paise")).otherwise(-F.col("amount_paise"))
-    x = rows.withColumns({"prev": F.lag("balance_paise").over(w), "prev_file": F.lag("file_id").over(w)}).withColumn("diff_paise", F.col("balance_paise") - F.col("prev") - signed)
-    kind = F.when(F.col("prev_file") != F.col("file_id"), "between_statements").otherwise("within_statement")
+    files = F.col("lineage.file_id") if "lineage" in rows.columns else F.array("file_id")
+    signed = F.when(F.col("direction") == "credit", F.col("amount_paise")).when(F.col("direction") == "debit", -F.col("amount_paise"))
+    x = rows.withColumn("files_", files)
+    x = x.withColumns({"prev": F.lag("balance_paise").over(w), "prev_files": F.lag("files_").over(w)}).withColumn("diff_paise", F.col("balance_paise") - F.col("prev") - signed)
+    kind = F.when(F.arrays_overlap("prev_files", "files_"), "within_statement").otherwise("between_statements")
     return x.where("diff_paise <> 0").select("account_id", "file_id", "row_index", kind.alias("kind"), "diff_paise")
 
 
+def opening_flags(statements: DataFrame, rows: DataFrame) -> DataFrame:
+    """file_id, opening_paise, expected_paise, balance_paise, diff_paise of statements(file_id, opening_paise) whose printed
+    opening doesn't lead to the balance of their first row; statements without either say nothing."""
+    signed = F.when(F.col("direction") == "credit", F.col("amount_paise")).when(F.col("direction") == "debit", -F.col("amount_paise"))
+    first = rows.groupBy("file_id").agg(F.min_by(F.struct(signed.alias("moved"), "balance_paise"), "row_index").alias("x")).select("file_id", "x.*")
+    x = statements.join(first, "file_id").withColumn("expected_paise", F.col("opening_paise") + F.col("moved"))
+    return x.where("expected_paise <> balance_paise").select("file_id", "opening_paise", "expected_paise", "balance_paise", (F.col("balance_paise") - F.col("expected_paise")).alias("diff_paise"))
+
+
 def account_summaries(rows: DataFrame, order: Column) -> DataFrame:
     """For each account: rows, span, sums in and out, first and last balance."""
     amount = lambda side: F.coalesce(F.sum(F.when(F.col("direction") == side, F.col("amount_paise"))), F.lit(0)).cast("long")

@@ -43,11 +43,23 @@ def convert(txn: DataFrame, rates: DataFrame, code: str) -> DataFrame:
 def vet_quotes(quotes: DataFrame) -> DataFrame:
     """quotes(code, as_of, inr_per_unit) with reason: why a quote is refused, null if it is taken.
 
-    The step is measured from the code's quote before, whether that one was taken or not.
+    The step is measured from the code's last quote that was taken, so refused ones never become the measure. Whether a
+    quote is taken hangs on those before it: a code's quotes, a few a day at most, are walked in order by one ordered aggregation.
     """
-    last = F.lag("inr_per_unit").over(Window.partitionBy("code").orderBy("as_of"))
     rate = F.col("inr_per_unit")
-    return quotes.withColumn("reason", F.when(rate <= 0, "not_positive").when(~rate.between(LEAST_RATE, MOST_RATE), "out_of_band").when((last > 0) & (F.abs(rate - last) > last * F.lit(LARGEST_STEP).cast("decimal(3,2)")), "step_too_large"))
+    unfair = F.when(rate <= 0, "not_positive").when(~rate.between(LEAST_RATE, MOST_RATE), "out_of_band")
+    x = quotes.withColumn("why", F.coalesce(unfair, F.lit("")))
+    walked = x.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("as_of", "inr_per_unit", "why"))).alias("qs"))
+    last = F.lit(None).cast("decimal(20,8)")
+    start = F.struct(last.alias("last"), F.array().cast("array<struct<as_of:date,inr_per_unit:decimal(20,8),reason:string>>").alias("out"))
+
+    def step(state: Column, q: Column) -> Column:
+        far = (q["why"] == "") & F.coalesce(F.abs(q["inr_per_unit"] - state["last"]) > state["last"] * F.lit(LARGEST_STEP).cast("decimal(3,2)"), F.lit(False))
+        reason = F.when(q["why"] != "", q["why"]).when(far, F.lit("step_too_large"))
+        told = F.struct(q["as_of"].alias("as_of"), q["inr_per_unit"].alias("inr_per_unit"), reason.alias("reason"))
+        return F.struct(F.when(reason.isNull(), q["inr_per_unit"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(told)).alias("out"))
+
+    return walked.select("code", F.inline(F.aggregate("qs", start, step, lambda s: s["out"])))
 
 
 def upsert_quotes(stored: DataFrame, new: DataFrame, order: tuple[str, ...]) -> DataFrame:

@@ -8,6 +8,8 @@ from .catalog import _PASS_B, _SKELETON, FINDINGS_SQL, TODAY, _cases, query
 from .functions import cells, text
 from .operators import anomalies, classify, consolidation, credit, entities, fx, matching, policy, scoping, timeseries, validation
 from .plans.ledger import BOOKS_SQL, COPIES_SQL, RATES_SQL, books, rates, read, with_copies
+from .plans.scratch import folder
+from .sources import statements
 
 _COMPACT = "regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9]', '', 'g')"
 
@@ -256,6 +258,24 @@ def k3_word_and_inside(t, spark, sf_dir):
     return t.select("txn_id", F.col("narration").rlike("(^|[^A-Z0-9])LOAN([^A-Z0-9]|$)").alias("word"), F.contains("narration", F.lit("LOAN")).alias("inside"))
 
 
+# ---- files
+
+
+@query("""select 'T' || txn_id || ' ' || narration || case when txn_id % 9 = 4 then ' and more' else '' end as narration, txn_date, direction, amount_paise from txn""")
+def sc9_mixed_files(t, spark, sf_dir):
+    """The ledger written as CSV files of three layouts and separators below one folder, some narrations over two lines, read back by the files' own headers."""
+    path = folder(spark, "mixed-files")
+    plain = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%d.%02d", F.expr(f"{c} div 100"), F.expr(f"{c} % 100")))
+    signed = F.concat(F.when(F.col("direction") == "debit", "-").otherwise(""), plain("amount_paise"))
+    none = F.lit(None).cast("string")
+    told = F.struct(F.date_format("txn_date", "dd/MM/yyyy").alias("Date"), F.concat(F.lit("T"), "txn_id", F.lit(" "), "narration").alias("Narration"), plain("debit_paise").alias("Debit"), plain("credit_paise").alias("Credit"), signed.alias("Amount"))
+    more = F.struct(none.alias("Date"), F.lit("and more").alias("Narration"), none.alias("Debit"), none.alias("Credit"), none.alias("Amount"))
+    lines = t.select("txn_id", F.explode(F.when(F.col("txn_id") % 9 == 4, F.array(told, more)).otherwise(F.array(told))).alias("x")).select("txn_id", "x.*")
+    for k, (cols, sep) in enumerate([(("Date", "Narration", "Debit", "Credit"), ","), (("Date", "Credit", "Narration", "Debit"), ","), (("Narration", "Date", "Amount"), ";")]):
+        lines.where(F.col("txn_id") % 3 == k).select(*cols).write.csv(f"{path}/{k}", header=True, sep=sep)
+    return statements.typed(statements.read_delimited(spark, f"{path}/*")).select("narration", "txn_date", "direction", "amount_paise")
+
+
 # ---- consolidation
 
 _FILES = """f1 as (select statement_id * 2 as file_id, account_id, txn_date, row_index, direction, amount_paise, balance_paise, narration from txn where txn_id % 7 <> 3 or month(txn_date) < 7),

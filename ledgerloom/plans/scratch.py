@@ -29,9 +29,8 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir and read back; without that setting a local master uses a folder of its own."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; without that setting a local master uses a folder of its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -40,9 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         if sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
         base = _own[sc.applicationId]
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read back: cuts lineage, survives lost executors."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 

@@ -98,6 +98,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_
 
     Files of one separator and encoding are one scan. Narrower lines end in nulls. A line with neither date nor amount continues the
     narration of the row before it in its file; other undated lines and repeated headers are left out. n orders a file's rows.
+    In a file with a negative lone amount, those without a sign are credits.
     A file with a problem is one row with its name alone; ValueError if every file has one.
     """
     known = stored(layouts(spark, path, sep, head_lines, most_columns), "layouts")
@@ -129,6 +130,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_
     more = more.where("n is not null").groupBy("file", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), " ").alias("more"))
     out = rows.where("dated").join(more, ["file", "n"], "left").withColumn("narration", F.nullif(F.concat_ws(" ", "narration", "more"), F.lit("")))
     bad = known.where("problem is not null").select("file", F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("string").alias(f) for f in HEADERS], "problem")
+    out = _signed_files(out.select("file", "n", *HEADERS))
     return out.select("file", "n", *HEADERS, F.lit(None).cast("string").alias("problem")).unionByName(bad)
 
 
@@ -149,6 +151,11 @@ def read_json(spark: SparkSession, path: str, list_keys: tuple[str, ...] = ("tra
             flat.append(name)
     m = map_headers([x.split(".")[-1] for x in flat])
     rows = df.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), *[(F.col(flat[m[f]]) if f in m else F.lit(None).cast("string")).alias(f) for f in HEADERS])
+    return _signed_files(rows)
+
+
+def _signed_files(rows: DataFrame) -> DataFrame:
+    """rows with credits from lone amounts without a sign, in files that have a negative one."""
     signed = rows.groupBy("file").agg(F.max(F.col("amount").rlike(r"^\s*-")).alias("signed"))
     lone = F.col("debit").isNull() & F.col("credit").isNull() & F.col("signed") & ~F.col("amount").rlike(r"^\s*-")
     return rows.join(signed, "file").withColumn("credit", F.when(lone, F.col("amount")).otherwise(F.col("credit"))).drop("signed")

@@ -73,3 +73,16 @@ def test_decisions(spark):
     rows = spark.createDataFrame([("p", None, None, None, None), ("p", "Old", False, None, None), ("q", None, True, None, None), (None, None, None, None, None)], "party_key string, category string, needs_review boolean, method string, confidence double")
     got = classify.propagate(rows, spark.createDataFrame([("p", "New")], "party_key string, category string"))
     assert sorted((x.party_key or "", x.category or "", x.method or "") for x in got.collect()) == [("", "", ""), ("p", "New", "counterparty_memory"), ("p", "Old", ""), ("q", "", "")]
+
+
+def test_alert_fields_by_neighbouring_words(spark):
+    said = [
+        ("Rs.1,250.50 debited from A/c no. XX1234 on 05-Jan-2024 to shop.name@okbank. UPI Ref No: 412345678901. Avail Bal: Rs 9,000", 125050, "1234", "shop.name@okbank", 900000, "412345678901", "05-Jan-2024"),
+        ("INR 500 paid to BLUE HARBOUR & CO on 5 Feb 24 ref AB12CD34. Balance is INR 10.5", 50000, None, "BLUE HARBOUR & CO", 1050, "AB12CD34", "5 Feb 24"),
+        ("₹75 spent using card ending 9876 at TEA HOUSE.", 7500, "9876", "TEA HOUSE", None, None, None),
+        ("credited to account **4321 Rs 12.345", None, "4321", None, None, None, None),
+        ("paid", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(said)], "i int, said string")
+    got = df.select("i", *[c.alias(k) for k, c in alerts.fields(F.col("said")).items()]).orderBy("i").collect()
+    assert [(r.amount_paise, r.last4, r.party, r.balance_paise, r.reference_no, r.day_text) for r in got] == [x[1:] for x in said]

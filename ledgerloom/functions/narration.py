@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Currencies other than the base and their decimals.
-DECIMALS = {"USD": 2, "EUR": 2, "GBP": 2, "AED": 2, "SGD": 2, "JPY": 0, "AUD": 2, "CAD": 2, "CHF": 2}
+DECIMALS = {"USD": 2, "EUR": 2, "GBP": 2, "AED": 2, "SGD": 2, "JPY": 0, "AUD": 2, "CAD": 2, "CHF": 2, "HKD": 2, "SAR": 2, "SEK": 2}
 #: Words before a currency that make its figure a fee, and how many characters before it count.
 FEE_WORDS = "CHARGE|CHARGES|COMMISSION|FEE|FEES|GST|TCS|TDS|LEVY|WITHHOLDING"
 FEE_REACH = 24
@@ -27,20 +27,29 @@ def ocr_clean(c: Column) -> Column:
     return F.trim(F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9OoIlS.,]+$") & r.rlike("[0-9]"), F.translate(r, "OoIlS", "00115")).otherwise(r)), ""))
 
 
+def _figure(token: Column) -> Column:
+    """The number that a run of digits, commas and points is, else null: one point with one to four decimals at most, groups
+    of two or three digits after commas; a whole number without commas has three digits at most, as longer ones are codes."""
+    whole, part = F.split_part(token, F.lit("."), F.lit(1)), F.split(token, "[.]")
+    groups = F.split(whole, ",")
+    grouped = F.forall(groups, lambda g: F.length(g).between(2, 3) | (g == F.get(groups, 0)) & F.length(g).between(1, 3))
+    fits = F.when(F.size(part) == 1, grouped).when((F.size(part) == 2) & F.length(F.get(part, 1)).between(1, 4), grouped | (F.size(groups) == 1))
+    return F.when(fits, F.replace(token, F.lit(",")).try_cast("decimal(20,4)"))
+
+
 def fx_leg(c: Column, booked_paise: Column) -> Column:
     """struct(currency, amount_minor, rate decimal, quoted) of the foreign amount that a narration names, else null.
 
     Null too where a fee word stands shortly before, or where a quoted rate misses the booked amount by over 5 %.
     """
     s = F.upper(c)
-    codes, number = "|".join(DECIMALS), r"\d{1,3}(?:,\d{2,3})*(?:\.\d{1,4})?|\d+\.\d{1,4}"
-    after, before = rf"\b({codes})\s*({number})\b", rf"\b({number})\s*({codes})\b"
+    codes, run = "|".join(DECIMALS), "[0-9]+(?:[.,][0-9]+)*"
+    after, before = rf"\b({codes})\s*({run})\b", rf"\b({run})\s*({codes})\b"
     leads = s.rlike(after)
     code = F.when(leads, F.regexp_extract(s, after, 1)).otherwise(F.regexp_extract(s, before, 2))
-    value = F.replace(F.when(leads, F.regexp_extract(s, after, 2)).otherwise(F.regexp_extract(s, before, 1)), F.lit(","))
+    value = _figure(F.when(leads, F.regexp_extract(s, after, 2)).otherwise(F.regexp_extract(s, before, 1)))
     place = F.when(leads, F.regexp_instr(s, F.lit(after))).otherwise(F.regexp_instr(s, F.lit(before)))
     lead = F.substring(s, F.greatest(place - FEE_REACH, F.lit(1)), F.least(place - 1, F.lit(FEE_REACH)))
-    value = F.nullif(value, F.lit("")).cast("decimal(20,4)")
     scale = F.when(code == "JPY", 1).otherwise(100)
     minor = F.round(value * scale).cast("long")
     rate = F.nullif(F.regexp_extract(s, r"(?:@|\bRATE\b)\s*:?\s*(\d+(?:\.\d{1,6})?)", 1), F.lit("")).cast("decimal(16,6)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _PASS_B, _SKELETON, FINDINGS_SQL, TODAY, _cases, query
 from .functions import cells, text
-from .operators import anomalies, classify, consolidation, credit, entities, fx, matching, policy, scoping, timeseries, validation
+from .operators import anomalies, classify, consolidation, credit, entities, fx, learned, matching, policy, scoping, timeseries, validation
 from .plans.ledger import BOOKS_SQL, COPIES_SQL, RATES_SQL, books, rates, read, with_copies
 from .plans.scratch import folder
 from .sources import statements
@@ -402,6 +402,35 @@ def j14_suggestions(t, spark, sf_dir):
     return matching.suggestions(b.join(m, "book_id", "left_anti"), t.join(m, "txn_id", "left_anti"))
 
 
+# ---- the learned category model
+
+
+_MODEL_SIDES = """s as (select txn_id, case when txn_id % 7 > 0 then 'C' || txn_id % 3 end as rule_category, case txn_id % 7 when 0 then 0 when 1 then 40 when 2 then 50 when 3 then 79 when 4 then 80 when 5 then 99 else 110 end as rule_score, txn_id % 11 = 0 as rule_ambiguous,
+  case when txn_id % 13 > 0 then 'C' || txn_id % 2 end as ml_category, case when txn_id % 13 > 0 then (txn_id % 17) / 16.0::double end as ml_confidence, txn_id % 5 as known_words, 4 as told_words from txn)"""
+
+
+@query(f"""+ {_MODEL_SIDES}, f as (select *, ml_category is not null and known_words >= 2 as ok, rule_category is not null and rule_score >= 80 and not rule_ambiguous as high, coalesce(rule_category is not null and rule_score between 50 and 79, false) as med, coalesce(rule_category = ml_category, false) as same from s),
+g as (select *, ok and ml_confidence >= 0.70 as acc, ok and ml_confidence >= 0.85 as strong from f),
+m as (select *, case when high and same then 'hybrid' when high and strong and rule_score < 100 then 'unresolved' when high then 'rule' when med and same and acc then 'hybrid' when med and strong then 'ml' when med then 'unresolved' when acc then 'ml' else 'unresolved' end as method from g)
+select txn_id, method, case method when 'hybrid' then rule_category when 'rule' then rule_category when 'ml' then ml_category end as category,
+case method when 'hybrid' then greatest(round(least(rule_score / 110.0::double, 0.99), 4), ml_confidence) when 'rule' then round(least(rule_score / 110.0::double, 0.99), 4) when 'ml' then ml_confidence end as confidence, method = 'unresolved' as needs_review from m""")
+def k5_hybrid_decision(t, spark, sf_dir):
+    k = F.col("txn_id")
+    named = lambda n: F.concat(F.lit("C"), (k % n).cast("string"))
+    score = F.element_at(F.array(*map(F.lit, (0, 40, 50, 79, 80, 99, 110))), (k % 7 + 1).cast("int"))
+    said = (k % 13) > 0
+    x = t.select("txn_id", F.when(k % 7 > 0, named(3)).alias("rule_category"), score.alias("rule_score"), (k % 11 == 0).alias("rule_ambiguous"), F.when(said, named(2)).alias("ml_category"), F.when(said, k % 17 / 16).alias("ml_confidence"), (k % 5).alias("known_words"), F.lit(4).alias("told_words"))
+    return learned.decide(x).select("txn_id", "method", "category", "confidence", "needs_review")
+
+
+@query()
+def k4_learned_categories(t, spark, sf_dir):
+    """Categories learned from the ledger's own flow words on three templates in four, predicted for every row."""
+    flows = t.join(classify.describe(t).select("txn_id", F.col("flow").alias("category")), "txn_id")
+    model = learned.fit(flows.where(~learned.held_out(learned.template(F.col("narration")), 1, 25)))
+    return model.predict(flows).select("txn_id", "category", "ml_category", F.round("ml_confidence", 6).alias("ml_confidence"), "known_words", "told_words")
+
+
 # ---- currency
 
 

@@ -245,14 +245,22 @@ class Labeller:
 
 
 def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from the rows of docs with text and language, at most about `most_rows` of them by hash of the id.
+    """A model from the rows of docs with text and language, at most about `most_rows` of them by hash of id and text.
 
-    Counts are summed by Spark; the driver gets one table of hashed counts. No usable row: no language.
+    Where rows repeat so much that this takes far too many or too few, each different row counts once. Counts are summed by Spark; the driver gets one table of hashed counts. No usable row: no language.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = rows.select(id_col, lang_col).count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * most_rows / n))
+    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(11), F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
+
+    def part(of: DataFrame, n: int) -> DataFrame:
+        return of if n <= most_rows else of.where(F.pmod("h", F.lit(1 << 20)) < max(1, int((1 << 20) * most_rows / n)))
+
+    n = rows.select("lang").count()
+    drawn = part(rows, n)
+    if n > most_rows and not most_rows // 4 <= drawn.select("h").count() <= 4 * most_rows:
+        rows = rows.dropDuplicates(["h"])
+        drawn = part(rows, rows.select("h").count())
+    rows = drawn
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -270,8 +278,7 @@ def fit(docs: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_c
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["lang", "b", "n"])
 
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    got = rows.mapInArrow(frugal(count), "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("text", "lang").mapInArrow(frugal(count), "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((_H + _N_SCRIPTS, len(langs)), np.int64)
     if langs:

@@ -683,3 +683,16 @@ def test_pipeline(spark, tmp_path, docs):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
     assert 2 in ids and not ids & {1, 3, 4, 5, 6, 7, 9} and 8 in ids
+
+
+def test_language_sample_of_repeated_and_null_ids(spark):
+    """Rows of one id, or without ids, are sampled by their texts; rows that are all alike still teach their language."""
+    words = {"en": "the cat and the dog are here with number", "de": "der hund und die katze sind da mit nummer"}
+    rows = [(9 if i % 2 else None, f"{words[lang]} {i}", lang) for i in range(3000) for lang in words]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=500)
+    assert model.langs == ["de", "en"]
+    same = spark.createDataFrame([(9, words[lang], lang) for _ in range(1500) for lang in words], "doc_id long, text string, lang string")
+    model = langid.fit(same, most_rows=500)
+    assert model.langs == ["de", "en"]
+    got = langid.predict(spark.createDataFrame([(1, words["de"], None)], "doc_id long, text string, lang string"), model).first()
+    assert got.lang_pred == "de"

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from .catalog import _PASS_B, _SKELETON, FINDINGS_SQL, TODAY, _cases, query
 from .functions import cells, text
-from .operators import anomalies, classify, consolidation, credit, entities, fx, learned, matching, policy, scoping, timeseries, validation
+from .operators import anomalies, blockers, classify, consolidation, credit, entities, fx, learned, matching, policy, scoping, timeseries, validation
 from .plans.ledger import BOOKS_SQL, COPIES_SQL, RATES_SQL, books, rates, read, with_copies
 from .plans.scratch import folder
-from .sources import statements
+from .sources import ledger_store, statements
 
 _COMPACT = "regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9]', '', 'g')"
 
@@ -402,6 +402,35 @@ def j14_suggestions(t, spark, sf_dir):
     return matching.suggestions(b.join(m, "book_id", "left_anti"), t.join(m, "txn_id", "left_anti"))
 
 
+# ---- before a run, and what is written
+
+
+@query("""+ s as (select account_id, min(txn_date) as f, max(txn_date) as u, statement_id % 4 <> 1 as ok from txn group by statement_id, account_id),
+r as (select account_id * 100 + i as run_id, account_id, (date '1996-01-15' + to_months(4 * i::int))::date as f, (date '1996-01-15' + to_months(4 * i::int + 3))::date as u, account_id % 6 = 5 as force from (select distinct account_id from txn) a, range(0, 15) t(i)),
+d as (select account_id, count(*) as pending from txn where txn_id % 400 = 7 group by 1)
+select run_id, count(s.account_id) as unreconciled, coalesce(any_value(pending), 0)::bigint as pending, not any_value(force) and count(s.account_id) + coalesce(any_value(pending), 0) > 0 as blocked
+from r left join s on s.account_id = r.account_id and not s.ok and s.f <= r.u and s.u >= r.f left join d on d.account_id = r.account_id group by run_id""")
+def j1_preflight(t, spark, sf_dir):
+    statements_ = t.groupBy("statement_id", "account_id").agg(F.min("txn_date").alias("period_from"), F.max("txn_date").alias("period_to")).withColumn("reconciled", F.col("statement_id") % 4 != 1)
+    start = lambda extra: F.add_months(F.lit("1996-01-15").cast("date"), F.col("i") * 4 + extra)
+    runs = t.select("account_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(14))))
+    runs = runs.select((F.col("account_id") * 100 + F.col("i")).alias("run_id"), "account_id", start(0).alias("period_from"), start(3).alias("period_to"), (F.col("account_id") % 6 == 5).alias("force"))
+    return blockers.preflight(runs, statements_, t.where("txn_id % 400 = 7"))
+
+
+@query("""select txn_id, statement_id, case when statement_id % 5 = 0 then 'AGAIN ' || narration else narration end as narration, case when statement_id % 5 = 0 then 'second' else 'first' end as written_by
+from txn where not (statement_id % 5 = 0 and txn_id % 3 = 0) and statement_id % 50 <> 7""")
+def sk3_replace_statements(t, spark, sf_dir):
+    """The ledger written, every fifth statement parsed again with fewer rows (twice), and some parsed to nothing."""
+    path = folder(spark, "ledger")
+    ledger_store.replace_statements(ledger_store.canonical(t, "first"), path, buckets=8)
+    again = t.where("statement_id % 5 = 0 and txn_id % 3 <> 0").withColumn("narration", F.concat(F.lit("AGAIN "), "narration"))
+    gone = t.where("statement_id % 5 = 0 or statement_id % 50 = 7").select("statement_id").distinct()
+    for _ in range(2):
+        ledger_store.replace_statements(ledger_store.canonical(again, "second"), path, gone, buckets=8)
+    return ledger_store.read_ledger(spark, path).select("txn_id", "statement_id", "narration", "written_by")
+
+
 # ---- the learned category model
 
 

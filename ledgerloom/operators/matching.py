@@ -240,8 +240,12 @@ def group_matches(targets: DataFrame, target: str, target_day: str, pool: DataFr
 
     def search(batches):
         for b in batches:
-            got = [deal_groups(w, [(p["id"], p["amount"]) for p in ps], r) for w, ps, r in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(got, pa.list_(pa.int64()))], [target, "whole", "rank", "parts"])
+            got, hope = [], []
+            for w, ps, r in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                rows = [(p["id"], p["amount"]) for p in ps]
+                hope.append(parts_of(w, rows) is not None)
+                got.append(deal_groups(w, rows, r) if hope[-1] and r <= MOST_CANDIDATES // 2 else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64())), pa.array(hope)], [target, "whole", "parts", "hope"])
 
     for _ in range(most_rounds):
         small = pool.select(part, *key, part_day, "amount_paise")
@@ -250,21 +254,20 @@ def group_matches(targets: DataFrame, target: str, target_day: str, pool: DataFr
             near = near.join(rejected.select(target, part).distinct(), [target, part], "left_anti")
         near = near.withColumn("k", F.row_number().over(Window.partitionBy(target).orderBy("gap", part))).where(F.col("k") <= MOST_CANDIDATES)
         pools = near.groupBy(target, "whole").agg(F.sort_array(F.collect_list(F.struct("k", F.col(part).alias("id"), F.col("amount_paise").alias("amount")))).alias("pool")).where(F.size("pool") > 1)
-        # a pool has no more than so many groups of two: of a crowd, the others wait for the next round
+        # a pool has no more than 15 groups of two: of a crowd, the others wait for the next round
         pools = pools.withColumn("rank", F.row_number().over(Window.partitionBy("whole", "pool").orderBy(target)))
-        pools = stored(pools.withColumn("waits", F.col("rank") > MOST_CANDIDATES // 2), "pools")
-        tried = stored(pools.where("not waits").drop("waits").mapInArrow(search, f"{target} long, whole long, rank int, parts array<bigint>"), "groups")
+        tried = stored(pools.mapInArrow(search, f"{target} long, whole long, parts array<bigint>, hope boolean"), "groups")
         found = tried.where("parts is not null")
         each = found.select(target, "whole", F.explode("parts").alias(part), F.size("parts").alias("n"))
         first = each.groupBy(part).agg(F.min_by(F.struct(target, "n"), F.struct(-F.col("whole"), target)).alias("x")).select(part, "x.*")
         whole = first.groupBy(target).agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).where("m = n").select(target)
         won = stored(each.join(whole, target).select(target, part), "groups-chosen")
         taken = won if taken is None else taken.unionByName(won)
-        # who lost a part, came after another target or waits looks again; a target that is first and finds nothing is done
-        again = tried.where("parts is not null or rank > 1").select(target).unionByName(pools.where("waits").select(target)).join(won.select(target).distinct(), target, "left_anti")
+        # who lost a part or stood behind others of its crowd looks again; whose pool has no group for any of them is done
+        again = tried.where("hope").select(target).join(won.select(target).distinct(), target, "left_anti")
         rest = stored(left.join(again, target, "left_semi"), "targets")
         fewer = stored(small.join(won.select(part), part, "left_anti"), "pool")
-        discard(pools, tried)
+        discard(tried)
         left, pool = rest, fewer
         if left.isEmpty():
             return taken

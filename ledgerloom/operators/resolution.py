@@ -99,7 +99,7 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     """a, b (a < b): pairs of forms that one kind of evidence could join, each found by a key made for that evidence.
 
     Equal keys: the same consonants, the same words in any order, one letter left out (so one letter changed, added or
-    lost), one identifier; numbers in a name are part of these keys, as no evidence outweighs different numbers. Keys of a
+    lost, words in their order or sorted), one identifier; numbers in a name are part of these keys, as no evidence outweighs different numbers. Keys of a
     whole form that meet parts of longer ones: the form itself as a start or end of `affix` letters and more, its two
     longest words as any two words, its letters as first letters of words, its initials beside full words. A pair is
     found by the keys alone: no block of names that merely look alike is compared all with all.
@@ -111,11 +111,13 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     none = F.array().cast("array<string>")
     sure = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     skeleton = text.skeleton(letters)
-    minus = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters), F.lit(1))), lambda i: F.concat(F.substring(letters, F.lit(1), i - 1), F.substring(letters, i + 1, F.length(letters))))
+    # in the name's order and in that of its words, so that a misspelt name is found with its words in another order too
+    ordered = F.regexp_replace(F.array_join(F.sort_array(words), ""), "[^A-Z]", "")
+    less = lambda c: F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))), c)
     both = F.concat(
         F.array(key("S", F.array_join(F.sort_array(words), ""))),
         F.when(F.length(skeleton) >= 2, F.array(key("P", F.concat_ws("#", skeleton, number)))).otherwise(none),
-        F.when(F.length(letters) >= 5, F.transform(F.array_append(minus, letters), lambda w: key("D", F.concat_ws("#", w, number)))).otherwise(none),
+        F.when(F.length(letters) >= 5, F.transform(F.concat(less(letters), less(ordered)), lambda w: key("D", F.concat_ws("#", w, number)))).otherwise(none),
         F.transform("ids", lambda i: key("ID", i)),
     )
     long_first = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))

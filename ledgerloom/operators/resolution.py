@@ -102,7 +102,8 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     lost, words in their order or sorted), one identifier; numbers in a name are part of these keys, as no evidence outweighs different numbers. Keys of a
     whole form that meet parts of longer ones: the form itself as a start or end of `affix` letters and more, its two
     longest words as any two words, its letters as first letters of words, its initials beside full words. A pair is
-    found by the keys alone: no block of names that merely look alike is compared all with all.
+    found by the keys alone: no block of names that merely look alike is compared all with all. The keys of a form take the
+    square of its length: it is for names, not for texts.
     """
     x = f.where(F.length("form") >= 3)
     letters, words, n = F.regexp_replace("form", "[^A-Z]", ""), F.col("words"), F.length("form")

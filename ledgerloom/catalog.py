@@ -581,7 +581,7 @@ def k20_merge_suggestions(t, spark, sf_dir):
     return similarity.merge_suggestions(read(spark, sf_dir, "part"), "p_name", 4)
 
 
-from . import catalog_more, catalog_names, catalog_text  # noqa: E402, F401  register their queries
+from . import catalog_books, catalog_more, catalog_names, catalog_text  # noqa: E402, F401  register their queries
 
 
 def entry(spark: SparkSession) -> DataFrame:

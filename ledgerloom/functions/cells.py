@@ -10,11 +10,13 @@ MONTHS = "JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC"
 
 
 def signed_paise(c: Column) -> Column:
-    """Minor units of a books cell: parentheses or a leading minus are negative, Dr and Cr are dropped; null if unreadable."""
+    """Minor units of a books cell, halves to even: parentheses or a leading minus are negative, Dr, Cr and currency signs are dropped; null if unreadable."""
     s = F.trim(F.regexp_replace(F.upper(c), r"(CR|DR)\.?\s*$", ""))
-    bare = F.regexp_replace(s, r"[,\s()-]", "")
-    value = F.round(F.when(bare.rlike(r"^\d{1,14}(\.\d+)?$"), bare.cast("decimal(24,6)")) * 100).cast("long")
-    return F.when(s.rlike(r"^(\(|-)"), -value).otherwise(value)
+    held = s.rlike(r"^\(.*\)$")
+    bare = F.regexp_replace(s, r"[^0-9.-]", "")
+    digits = F.regexp_replace(bare, "^-", "")
+    value = F.bround(F.when(digits.rlike(r"^(\d{1,14}\.?\d*|\.\d+)$"), digits.cast("decimal(24,6)")) * 100, 0).cast("long")
+    return F.when(held | bare.startswith("-"), -value).otherwise(value)
 
 
 def major(c: Column) -> Column:

@@ -93,6 +93,23 @@ def layouts(spark: SparkSession, path: str, sep: str | None = None, head_lines:
     return heads.join(told, "file").mapInPandas(place, _LAYOUT)
 
 
+def cells_of(spark: SparkSession, known: DataFrame) -> DataFrame | None:
+    """file, block, at (which orders a block's lines) and cells of every line that is not blank of the files in known (see layouts).
+
+    Files of one separator and encoding are one scan; None if known is empty.
+    """
+    rows = None
+    for s in known.groupBy("sep", "encoding").agg(F.max("width").alias("width"), F.collect_list("file").alias("files")).collect():
+        how = {"encoding": "ISO-8859-1" if s.encoding == "windows-1252" else s.encoding} | ({"multiLine": True} if s.encoding == "UTF-16" else {})
+        raw = spark.read.csv(s.files, sep=s.sep, header=False, schema=", ".join(f"c{i} string" for i in range(s.width)), mode="PERMISSIVE", **how)
+        cells = F.array(*raw.columns)
+        if s.encoding == "windows-1252":
+            cells = F.transform(cells, lambda c: F.translate(c, "".join(_WINDOWS), "".join(_WINDOWS.values())))
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"))
+        rows = raw if rows is None else rows.unionByName(raw)
+    return rows
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
     """Rows of the delimited files of a path, each read by its own header, separator, width and encoding (see layouts).
 
@@ -102,19 +119,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_
     A file with a problem is one row with its name alone; ValueError if every file has one.
     """
     known = stored(layouts(spark, path, sep, head_lines, most_columns), "layouts")
-    scans = known.where("problem is null").groupBy("sep", "encoding").agg(F.max("width").alias("width"), F.collect_list("file").alias("files")).collect()
-    if not scans:
+    rows = cells_of(spark, known.where("problem is null"))
+    if rows is None:
         bad = known.select("problem", "width").first()
         raise ValueError(f"no header row in the first {head_lines} lines" if bad is None or bad.problem == "no_header" else f"a line of {bad.width} columns")
-    rows = None
-    for s in scans:
-        how = {"encoding": "ISO-8859-1" if s.encoding == "windows-1252" else s.encoding} | ({"multiLine": True} if s.encoding == "UTF-16" else {})
-        raw = spark.read.csv(s.files, sep=s.sep, header=False, schema=", ".join(f"c{i} string" for i in range(s.width)), mode="PERMISSIVE", **how)
-        cells = F.array(*raw.columns)
-        if s.encoding == "windows-1252":
-            cells = F.transform(cells, lambda c: F.translate(c, "".join(_WINDOWS), "".join(_WINDOWS.values())))
-        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"))
-        rows = raw if rows is None else rows.unionByName(raw)
     cell = lambda f: F.nullif(F.trim(F.get("cells", F.col(f"{f}_at"))), F.lit(""))
     rows = rows.join(known.select("file", "header_at", *_PLACES), "file").select("file", "block", "at", "header_at", *[cell(f).alias(f) for f in HEADERS])
     named = F.lower("date").isin(HEADERS["date"])

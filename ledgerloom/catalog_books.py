@@ -1,10 +1,13 @@
-"""Queries over books files, with their SQL."""
+"""Queries over books files and over decisions about parties, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query
+from .catalog import _SKELETON, query
+from .functions import text
+from .operators import memory
+from .plans.ledger import read
 from .plans.scratch import folder
 from .sources import books
 
@@ -79,3 +82,46 @@ def sc28_books_roles(t, spark, sf_dir):
     swapped = F.col("debit_out")
     return by.select(_account(), "is_statement", "header_at", "entry_date", "narration", F.when(swapped, F.col("money_out")).otherwise(F.col("money_in")).alias("money_in"),
                      F.when(swapped, F.col("money_in")).otherwise(F.col("money_out")).alias("money_out"), "debit_out")
+
+
+# ---- decisions about parties
+
+
+@query("""select txn_id, regexp_matches(narration, '(^|[^A-Z0-9])(LOAN|SALARY|BILL)([^A-Z0-9]|$)') as said from txn""")
+def r20_damaged_words(t, spark, sf_dir):
+    """Words found in narrations whose letters are damaged; the SQL looks for them in the sound ones."""
+    return t.select("txn_id", text.says(F.translate("narration", "OISBL", "01581"), "loan", "salary", "bill").alias("said"))
+
+
+_L, _D = "length(regexp_replace(w, '[^A-Z]', '', 'g'))", "length(regexp_replace(w, '[^0-9]', '', 'g'))"
+_REPAIRED = "array_to_string(list_transform(string_split({0}, ' '), lambda w: case when " + f"{_L} >= 2 and {_D} > 0 and {_D} * 2 <= {_L}" + " then translate(w, '0158', 'OISB') else w end), ' ')"
+_SPELT = "case {0} % 4 when 1 then translate(name, 'OS', '05') when 2 then replace(name, 'A', 'AE') else name end"
+
+
+def _spelt(k):
+    name = F.col("name")
+    return F.when(k % 4 == 1, F.translate(name, "OS", "05")).when(k % 4 == 2, F.replace(name, F.lit("A"), F.lit("AE"))).otherwise(name)
+
+
+@query(f"""+ p as (select p_partkey as id, p_partkey // 40 as owner, upper(p_name || ' ' || p_type) as name, p_size from part),
+e as (select owner, {_SPELT.format("id")} as key, 'C' || p_size % 3 as category, id from p where id % 3 = 0),
+ch as (select *, (lag(category) over w is distinct from category)::int as c from e window w as (partition by owner, key order by id)),
+ru as (select *, sum(c) over (partition by owner, key order by id rows unbounded preceding) as run from ch),
+g as (select owner, key, run, any_value(category) as category, count(*) as confirmed from ru group by 1, 2, 3),
+m as (select owner, key, arg_max(category, run) as category, arg_max(confirmed, run) as confirmed from g group by 1, 2),
+s0 as (select *, {_SKELETON.format("key")} as lookup from m),
+s1 as (select *, min(category) over w as a, max(category) over w as z, row_number() over (partition by owner, lookup order by confirmed desc, key) as r from s0 where length(lookup) >= 6 window w as (partition by owner, lookup)),
+i0 as (select owner, key as lookup, 0 as rank, 'exact' as "by", key, category, confirmed from m union all select owner, {_REPAIRED.format("key")}, 1, 'repaired', key, category, confirmed from m
+  union all select owner, lookup, 2, 'skeleton', key, category, confirmed from s1 where a = z and r = 1),
+i as (select * from (select *, row_number() over (partition by owner, lookup order by rank, confirmed desc, key) as n from i0) where n = 1),
+q0 as (select id, owner, case when id // 3 % 4 = 3 then null else {_SPELT.format("(id // 3)")} end as name from p), q1 as (select id, owner, {_REPAIRED.format("name")} as key from q0), q as (select *, {_SKELETON.format("key")} as sk from q1)
+select id, q.key as asked, coalesce(a.category, b.category) as category, coalesce(a.confirmed, b.confirmed) as confirmed, coalesce(a."by", b."by") as "by", coalesce(a.key, b.key) as of_key
+from q left join i a on a.owner = q.owner and a.lookup = q.key left join i b on b.owner = q.owner and b.lookup = q.sk""")
+def k18_party_memory(t, spark, sf_dir):
+    """Decisions about parties in sound, damaged and other spellings, looked up by rows in other spellings again; a quarter of the rows has no party."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 40).alias("owner"), F.upper(F.concat("p_name", F.lit(" "), "p_type")).alias("name"), "p_size")
+    told = p.where("id % 3 = 0").select("owner", _spelt(F.col("id")).alias("key"), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string")).alias("category"), "id")
+    third = F.floor(F.col("id") / 3)
+    rows = p.select("id", "owner", text.repaired(F.when(third % 4 != 3, _spelt(third))).alias("key")).withColumn("skeleton", text.skeleton(F.col("key")))
+    hits = memory.lookup(rows, memory.index(memory.decided(told, "owner", "key", "category", ["id"])))
+    return hits.select("id", F.col("key").alias("asked"), "hit.category", "hit.confirmed", "hit.by", F.col("hit.key").alias("of_key"))

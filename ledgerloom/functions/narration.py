@@ -69,12 +69,13 @@ def effective_rate(leg: Column, booked_paise: Column) -> Column:
 def party(c: Column) -> Column:
     """Key of the other party: the first part of a narration that is a name, without legal form, long numbers and endings.
 
-    One word with three digits and more is a code, not a name. Null for cash, charges and the like, and where no part
+    One word with three digits and more, or with any right after NEFT or RTGS, is a code, not a name. Null for cash, charges and the like, and where no part
     has three letters in a row.
     """
     s = F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"\s+", " "), r"^RTN: ?", ""))
     parts = F.transform(F.split(s, r"[-/:*]+"), lambda p: F.trim(p))
-    names = F.filter(parts, lambda p: p.rlike("[A-Z]{3,}") & ~p.rlike(f"^({RAILS})( (DR|CR))?$") & ~p.rlike("^(?=(.*[0-9]){3})[A-Z0-9]+$") & ~p.contains("@"))
+    number = lambda p, i: p.rlike("^[A-Z]*[0-9]+[A-Z0-9]*$") & F.coalesce(F.get(parts, i - 1).isin("NEFT", "RTGS"), F.lit(False))
+    names = F.filter(parts, lambda p, i: ~number(p, i) & p.rlike("[A-Z]{3,}") & ~p.rlike(f"^({RAILS})( (DR|CR))?$") & ~p.rlike("^(?=(.*[0-9]){3})[A-Z0-9]+$") & ~p.contains("@"))
     key = F.regexp_replace(F.get(names, 0), "[^A-Z0-9& ]", " ")
     key = F.regexp_replace(F.regexp_replace(key, rf"\b({FORMS})\b", " "), r"\b\d{5,}\b", " ")
     key = F.regexp_replace(F.trim(F.regexp_replace(key, " +", " ")), rf"( ({TAILS}))+$", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,29 @@ def skeleton(c: Column) -> Column:
     return F.substring(F.regexp_replace(s, r"(.)\1+", "$1"), 1, 12)
 
 
+#: Digits that scans put for letters; letters and all that scans make of them.
+READ_AS = {"0": "O", "1": "I", "5": "S", "8": "B"}
+SCANNED = {"O": "O0", "I": "I1", "S": "S5", "B": "B8", "L": "L1"}
+
+
+def repaired(c: Column) -> Column:
+    """Upper-cased text whose words of two letters or more, with at most half as many digits, have letters for digits that scans confuse; numbers stay."""
+    runs = F.regexp_extract_all(F.upper(c), F.lit(r"[A-Z0-9]+|[^A-Z0-9]+"), 0)
+    letters, digits = lambda w: F.length(F.regexp_replace(w, "[^A-Z]", "")), lambda w: F.length(F.regexp_replace(w, "[^0-9]", ""))
+    damaged = lambda w: (letters(w) >= 2) & (digits(w) > 0) & (digits(w) * 2 <= letters(w))
+    return F.array_join(F.transform(runs, lambda w: F.when(damaged(w), F.translate(w, "".join(READ_AS), "".join(READ_AS.values()))).otherwise(w)), "")
+
+
+def tolerant(word: str) -> str:
+    """A pattern of a word as scans may have left it."""
+    return "".join(f"[{SCANNED[x]}]" if x in SCANNED else re.escape(x) for x in word.upper())
+
+
+def says(c: Column, *words: str) -> Column:
+    """Whether a text has one of the words as a whole, in its own or a scan's spelling; null for null."""
+    return F.upper(c).rlike(rf"(?<![A-Z0-9])({'|'.join(tolerant(w) for w in words)})(?![A-Z0-9])")
+
+
 def row_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import _SKELETON, query
 from .functions import text
-from .operators import memory
+from .operators import consolidation, memory
 from .plans.ledger import read
 from .plans.scratch import folder
 from .sources import books
@@ -84,6 +85,15 @@ def sc28_books_roles(t, spark, sf_dir):
                      F.when(swapped, F.col("money_in")).otherwise(F.col("money_out")).alias("money_out"), "debit_out")
 
 
+@query("""select txn_id, case when txn_id % 10 = 0 or count(*) over (partition by account_id) > 1 then direction end as direction, txn_id % 10 <> 0 and count(*) over (partition by account_id) > 1 as by_place from txn""")
+def r17_sides_by_place(t, spark, sf_dir):
+    """An account's rows as one printed statement whose amounts stand in two unnamed columns, debits on the left of even accounts and on the right of odd ones; one row in ten tells its side."""
+    left = (F.col("direction") == "debit") == (F.col("account_id") % 2 == 0)
+    n = F.row_number().over(Window.partitionBy("account_id").orderBy("txn_date", "txn_id"))
+    rows = t.select("txn_id", F.col("account_id").alias("file"), n.alias("n"), (F.when(left, 400).otherwise(470) + F.col("txn_id") % 7 / 2).alias("at"), "amount_paise", "balance_paise", F.when(F.col("txn_id") % 10 == 0, F.col("direction")).alias("direction"))
+    return consolidation.sides_by_place(rows).select("txn_id", "direction", "by_place")
+
+
 # ---- decisions about parties
 
 

@@ -142,6 +142,32 @@ def oldest_first(rows: DataFrame) -> DataFrame:
     return x.withColumn("at", turned).select("statement_id", "txn_id", F.row_number().over(w.orderBy("at", "txn_id")).cast("long").alias("row_index"))
 
 
+def sides_by_place(rows: DataFrame, least_gap: float = 8.0) -> DataFrame:
+    """rows (file, n gapless, at, amount_paise, balance_paise, direction) with missing directions told by where amounts stand, and `by_place` true there.
+
+    The widest gap between the places of a file's amounts (the rightmost of equals, wider than least_gap) parts two columns;
+    without it all are the left one. Rows whose balance moves by just their amount from row n - 1 vote whether the left
+    column is debits, which it is on a tie. A file with fewer than two places to look at, and rows without a place, stay as they are.
+    """
+    spots = rows.where("at is not null").groupBy("file", "at").agg(F.count("*").alias("amounts"))
+    spots = spots.withColumn("next", F.lead("at").over(Window.partitionBy("file").orderBy("at")))
+    widest = F.max(F.when(F.col("next").isNotNull(), F.struct((F.col("next") - F.col("at")).alias("gap"), "at", "next")))
+    cuts = spots.groupBy("file").agg(F.sum("amounts").alias("amounts"), widest.alias("w")).where("amounts > 1")
+    cuts = cuts.select("file", F.when(F.col("w.gap") > least_gap, (F.col("w.at") + F.col("w.next")) / 2).alias("cut"))
+    before = rows.select("file", (F.col("n") + 1).alias("n"), F.col("balance_paise").alias("held"))
+    step = F.col("balance_paise") - F.col("held")
+    left = F.col("cut").isNull() | (F.col("at") < F.col("cut"))
+    # 1: the row's column holds debits, -1: credits
+    kind = F.when(F.col("amount_paise") == 0, 0).when(step == -F.col("amount_paise"), 1).when(step == F.col("amount_paise"), -1).otherwise(0)
+    seen = rows.where("at is not null").select("file", "n", "at", "amount_paise", "balance_paise").join(before, ["file", "n"]).join(cuts, "file")
+    votes = seen.groupBy("file").agg(F.sum(F.when(left, kind).otherwise(-kind)).alias("votes"))
+    told = cuts.join(votes, "file", "left").select("file", "cut", (F.coalesce("votes", F.lit(0)) >= 0).alias("left_debit"), F.lit(True).alias("known"))
+    out = rows.join(told, "file", "left")
+    fill = F.col("direction").isNull() & F.col("at").isNotNull() & F.coalesce("known", F.lit(False))
+    side = F.when(left == F.col("left_debit"), "debit").otherwise("credit")
+    return out.withColumns({"by_place": fill, "direction": F.when(fill, side).otherwise(F.col("direction"))}).drop("cut", "left_debit", "known")
+
+
 def openings(accounts: DataFrame) -> DataFrame:
     """account_id, opening_paise, basis: what was typed, else the batch's, else the previous run's closing if it ends the day before, else the file's."""
     follows = F.datediff("period_from", "previous_to") == 1

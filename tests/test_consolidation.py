@@ -94,3 +94,24 @@ def test_refused_quotes_are_no_measure(spark):
     q = spark.createDataFrame([("USD", DAY + dt.timedelta(i), r) for i, r in enumerate(rates)] + [("EUR", DAY, 90)], "code string, as_of date, inr_per_unit int").selectExpr("code", "as_of", "cast(inr_per_unit as decimal(20,8)) as inr_per_unit")
     got = {(r.code, r.as_of): r.reason for r in fx.vet_quotes(q).collect()}
     assert [got["USD", DAY + dt.timedelta(i)] for i in range(7)] == [None, "not_positive", "step_too_large", None, "out_of_band", None, None] and got["EUR", DAY] is None
+
+
+def test_sides_by_place(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for file in range(6):
+        held = 10_000
+        for n in range(40):
+            side = rng.choice(["debit", "credit"]) if file < 4 else "credit"
+            paise = rng.randint(1, 500)
+            held += paise if side == "credit" else -paise
+            at = (300.0 if (side == "debit") == (file % 2 == 0) else 380.0) + rng.random() * 4
+            # some steps are broken, some balances are missing
+            rows.append((file, n, at, paise, None if n % 9 == 4 else held + (7 if n % 11 == 3 else 0), None))
+            want[file, n] = (side, True)
+    rows += [(7, 0, 300.0, 5, 100, None), (8, 0, 300.0, 5, None, None), (8, 1, 400.0, 5, None, None), (9, 0, None, 5, 100, None), (9, 1, 300.0, 5, 95, "credit"), (9, 2, 301.0, 5, 90, None)]
+    # one place alone tells nothing; without votes the left column is debits; a told side stays; no place, no side
+    want |= {(7, 0): (None, False), (8, 0): ("debit", True), (8, 1): ("credit", True), (9, 0): (None, False), (9, 1): ("credit", False), (9, 2): ("debit", True)}
+    df = spark.createDataFrame(rows, "file int, n int, at double, amount_paise long, balance_paise long, direction string")
+    assert {(r.file, r.n): (r.direction, r.by_place) for r in consolidation.sides_by_place(df).collect()} == want
+    assert consolidation.sides_by_place(df.where("false")).count() == 0

@@ -49,9 +49,11 @@ def _named(name: Column, field: str) -> Column:
 def lines(spark: SparkSession, path: str, sep: str | None = None, most_columns: int = 2000) -> DataFrame:
     """file, block, line (from 1, gapless, blank lines not counted) and cells of all files of a path, stored.
 
-    Files with a line of more than most_columns are left out; ValueError if no file is left.
+    ValueError if there is no line at all, or where a line has more than most_columns, rather than leave its file out.
     """
-    known = stored(statements.layouts(spark, path, sep, most_columns=most_columns), "books-layouts").where(F.col("width") <= most_columns)
+    known = stored(statements.layouts(spark, path, sep, most_columns=most_columns), "books-layouts")
+    if wide := known.where(F.col("width") > most_columns).first():
+        raise ValueError(f"{wide.file} has a line of {wide.width} columns")
     rows = statements.cells_of(spark, known)
     if rows is None:
         raise ValueError(f"no books in {path}")

@@ -72,6 +72,8 @@ def test_given_and_default_conventions(spark, tmp_path):
     for how in ({"convention": "x"}, {"default": "x"}):
         with pytest.raises(ValueError, match="no convention"):
             books.read_books(spark, path, **how)
+    with pytest.raises(ValueError, match="line of 4 columns"):
+        books.lines(spark, path, most_columns=3)
     with pytest.raises(ValueError, match="no books"):
         books.read_books(spark, _write(tmp_path / ".." / tmp_path.name, c="") + "/c.csv")
 

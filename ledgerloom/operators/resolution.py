@@ -80,13 +80,13 @@ def mentions(df: DataFrame, id: str, name: str, ids: str | None = None) -> DataF
 
 
 def forms(m: DataFrame) -> DataFrame:
-    """form, words (of the mention with most of them), kind (firm if any mention says so), ids, mentions: one row a form.
+    """form, words (of the mention with most of them), kind (null where some mentions say firm and others person), ids, mentions: one row a form.
 
     The identifiers of a form are gathered once each: as many as a party has, not as it has mentions.
     """
     m = m.where("form is not null")
     best = F.max_by("words", F.struct(F.size("words").alias("n"), F.array_join("words", " ").alias("w")))
-    f = m.groupBy("form").agg(best.alias("words"), F.min("kind").alias("kind"), F.count(F.lit(1)).alias("mentions"))
+    f = m.groupBy("form").agg(best.alias("words"), F.when(F.min("kind") == F.max("kind"), F.min("kind")).alias("kind"), F.count(F.lit(1)).alias("mentions"))
     i = m.select("form", F.explode("ids").alias("i")).distinct().groupBy("form").agg(F.sort_array(F.collect_list("i")).alias("ids"))
     return f.join(i, "form", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
 
@@ -112,13 +112,16 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     none = F.array().cast("array<string>")
     sure = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     skeleton = text.skeleton(letters)
-    # in the name's order and in that of its words, so that a misspelt name is found with its words in another order too
-    ordered = F.regexp_replace(F.array_join(F.sort_array(words), ""), "[^A-Z]", "")
+    # words in order after a letter was left out, so that a misspelt name is found with its words in another order too
+    lettered = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Z]", "")), lambda w: w != "")
+    sorted_text = lambda ws: F.array_join(F.sort_array(ws), "")
+    without = lambda i: F.transform(F.sequence(F.lit(1), F.length(F.get(lettered, i))), lambda j: sorted_text(F.transform(lettered, lambda w, k: F.when(k == i, F.concat(F.substring(w, F.lit(1), j - 1), F.substring(w, j + 1, F.length(w)))).otherwise(w))))
+    ordered = F.when(F.size(lettered) > 1, F.array_append(F.flatten(F.transform(lettered, lambda _, i: without(i))), sorted_text(lettered))).otherwise(F.array().cast("array<string>"))
     less = lambda c: F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))), c)
     both = F.concat(
         F.array(key("S", F.array_join(F.sort_array(words), ""))),
         F.when(F.length(skeleton) >= 2, F.array(key("P", F.concat_ws("#", skeleton, number)))).otherwise(none),
-        F.when(F.length(letters) >= 5, F.transform(F.concat(less(letters), less(ordered)), lambda w: key("D", F.concat_ws("#", w, number)))).otherwise(none),
+        F.when(F.length(letters) >= 5, F.transform(F.concat(less(letters), ordered), lambda w: key("D", F.concat_ws("#", w, number)))).otherwise(none),
         F.transform("ids", lambda i: key("ID", i)),
     )
     long_first = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
@@ -145,13 +148,23 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
+def _consonants(w: Column) -> Column:
+    """The consonants of a word, doubled letters once, an H only in front; equal ones with a vowel between them stay two, other than in a skeleton."""
+    return F.regexp_replace(F.regexp_replace(w, r"([A-Z])\1+", "$1"), "[^B-DF-HJ-NP-TV-Z]|(?<!^)H", "")
+
+
 def _alike(v: Column, w: Column) -> Column:
     """Two words may be one: an initial, a cut end, one letter of five changed, or the same consonants of four letters."""
     a, b = F.length(v), F.length(w)
     least = F.least(a, b)
     starts = v.startswith(w) | w.startswith(v)
-    sound = text.skeleton(v)
-    return (starts & ((least == 1) | (least >= 4))) | ((least >= 5) & (F.levenshtein(v, w) <= 1)) | ((least >= 4) & (F.length(sound) >= 2) & (sound == text.skeleton(w)))
+    sound = _consonants(v)
+    return (starts & ((least == 1) | (least >= 4))) | ((least >= 5) & (F.levenshtein(v, w) <= 1)) | ((least >= 4) & (F.length(sound) >= 2) & (sound == _consonants(w)))
+
+
+def _word_ends(words: Column) -> Column:
+    """Where the words end in their letters run together."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.length(F.array_join(F.slice(words, 1, i), "")))
 
 
 def known_pairs(decisions: DataFrame) -> DataFrame:
@@ -171,8 +184,9 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     lowers it: the same words in another order 960; a start of six letters and more 950 at most; the whole form at an end
     of the other 860 to 960; all words in the other 970, less 60 for each further word; first letters of the other's words
     930; words that differ in spelling only 920; a common identifier 950. A firm and a person: times 0.92. Conflicts:
-    different numbers, different identifiers of one kind, or words on both sides that the other has nothing like, take
-    all; a number on one side only takes 150. From 860 confidence is high, from 700 medium, and high if an identifier is
+    different numbers, different identifiers of one kind, words on both sides that the other has nothing like, or words
+    that end at different places of the letters that both have, take all; a number on one side only takes 150. As an end,
+    a form begins with a word of the other, where that has several: names are cut behind, not in front. From 860 confidence is high, from 700 medium, and high if an identifier is
     common. `known` (a, b, same) overrides all, and its pairs are scored even where no evidence found them.
     """
     if known is not None:
@@ -189,12 +203,22 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array(c))
     ga, gb, na, nb = grams(F.col("a")), grams(F.col("b")), F.size("a_words"), F.size("b_words")
     longest, ratio = F.length("long"), F.floor(F.length("short") * 1000 / F.length("long"))
-    sound = text.skeleton(F.col("a"))
+    sound = _consonants(F.col("a"))
     like = F.floor(
         (F.size("common") * 1000 / F.size(F.array_union("a_words", "b_words")) + F.size(F.array_intersect(ga, gb)) * 2000 / (F.size(ga) + F.size(gb))
-         + (longest - F.levenshtein("a", "b")) * 1000 / longest + F.when((sound != "") & (sound == text.skeleton(F.col("b"))), 1000).otherwise(0)) / 4
+         + (longest - F.levenshtein("a", "b")) * 1000 / longest + F.when((sound != "") & (sound == _consonants(F.col("b"))), 1000).otherwise(0)) / 4
     )
-    starts, ends = F.col("long").startswith(F.col("short")), F.col("long").endswith(F.col("short"))
+    a_short = F.length("a") <= F.length("b")
+    short_words, long_words = F.when(a_short, F.col("a_words")).otherwise(F.col("b_words")), F.when(a_short, F.col("b_words")).otherwise(F.col("a_words"))
+    x = x.withColumns({"short_at": _word_ends(short_words), "long_at": _word_ends(long_words), "cut": F.length("long") - F.length("short")})
+    ends_of = lambda cut: F.filter(F.transform("long_at", lambda i: i - cut), lambda i: (i > 0) & (i < F.length("short")))
+    inner = F.filter("short_at", lambda i: i < F.length("short"))
+    # of the word ends of both, one side's must be among the other's: spaces get lost, but they don't move
+    agree = lambda at: (F.size(F.array_except(inner, at)) == 0) | (F.size(F.array_except(at, inner)) == 0)
+    starts_with, ends_with = F.col("long").startswith(F.col("short")), F.col("long").endswith(F.col("short"))
+    at_word = (F.size("long_at") == 1) | F.array_contains("long_at", F.col("cut")) | (F.col("cut") == 0)
+    starts, ends = starts_with & agree(ends_of(F.lit(0))), ends_with & at_word & agree(ends_of(F.col("cut")))
+    crossed = (F.length("short") >= affix) & ((starts_with & ~starts & ~ends) | (ends_with & at_word & ~ends & ~starts))
     within = (F.size("a_only") == 0) | (F.size("b_only") == 0)
     one = F.when(na == 1, F.col("b_words")).when(nb == 1, F.col("a_words"))
     firsts = F.array_join(F.transform(one, lambda w: F.substring(w, 1, 1)), "")
@@ -212,7 +236,7 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     apart = F.exists(F.array_intersect(kinds("a_ids"), kinds("b_ids")), lambda k: ~F.arrays_overlap(kept("a", k), kept("b", k)))
     n_a, n_b = F.size("a_no"), F.size("b_no")
     conflict = (
-        F.when((n_a > 0) & (n_b > 0) & ~F.arrays_overlap("a_no", "b_no"), "numbers").when(apart, "identifiers").when((F.size("a_unlike") > 0) & (F.size("b_unlike") > 0) & (F.size("common") > 0), "words").when((n_a > 0) != (n_b > 0), "number")
+        F.when((n_a > 0) & (n_b > 0) & ~F.arrays_overlap("a_no", "b_no"), "numbers").when(apart, "identifiers").when((F.size("a_unlike") > 0) & (F.size("b_unlike") > 0) & (F.size("common") > 0), "words").when(crossed, "word ends").when((n_a > 0) != (n_b > 0), "number")
     )
     typed = F.when(F.col("a_kind") != F.col("b_kind"), F.floor(F.col("best.n") * 92 / 100)).otherwise(F.col("best.n"))
     x = x.select("a", "b", F.col("best.why").alias("evidence"), conflict.alias("conflict"), typed.alias("n"), shared.alias("shared"))
@@ -289,7 +313,10 @@ def resolve(df: DataFrame, id: str, name: str, ids: str | None = None, decisions
     f = stored(forms(m), "forms")
     known = None if decisions is None else stored(known_pairs(decisions), "decided-names")
     scored = stored(pair_scores(f, candidates(f), known), "name-pairs")
-    c = stored(clusters(f, scored.where("confidence = 'high'"), None if known is None else known.where("not same").select("a", "b")), "entities-of-forms")
+    # a cut name can be the start of two; those whose words end at different places stay apart, whatever lies between them
+    apart = scored.where("conflict = 'word ends'").select("a", "b")
+    apart = apart if known is None else apart.unionByName(known.where("not same").select("a", "b"))
+    c = stored(clusters(f, scored.where("confidence = 'high'"), apart), "entities-of-forms")
     best = F.min_by(F.array_join("words", " "), F.struct((-F.col("mentions")).alias("m"), (-F.size("words")).alias("w"), "form"))
     e = f.join(c, "form").groupBy("entity").agg(best.alias("name"), F.count(F.lit(1)).alias("forms"), F.sum("mentions").alias("mentions"))
     return m.join(c, "form", "left").select("id", "name", "form", "entity"), e, suggestions(scored, c)

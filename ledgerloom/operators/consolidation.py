@@ -30,21 +30,23 @@ def merge_statements(rows: DataFrame, most_rounds: int = 100) -> DataFrame:
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "g", "said").orderBy("row_index")))
     lineage = F.sort_array(F.collect_list(F.struct(F.col("file_id").cast("long").alias("file_id"), F.col("row_index").cast("long").alias("row_index"))))
     x = x.groupBy(*KEY, "g", "said", "k").agg(F.min(F.struct("file_id", "row_index", "narration")).alias("f"), lineage.alias("lineage"))
-    x = stored(x.select(*KEY, "g", "said", "f.file_id", "f.row_index", "f.narration", "lineage"), "forms")
+    # a form goes by its first row within its group: numbers of files may come again in other accounts
+    x = x.withColumn("id", F.struct("f.file_id", "f.row_index", "said", "k"))
+    x = stored(x.select(*KEY, "g", "id", "said", "f.file_id", "f.row_index", "f.narration", "lineage"), "forms")
     for _ in range(most_rounds):
         # narrations can only match where they begin alike or have a long number in common: an equi-join on that
         begins = F.when(F.length("said") >= 8, F.concat(F.lit("b"), F.substring("said", 1, 8)))
         keys = F.array_distinct(F.array_compact(F.concat(F.array(begins), F.transform(F.regexp_extract_all("said", F.lit("[0-9]{9,}"), 0), lambda n: F.concat(F.lit("n"), n)))))
-        side = lambda p: x.select("g", F.explode(keys).alias("key"), F.struct("file_id", "row_index").alias(p), F.col("narration").alias(f"{p}_said"), F.col("lineage.file_id").alias(f"{p}_files"))
+        side = lambda p: x.select("g", F.explode(keys).alias("key"), F.col("id").alias(p), F.col("narration").alias(f"{p}_said"), F.col("lineage.file_id").alias(f"{p}_files"))
         pairs = side("a").join(side("b"), ["g", "key"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("a_files", "b_files") & cells.same_narration(F.col("a_said"), F.col("b_said")))
-        pairs = stored(pairs.select("a", "b").distinct(), "alike")
+        pairs = stored(pairs.select("g", "a", "b").distinct(), "alike")
         if pairs.isEmpty():
             discard(pairs)
             return x.select(*KEY, "file_id", "row_index", "narration", F.col("lineage").cast(_ROW).alias("lineage"), F.size("lineage").cast("long").alias("sources"))
-        won = pairs.groupBy("b").agg(F.min("a").alias("a")).join(pairs.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"])
-        won = stored(won.join(won.select(F.col("b").alias("a")), "a", "left_anti").select("a", F.col("b.file_id").alias("file_id"), F.col("b.row_index").alias("row_index")), "joined")
-        given = x.join(won, ["file_id", "row_index"]).select("a.file_id", "a.row_index", F.col("lineage").alias("more"))
-        y = x.join(won.select("file_id", "row_index"), ["file_id", "row_index"], "left_anti").join(given, ["file_id", "row_index"], "left")
+        won = pairs.groupBy("g", "b").agg(F.min("a").alias("a")).join(pairs.groupBy("g", "a").agg(F.min("b").alias("b")), ["g", "a", "b"])
+        won = stored(won.join(won.select("g", F.col("b").alias("a")), ["g", "a"], "left_anti").select("g", "a", F.col("b").alias("id")), "joined")
+        given = x.join(won, ["g", "id"]).select("g", F.col("a").alias("id"), F.col("lineage").alias("more"))
+        y = x.join(won.select("g", "id"), ["g", "id"], "left_anti").join(given, ["g", "id"], "left")
         y = stored(y.withColumn("lineage", F.sort_array(F.concat("lineage", F.coalesce("more", F.array().cast(_ROW))))).drop("more"), "forms")
         discard(x, pairs, won)
         x = y
@@ -94,7 +96,7 @@ def in_file_order(merged: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*day, "file_id", "row_index")) + ", at int"
     sorted_days = seen.join(mixed, day, "left_semi").groupBy(*day).cogroup(edges.join(mixed, day, "left_semi").select(*day, "a", "b").groupBy(*day)).applyInPandas(sort, schema)
     places = plain.select(*day, "uid.file_id", "uid.row_index", "at").unionByName(sorted_days)
-    out = merged.join(places.drop(*day), ["file_id", "row_index"])
+    out = merged.join(places, [*day, "file_id", "row_index"]).select(*merged.columns, "at")
     return out.withColumn("place", F.row_number().over(Window.partitionBy("account_id").orderBy("txn_date", "at")).cast("long")).drop("at")
 
 

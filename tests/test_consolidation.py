@@ -28,6 +28,13 @@ def test_rows_of_one_file_are_never_one(spark):
     assert all(len({x.file_id for x in r.lineage}) == len(r.lineage) for r in got) and sum(len(r.lineage) for r in got) == 5
 
 
+def test_file_numbers_come_again_in_other_accounts(spark):
+    rows = [(1, 1, DAY, 1, "debit", 5, None, "ALPHA BETA ONE"), (2, 1, DAY, 1, "debit", 5, None, "ALPHA BETA"), (1, 2, DAY, 1, "debit", 6, None, "GAMMA DELTA"), (2, 3, DAY, 1, "debit", 7, None, "EPSILON ZETA")]
+    merged = consolidation.merge_statements(spark.createDataFrame(rows, ROWS))
+    assert sorted((r.account_id, r.file_id, r.narration, r.sources) for r in merged.collect()) == [(1, 1, "ALPHA BETA ONE", 2), (2, 1, "GAMMA DELTA", 1), (3, 2, "EPSILON ZETA", 1)]
+    assert sorted((r.account_id, r.file_id, r.place) for r in consolidation.in_file_order(merged).collect()) == [(1, 1, 1), (2, 1, 1), (3, 2, 1)]
+
+
 def by_heap(rows, files):
     """rows: uid -> (day, [(file, row)]); one account."""
     rank = {f: k for k, f in enumerate(sorted(files, key=lambda f: (min((row, rows[u][0]) for u in rows for g, row in rows[u][1] if g == f)[1], -sum(g == f for u in rows for g, _ in rows[u][1]), f)))}

@@ -182,6 +182,27 @@ def test_crowded_blocks_keep_pairs_of_different_skeletons(spark):
     assert {tuple(r) for r in entities.clusters(df, entities.pairs(df, most=7, least=860)).collect()} == set(root.items())
 
 
+def test_crowds_of_equal_amounts_make_no_pairs(spark):
+    """Only candidates, transfers and bare duplicates of a crowd against all pairs."""
+    rng, day = random.Random(2), lambda n: dt.date(2024, 5, 1) + dt.timedelta(n)
+    book = [(i, 1, "debit", rng.choice([5, 6, 7, 8, 9]) * rng.choice([1, 1, 100 + i]), day(rng.randrange(60))) for i in range(60)]
+    bank = [(1000 + i, *b[1:4], b[4] + dt.timedelta(rng.randrange(-9, 10))) for i, b in enumerate(book)]
+    barred = [(b[0], t[0]) for b in book for t in bank if rng.random() < 0.1]
+    b, t = spark.createDataFrame(book, "book_id long, account_id long, direction string, amount_paise long, entry_date date"), spark.createDataFrame(bank, "txn_id long, account_id long, direction string, amount_paise long, txn_date date")
+    for no in ([], barred):
+        pairs = [(x[0], y[0]) for x in book for y in bank if x[3] == y[3] and abs((x[4] - y[4]).days) <= 7 and (x[0], y[0]) not in no]
+        want = {p for p in pairs if sum(q[0] == p[0] for q in pairs) == 1 == sum(q[1] == p[1] for q in pairs)}
+        got = matching.only_candidates(b, t, rejected=spark.createDataFrame(no, "book_id long, txn_id long") if no else None)
+        assert {tuple(r) for r in got.collect()} == want and want
+    led = [(i, 1 + i % 2, "debit" if i % 3 else "credit", 5, day(0), "TO XX0009" if i % 5 else "BY 12345678901", f"R{i % 4}", i % 6 or None, None) for i in range(30)]
+    l = spark.createDataFrame(led, "txn_id long, account_id long, direction string, amount_paise long, txn_date date, narration string, reference_no string, balance_paise long, statement_id long")  # noqa: E741
+    same = lambda x, y: x[0] < y[0] and x[1:3] == y[1:3] and x[6] != y[6] and (x[7] is None or y[7] is None or x[7] == y[7])
+    two = matching.tier_two(l)
+    assert sorted((r.a_id, r.b_id) for r in two.collect()) == sorted((x[0], y[0]) for x in led for y in led if same(x, y))
+    moved = matching.transfers(l, spark.createDataFrame([(1, "7770000001", None), (2, "7770000009", None)], "account_id long, number string, holder string")).collect()
+    assert {r.evidence for r in moved} == {"account number", "shared reference"} and len({r.debit_id for r in moved}) == len({r.credit_id for r in moved}) == len(moved)
+
+
 def test_name_clusters_without_all_pairs(spark):
     rng = random.Random(5)
     names = []

@@ -38,6 +38,37 @@ def test_suggestions_take_the_best_pairs_first(spark):
     assert {tuple(r) for r in matching.suggestions(b, t).collect()} == want
 
 
+def test_a_crowd_of_suggestions_makes_no_pairs_of_rows(spark, monkeypatch):
+    """3,000 equal entries and 2,500 equal bank rows, two of them rejected: as many pairs of each gap and of words in common as a choice row by row makes, from few pairs of classes."""
+    from ledgerloom.operators.matching import stored
+
+    sizes = {}
+    monkeypatch.setattr(matching, "stored", lambda df, name: (out := stored(df, name), sizes.setdefault(name, out.count()))[0])
+    day = "date_add(date'2024-01-01', cast(id % {} as int))"
+    b = spark.range(3000).selectExpr("id as book_id", "1L as account_id", "'debit' as direction", "5L as amount_paise", f"{day.format(3)} as entry_date", "case when id % 2 = 0 then 'ACME TOOLS' else 'BOLT' || id % 4 end as party_name")
+    t = spark.range(2500).selectExpr("id as txn_id", "1L as account_id", "'debit' as direction", "5L as amount_paise", f"{day.format(5)} as txn_date", "case when id % 2 = 0 then 'ACME' else 'NUTS' end as counterparty")
+    no = spark.createDataFrame([(0, 0), (3, 0)], "book_id long, txn_id long")
+    got = matching.suggestions(b, t, rejected=no)
+    assert sizes["class-pairs"] < 200
+    pairs = got.join(b, "book_id").join(t, "txn_id").toPandas()
+    assert len(pairs) == 2500 and pairs.book_id.is_unique and pairs.txn_id.is_unique and not ((pairs.txn_id == 0) & pairs.book_id.isin([0, 3])).any()
+    named = pairs[pairs.party_name == "ACME TOOLS"]
+    assert (named.counterparty == "ACME").sum() == 1250  # all that have a word in common
+    assert sum(a == b for a, b in zip(named.entry_date, named.txn_date)) >= 750 - 1  # of equal words the nearest day first
+
+
+def test_a_crowd_of_targets_looks_for_its_rows_once(spark, monkeypatch):
+    """2,000 equal targets beside 500 smaller rows, and one of another sum: the rows near are numbered once for each sum."""
+    from ledgerloom.operators.matching import day_band
+
+    met = []
+    monkeypatch.setattr(matching, "day_band", lambda *a: (out := day_band(*a), met.append(out.count()))[0])
+    t = spark.range(2001).selectExpr("id as txn_id", "1L as account_id", "'debit' as direction", "if(id = 2000, 1001L, 1000L) as amount_paise", "date'2024-01-01' as txn_date")
+    b = spark.range(500).selectExpr("id as book_id", "1L as account_id", "'debit' as direction", "if(id < 2, 500L, 300L) as amount_paise", "date'2024-01-02' as entry_date")
+    assert {tuple(r) for r in matching.group_matches(t, "txn_id", "txn_date", b, "book_id", "entry_date").collect()} == {(0, 0), (0, 1)}
+    assert met[0] == 2 * 500
+
+
 def test_group_matches(spark):
     day = lambda n: dt.date(2024, 5, 1) + dt.timedelta(n)
     bank = spark.createDataFrame([(1, 1, "debit", 100, day(3)), (2, 1, "debit", 60, day(3)), (3, 1, "credit", 30, day(0)), (4, 2, "debit", 100, day(0)), (5, 1, "debit", 77, day(0))], "txn_id long, account_id long, direction string, amount_paise long, txn_date date")

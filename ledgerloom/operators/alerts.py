@@ -23,6 +23,7 @@ MONEY, ACCOUNT_WORDS, BALANCE_WORDS = ("RS", "INR", "₹"), ("A/C", "AC", "ACCOU
 REFERENCE_WORDS, PARTY_WORDS, NOT_PARTY = ("REF", "REFERENCE", "TXN", "UTR"), ("TO", "AT", "TOWARDS", "INFO"), ("A/C", "ACCOUNT", "RS", "INR", "CARD")
 #: Words that may stand between such a word and its value, and words that end a party's name.
 FILLERS, PARTY_ENDS = ("NO", "NUM", "ID", "IS", "NUMBER"), ("ON", "REF", "AVAIL", "BAL")
+_MASKED = "^[Xx*]{2,12}[0-9]{4}$"
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
 
@@ -32,6 +33,11 @@ def _tokens(said: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(spaced, r"([.,;:!?])(?=\s|$)", " $1 "), r"\s+"), lambda t: t != "")
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is found once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _first(at: Column) -> Column:
     """The first value of an array of candidates that is not null."""
     return F.get(F.array_compact(at), 0)
@@ -55,14 +61,15 @@ def _amount(token: Column) -> Column:
 def bank_of(sender: Column) -> Column:
     """The bank by the end of the sender's domain; null if it is none of BANKS."""
     domain = F.lower(F.regexp_extract(sender, r"@([A-Za-z0-9.\-]+)", 1))
-    return F.coalesce(*[F.when(domain.endswith(end), name) for end, name in BANKS.items()])
+    return _bound(domain, lambda d: F.coalesce(*[F.when(d.endswith(end), name) for end, name in BANKS.items()]))
 
 
 def verdict(bank: Column, said: Column) -> Column:
     """alert, or why a message is none: sender, code, statement, offer, no_verb. Of codes, statements and offers the first named counts."""
     verb = said.rlike(rf"(?i)\b({VERBS})\b")
     first = F.lower(F.regexp_extract(said, rf"(?i)\b({CODES}|{STATEMENTS}|{OFFERS}|congratulations)\b", 1))
-    return F.when(bank.isNull(), "sender").when(first.rlike(f"^({CODES})$"), "code").when(first.rlike(f"^({STATEMENTS})$") & ~verb, "statement").when(first.rlike(f"^({OFFERS})$"), "offer").when(~F.coalesce(verb, F.lit(False)), "no_verb").otherwise("alert")
+    told = lambda f: F.when(f.rlike(f"^({CODES})$"), "code").when(f.rlike(f"^({STATEMENTS})$") & ~verb, "statement").when(f.rlike(f"^({OFFERS})$"), "offer").when(~F.coalesce(verb, F.lit(False)), "no_verb").otherwise("alert")
+    return F.when(bank.isNull(), "sender").otherwise(_bound(first, told))
 
 
 def direction(said: Column) -> Column:
@@ -79,31 +86,54 @@ def fields(said: Column) -> dict[str, Column]:
     letters and digits, one a digit, after a word for it; the party an address or the words up to an end word after
     `to`, `at`, `towards` or `info`; the day a token of day, month and year (also as three words).
     """
-    ts = _tokens(said)
-    each = lambda f: _first(F.transform(ts, f))
+    got = _read(said)
+    return {k: got[k] for k in ("amount_paise", "last4", "party", "balance_paise", "reference_no", "day_text")}
+
+
+def _read(said: Column) -> Column:
+    """The fields of a message as a struct; its tokens are found once, and looked at once for where fields can start."""
+    return _bound(_tokens(said), lambda ts: _bound(_marks(ts), lambda marks: F.struct(*[v.alias(k) for k, v in _fields_of(ts, marks).items()])))
+
+
+def _marks(ts: Column) -> Column:
+    """t, i and u (upper-cased) of the tokens at which a field can start: words before a value, digits, masked numbers."""
+    each = F.transform(ts, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.rtrim(F.upper(t), F.lit(".:")).alias("u")))
+    words = {*MONEY, *ACCOUNT_WORDS, *BALANCE_WORDS, *REFERENCE_WORDS, *PARTY_WORDS}
+    return F.filter(each, lambda m: m["u"].isin(*sorted(words)) | m["t"].rlike(rf"^[0-9]|{_MASKED}"))
+
+
+def _fields_of(ts: Column, marks: Column) -> dict[str, Column]:
+    """The fields of a message's tokens and marks, for fields."""
+    each = lambda f: _first(F.transform(marks, f))
+    is_ = lambda m, words: m["u"].isin(*words)
     at = lambda i, n: _after(ts, i, n)
     digits = lambda t: F.when(t.rlike(r"^[Xx*]*[0-9]{4}$"), F.right(t, F.lit(4)))
-    amount = each(lambda t, i: F.when(_is(t, MONEY), _amount(at(i, 0))))
-    account = each(lambda t, i: F.when(_is(t, ACCOUNT_WORDS), digits(at(i, 0))))
-    masked = each(lambda t, i: F.when(t.rlike(r"^[Xx*]{2,12}[0-9]{4}$"), F.right(t, F.lit(4))))
-    balance = each(lambda t, i: F.when(_is(t, BALANCE_WORDS), F.coalesce(_amount(at(i, 0)), F.when(_is(at(i, 0), MONEY), _amount(at(i, 1))))))
+    amount = each(lambda m: F.when(is_(m, MONEY), _amount(at(m["i"], 0))))
+    account = each(lambda m: F.when(is_(m, ACCOUNT_WORDS), _bound(at(m["i"], 0), digits)))
+    masked = each(lambda m: F.when(m["t"].rlike(_MASKED), F.right(m["t"], F.lit(4))))
+    balance = each(lambda m: F.when(is_(m, BALANCE_WORDS), F.coalesce(_amount(at(m["i"], 0)), F.when(_is(at(m["i"], 0), MONEY), _amount(at(m["i"], 1))))))
     code = lambda t: F.when(t.rlike(r"^[A-Za-z0-9]{6,22}$") & t.rlike("[0-9]"), t)
-    reference = each(lambda t, i: F.when(_is(t, REFERENCE_WORDS), code(at(i, 0))))
-    address = each(lambda t, i: F.when(_is(t, PARTY_WORDS) & at(i, 0).rlike(r"^[\w.-]+@[A-Za-z]+$"), at(i, 0)))
+    reference = each(lambda m: F.when(is_(m, REFERENCE_WORDS), _bound(at(m["i"], 0), code)))
+    address = each(lambda m: F.when(is_(m, PARTY_WORDS), _bound(at(m["i"], 0), lambda t: F.when(t.rlike(r"^[\w.-]+@[A-Za-z]+$"), t))))
+
+    def name(m: Column) -> Column:
+        def told(rest: Column) -> Column:
+            stop = _first(F.transform(rest, lambda w, k: F.when(_is(w, PARTY_ENDS) | w.rlike(r"^[.,;:!?]+$") & (k > 0), k)))
+            return F.array_join(F.filter(F.slice(rest, F.lit(1), F.coalesce(stop, F.size(rest))), lambda w: w != ":"), " ")
+
+        def party(words: Column) -> Column:
+            barred = F.arrays_overlap(F.transform(F.split(words, " "), lambda w: F.rtrim(F.upper(w), F.lit("."))), F.array(*map(F.lit, NOT_PARTY)))
+            return F.when(F.length(words).between(2, 30) & words.rlike(r"^[A-Za-z0-9 .&]+$") & ~barred, words)
 
-    def name(t: Column, i: Column) -> Column:
-        rest = F.slice(ts, i + 2, 8)
-        stop = _first(F.transform(rest, lambda w, k: F.when(_is(w, PARTY_ENDS) | w.rlike(r"^[.,;:!?]+$") & (k > 0), k)))
-        words = F.array_join(F.filter(F.slice(rest, F.lit(1), F.coalesce(stop, F.size(rest))), lambda w: w != ":"), " ")
-        barred = F.arrays_overlap(F.transform(F.split(words, " "), lambda w: F.rtrim(F.upper(w), F.lit("."))), F.array(*map(F.lit, NOT_PARTY)))
-        return F.when(_is(t, PARTY_WORDS) & F.length(words).between(2, 30) & words.rlike(r"^[A-Za-z0-9 .&]+$") & ~barred, words)
+        return F.when(is_(m, PARTY_WORDS), _bound(_bound(F.slice(ts, m["i"] + 2, 8), told), party))
 
     is_month = lambda m: m.rlike("^[0-9]{1,2}$") | F.upper(m).isin(*MONTHS)
 
-    def day(t: Column, i: Column) -> Column:
-        near = F.slice(ts, i + 1, 3)
+    def day(m: Column) -> Column:
+        t = m["t"]
         dated = lambda p: (F.size(p) == 3) & F.get(p, 0).rlike("^[0-9]{1,2}$") & is_month(F.get(p, 1)) & F.get(p, 2).rlike("^[0-9]{2,4}$")
-        return F.when(dated(F.split(t, "[-/]")), t).when(dated(near) & ~F.get(near, 1).rlike("^[0-9]"), F.array_join(near, " "))
+        spelt = _bound(F.slice(ts, m["i"] + 1, 3), lambda near: F.when(dated(near) & ~F.get(near, 1).rlike("^[0-9]"), F.array_join(near, " ")))
+        return F.when(t.rlike("^[0-9]"), F.coalesce(F.when(_bound(F.split(t, "[-/]"), dated), t), spelt))
 
     return {"amount_paise": amount, "last4": F.coalesce(account, masked), "party": F.coalesce(address, each(name)), "balance_paise": balance, "reference_no": reference, "day_text": each(day)}
 
@@ -122,10 +152,11 @@ def parse(messages: DataFrame) -> DataFrame:
     said = F.concat_ws(" ", "subject", "body")
     x = messages.withColumn("bank", bank_of(F.col("sender")))
     x = x.withColumn("verdict", verdict(F.col("bank"), said))
-    read = fields(said)
+    read = F.col("read_")
     mode = F.coalesce(*[F.when(said.rlike(rf"(?i)\b{m}\b"), m) for m in MODES])
     named = {"amount_paise": read["amount_paise"], "direction": direction(said), "last4": read["last4"], "mode": mode, **{k: read[k] for k in ("party", "balance_paise", "reference_no", "day_text")}}
+    x = x.select("*", F.inline(F.array(F.struct(F.when(F.col("verdict") == "alert", _read(said)).alias("read_")))))
     told = F.when(F.col("verdict") == "alert", F.struct(*[v.alias(k) for k, v in named.items()]))
     # a generator of one row: fields are found once and conditions on them are not unfolded into all their expressions
-    x = x.drop(*named).select("*", F.inline(F.array(told)))
+    x = x.drop(*named).select("*", F.inline(F.array(told))).drop("read_")
     return x.withColumn("fingerprint", F.when(F.col("amount_paise").isNotNull(), fingerprint(*[F.col(c) for c in ("bank", "last4", "amount_paise", "direction", "reference_no", "day_text")])))

@@ -62,7 +62,7 @@ def sc35_alert_fingerprints(t, spark, sf_dir):
 @query("select txn_id, case when txn_id % 19 in (17, 18) then make_date(2000, month(txn_date), day(txn_date)) else txn_date end::date as day from txn")
 def r5_dates(t, spark, sf_dir):
     formats = [*text.DATE_FORMATS, *text.YEARLESS]
-    cell = F.element_at(F.array(*[F.date_format("txn_date", f) for f in formats]), (F.col("txn_id") % len(formats) + 1).cast("int"))
+    cell = F.coalesce(*[F.when(F.col("txn_id") % len(formats) == i, F.date_format("txn_date", f)) for i, f in enumerate(formats)])
     return t.select("txn_id", text.date(cell, last_year=2004, this_year=2000).alias("day"))
 
 

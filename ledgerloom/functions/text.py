@@ -29,16 +29,30 @@ def date(c: Column, first_year: int = 1990, last_year: int = 2100, this_year: in
 
     A day without a year is of `this_year`, and null if that is not given.
     """
-    s = F.trim(c)
-    tried = []
-    for f in DATE_FORMATS:
-        day = F.try_to_timestamp(s, F.lit(f)).cast("date")
-        if "yy" in f and "yyyy" not in f:
-            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-        tried.append(day)
-    if this_year is not None:
-        tried += [F.try_to_timestamp(F.concat(s, F.lit(f" {this_year}")), F.lit(f"{f} yyyy")).cast("date") for f in YEARLESS]
-    return F.coalesce(*[F.when(F.year(t).between(first_year, last_year), t) for t in tried])
+    def parsed(s: Column, format: str, more: str = "") -> Column:
+        # only cells of the format's shape are parsed, as trying all formats on each takes most of the time
+        cell, whole = (F.concat(s, F.lit(more)), f"{format} yyyy") if more else (s, format)
+        return F.when(s.rlike(_shape(format)), F.try_to_timestamp(cell, F.lit(whole)).cast("date"))
+
+    def found(s: Column) -> Column:
+        tried = []
+        for f in DATE_FORMATS:
+            day = parsed(s, f)
+            if "yy" in f and "yyyy" not in f:
+                day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+            tried.append(day)
+        if this_year is not None:
+            tried += [parsed(s, f, f" {this_year}") for f in YEARLESS]
+        return F.coalesce(*[F.when(F.year(t).between(first_year, last_year), t) for t in tried])
+
+    # the cell's own expression is found once, not for each format
+    return F.get(F.transform(F.array(F.trim(c)), found), 0)
+
+
+def _shape(format: str) -> str:
+    """A pattern that every cell of a date format fits."""
+    kinds = {"yyyy": "[-+]?[0-9]{4,}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]+", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "M": "[-+]?[0-9]+", "d": "[-+]?[0-9]+"}
+    return "^" + re.sub("yyyy|yy|MMMM|MMM|MM|M|dd|d|.", lambda m: kinds.get(m[0], re.escape(m[0])), format) + "$"
 
 
 def mask(c: Column) -> Column:

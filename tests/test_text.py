@@ -93,3 +93,18 @@ def test_a_message_is_cut_into_tokens_once(spark):
     df = spark.createDataFrame([("a@axisbank.com", "", "INR 10 debited from A/C XX1234")], "sender string, subject string, body string")
     plan = alerts.parse(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(regexp_replace(regexp_replace(") == 1
+
+
+def test_a_cell_of_a_date_is_found_once_and_shapes_leave_no_day_out(spark):
+    """text.date has its cell at one place of the plan; every way to write a day that the formats alone parse is still read."""
+    df = spark.range(1).select(F.concat(F.lit("1/2/"), F.col("id") + 2000).alias("c"))
+    assert df.select(text.date(F.reverse("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    cells = ["01/02/2003", "1/2/2003", "001/2/2003", "1-02-2003", "1.2.2003", "2003-2-1", "2003/02/01", "+02003-2-1", "1/2/03", "1-2-70", "1.2.68", "1 Feb 2003", "1 february 2003", "1-FEB-2003", "1-feb-03", "1Feb2003", "1Feb03", "Feb 1, 2003", "Feb 1 2003", "20030201",
+             "1 Feb", "Feb 1", " 1/2/2003 ", "1/2/2003x", "1 / 2 / 2003", "32/1/2003", "1/2/1889", "-1/2/2003", "", "Feb", "2003", None]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    alone = lambda f: F.try_to_timestamp(F.trim("c"), F.lit(f)).cast("date")
+    early = lambda d, f: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d) if "yyyy" not in f else d
+    tried = [early(alone(f), f) for f in text.DATE_FORMATS] + [F.try_to_timestamp(F.concat(F.trim("c"), F.lit(" 2000")), F.lit(f"{f} yyyy")).cast("date") for f in text.YEARLESS]
+    got = rows.select("c", text.date(F.col("c"), this_year=2000).alias("x"), F.coalesce(*[F.when(F.year(t).between(1990, 2100), t) for t in tried]).alias("y")).collect()
+    assert [r for r in got if r.x != r.y] == []
+    assert sum(r.x is not None for r in got) >= 18

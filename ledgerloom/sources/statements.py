@@ -5,7 +5,10 @@ Every reader takes a path that Spark opens; nothing is inferred from data but th
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +61,27 @@ _PLACES = [f"{f}_at" for f in HEADERS]
 _LAYOUT = "file string, encoding string, sep string, width int, problem string, header_at int, " + ", ".join(f"{p} int" for p in _PLACES)
 
 
+#: Fixed value: files whose first lines a task holds as Python texts at once.
+FILES_AT_ONCE = 50
+
+
+def _places_of(batches: Iterator[pa.RecordBatch], seps: list[str], sep: str | None, most_columns: int) -> Iterator[pa.RecordBatch]:
+    """Layouts of files by (file, line: their first lines, zeros, odd, windows, w0...: most separators of a line); a batch has many files, so only some are unpacked at once."""
+    names = [x.split(" ")[0] for x in _LAYOUT.split(", ")]
+    schema = pa.schema([(n, pa.string() if n in ("file", "encoding", "sep", "problem") else pa.int32()) for n in names])
+    for b in batches:
+        for at in range(0, b.num_rows, FILES_AT_ONCE):
+            out = []
+            for r in b.slice(at, FILES_AT_ONCE).to_pylist():
+                by = sep or sniff(r["line"])
+                found = next(((k, m) for k, row in enumerate(r["line"], 1) if "date" in (m := map_headers([x.strip(' "\ufeff') for x in row.split(by)])) and {"debit", "credit", "amount"} & set(m)), None)
+                width = 1 + r[f"w{seps.index(by)}"]
+                problem = "no_header" if found is None else "too_wide" if width > most_columns else None
+                encoding = "UTF-16" if r["zeros"] else "UTF-8" if not r["odd"] else "windows-1252" if r["windows"] else "ISO-8859-1"
+                out.append([r["file"], encoding, by, width, problem, None if problem else found[0], *[None if problem else found[1].get(f) for f in HEADERS]])
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema)
+
+
 def layouts(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
     """file, encoding, sep, width, problem, the header's place among its lines that are not blank, and the places of the fields of every delimited file of a path.
 
@@ -76,21 +100,9 @@ def layouts(spark: SparkSession, path: str, sep: str | None = None, head_lines:
     heads = lines.where("block = 0").select("file", plain.alias("line"), F.monotonically_increasing_id().alias("at")).where("trim(line) != ''").withColumn("k", F.row_number().over(first)).where(F.col("k") <= head_lines)
     heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("head"))
 
-    def place(batches):
-        for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                head = [x["line"] for x in r["head"]]
-                by = sep or sniff(head)
-                found = next(((k, m) for k, row in enumerate(head, 1) if "date" in (m := map_headers([x.strip(' "\ufeff') for x in row.split(by)])) and {"debit", "credit", "amount"} & set(m)), None)
-                width = 1 + r[f"w{seps.index(by)}"]
-                problem = "no_header" if found is None else "too_wide" if width > most_columns else None
-                encoding = "UTF-16" if r["zeros"] else "UTF-8" if not r["odd"] else "windows-1252" if r["windows"] else "ISO-8859-1"
-                out.append([r["file"], encoding, by, width, problem, None if problem else found[0], *[None if problem else found[1].get(f) for f in HEADERS]])
-            yield pd.DataFrame(out, columns=["file", "encoding", "sep", "width", "problem", "header_at", *_PLACES]).astype({p: "Int32" for p in ("header_at", *_PLACES)})
-
     ship_package(spark)
-    return heads.join(told, "file").mapInPandas(place, _LAYOUT)
+    found = heads.join(told, "file").select("file", "head.line", "zeros", "odd", "windows", *[f"w{i}" for i in range(len(seps))])
+    return found.mapInArrow(partial(_places_of, seps=seps, sep=sep, most_columns=most_columns), _LAYOUT)
 
 
 def cells_of(spark: SparkSession, known: DataFrame) -> DataFrame | None:

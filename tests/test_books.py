@@ -101,3 +101,20 @@ def test_lines_of_split_files_are_numbered_without_gaps(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.row_index, r.money_in_paise) for r in got) == [(i, i * 100) for i in range(1, n + 1)]
+
+
+def test_first_lines_of_many_files_are_not_unpacked_at_once():
+    """A batch of 3,000 files of 100 lines takes few MB of Python objects, and each file has its layout."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerloom.sources import statements
+
+    n, lines = 3000, ["Date,Narration,Debit,Credit", *(f"01/02/2003,ROW {i:060d},1.00," for i in range(99))]
+    b = pa.RecordBatch.from_pydict({"file": [f"f{i}" for i in range(n)], "line": [lines] * n, "zeros": [False] * n, "odd": [False] * n, "windows": [False] * n, "w0": [3] * n, "w1": [0] * n, "w2": [0] * n, "w3": [0] * n})
+    tracemalloc.start()
+    got = [r for x in statements._places_of(iter([b]), list(",\t;|"), None, 2000) for r in x.select(["file", "sep", "width", "header_at", "date_at"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n and got[7] == {"file": "f7", "sep": ",", "width": 4, "header_at": 1, "date_at": 0} and peak < 20e6

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .operators import resolution
 from .plans.ledger import read
+from .plans.scratch import stored
 
 _IN = "({})".format(", ".join(f"'{w}'" for w in resolution.NO_PARTY))
 _DIGITS, _LETTERS = "length(regexp_replace(w, '[^0-9]', '', 'g'))", "length(regexp_replace(w, '[^A-Z]', '', 'g'))"
@@ -74,7 +75,7 @@ def e14_entities_by_decisions(t, spark, sf_dir):
 
 @query()
 def e8_name_scores(t, spark, sf_dir):
-    f = resolution.forms(resolution.mentions(_spelt(spark, sf_dir), "id", "name"))
+    f = stored(resolution.forms(resolution.mentions(_spelt(spark, sf_dir), "id", "name")), "forms")
     return resolution.pair_scores(f, resolution.candidates(f))
 
 

@@ -22,6 +22,11 @@ TRADES = "AGENCY BANK BROTHER COMMUNICATION ENTERPRISE FINANCE FOOD HOLDING INDI
 HIGH, MEDIUM = 860, 700
 
 
+def _once(c: Column, f) -> Column:
+    """f of c, which is found once and not again for each use and each element of a lambda in f."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def _digits(w: Column) -> Column:
     return F.length(F.regexp_replace(w, "[^0-9]", ""))
 
@@ -44,8 +49,8 @@ def party_words(c: Column) -> Column:
     weigh = lambda ws: F.length(F.regexp_replace(F.array_join(ws, ""), "[^A-Z]", "")) * F.when(F.array_contains(ws, "BANK"), 1).otherwise(2)
     parts = F.transform(F.split(F.upper(F.coalesce(c, F.lit(""))), r"[/\-|:,;*#~]+"), lambda p: F.struct(words(p).alias("ws")))
     parts = F.transform(parts, lambda p: F.struct(weigh(p["ws"]).alias("n"), p["ws"].alias("ws")))
-    best = F.array_max(F.transform(parts, lambda p: p["n"]))
-    near = F.slice(F.filter(parts, lambda p: (p["n"] > 2) & (p["n"] * 4 >= best * 3)), 1, 2)
+    best = lambda ps: F.array_max(F.transform(ps, lambda p: p["n"]))
+    near = _once(parts, lambda ps: _once(best(ps), lambda most: F.slice(F.filter(ps, lambda p: (p["n"] > 2) & (p["n"] * 4 >= most * 3)), 1, 2)))
     return F.array_distinct(F.flatten(F.transform(near, lambda p: p["ws"])))
 
 
@@ -82,9 +87,10 @@ def mentions(df: DataFrame, id: str, name: str, ids: str | None = None) -> DataF
 def forms(m: DataFrame) -> DataFrame:
     """form, words (of the mention with most of them), kind (null where some mentions say firm and others person), ids, mentions: one row a form.
 
-    The identifiers of a form are gathered once each: as many as a party has, not as it has mentions.
+    The identifiers of a form are gathered once each: as many as a party has, not as it has mentions. Mentions are stored
+    first, unless they are: else the words of each narration would be found again for every use of them.
     """
-    m = m.where("form is not null")
+    m = (m if hasattr(m, "scratch_path") else stored(m, "mentions")).where("form is not null")
     best = F.max_by("words", F.struct(F.size("words").alias("n"), F.array_join("words", " ").alias("w")))
     f = m.groupBy("form").agg(best.alias("words"), F.when(F.min("kind") == F.max("kind"), F.min("kind")).alias("kind"), F.count(F.lit(1)).alias("mentions"))
     i = m.select("form", F.explode("ids").alias("i")).distinct().groupBy("form").agg(F.sort_array(F.collect_list("i")).alias("ids"))
@@ -105,15 +111,19 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     found by the keys alone: no block of names that merely look alike is compared all with all. The keys of a form take the
     square of its length: it is for names, not for texts.
     """
-    x = f.where(F.length("form") >= 3)
-    letters, words, n = F.regexp_replace("form", "[^A-Z]", ""), F.col("words"), F.length("form")
-    number = F.array_join(F.sort_array(_numbers(words)), ",")
+    x = f.where(F.length("form") >= 3).select("form", "words", "ids")
+    words, n = F.col("words"), F.length("form")
+    # what goes into many keys of a form is found once, as columns of its own
+    x = x.withColumns({
+        "letters": F.regexp_replace("form", "[^A-Z]", ""), "number": F.array_join(F.sort_array(_numbers(words)), ","), "lettered": F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Z]", "")), lambda w: w != ""),
+        "full": F.filter(words, lambda w: F.length(w) >= 4), "sorted_firsts": F.array_join(F.sort_array(F.transform(words, lambda w: F.substring(w, 1, 1))), ""),
+    })
+    letters, number, lettered, full, sorted_firsts = map(F.col, ("letters", "number", "lettered", "full", "sorted_firsts"))
     key = lambda kind, c: F.concat(F.lit(kind + ":"), c)
     none = F.array().cast("array<string>")
     sure = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     skeleton = text.skeleton(letters)
     # words in order after a letter was left out, so that a misspelt name is found with its words in another order too
-    lettered = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Z]", "")), lambda w: w != "")
     sorted_text = lambda ws: F.array_join(F.sort_array(ws), "")
     without = lambda i: F.transform(F.sequence(F.lit(1), F.length(F.get(lettered, i))), lambda j: sorted_text(F.transform(lettered, lambda w, k: F.when(k == i, F.concat(F.substring(w, F.lit(1), j - 1), F.substring(w, j + 1, F.length(w)))).otherwise(w))))
     ordered = F.when(F.size(lettered) > 1, F.array_append(F.flatten(F.transform(lettered, lambda _, i: without(i))), sorted_text(lettered))).otherwise(F.array().cast("array<string>"))
@@ -127,8 +137,6 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     long_first = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     two = F.transform(F.slice(long_first, 1, 2), lambda s: s["w"])
     firsts = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    full = F.filter(words, lambda w: F.length(w) >= 4)
-    sorted_firsts = F.array_join(F.sort_array(F.transform(words, lambda w: F.substring(w, 1, 1))), "")
     beside = F.when(F.size(words) >= 2, F.transform(full, lambda w: key("I", F.concat_ws("#", sorted_firsts, text.skeleton(w))))).otherwise(none)
     whole = F.concat(
         F.array(key("A", F.col("form")), key("C", F.array_join(F.sort_array(two), " "))),
@@ -141,7 +149,8 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
         F.when(F.size(words) >= 2, F.transform(pairs_of_words, lambda w: key("C", w))).otherwise(none),
         F.when(F.size(words) >= 3, F.array(key("N", firsts))).otherwise(none), beside,
     )
-    k = stored(x.select("form", F.array_distinct(both).alias("both"), F.array_distinct(whole).alias("whole"), F.array_distinct(part).alias("part")), "name-keys")
+    # dealt over all tasks, as a form's keys take far more time than its row has bytes; and not computed within the filter above
+    k = stored(x.repartition("form").select("form", F.array_distinct(both).alias("both"), F.array_distinct(whole).alias("whole"), F.array_distinct(part).alias("part")), "name-keys")
     side = lambda *cs: k.select("form", F.explode(F.array_distinct(F.concat(*cs))).alias("key"))
     met = [(side("both"), side("both"), "a < b"), (side("whole"), side("part"), "a <> b")]
     found = [p.withColumnRenamed("form", "a").join(q.withColumnRenamed("form", "b"), "key").where(which).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for p, q, which in met]
@@ -201,9 +210,10 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     short = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b"))
     x = x.withColumns({"a_unlike": unlike("a", "b"), "b_unlike": unlike("b", "a"), "short": short, "long": F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))})
     grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array(c))
-    ga, gb, na, nb = grams(F.col("a")), grams(F.col("b")), F.size("a_words"), F.size("b_words")
+    x = x.withColumns({"a_grams": grams(F.col("a")), "b_grams": grams(F.col("b")), "a_sound": _consonants(F.col("a"))})
+    ga, gb, na, nb = F.col("a_grams"), F.col("b_grams"), F.size("a_words"), F.size("b_words")
     longest, ratio = F.length("long"), F.floor(F.length("short") * 1000 / F.length("long"))
-    sound = _consonants(F.col("a"))
+    sound = F.col("a_sound")
     like = F.floor(
         (F.size("common") * 1000 / F.size(F.array_union("a_words", "b_words")) + F.size(F.array_intersect(ga, gb)) * 2000 / (F.size(ga) + F.size(gb))
          + (longest - F.levenshtein("a", "b")) * 1000 / longest + F.when((sound != "") & (sound == _consonants(F.col("b"))), 1000).otherwise(0)) / 4
@@ -230,7 +240,8 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
         "end": F.when((starts | ends) & (F.length("short") >= affix), 860 + F.floor(ratio / 10)), "within": F.when(within & (F.length("short") >= 4), F.greatest(970 - 60 * F.abs(na - nb), F.lit(500))),
         "initials": F.when((F.length("short") >= 3) & (F.size(one) >= 2) & (firsts == F.col("short")), 930), "spelling": F.when(spelt & sure, 920), "identifier": F.when(shared, 950), "likeness": like,
     }
-    x = x.withColumn("best", F.array_max(F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(v.cast("long").alias("n"), F.lit(k).alias("why"))) for k, v in same.items()]))))
+    x = x.withColumns({f"by_{k}": v.cast("long") for k, v in same.items()})
+    x = x.withColumn("best", F.array_max(F.array_compact(F.array(*[F.when(F.col(f"by_{k}").isNotNull(), F.struct(F.col(f"by_{k}").alias("n"), F.lit(k).alias("why"))) for k in same]))))
     kinds = lambda c: F.array_distinct(F.transform(c, lambda i: F.substring_index(i, ":", 1)))
     kept = lambda p, k: F.filter(f"{p}_ids", lambda i: F.substring_index(i, ":", 1) == k)
     apart = F.exists(F.array_intersect(kinds("a_ids"), kinds("b_ids")), lambda k: ~F.arrays_overlap(kept("a", k), kept("b", k)))

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import resolution as R
 
 
@@ -114,3 +116,17 @@ def test_clusters_are_those_of_links_taken_one_by_one(spark, seed):
     w = spark.createDataFrame(sorted(walls), "a string, b string") if walls else None
     got = {x.form: x.entity for x in R.clusters(f, spark.createDataFrame(links, "a string, b string, score long"), w).collect()}
     assert got == one_by_one(n, links, walls)
+
+
+def test_forms_read_each_name_once(spark):
+    """Names whose party is looked for again for each use of it made scores of many names slow."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(i):
+        read.add(1)
+        return f"ACME{chr(65 + i % 26)}{chr(65 + i // 26)} TRADERS PVT LTD"
+
+    rows = spark.range(200).select("id", named("id").alias("name"))
+    assert R.forms(R.mentions(rows, "id", "name")).count() == 200
+    assert read.value == 200

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,30 +25,39 @@ def merge_statements(rows: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     said = F.regexp_replace(F.upper(F.coalesce("narration", F.lit(""))), "[^A-Z0-9]", "")
     group = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in KEY])
-    x = rows.select("file_id", "row_index", *KEY, "narration", said.alias("said"), group.alias("g"))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("file_id", "g", "said").orderBy("row_index")))
+    # dealt by the columns of a group once: all that follows up to the forms is within a group
+    x = rows.select("file_id", "row_index", *KEY, "narration", said.alias("said")).repartition(*KEY)
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy(*KEY, "said", "file_id").orderBy("row_index")))
     lineage = F.sort_array(F.collect_list(F.struct(F.col("file_id").cast("long").alias("file_id"), F.col("row_index").cast("long").alias("row_index"))))
-    x = x.groupBy(*KEY, "g", "said", "k").agg(F.min(F.struct("file_id", "row_index", "narration")).alias("f"), lineage.alias("lineage"))
+    x = x.groupBy(*KEY, "said", "k").agg(F.min(F.struct("file_id", "row_index", "narration")).alias("f"), lineage.alias("lineage"))
     # a form goes by its first row within its group: numbers of files may come again in other accounts
-    x = x.withColumn("id", F.struct("f.file_id", "f.row_index", "said", "k"))
-    x = stored(x.select(*KEY, "g", "id", "said", "f.file_id", "f.row_index", "f.narration", "lineage"), "forms")
+    x = x.withColumns({"id": F.struct("f.file_id", "f.row_index", "said", "k"), "many": F.count(F.lit(1)).over(Window.partitionBy(*KEY)) > 1})
+    forms = stored(x.select(*KEY, group.alias("g"), "id", "said", "f.file_id", "f.row_index", "f.narration", "lineage", "many"), "forms")
+    # only forms that are not alone in their group take part in rounds
+    alone, x = forms.where("not many").drop("many"), forms.where("many").drop("many")
+    # narrations can only match where they begin alike or have a long number in common: an equi-join on that
+    begins = F.when(F.length("said") >= 8, F.concat(F.lit("b"), F.substring("said", 1, 8)))
+    keys = F.array_distinct(F.array_compact(F.concat(F.array(begins), F.transform(F.regexp_extract_all("said", F.lit("[0-9]{9,}"), 0), lambda n: F.concat(F.lit("n"), n)))))
+    side = lambda p: x.select("g", F.explode(keys).alias("key"), F.col("id").alias(p), F.col("narration").alias(f"{p}_said"), F.col("lineage.file_id").alias(f"{p}_files"))
+    pairs = side("a").join(side("b"), ["g", "key"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("a_files", "b_files") & cells.same_narration(F.col("a_said"), F.col("b_said")))
+    pairs = stored(pairs.select("g", "a", "b").distinct(), "alike")
+    # a round makes no new pairs, as rows joined keep their narration and only gain files
+    live = x
     for _ in range(most_rounds):
-        # narrations can only match where they begin alike or have a long number in common: an equi-join on that
-        begins = F.when(F.length("said") >= 8, F.concat(F.lit("b"), F.substring("said", 1, 8)))
-        keys = F.array_distinct(F.array_compact(F.concat(F.array(begins), F.transform(F.regexp_extract_all("said", F.lit("[0-9]{9,}"), 0), lambda n: F.concat(F.lit("n"), n)))))
-        side = lambda p: x.select("g", F.explode(keys).alias("key"), F.col("id").alias(p), F.col("narration").alias(f"{p}_said"), F.col("lineage.file_id").alias(f"{p}_files"))
-        pairs = side("a").join(side("b"), ["g", "key"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("a_files", "b_files") & cells.same_narration(F.col("a_said"), F.col("b_said")))
-        pairs = stored(pairs.select("g", "a", "b").distinct(), "alike")
         if pairs.isEmpty():
             discard(pairs)
-            return x.select(*KEY, "file_id", "row_index", "narration", F.col("lineage").cast(_ROW).alias("lineage"), F.size("lineage").cast("long").alias("sources"))
+            return alone.unionByName(live.select(*alone.columns)).select(*KEY, "file_id", "row_index", "narration", F.col("lineage").cast(_ROW).alias("lineage"), F.size("lineage").cast("long").alias("sources"))
         won = pairs.groupBy("g", "b").agg(F.min("a").alias("a")).join(pairs.groupBy("g", "a").agg(F.min("b").alias("b")), ["g", "a", "b"])
         won = stored(won.join(won.select("g", F.col("b").alias("a")), ["g", "a"], "left_anti").select("g", "a", F.col("b").alias("id")), "joined")
-        given = x.join(won, ["g", "id"]).select("g", F.col("a").alias("id"), F.col("lineage").alias("more"))
-        y = x.join(won.select("g", "id"), ["g", "id"], "left_anti").join(given, ["g", "id"], "left")
-        y = stored(y.withColumn("lineage", F.sort_array(F.concat("lineage", F.coalesce("more", F.array().cast(_ROW))))).drop("more"), "forms")
-        discard(x, pairs, won)
-        x = y
+        given = live.join(won, ["g", "id"]).select("g", F.col("a").alias("id"), F.col("lineage").alias("more"))
+        y = live.join(won.select("g", "id"), ["g", "id"], "left_anti").join(given, ["g", "id"], "left")
+        y = stored(y.withColumn("lineage", F.sort_array(F.concat("lineage", F.coalesce("more", F.array().cast(_ROW))))).drop("more"), "paired-forms")
+        # a row that was joined is not in y, so that its pairs go
+        files = lambda p: y.select("g", F.col("id").alias(p), F.col("lineage.file_id").alias(f"{p}_files"))
+        left = pairs.join(files("a"), ["g", "a"]).join(files("b"), ["g", "b"]).where(~F.arrays_overlap("a_files", "b_files"))
+        left = stored(left.select("g", "a", "b"), "alike")
+        discard(pairs, won, *([] if live is x else [live]))
+        live, pairs = y, left
     raise RuntimeError("copies did not settle")
 
 
@@ -59,27 +67,28 @@ def in_file_order(merged: DataFrame) -> DataFrame:
 
     A row that only a later file has goes in front of the row that follows it there. A file's rows bind each other where their days do not fall,
     so days can be ordered each on its own: those in which first appearance already keeps all orders need no
-    more; the others, one group a day of an account, are sorted topologically. Orders that conflict go by first appearance.
+    more; the others, each a row of an account's day, are sorted topologically. Orders that conflict go by first appearance.
     """
     lines = merged.select("account_id", "txn_date", F.struct("file_id", "row_index").alias("uid"), F.explode("lineage").alias("at")).select("account_id", "txn_date", "uid", F.col("at.file_id").alias("file"), F.col("at.row_index").alias("row"))
     files = lines.groupBy("account_id", "file").agg(F.min_by("txn_date", "row").alias("since"), F.count(F.lit(1)).alias("n"))
     files = files.withColumn("f", F.row_number().over(Window.partitionBy("account_id").orderBy("since", F.desc("n"), "file")))
-    lines = stored(lines.join(files.select("account_id", "file", "f"), ["account_id", "file"]), "lines")
-    seen = stored(lines.groupBy("account_id", "txn_date", "uid").agg(F.min(F.struct("f", "row")).alias("seen")), "seen")
-    before = F.lag(F.struct("uid", "txn_date")).over(Window.partitionBy("account_id", "file").orderBy("row"))
-    edges = lines.withColumn("before", before).where("before.txn_date = txn_date and before.uid <> uid").select("account_id", "txn_date", F.col("before.uid").alias("a"), F.col("uid").alias("b")).distinct()
-    first = lambda p: seen.select("account_id", "txn_date", F.col("uid").alias(p), F.col("seen").alias(f"{p}_seen"))
-    edges = stored(edges.join(first("a"), ["account_id", "txn_date", "a"]).join(first("b"), ["account_id", "txn_date", "b"]), "edges")
+    lines = lines.join(files.select("account_id", "file", "f"), ["account_id", "file"])
+    lines = stored(lines.withColumn("seen", F.min(F.struct("f", "row")).over(Window.partitionBy("account_id", "txn_date", "uid"))), "lines")
+    # a row's first line stands for it
+    seen = lines.where("f = seen.f and row = seen.row").select("account_id", "txn_date", "uid", "seen")
+    before = F.lag(F.struct("uid", "txn_date", "seen")).over(Window.partitionBy("account_id", "file").orderBy("row"))
+    edges = lines.withColumn("before", before).where("before.txn_date = txn_date and before.uid <> uid")
+    edges = stored(edges.select("account_id", "txn_date", F.col("before.uid").alias("a"), F.col("uid").alias("b"), (F.col("before.seen") > F.col("seen")).alias("back")), "edges")
     day = ["account_id", "txn_date"]
-    mixed = stored(edges.where(F.col("a_seen") > F.col("b_seen")).select(*day).distinct(), "mixed-days")
+    mixed = stored(edges.where("back").select(*day).distinct(), "mixed-days")
     plain = seen.join(mixed, day, "left_anti").withColumn("at", F.row_number().over(Window.partitionBy(*day).orderBy("seen")))
 
-    def sort(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        order = {(u["file_id"], u["row_index"]): (s["f"], s["row"]) for u, s in zip(rows["uid"], rows["seen"])}
+    def sort(rows, links):
+        order = {tuple(u): tuple(seen) for u, seen in rows}
         after, waits = {u: [] for u in order}, dict.fromkeys(order, 0)
-        for a, b in zip(links["a"], links["b"]):
-            after[a["file_id"], a["row_index"]].append((b["file_id"], b["row_index"]))
-            waits[b["file_id"], b["row_index"]] += 1
+        for a, b in links:
+            after[tuple(a)].append(tuple(b))
+            waits[tuple(b)] += 1
         ready, out = [(s, u) for u, s in order.items() if not waits[u]], []
         heapq.heapify(ready)
         while ready:
@@ -89,12 +98,15 @@ def in_file_order(merged: DataFrame) -> DataFrame:
                 waits[v] -= 1
                 if not waits[v]:
                     heapq.heappush(ready, (order[v], v))
-        out += sorted(order.keys() - set(out), key=order.get)
-        return pd.DataFrame({"account_id": rows["account_id"].iloc[0], "txn_date": rows["txn_date"].iloc[0], "file_id": [u[0] for u in out], "row_index": [u[1] for u in out], "at": range(1, len(out) + 1)})
+        return out + sorted(order.keys() - set(out), key=order.get)
 
+    # a day is a row of arrays: most days are few rows, and a pandas group of its own for each takes far longer than its sorting
     kinds = dict(merged.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*day, "file_id", "row_index")) + ", at int"
-    sorted_days = seen.join(mixed, day, "left_semi").groupBy(*day).cogroup(edges.join(mixed, day, "left_semi").select(*day, "a", "b").groupBy(*day)).applyInPandas(sort, schema)
+    in_order = F.udf(sort, f"array<struct<file_id:{kinds['file_id']},row_index:{kinds['row_index']}>>")
+    rows = seen.join(mixed, day, "left_semi").groupBy(*day).agg(F.collect_list(F.struct("uid", "seen")).alias("rows"))
+    links = edges.join(mixed, day, "left_semi").groupBy(*day).agg(F.collect_set(F.struct("a", "b")).alias("links"))
+    sorted_days = rows.join(links, day).select(*day, F.posexplode(in_order("rows", "links")).alias("at", "u"))
+    sorted_days = sorted_days.select(*day, "u.file_id", "u.row_index", (F.col("at") + 1).alias("at"))
     places = plain.select(*day, "uid.file_id", "uid.row_index", "at").unionByName(sorted_days)
     out = merged.join(places, [*day, "file_id", "row_index"]).select(*merged.columns, "at")
     return out.withColumn("place", F.row_number().over(Window.partitionBy("account_id").orderBy("txn_date", "at")).cast("long")).drop("at")

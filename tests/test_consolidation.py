@@ -122,3 +122,27 @@ def test_sides_by_place(spark):
     df = spark.createDataFrame(rows, "file int, n int, at double, amount_paise long, balance_paise long, direction string")
     assert {(r.file, r.n): (r.direction, r.by_place) for r in consolidation.sides_by_place(df).collect()} == want
     assert consolidation.sides_by_place(df.where("false")).count() == 0
+
+
+def test_rows_without_a_pair_are_left_out_of_rounds(spark, monkeypatch):
+    """A table of forms written anew in each round, whatever joined, made rounds as dear as the whole."""
+    kept, store = {}, consolidation.stored
+    def spy(df, name):
+        out = store(df, name)
+        kept.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(consolidation, "stored", spy)
+    rows = [(1, 1, DAY, i, "debit", i, None, f"NUMBER {i} OF MANY") for i in range(50)] + [(f, 1, DAY, 0, "debit", 7, None, "NUMBER 7 OF MA" + "NY"[:f - 2]) for f in (2, 3, 4)]
+    got = consolidation.merge_statements(spark.createDataFrame(rows, ROWS))
+    assert sorted(r.sources for r in got.collect()) == [1] * 49 + [4]
+    assert kept["forms"] == [52] and max(kept["paired-forms"]) <= 4
+
+
+def test_days_out_of_order_need_no_group_each(spark, capsys):
+    """A pandas group for each day of an account took most of the time."""
+    rows = [r for a in range(3) for r in ((1, a, DAY, 1, "debit", 1, 1, "first row here"), (1, a, DAY, 2, "debit", 3, 3, "third row here"), (2, a, DAY, 1, "debit", 2, 2, "second row here"), (2, a, DAY, 2, "debit", 3, 3, "third row here"))]
+    got = consolidation.in_file_order(consolidation.merge_statements(spark.createDataFrame(rows, ROWS)))
+    assert sorted((r.account_id, r.place, r.amount_paise) for r in got.collect()) == [(a, i, i) for a in range(3) for i in (1, 2, 3)]
+    got.explain()
+    assert "InPandas" not in capsys.readouterr().out

@@ -21,11 +21,16 @@ def first_of(text: Column, patterns: list[tuple[str, str]], default: Column | No
     return out
 
 
-def describe(txn: DataFrame) -> DataFrame:
-    """txn_id, rail, cash kind and flow type of every row."""
+def described(txn: DataFrame) -> DataFrame:
+    """txn with rail, cash (kind) and flow (type) of every row."""
     t = F.upper("narration")
     side = F.when(F.col("direction") == "credit", "INCOME").otherwise("EXPENSE")
-    return txn.select("txn_id", first_of(t, RAILS).alias("rail"), first_of(t, CASH).alias("cash"), first_of(t, FLOWS, side).alias("flow"))
+    return txn.withColumns({"rail": first_of(t, RAILS), "cash": first_of(t, CASH), "flow": first_of(t, FLOWS, side)})
+
+
+def describe(txn: DataFrame) -> DataFrame:
+    """txn_id, rail, cash kind and flow type of every row."""
+    return described(txn).select("txn_id", "rail", "cash", "flow")
 
 
 class Ruleset:

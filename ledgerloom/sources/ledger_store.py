@@ -13,7 +13,7 @@ from ..plans.scratch import discard, stored
 def canonical(rows: DataFrame, run: str) -> DataFrame:
     """Ledger rows (txn_id, statement_id, account_id, txn_date, direction, amount_paise, reference_no, narration, ...) as they
     are stored: with rail, cash kind and flow, the foreign leg of the narration, a content hash and the run that wrote them."""
-    x = rows.join(classify.describe(rows), "txn_id").withColumn("leg_", narration.fx_leg(F.col("narration"), F.col("amount_paise")))
+    x = classify.described(rows).withColumn("leg_", narration.fx_leg(F.col("narration"), F.col("amount_paise")))
     x = x.withColumns({"fx_currency": F.col("leg_.currency"), "fx_minor": F.col("leg_.amount_minor")}).drop("leg_")
     return x.withColumns({"content_hash": text.row_hash(*map(F.col, ("account_id", "txn_date", "direction", "amount_paise", "reference_no"))), "written_by": F.lit(run)})
 

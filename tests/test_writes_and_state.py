@@ -74,3 +74,11 @@ def test_requests_are_answered_once(spark, tmp_path):
     files = [[("c", "k", "f1", at(1), 1), ("c", "k", "f1", at(2), 2), ("d", "k", "f1", at(1), 3)], [("c", "k", "f2", at(3), 4), ("c", "k", "f1", at(4), 5), ("d", "j", "f9", at(4), 6)]]
     got = {r.request_id: (r.outcome, r.first_id) for r in through(spark, tmp_path, "r", files, schema, stateful.answered_once)}
     assert got == {1: ("new", 1), 2: ("replay", 1), 3: ("new", 3), 4: ("conflict", 1), 5: ("replay", 1), 6: ("new", 6)}
+
+
+def test_canonical_rows_are_not_joined_with_themselves(spark, capsys):
+    rows = spark.createDataFrame([(i, 1, 1, "2024-01-01", "debit", 5, "R", "UPI/DR/1/SHOP") for i in (1, 2, 2)], "txn_id long, statement_id long, account_id long, txn_date string, direction string, amount_paise long, reference_no string, narration string")
+    got = ledger_store.canonical(rows, "a")
+    assert got.count() == 3
+    got.explain()
+    assert "Join" not in capsys.readouterr().out

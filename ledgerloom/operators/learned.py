@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
+
 #: Scores of strong and medium rules, the model's confidences, what must be known of a text, and the scale of rule scores.
 RULE_HIGH, RULE_MEDIUM, RULE_CLEAR = 80, 50, 100
 MODEL_ACCEPTED, MODEL_STRONG, LEAST_KNOWN, LEAST_COVERAGE = 0.70, 0.85, 2, 0.5
@@ -91,7 +93,8 @@ def fit(examples: DataFrame, reg: float = 0.001, most_terms: int = 1 << 15, most
         StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="terms", outputCol="present", binary=True, vocabSize=most_terms),
         IDF(inputCol="present", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"), LogisticRegression(maxIter=most_iterations, regParam=reg, family="multinomial"),
     ]
-    return Model(Pipeline(stages=stages).fit(_terms(texts)))
+    # each stage reads the examples again, the regression many times: only their different texts are kept for that
+    return Model(Pipeline(stages=stages).fit(stored(_terms(texts), "examples")))
 
 
 def held_out(template_: Column, seed: int, percent: int = 20) -> Column:

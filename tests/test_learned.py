@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import learned
 
@@ -58,3 +59,15 @@ def test_decision_table(spark):
     df = spark.createDataFrame([(i, *r[:8], None if r[7] is None else 0.62) for i, r in enumerate(TABLE)], "i int, rule_category string, rule_score int, rule_ambiguous boolean, ml_category string, ml_confidence double, known_words int, told_words int, fallback_category string, fallback_confidence double")
     got = [tuple(r) for r in learned.decide(df).orderBy("i").select("method", "category", "needs_review").collect()]
     assert got == [r[8:] for r in TABLE]
+
+
+def test_fit_reads_its_examples_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(i):
+        read.add(1)
+        return ("petrol pump ", "house rent ")[i % 2] + "abcdefghij"[i % 10] * 3
+
+    learned.fit(spark.range(40).select(said("id").alias("narration"), F.when(F.col("id") % 2 == 0, "Fuel").otherwise("Rent").alias("category")))
+    assert read.value <= 80

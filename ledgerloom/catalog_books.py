@@ -9,7 +9,7 @@ from .catalog import _SKELETON, query
 from .functions import text
 from .operators import consolidation, memory
 from .plans.ledger import read
-from .plans.scratch import folder
+from .plans.scratch import stored
 from .sources import books
 
 #: Layouts of books by account modulo 4: columns and separator.
@@ -21,18 +21,15 @@ _LAYOUTS = [
 ]
 
 
-def _books_files(t, spark):
-    """The ledger as one books file an account, in four layouts whose sides differ: an opening and a closing row, one entry in 17 without a day. Returns their path."""
-    path = folder(spark, "books-files")
+def _books_files(t):
+    """The ledger as one books file an account, in four layouts whose sides differ: an opening and a closing row, one entry in 17 without a day. Returns file and content, stored."""
     receipt = F.col("direction") == "credit"
     said = F.concat(F.when(receipt, "Receipt T").otherwise("Payment T"), "txn_id", F.lit(" "), "narration")
     entry = t.select("account_id", F.col("txn_id").alias("k"), F.when(F.col("txn_id") % 17 != 3, F.col("txn_date")).alias("day"), said.alias("said"), F.when(receipt, "Receipt").otherwise("Payment").alias("kind"),
                      F.concat(F.lit("V"), "txn_id").alias("voucher"), F.concat(F.lit("I"), "txn_id").alias("instrument"), F.col("credit_paise").alias("i"), F.col("debit_paise").alias("o"))
-    none = F.lit(None).cast("string")
-    label = lambda place, what, paise: (
-        t.select("account_id").distinct().select("account_id", F.lit(place).cast("long").alias("k"), none.cast("date").alias("day"), F.lit(what).alias("said"), none.alias("kind"), none.alias("voucher"), none.alias("instrument"), paise.alias("i"), none.cast("long").alias("o")))
-    rows = label(-1, "Opening Balance", F.col("account_id") * 100 + 7).unionByName(entry).unionByName(label(2**62, "Closing  Balance", F.col("account_id") * 1000 + 3))
-    rows = rows.repartition("account_id").sortWithinPartitions("account_id", "k")
+    label = lambda place, what, paise: F.struct(F.lit(place).cast("long").alias("k"), F.lit(what).alias("said"), paise.cast("long").alias("i"))
+    labels = F.array(label(-2, "Header", F.lit(None)), label(-1, "Opening Balance", F.col("account_id") * 100 + 7), label(2**62, "Closing  Balance", F.col("account_id") * 1000 + 3))
+    rows = entry.unionByName(t.select("account_id").distinct().select("account_id", F.inline(labels)), allowMissingColumns=True)
     units = lambda c: (F.col(c) / 100).cast("decimal(20,2)")
     plain, grouped = lambda c: units(c).cast("string"), lambda c: F.format_number(units(c), 2)
     signed = F.when(F.col("o").isNotNull(), F.concat(F.lit("("), plain("o"), F.lit(")"))).otherwise(plain("i"))
@@ -42,10 +39,14 @@ def _books_files(t, spark):
         (F.date_format("day", "dd/MM/yyyy"), F.col("said"), plain("i"), plain("o")),
         (F.date_format("day", "dd-MMM-yyyy"), F.col("said"), signed),
     ]
+    line = F.lit(None).cast("string")
     for k, ((names, sep), cols) in enumerate(zip(_LAYOUTS, values, strict=True)):
-        some = rows.where(F.col("account_id") % 4 == k)
-        some.select("account_id", *[c.alias(n) for n, c in zip(names, cols, strict=True)]).write.partitionBy("account_id").csv(f"{path}/{k}", header=True, sep=sep)
-    return f"{path}/*/*"
+        told = F.to_csv(F.struct(*[c.alias(n) for n, c in zip(names, cols, strict=True)]), {"sep": sep})
+        line = F.when(F.col("account_id") % 4 == k, F.when(F.col("k") == -2, sep.join(names)).otherwise(told)).otherwise(line)
+    # rows of a table, as a file on a file system for each account takes most of the time
+    content = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
+    files = rows.select("account_id", "k", line.alias("line")).groupBy("account_id").agg(content.alias("content"))
+    return stored(files.select(F.concat(F.lit("account_id="), "account_id", F.lit(".csv")).alias("file"), F.encode("content", "UTF-8").alias("content")), "books-files")
 
 
 _DATED = "txn_id % 17 <> 3"
@@ -59,7 +60,7 @@ def _account():
 case when account_id % 4 = 0 then 'V' || txn_id end as voucher_no, case when account_id % 4 = 0 then 'I' || txn_id end as instrument_no,
 coalesce(credit_paise, 0) as money_in_paise, coalesce(debit_paise, 0) as money_out_paise from txn where {_DATED}""")
 def sc29_books_entries(t, spark, sf_dir):
-    rows = books.entries(books.read_books(spark, _books_files(t, spark)))
+    rows = books.entries(books.read_books(spark, _books_files(t)))
     return rows.select(_account(), "narration", "entry_date", "voucher_no", "instrument_no", "money_in_paise", "money_out_paise")
 
 
@@ -68,7 +69,7 @@ min(txn_date) filter ({_DATED}) as period_from, max(txn_date) filter ({_DATED})
 select *, false as refused, account_id * 100 + 7 as opening_paise, 'ledger_file' as opening_source,
 account_id * 1000 + 3 as closing_paise from x""")
 def sc29_books_batches(t, spark, sf_dir):
-    rows = books.batches(books.read_books(spark, _books_files(t, spark)))
+    rows = books.batches(books.read_books(spark, _books_files(t)))
     return rows.select(_account(), "row_count", "skipped", "negative", "period_from", "period_to", "refused", "opening_paise", "opening_source", "closing_paise")
 
 
@@ -77,7 +78,7 @@ select account_id, false as is_statement, 1::bigint as header_at, 0 as entry_dat
 case when o = 1 then case account_id % 4 when 0 then 6 when 1 then 2 when 2 then 3 end end as money_out, account_id % 4 = 1 as debit_out from n""")
 def sc28_books_roles(t, spark, sf_dir):
     """Roles of the columns and the side of the debit column; columns here are named by what they mean: layout 1 has receipts in its credit column."""
-    rows = books.lines(spark, _books_files(t, spark))
+    rows = books.lines(spark, _books_files(t))
     by = books.roles(rows)
     by = by.join(books.sides(books.typed_lines(rows, by)), "file")
     swapped = F.col("debit_out")

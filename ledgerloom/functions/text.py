@@ -30,20 +30,16 @@ def date(c: Column, first_year: int = 1990, last_year: int = 2100, this_year: in
     A day without a year is of `this_year`, and null if that is not given.
     """
     def parsed(s: Column, format: str, more: str = "") -> Column:
-        # only cells of the format's shape are parsed, as trying all formats on each takes most of the time
+        # only cells of the format's shape are parsed, and once, as trying all formats on each takes most of the time
         cell, whole = (F.concat(s, F.lit(more)), f"{format} yyyy") if more else (s, format)
-        return F.when(s.rlike(_shape(format)), F.try_to_timestamp(cell, F.lit(whole)).cast("date"))
+        days = F.array(F.try_to_timestamp(cell, F.lit(whole)).cast("date"))
+        if "yy" in format and "yyyy" not in format:
+            days = F.transform(days, lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d))
+        return F.when(s.rlike(_shape(format)), F.get(F.filter(days, lambda d: F.year(d).between(first_year, last_year)), 0))
 
     def found(s: Column) -> Column:
-        tried = []
-        for f in DATE_FORMATS:
-            day = parsed(s, f)
-            if "yy" in f and "yyyy" not in f:
-                day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-            tried.append(day)
-        if this_year is not None:
-            tried += [parsed(s, f, f" {this_year}") for f in YEARLESS]
-        return F.coalesce(*[F.when(F.year(t).between(first_year, last_year), t) for t in tried])
+        yearless = [] if this_year is None else [parsed(s, f, f" {this_year}") for f in YEARLESS]
+        return F.coalesce(*[parsed(s, f) for f in DATE_FORMATS], *yearless)
 
     # the cell's own expression is found once, not for each format
     return F.get(F.transform(F.array(F.trim(c)), found), 0)

@@ -1,7 +1,7 @@
 """Books (ledgers of bank accounts) in delimited files: the role of each column by its name and its cells, the sides of
 each file by its own rows, then entries and one batch a file.
 
-Every file of a path is read by itself, in scans of many files; what is kept of a file is a row of its header and roles.
+Every file of a path is read by itself, all in one scan; what is kept of a file is a row of its header and roles.
 """
 
 from __future__ import annotations
@@ -46,22 +46,19 @@ def _named(name: Column, field: str) -> Column:
     return F.coalesce(*[F.when(_within(name, w), F.when(name == w, 1.0).otherwise(0.8)) for w in KEYWORDS[field]], F.lit(0.0))
 
 
-def lines(spark: SparkSession, path: str, sep: str | None = None, most_columns: int = 2000) -> DataFrame:
-    """file, block, line (from 1, gapless, blank lines not counted) and cells of all files of a path, stored.
+def lines(spark: SparkSession, path: str | DataFrame, sep: str | None = None, most_columns: int = 2000) -> DataFrame:
+    """file, block, line (from 1, gapless, blank lines not counted) and cells of all files of a path, or of a table of file and content, stored.
 
     ValueError if there is no line at all, or where a line has more than most_columns, rather than leave its file out.
     """
-    known = stored(statements.layouts(spark, path, sep, most_columns=most_columns), "books-layouts")
+    raw = statements.lines_in(path) if isinstance(path, DataFrame) else statements.lines_of(spark, path)
+    known = stored(statements.layouts(raw, sep, most_columns=most_columns), "books-layouts")
     if wide := known.where(F.col("width") > most_columns).first():
         raise ValueError(f"{wide.file} has a line of {wide.width} columns")
-    rows = statements.cells_of(spark, known)
+    rows = statements.cells_of(raw, known.select("file", "encoding", "sep", "width"))
     if rows is None:
         raise ValueError(f"no books in {path}")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
-    sizes = rows.groupBy("file", "block").agg(F.max("k").alias("size"))
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("file", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
-    return stored(rows.join(before, ["file", "block"]).select("file", "block", (F.col("before") + F.col("k")).alias("line"), "cells"), "books-lines")
+    return stored(rows.select("file", "block", (F.col("before") + F.col("k")).alias("line"), "cells"), "books-lines")
 
 
 def roles(rows: DataFrame, head_lines: int = 30) -> DataFrame:
@@ -105,7 +102,7 @@ def roles(rows: DataFrame, head_lines: int = 30) -> DataFrame:
     scores = F.array(*[F.struct(F.lit(f).alias("field"), score(f).alias("score")) for f in KEYWORDS], F.struct(F.lit("balance").alias("field"), balance.alias("score")))
     long = shape.select("file", "col", F.explode(scores).alias("x")).select("file", "col", "x.*").where(F.col("score") >= LEAST_SCORE)
     best = long.groupBy("file").pivot("field", _FIELDS).agg(F.max_by("col", F.struct("score", -F.col("col"))))
-    return heads.join(best, "file", "left")
+    return stored(heads.join(best, "file", "left"), "books-roles")
 
 
 def typed_lines(rows: DataFrame, by: DataFrame) -> DataFrame:
@@ -137,8 +134,8 @@ def sides(typed: DataFrame, default: str = "debit_in") -> DataFrame:
     return votes.select("file", (F.col("literal") & ((F.col("votes") < 0) | ((F.col("votes") == 0) & F.lit(default == "debit_out")))).alias("debit_out"))
 
 
-def read_books(spark: SparkSession, path: str, sep: str | None = None, convention: str | None = None, default: str = "debit_in", head_lines: int = 30) -> DataFrame:
-    """Every line of the books of a path below its header, with its fate; nothing is left out.
+def read_books(spark: SparkSession, path: str | DataFrame, sep: str | None = None, convention: str | None = None, default: str = "debit_in", head_lines: int = 30) -> DataFrame:
+    """Every line of the books of a path (or table, see lines) below its header, with its fate; nothing is left out.
 
     file, row_index (lines after the header, from 1), fate, negative, debit_out, entry_date, voucher_no, voucher_type,
     narration, party_name, instrument_no, money_in_paise, money_out_paise, row_hash. Fates, the first that fits: opening and

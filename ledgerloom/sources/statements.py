@@ -6,10 +6,10 @@ Every reader takes a path that Spark opens; nothing is inferred from data but th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -82,75 +82,133 @@ def _places_of(batches: Iterator[pa.RecordBatch], seps: list[str], sep: str | No
             yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema)
 
 
-def layouts(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
-    """file, encoding, sep, width, problem, the header's place among its lines that are not blank, and the places of the fields of every delimited file of a path.
+#: Fixed value: a line, as ISO-8859-1, that has more than blanks and a byte order mark.
+_SAYS = "^(?:\u00ff\u00fe|\u00fe\u00ff|\u00ef\u00bb\u00bf)?+[\\x00-\\x20]*+[^\\x00-\\x20]"
 
-    One pass over all lines, as bytes: UTF-16 where there are zero bytes, UTF-8 where all lines are, else Windows text if
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, at (which orders a block's lines, without gaps) and value (as bytes) of every line of a path that is not blank, stored: the files are listed and read once."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    lines = lines.where(F.decode("value", "ISO-8859-1").rlike(_SAYS))
+    # a task reads block by block; numbers come after the filter, so that they have no gaps
+    return stored(lines.select("file", "block", F.monotonically_increasing_id().alias("at"), "value"), "lines")
+
+
+def lines_in(files: DataFrame) -> DataFrame:
+    """As lines_of, of files that are kept as rows of a table: file (any name) and content (all its bytes). UTF-16 becomes UTF-8.
+
+    For very many small files: each one on a file system takes far longer to make, list and open than to read.
+    """
+    zeros = F.decode("content", "ISO-8859-1").contains("\x00")
+
+    def utf8(content: bytes) -> bytes:
+        return content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-16-be", "replace").encode()
+
+    plain = files.where(~zeros).select("file", "content").unionByName(files.where(zeros).select("file", F.udf(utf8, "binary", useArrow=False)("content").alias("content")))
+    line = F.explode(F.split(F.regexp_replace(F.decode("content", "ISO-8859-1"), "^\u00ef\u00bb\u00bf", ""), "\r\n|\r|\n"))
+    lines = plain.select("file", line.alias("latin")).where(F.col("latin").rlike(_SAYS))
+    return stored(lines.select("file", F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("at"), F.encode("latin", "ISO-8859-1").alias("value")), "lines")
+
+
+def layouts(lines: DataFrame, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
+    """file, encoding, sep, width, problem, the header's place among its lines, and the places of the fields of every delimited file of lines_of.
+
+    By all lines, as bytes: UTF-16 where there are zero bytes, UTF-8 where all lines are, else Windows text if
     it has bytes that ISO-8859-1 leaves to control characters. A file's header is the first of its first head_lines
     lines that names a date and an amount. Files without one, or wider than most_columns, have a problem and no places.
     """
-    line, seps = F.col("value"), [sep] if sep else list(",\t;|")
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    latin = F.decode(line.cast("binary"), "ISO-8859-1")
+    seps = [sep] if sep else list(",\t;|")
+    latin = F.decode("value", "ISO-8859-1")
     told = lines.groupBy("file").agg(
-        F.max(latin.contains("\x00")).alias("zeros"), F.max(~F.is_valid_utf8(line)).alias("odd"), F.max(latin.rlike("[\x80-\x9f]")).alias("windows"),
+        F.max(latin.contains("\x00")).alias("zeros"), F.max(~F.is_valid_utf8(F.col("value").cast("string"))).alias("odd"), F.max(latin.rlike("[\x80-\x9f]")).alias("windows"),
         *[F.max(F.length(latin) - F.length(F.replace(latin, F.lit(s), F.lit("")))).alias(f"w{i}") for i, s in enumerate(seps)])
     first = Window.partitionBy("file").orderBy("at")
     plain = F.regexp_replace(latin, "\x00|^\u00ff\u00fe|^\u00fe\u00ff|^\u00ef\u00bb\u00bf|\r", "")
-    heads = lines.where("block = 0").select("file", plain.alias("line"), F.monotonically_increasing_id().alias("at")).where("trim(line) != ''").withColumn("k", F.row_number().over(first)).where(F.col("k") <= head_lines)
+    heads = lines.where("block = 0").withColumn("k", F.row_number().over(first)).where(F.col("k") <= head_lines).select("file", "k", plain.alias("line"))
     heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("head"))
 
-    ship_package(spark)
+    ship_package(lines.sparkSession)
     found = heads.join(told, "file").select("file", "head.line", "zeros", "odd", "windows", *[f"w{i}" for i in range(len(seps))])
     return found.mapInArrow(partial(_places_of, seps=seps, sep=sep, most_columns=most_columns), _LAYOUT)
 
 
-def cells_of(spark: SparkSession, known: DataFrame) -> DataFrame | None:
-    """file, block, at (which orders a block's lines) and cells of every line that is not blank of the files in known (see layouts).
+def cells_of(lines: DataFrame, known: DataFrame) -> DataFrame | None:
+    """known's columns (see layouts), block, k (a line's place in its block, from 1), before (lines of the blocks before) and cells of every line of the files in known.
 
-    Files of one separator and encoding are one scan; None if known is empty.
+    Lines are parsed where they are, each as its file's layout says; only UTF-16 files, whose lines are not those of their bytes, are
+    read again, one scan for each separator. Arrays are as wide as the widest file of a separator and encoding. None if known is empty.
     """
-    rows = None
-    for s in known.groupBy("sep", "encoding").agg(F.max("width").alias("width"), F.collect_list("file").alias("files")).collect():
-        how = {"encoding": "ISO-8859-1" if s.encoding == "windows-1252" else s.encoding} | ({"multiLine": True} if s.encoding == "UTF-16" else {})
-        raw = spark.read.csv(s.files, sep=s.sep, header=False, schema=", ".join(f"c{i} string" for i in range(s.width)), mode="PERMISSIVE", **how)
-        cells = F.array(*raw.columns)
-        if s.encoding == "windows-1252":
-            cells = F.transform(cells, lambda c: F.translate(c, "".join(_WINDOWS), "".join(_WINDOWS.values())))
-        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"))
-        rows = raw if rows is None else rows.unionByName(raw)
-    return rows
+    spark = lines.sparkSession
+    kinds = known.groupBy("sep", "encoding").agg(F.max("width").alias("width")).collect()
+    names = lambda s: [f"c{i}" for i in range(s.width)]
+    schema = lambda s: ", ".join(f"{c} string" for c in names(s))
+
+    def numbered(rows: DataFrame, cells: Column) -> DataFrame:
+        sizes = rows.groupBy("file", "block").agg(F.min("at").alias("start"), F.count("*").alias("size"))
+        ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0))).drop("size")
+        blocks = stored(known.join(sizes, "file"), "blocks")
+        return rows.join(blocks, ["file", "block"]).select(*known.columns, "block", (F.col("at") - F.col("start") + 1).alias("k"), "before", cells.alias("cells"))
+
+    out, cells = [], F.lit(None).cast("array<string>")
+    latin = F.decode("value", "ISO-8859-1")
+    texts = {"UTF-8": F.col("value").cast("string"), "ISO-8859-1": latin, "windows-1252": F.translate(latin, "".join(_WINDOWS), "".join(_WINDOWS.values()))}
+    for s in kinds:
+        if s.encoding == "UTF-16":
+            files = [r.file for r in known.where((F.col("encoding") == s.encoding) & (F.col("sep") == s.sep)).select("file").collect()]
+            raw = spark.read.csv(files, sep=s.sep, header=False, schema=schema(s), mode="PERMISSIVE", encoding=s.encoding, multiLine=True)
+            raw = raw.select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("at"), F.array(*raw.columns).alias("cells"))
+            out.append(numbered(stored(raw, "lines"), F.col("cells")))
+        else:
+            # the parsed line is found once, not for each of its columns
+            parsed = F.get(F.transform(F.array(F.from_csv(texts[s.encoding], schema(s), {"sep": s.sep, "mode": "PERMISSIVE"})), lambda x: F.array(*[x[c] for c in names(s)])), 0)  # noqa: B023
+            cells = F.when((F.col("sep") == s.sep) & (F.col("encoding") == s.encoding), parsed).otherwise(cells)
+    if len(out) < len(kinds):
+        known = known.where("encoding <> 'UTF-16'") if out else known
+        out.append(numbered(lines, cells))
+    return reduce(DataFrame.unionByName, out) if out else None
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, head_lines: int = 100, most_columns: int = 2000) -> DataFrame:
     """Rows of the delimited files of a path, each read by its own header, separator, width and encoding (see layouts).
 
-    Files of one separator and encoding are one scan. Narrower lines end in nulls. A line with neither date nor amount continues the
+    The files are read once (see lines_of). Narrower lines end in nulls. A line with neither date nor amount continues the
     narration of the row before it in its file; other undated lines and repeated headers are left out. n orders a file's rows.
     In a file with a negative lone amount, those without a sign are credits.
     A file with a problem is one row with its name alone; ValueError if every file has one.
     """
-    known = stored(layouts(spark, path, sep, head_lines, most_columns), "layouts")
-    rows = cells_of(spark, known.where("problem is null"))
+    lines = lines_of(spark, path)
+    known = stored(layouts(lines, sep, head_lines, most_columns), "layouts")
+    rows = cells_of(lines, known.where("problem is null"))
     if rows is None:
         bad = known.select("problem", "width").first()
         raise ValueError(f"no header row in the first {head_lines} lines" if bad is None or bad.problem == "no_header" else f"a line of {bad.width} columns")
     cell = lambda f: F.nullif(F.trim(F.get("cells", F.col(f"{f}_at"))), F.lit(""))
-    rows = rows.join(known.select("file", "header_at", *_PLACES), "file").select("file", "block", "at", "header_at", *[cell(f).alias(f) for f in HEADERS])
+    rows = rows.select("file", "block", (F.col("block") + F.col("k")).alias("n"), "header_at", *[cell(f).alias(f) for f in HEADERS]).where("block > 0 or n > header_at")
     named = F.lower("date").isin(HEADERS["date"])
-    in_block = Window.partitionBy("file", "block").orderBy("at")
     dated = F.col("date").isNotNull() & ~F.coalesce(named, F.lit(False))
-    rows = rows.withColumns({"n": F.col("block") + F.row_number().over(in_block), "dated": dated}).where("block > 0 or n > header_at")
+    more = F.expr("date is null and narration is not null and debit is null and credit is null and amount is null and balance is null")
+    rows = rows.withColumns({"dated": dated, "continues": more}).where("dated or continues")
     # the row that a line continues: the last dated one of its block, else of the blocks before
-    rows = rows.withColumn("of", F.last(F.when(F.col("dated"), F.col("n")), ignorenulls=True).over(in_block))
-    more = rows.where("date is null and narration is not null and debit is null and credit is null and amount is null and balance is null")
-    ends = rows.groupBy("file", "block").agg(F.max(F.when(F.col("dated"), F.col("n"))).alias("end"))
-    ends = ends.select("file", "block", F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))
-    more = more.join(ends, ["file", "block"]).select("file", F.coalesce("of", "end").alias("n"), F.col("n").alias("line"), F.col("narration").alias("said"))
-    more = more.where("n is not null").groupBy("file", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), " ").alias("more"))
-    out = rows.where("dated").join(more, ["file", "n"], "left").withColumn("narration", F.nullif(F.concat_ws(" ", "narration", "more"), F.lit("")))
+    in_block = Window.partitionBy("file", "block")
+    rows = rows.withColumn("of", F.last(F.when(F.col("dated"), F.col("n")), ignorenulls=True).over(in_block.orderBy("n")))
+    said = F.collect_list(F.when(F.col("continues") & F.col("of").isNotNull(), F.col("narration")))
+    whole = Window.partitionBy("file", "block", "of").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("more", said.over(whole)).where("dated or of is null")
+    rows = rows.withColumn("narration", F.when(F.col("dated"), F.concat_ws(" ", "narration", "more")).otherwise(F.col("narration")))
+    rows = stored(rows.select("file", "block", "n", "dated", *HEADERS), "rows")
+
+    ends = rows.where("dated").groupBy("file", "block").agg(F.max("n").alias("end"))
+    early = rows.where("not dated and block > 0").groupBy("file", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "narration"))), lambda x: x["narration"]), " ").alias("said"))
+    early = early.join(ends, ["file", "block"], "full")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    early = early.select("file", "block", "said", F.last("end", ignorenulls=True).over(before).alias("n")).where("said is not null and n is not null")
+    early = early.groupBy("file", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "said"))), lambda x: x["said"]), " ").alias("early"))
+    # stored, so that Spark sees that they are few
+    out = rows.where("dated").join(stored(early, "early"), ["file", "n"], "left").withColumn("narration", F.nullif(F.concat_ws(" ", F.nullif("narration", F.lit("")), "early"), F.lit("")))
     bad = known.where("problem is not null").select("file", F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("string").alias(f) for f in HEADERS], "problem")
-    out = _signed_files(out.select("file", "n", *HEADERS))
+    signed = stored(rows.where("dated").where(_minus()).select("file").distinct().withColumn("signed", F.lit(True)), "signed")
+    out = _signed(out.join(signed, "file", "left"))
     return out.select("file", "n", *HEADERS, F.lit(None).cast("string").alias("problem")).unionByName(bad)
 
 
@@ -174,11 +232,19 @@ def read_json(spark: SparkSession, path: str, list_keys: tuple[str, ...] = ("tra
     return _signed_files(rows)
 
 
+def _minus() -> Column:
+    return F.col("amount").rlike(r"^\s*-")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """rows with credits from lone amounts without a sign, where their file is signed."""
+    lone = F.col("debit").isNull() & F.col("credit").isNull() & F.col("signed") & ~_minus()
+    return rows.withColumn("credit", F.when(lone, F.col("amount")).otherwise(F.col("credit"))).drop("signed")
+
+
 def _signed_files(rows: DataFrame) -> DataFrame:
     """rows with credits from lone amounts without a sign, in files that have a negative one."""
-    signed = rows.groupBy("file").agg(F.max(F.col("amount").rlike(r"^\s*-")).alias("signed"))
-    lone = F.col("debit").isNull() & F.col("credit").isNull() & F.col("signed") & ~F.col("amount").rlike(r"^\s*-")
-    return rows.join(signed, "file").withColumn("credit", F.when(lone, F.col("amount")).otherwise(F.col("credit"))).drop("signed")
+    return _signed(rows.join(rows.groupBy("file").agg(F.max(_minus()).alias("signed")), "file"))
 
 
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:

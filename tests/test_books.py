@@ -118,3 +118,26 @@ def test_first_lines_of_many_files_are_not_unpacked_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == n and got[7] == {"file": "f7", "sep": ",", "width": 4, "header_at": 1, "date_at": 0} and peak < 20e6
+
+
+def test_books_of_a_table_are_those_of_files(spark, tmp_path):
+    """Files kept as rows give the entries that they give on a file system, in every encoding and with every line end."""
+    body = "Date,Particulars,Debit,Credit\n\n05-02-2025,\"CAFÉ, €\",7,\n \t\n06-02-2025,y,,3\n"
+    files = {"utf8.csv": body.encode(), "bom.csv": b"\xef\xbb\xbf" + body.encode(), "windows.csv": body.encode("cp1252"), "crlf.csv": body.replace("\n", "\r\n").encode(), "wide.csv": body.replace(" \t\n", "").encode("utf-16"), "nothing.csv": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    by = lambda rows: sorted((os.path.basename(r.file), r.row_index, str(r.entry_date), r.narration, r.money_in_paise, r.money_out_paise) for r in rows.collect())
+    table = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "file string, content binary")
+    got = by(books.entries(books.read_books(spark, table)))
+    assert got == sorted(x for k in files if k != "nothing.csv" for x in ((k, 1, "2025-02-05", "CAFÉ, €", 700, 0), (k, 2, "2025-02-06", "y", 0, 300)))
+    assert got == by(books.entries(books.read_books(spark, str(tmp_path))))
+
+
+def test_books_queries_make_no_file_for_each_account(spark):
+    from ledgerloom import catalog_books
+    from ledgerloom.plans.ledger import ledger
+
+    files = catalog_books._books_files(ledger(spark, "/root/testdata/sf0.001"))
+    assert files.columns == ["file", "content"] and files.count() == ledger(spark, "/root/testdata/sf0.001").select("account_id").distinct().count()
+    first = bytes(files.where("file = 'account_id=3.csv'").first().content).decode().splitlines()
+    assert first[0] == "Entry Date,Remarks,Deposit" and first[1] == ",Opening Balance,3.07" and first[-1] == ",Closing  Balance,30.03"

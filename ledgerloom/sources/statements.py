@@ -318,13 +318,14 @@ def read_statement(spark: SparkSession, path: str, kind: str | None = None) -> D
 
 def typed(rows: DataFrame) -> DataFrame:
     """Canonical columns with the warnings of what could not be read; a lone signed amount gives the side."""
-    debit, credit, lone = text.amount(F.col("debit")), text.amount(F.col("credit")), text.amount(F.col("amount"))
-    side = F.coalesce(F.when(debit.isNotNull(), "debit"), F.when(credit.isNotNull(), "credit"), F.when(F.col("amount").rlike(r"^\s*-"), "debit"), text.amount_side(F.col("amount")))
-    day = text.date(F.col("date"))
     problem = F.col("problem") if "problem" in rows.columns else F.lit(None).cast("string")
+    # first what is used more than once, so that it is found once
+    rows = rows.select("file", "n", "narration", "amount", problem.alias("problem"), text.date(F.col("date")).alias("day"), *[text.amount(F.col(c)).alias(k) for c, k in (("debit", "out"), ("credit", "in"), ("amount", "lone"), ("balance", "held"))])
+    side = F.coalesce(F.when(F.col("out").isNotNull(), "debit"), F.when(F.col("in").isNotNull(), "credit"), F.when(_minus(), "debit"), text.amount_side(F.col("amount")))
+    paise = F.coalesce("out", "in", "lone")
     return rows.select(
-        "file", "n", day.alias("txn_date"), "narration", side.alias("direction"), F.coalesce(debit, credit, lone).alias("amount_paise"), text.amount(F.col("balance")).alias("balance_paise"),
-        F.array_compact(F.array(problem, F.when(day.isNull(), "date_unreadable"), F.when(F.coalesce(debit, credit, lone).isNull(), "no_amount"), F.when(side.isNull(), "no_direction"))).alias("warnings"))
+        "file", "n", F.col("day").alias("txn_date"), "narration", side.alias("direction"), paise.alias("amount_paise"), F.col("held").alias("balance_paise"),
+        F.array_compact(F.array("problem", F.when(F.col("day").isNull(), "date_unreadable"), F.when(paise.isNull(), "no_amount"), F.when(side.isNull(), "no_direction"))).alias("warnings"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -310,6 +310,15 @@ def test_continuation_lines_over_block_borders(spark, tmp_path):
     assert [r.narration for r in rows] == [f"row {i} more {i}" for i in range(200)]
 
 
+def test_delimited_files_are_read_once(spark, tmp_path):
+    """The result's plan has no scan of the files, which were read once to lines; a line of blank cells is no line, in the header's place either."""
+    (tmp_path / "a.tsv").write_text("\t\t\nDate\tNarration\tAmount\n01/02/2024\tfirst\t-7.00\n\t\t\n02/02/2024\tnext\t8.00\n\tof more\t\n")
+    rows = statements.read_delimited(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and "FileScan text" not in plan
+    assert [(r.date, r.narration, r.debit, r.credit, r.amount) for r in rows.orderBy("n").collect()] == [("01/02/2024", "first", None, None, "-7.00"), ("02/02/2024", "next of more", None, "8.00", "8.00")]
+
+
 def test_json_signs_are_decided_by_document(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"date": "2024-03-01", "amount": "-5"}, {"date": "2024-03-02", "amount": "7"}]')
     (tmp_path / "b.json").write_text('[{"date": "2024-03-03", "amount": "9"}]')

@@ -75,7 +75,8 @@ def e14_entities_by_decisions(t, spark, sf_dir):
 
 @query()
 def e8_name_scores(t, spark, sf_dir):
-    f = stored(resolution.forms(resolution.mentions(_spelt(spark, sf_dir), "id", "name")), "forms")
+    m = stored(resolution.mentions(_spelt(spark, sf_dir), "id", "name"), "mentions")
+    f = stored(resolution.forms(resolution.readings(m, stored(resolution.other_readings(m), "other-readings"))), "forms")
     return resolution.pair_scores(f, resolution.candidates(f))
 
 

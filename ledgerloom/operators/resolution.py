@@ -97,6 +97,34 @@ def forms(m: DataFrame) -> DataFrame:
     return f.join(i, "form", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
 
 
+def _run(form: Column) -> Column:
+    """The letters of a form; only one that readings() told apart has spaces."""
+    return F.replace(form, F.lit(" "), F.lit(""))
+
+
+def _inner_ends(words: Column) -> Column:
+    """Where words end in their letters run together, but for the last one."""
+    return F.slice(_word_ends(words), F.lit(1), F.size(words) - 1)
+
+
+def _agree(x: Column, y: Column) -> Column:
+    """Of the word ends of two, one side's are among the other's: spaces get lost, but they don't move."""
+    return (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+
+
+def other_readings(m: DataFrame) -> DataFrame:
+    """form, words, reading: other words that end at other places than those of most mentions of the same form; a reading is these words with spaces."""
+    x = m.where("form is not null and size(words) > 1").groupBy("form", "words").agg(F.count(F.lit(1)).alias("n"))
+    main = x.groupBy("form").agg(F.max_by("words", F.struct("n", F.size("words").alias("w"), F.array_join("words", " ").alias("t"))).alias("main"), F.count(F.lit(1)).alias("all")).where("`all` > 1")
+    unlike = ~_agree(_inner_ends(F.col("words")), _inner_ends(F.col("main"))) & (F.sort_array("words") != F.sort_array("main"))
+    return x.join(main, "form").where(unlike).select("form", "words", F.array_join("words", " ").alias("reading"))
+
+
+def readings(m: DataFrame, others: DataFrame) -> DataFrame:
+    """Mentions whose words are among `others` (see other_readings) with that reading as their form, so that two names of the same letters stay two."""
+    return m.join(others, ["form", "words"], "left").withColumn("form", F.coalesce("reading", "form")).select(*m.columns)
+
+
 def _numbers(words: Column) -> Column:
     return F.filter(words, lambda w: w.rlike("^[0-9]+$"))
 
@@ -111,11 +139,11 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     found by the keys alone: no block of names that merely look alike is compared all with all. The keys of a form take the
     square of its length: it is for names, not for texts.
     """
-    x = f.where(F.length("form") >= 3).select("form", "words", "ids")
-    words, n = F.col("words"), F.length("form")
+    x = f.where(F.length("form") >= 3).select("form", _run(F.col("form")).alias("run"), "words", "ids")
+    words, n = F.col("words"), F.length("run")
     # what goes into many keys of a form is found once, as columns of its own
     x = x.withColumns({
-        "letters": F.regexp_replace("form", "[^A-Z]", ""), "number": F.array_join(F.sort_array(_numbers(words)), ","), "lettered": F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Z]", "")), lambda w: w != ""),
+        "letters": F.regexp_replace("run", "[^A-Z]", ""), "number": F.array_join(F.sort_array(_numbers(words)), ","), "lettered": F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Z]", "")), lambda w: w != ""),
         "full": F.filter(words, lambda w: F.length(w) >= 4), "sorted_firsts": F.array_join(F.sort_array(F.transform(words, lambda w: F.substring(w, 1, 1))), ""),
     })
     letters, number, lettered, full, sorted_firsts = map(F.col, ("letters", "number", "lettered", "full", "sorted_firsts"))
@@ -139,13 +167,13 @@ def candidates(f: DataFrame, affix: int = 3) -> DataFrame:
     firsts = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     beside = F.when(F.size(words) >= 2, F.transform(full, lambda w: key("I", F.concat_ws("#", sorted_firsts, text.skeleton(w))))).otherwise(none)
     whole = F.concat(
-        F.array(key("A", F.col("form")), key("C", F.array_join(F.sort_array(two), " "))),
-        F.when((F.size(words) == 1) & F.length("form").between(3, 8), F.array(key("N", F.col("form")))).otherwise(none),
+        F.array(key("A", F.col("run")), key("C", F.array_join(F.sort_array(two), " "))),
+        F.when((F.size(words) == 1) & n.between(3, 8), F.array(key("N", F.col("run")))).otherwise(none),
         F.when(F.exists(words, lambda w: F.length(w) == 1), beside).otherwise(none),
     )
     pairs_of_words = F.flatten(F.transform(words, lambda v: F.transform(F.filter(words, lambda w: w >= v), lambda w: F.when(v == w, v).otherwise(F.concat_ws(" ", v, w)))))
     part = F.concat(
-        F.flatten(F.transform(F.filter(sure, lambda i: (i >= affix) & (i < n)), lambda i: F.array(key("A", F.substring("form", F.lit(1), i)), key("A", F.substring(F.col("form"), n - i + 1, i))))),
+        F.flatten(F.transform(F.filter(sure, lambda i: (i >= affix) & (i < n)), lambda i: F.array(key("A", F.substring("run", F.lit(1), i)), key("A", F.substring(F.col("run"), n - i + 1, i))))),
         F.when(F.size(words) >= 2, F.transform(pairs_of_words, lambda w: key("C", w))).otherwise(none),
         F.when(F.size(words) >= 3, F.array(key("N", firsts))).otherwise(none), beside,
     )
@@ -162,13 +190,18 @@ def _consonants(w: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(w, r"([A-Z])\1+", "$1"), "[^B-DF-HJ-NP-TV-Z]|(?<!^)H", "")
 
 
-def _alike(v: Column, w: Column) -> Column:
-    """Two words may be one: an initial, a cut end, one letter of five changed, or the same consonants of four letters."""
+def _spelt_alike(v: Column, w: Column) -> Column:
+    """Two words may be one however many names have them: an initial, a cut end, one vowel of five letters more or less or changed, or the same consonants of four letters."""
     a, b = F.length(v), F.length(w)
     least = F.least(a, b)
     starts = v.startswith(w) | w.startswith(v)
-    sound = _consonants(v)
-    return (starts & ((least == 1) | (least >= 4))) | ((least >= 5) & (F.levenshtein(v, w) <= 1)) | ((least >= 4) & (F.length(sound) >= 2) & (sound == _consonants(w)))
+    sound, bare = _consonants(v), F.regexp_replace(v, "[AEIOU]", "")
+    return (starts & ((least == 1) | (least >= 4))) | ((least >= 5) & (F.levenshtein(v, w) <= 1) & (bare == F.regexp_replace(w, "[AEIOU]", ""))) | ((least >= 4) & (F.length(sound) >= 2) & (sound == _consonants(w)))
+
+
+def _alike(v: Column, w: Column) -> Column:
+    """Two words may be one: spelt alike, or one letter of five changed."""
+    return _spelt_alike(v, w) | ((F.least(F.length(v), F.length(w)) >= 5) & (F.levenshtein(v, w) <= 1))
 
 
 def _word_ends(words: Column) -> Column:
@@ -176,14 +209,17 @@ def _word_ends(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.length(F.array_join(F.slice(words, 1, i), "")))
 
 
-def known_pairs(decisions: DataFrame) -> DataFrame:
+def known_pairs(decisions: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """a, b, same: decisions (a_name, b_name, same) by the forms of both names, so that one holds for every spelling of them.
 
     Where a pair was decided both ways, different holds. Names without a party and pairs of one form are left out.
+    `others`: what other_readings() finds.
     """
-    form = lambda c: F.nullif(F.array_join(core_words(party_words(F.col(c))), ""), F.lit(""))
-    x = decisions.select(form("a_name").alias("x"), form("b_name").alias("y"), "same").where("x <> y and same is not null")
-    return x.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("same").alias("same"))
+    x = decisions.where("same is not null").select("same", *[core_words(party_words(F.col(f"{p}_name"))).alias(f"{p}_words") for p in "ab"])
+    x = x.select("same", *[c for p in "ab" for c in (f"{p}_words", F.nullif(F.array_join(f"{p}_words", ""), F.lit("")).alias(p))])
+    for p in "ab" if others is not None else "":
+        x = x.join(others.toDF(p, f"{p}_words", "reading"), [p, f"{p}_words"], "left").withColumn(p, F.coalesce("reading", p)).drop("reading")
+    return x.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("same").alias("same"))
 
 
 def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None, affix: int = 3) -> DataFrame:
@@ -192,7 +228,7 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     Likeness is the mean of common words, trigrams, edit ratio and equal consonants. Evidence lifts the score and never
     lowers it: the same words in another order 960; a start of six letters and more 950 at most; the whole form at an end
     of the other 860 to 960; all words in the other 970, less 60 for each further word; first letters of the other's words
-    930; words that differ in spelling only 920; a common identifier 950. A firm and a person: times 0.92. Conflicts:
+    930; words that differ in spelling only 920, also (as evidence `letter`) where that is a consonant changed, lost or added; a common identifier 950. A firm and a person: times 0.92. Conflicts:
     different numbers, different identifiers of one kind, words on both sides that the other has nothing like, or words
     that end at different places of the letters that both have, take all; a number on one side only takes 150. As an end,
     a form begins with a word of the other, where that has several: names are cut behind, not in front. From 860 confidence is high, from 700 medium, and high if an identifier is
@@ -207,24 +243,23 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     only = lambda p, q: F.array_except(f"{p}_words", f"{q}_words")
     x = x.withColumns({"common": F.array_intersect("a_words", "b_words"), "a_only": only("a", "b"), "b_only": only("b", "a"), "a_no": _numbers(F.col("a_words")), "b_no": _numbers(F.col("b_words"))})
     unlike = lambda p, q: F.filter(f"{p}_only", lambda v: ~v.rlike("^[0-9]+$") & ~F.exists(f"{q}_only", lambda w: _alike(v, w)))
-    short = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b"))
-    x = x.withColumns({"a_unlike": unlike("a", "b"), "b_unlike": unlike("b", "a"), "short": short, "long": F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))})
+    x = x.withColumns({"a_run": _run(F.col("a")), "b_run": _run(F.col("b"))})
+    a_short = F.length("a_run") <= F.length("b_run")
+    side = lambda p, q: F.when(a_short, F.col(p)).otherwise(F.col(q))
+    x = x.withColumns({"a_unlike": unlike("a", "b"), "b_unlike": unlike("b", "a"), "short": side("a_run", "b_run"), "long": side("b_run", "a_run")})
     grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array(c))
-    x = x.withColumns({"a_grams": grams(F.col("a")), "b_grams": grams(F.col("b")), "a_sound": _consonants(F.col("a"))})
+    x = x.withColumns({"a_grams": grams(F.col("a_run")), "b_grams": grams(F.col("b_run")), "a_sound": _consonants(F.col("a_run"))})
     ga, gb, na, nb = F.col("a_grams"), F.col("b_grams"), F.size("a_words"), F.size("b_words")
     longest, ratio = F.length("long"), F.floor(F.length("short") * 1000 / F.length("long"))
     sound = F.col("a_sound")
     like = F.floor(
         (F.size("common") * 1000 / F.size(F.array_union("a_words", "b_words")) + F.size(F.array_intersect(ga, gb)) * 2000 / (F.size(ga) + F.size(gb))
-         + (longest - F.levenshtein("a", "b")) * 1000 / longest + F.when((sound != "") & (sound == _consonants(F.col("b"))), 1000).otherwise(0)) / 4
+         + (longest - F.levenshtein("a_run", "b_run")) * 1000 / longest + F.when((sound != "") & (sound == _consonants(F.col("b_run"))), 1000).otherwise(0)) / 4
     )
-    a_short = F.length("a") <= F.length("b")
-    short_words, long_words = F.when(a_short, F.col("a_words")).otherwise(F.col("b_words")), F.when(a_short, F.col("b_words")).otherwise(F.col("a_words"))
-    x = x.withColumns({"short_at": _word_ends(short_words), "long_at": _word_ends(long_words), "cut": F.length("long") - F.length("short")})
+    x = x.withColumns({"short_at": _word_ends(side("a_words", "b_words")), "long_at": _word_ends(side("b_words", "a_words")), "cut": F.length("long") - F.length("short")})
     ends_of = lambda cut: F.filter(F.transform("long_at", lambda i: i - cut), lambda i: (i > 0) & (i < F.length("short")))
     inner = F.filter("short_at", lambda i: i < F.length("short"))
-    # of the word ends of both, one side's must be among the other's: spaces get lost, but they don't move
-    agree = lambda at: (F.size(F.array_except(inner, at)) == 0) | (F.size(F.array_except(at, inner)) == 0)
+    agree = lambda at: _agree(inner, at)
     starts_with, ends_with = F.col("long").startswith(F.col("short")), F.col("long").endswith(F.col("short"))
     at_word = (F.size("long_at") == 1) | F.array_contains("long_at", F.col("cut")) | (F.col("cut") == 0)
     starts, ends = starts_with & agree(ends_of(F.lit(0))), ends_with & at_word & agree(ends_of(F.col("cut")))
@@ -233,12 +268,14 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     one = F.when(na == 1, F.col("b_words")).when(nb == 1, F.col("a_words"))
     firsts = F.array_join(F.transform(one, lambda w: F.substring(w, 1, 1)), "")
     spelt = (F.size("a_unlike") == 0) & (F.size("b_unlike") == 0) & (na == nb) & (F.size("a_only") == F.size("b_only"))
+    letter = lambda p, q: F.exists(f"{p}_only", lambda v: ~v.rlike("^[0-9]+$") & ~F.exists(f"{q}_only", lambda w: _spelt_alike(v, w)))
+    x = x.withColumn("by_a_letter", letter("a", "b") | letter("b", "a"))
     sure = (F.size("common") > 0) | F.forall(F.concat("a_only", "b_only"), lambda w: F.length(w) >= 4)
     shared = F.arrays_overlap("a_ids", "b_ids")
     same = {
         "words": F.when((F.size("a_only") == 0) & (F.size("b_only") == 0), 960), "start": F.when(starts & (F.length("short") >= 6), F.floor(F.least(ratio + 250, F.lit(1000)) * 950 / 1000)),
         "end": F.when((starts | ends) & (F.length("short") >= affix), 860 + F.floor(ratio / 10)), "within": F.when(within & (F.length("short") >= 4), F.greatest(970 - 60 * F.abs(na - nb), F.lit(500))),
-        "initials": F.when((F.length("short") >= 3) & (F.size(one) >= 2) & (firsts == F.col("short")), 930), "spelling": F.when(spelt & sure, 920), "identifier": F.when(shared, 950), "likeness": like,
+        "initials": F.when((F.length("short") >= 3) & (F.size(one) >= 2) & (firsts == F.col("short")), 930), "spelling": F.when(spelt & sure & ~F.col("by_a_letter"), 920), "letter": F.when(spelt & sure & F.col("by_a_letter"), 920), "identifier": F.when(shared, 950), "likeness": like,
     }
     x = x.withColumns({f"by_{k}": v.cast("long") for k, v in same.items()})
     x = x.withColumn("best", F.array_max(F.array_compact(F.array(*[F.when(F.col(f"by_{k}").isNotNull(), F.struct(F.col(f"by_{k}").alias("n"), F.lit(k).alias("why"))) for k in same]))))
@@ -261,7 +298,7 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     return x.select("a", "b", said(F.lit(1000).cast("long"), F.lit(0).cast("long"), "score"), said("high", "low", "confidence"), said("decided", "decided", "evidence"), said(F.lit(None).cast("string"), F.lit("decided"), "conflict"))
 
 
-def clusters(f: DataFrame, links: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+def clusters(f: DataFrame, links: DataFrame, apart: DataFrame | None = None, settled: DataFrame | None = None) -> DataFrame:
     """form, entity (its smallest form): clusters grown over `links` (a, b, score) by falling score, never across `apart` (a, b).
 
     The result is that of taking links one by one, highest score first (of equals the smaller a, then b), each joining the
@@ -269,18 +306,24 @@ def clusters(f: DataFrame, links: DataFrame, apart: DataFrame | None = None) ->
     round: a link that is the best left of both its clusters, and one that is the best of a cluster that no pair of
     `apart` names, as nothing that comes before it can touch either. Without `apart` the clusters of a round at least
     halve those that can still grow; pairs of `apart` can add rounds, as many as decided names one name is linked with.
+    `settled` (form): each two of these are kept apart as well, without their pairs being written down.
     """
     order = lambda: F.struct((-F.col("score")).alias("s"), F.col("ea"), F.col("eb"))
     both = lambda d, *more: d.select("a", "b", *more).unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), *more))
     labels = stored(f.select("form", F.col("form").alias("entity")), "entities")
     edges = stored(both(links.select("a", "b", "score", F.least("a", "b").alias("ea"), F.greatest("a", "b").alias("eb")), "score", "ea", "eb"), "entity-links")
     walls = stored(both(apart if apart is not None else links.select("a", "b").limit(0)).distinct(), "entity-walls")
+    held = None if settled is None else stored(settled.select(F.col("form").alias("a")).distinct(), "entities-settled")
     while True:
-        top = edges.join(walls, ["a", "b"], "left_anti").groupBy("a").agg(F.min_by("b", order()).alias("b"), F.min(order()).alias("o"))
+        free = edges.join(walls, ["a", "b"], "left_anti")
+        if held is not None:
+            no = lambda c: held.select(F.col("a").alias(c), F.lit(True).alias(f"{c}_held"))
+            free = free.join(no("a"), "a", "left").join(no("b"), "b", "left").where("a_held is null or b_held is null")
+        top = free.groupBy("a").agg(F.min_by("b", order()).alias("b"), F.min(order()).alias("o"))
         top = stored(top, "best-links")
         if top.isEmpty():
             break
-        bound = walls.select("a").distinct().withColumn("bound", F.lit(True))
+        bound = (walls.select("a") if held is None else walls.select("a").unionByName(held)).distinct().withColumn("bound", F.lit(True))
         other = top.select(F.col("a").alias("b"), F.col("o").alias("theirs"))
         taken = top.join(other, "b").join(bound, "a", "left").where("bound is null or o = theirs")
         # one way out of each cluster: two that chose each other stop at the smaller one
@@ -300,9 +343,10 @@ def clusters(f: DataFrame, links: DataFrame, apart: DataFrame | None = None) ->
         new_labels = stored(name(labels, "entity").select("form", "entity"), "entities")
         new_edges = stored(name(name(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.min(order()).alias("o")).select("a", "b", (-F.col("o.s")).alias("score"), "o.ea", "o.eb"), "entity-links")
         new_walls = stored(name(name(walls, "a"), "b").select("a", "b").distinct(), "entity-walls")
-        discard(labels, edges, walls, top, to)
-        labels, edges, walls = new_labels, new_edges, new_walls
-    least = labels.groupBy("entity").agg(F.min("form").alias("least"))
+        new_held = None if held is None else stored(name(held, "a").distinct(), "entities-settled")
+        discard(labels, edges, walls, top, to, *([] if held is None else [held]))
+        labels, edges, walls, held = new_labels, new_edges, new_walls, new_held
+    least = labels.groupBy("entity").agg(F.min_by("form", F.struct(_run(F.col("form")).alias("r"), "form")).alias("least"))
     return labels.join(least, "entity").select("form", F.col("least").alias("entity"))
 
 
@@ -314,20 +358,52 @@ def suggestions(scored: DataFrame, c: DataFrame) -> DataFrame:
     return x.groupBy("a_entity", "b_entity").agg(F.max("score").alias("score"), F.max_by("evidence", F.struct("score", "evidence")).alias("evidence"))
 
 
+def without_letters_of_settled(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scored pairs without those of two settled names a consonant apart; the settled names (form).
+
+    A name is settled if evidence other than a letter or mere likeness, high or medium, joins it to another. Two such names that
+    are a letter apart are two names, each written in that way again and again; a letter is a slip only where one name has nothing else.
+    """
+    x = scored.where("confidence <> 'low' and evidence not in ('letter', 'likeness')")
+    settled = stored(x.select(F.explode(F.array("a", "b")).alias("form")).distinct(), "settled-names")
+    of = lambda p: settled.select(F.col("form").alias(p), F.lit(True).alias(f"{p}_settled"))
+    letters = scored.where("evidence = 'letter'").join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_settled is null or b_settled is null").select(*scored.columns)
+    return scored.where("evidence <> 'letter'").unionByName(letters), settled
+
+
 def resolve(df: DataFrame, id: str, name: str, ids: str | None = None, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions (id, name, form, entity), entities (entity, name, forms, mentions) and suggestions.
 
-    A mention without a party has no form and no entity. An entity goes by its form with most mentions, of equals by
+    A mention without a party has no form and no entity. Mentions of the same letters whose words end at different places are
+    of different entities; one whose smallest form is another's too goes by its words. An entity goes by its form with most mentions, of equals by
     that with more words, then the smaller one.
     """
     m = stored(mentions(df, id, name, ids), "mentions")
+    others = stored(other_readings(m), "other-readings")
+    others = None if others.isEmpty() else others
+    m = m if others is None else stored(readings(m, others), "mentions")
     f = stored(forms(m), "forms")
-    known = None if decisions is None else stored(known_pairs(decisions), "decided-names")
+    known = None if decisions is None else stored(known_pairs(decisions, others), "decided-names")
     scored = stored(pair_scores(f, candidates(f), known), "name-pairs")
+    kept, settled = without_letters_of_settled(scored)
+    scored = stored(kept, "name-pairs")
     # a cut name can be the start of two; those whose words end at different places stay apart, whatever lies between them
     apart = scored.where("conflict = 'word ends'").select("a", "b")
     apart = apart if known is None else apart.unionByName(known.where("not same").select("a", "b"))
-    c = stored(clusters(f, scored.where("confidence = 'high'"), apart), "entities-of-forms")
+    high = scored.where("confidence = 'high'")
+    c = stored(clusters(f, high.where("evidence <> 'letter'"), apart), "entities-of-forms")
+    # slips of a letter come last, and join no two clusters of settled names
+    slips = high.where("evidence = 'letter'")
+    if not slips.isEmpty():
+        of = lambda p: c.select(F.col("form").alias(p), F.col("entity").alias(f"{p}_entity"))
+        between = lambda d, *more: d.join(of("a"), "a").join(of("b"), "b").select(F.least("a_entity", "b_entity").alias("a"), F.greatest("a_entity", "b_entity").alias("b"), *more).where("a <> b")
+        ends = between(slips, "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+        whole = clusters(c.select(F.col("entity").alias("form")).distinct(), ends, between(apart), c.join(settled, "form").select(F.col("entity").alias("form")))
+        c = stored(c.join(whole.toDF("entity", "whole"), "entity").select("form", F.col("whole").alias("entity")), "entities-of-forms")
+    if others is not None:
+        # a second reading's spaces are shown only where the form alone is the name of another entity
+        plain = c.select(_run(F.col("entity")).alias("plain"), "entity").distinct().groupBy("plain").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("n")).where("n = 1 and entity <> plain").drop("n")
+        c = stored(c.join(plain, "entity", "left").select("form", F.coalesce("plain", "entity").alias("entity")), "entities-of-forms")
     best = F.min_by(F.array_join("words", " "), F.struct((-F.col("mentions")).alias("m"), (-F.size("words")).alias("w"), "form"))
     e = f.join(c, "form").groupBy("entity").agg(best.alias("name"), F.count(F.lit(1)).alias("forms"), F.sum("mentions").alias("mentions"))
-    return m.join(c, "form", "left").select("id", "name", "form", "entity"), e, suggestions(scored, c)
+    return m.join(c, "form", "left").select("id", "name", _run(F.col("form")).alias("form"), "entity"), e, suggestions(scored, c)

@@ -62,6 +62,26 @@ def test_ends_in_the_middle_of_words_and_other_consonants_do_not_join_names(spar
     assert groups(spark, ["NIDIGUBADIFO NIDIDIRU LTD", "NIDIGUBADIFO NIDIDIRU", "NIDGUBADIFO NIDIDIRU"]) == [[0, 1, 2]]
 
 
+def test_names_a_consonant_apart_that_are_each_written_in_several_ways_stay_apart(spark):
+    ways = lambda v, w: [f"{v} {w} PVT LTD", f"UPI/1/{w} {v}/AXIS BANK", f"{v}{w}"[:14], f"{v} {w} INDIA", f"{v} {w[0]}"]
+    assert groups(spark, ways("GUBAKEGURURU", "LALANINI") + ways("GULAKEGURURU", "LALANINI")) == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]]
+    # a slip that stands alone joins one of them, and takes them no nearer to each other
+    assert groups(spark, ["KERLETTA", "KERLETTA INDIA", "KERKETTA", "KERMETTA", "KERMETTA INDIA"]) == [[0, 1, 2], [3, 4]]
+    assert groups(spark, ["KERLETTA", "KERKETTA", "KERMETTA"]) == [[0, 1, 2]]
+
+
+def test_equal_letters_whose_words_end_elsewhere_are_two_names(spark):
+    names = ["GUNILAGUDIME MEKERUPO LTD", "NEFT-GUNILAGUDIME MEKERUPO LTD", "GUNILAGUDIMEMEKERUPO", "UPI/1/GUNILAGU DIMEMEKERUPO/AXIS BANK", "DIMEMEKERUPO GUNILAGU"]
+    of, e, _ = entities(spark, names)
+    assert of == {0: "GUNILAGUDIMEMEKERUPO", 1: "GUNILAGUDIMEMEKERUPO", 2: "GUNILAGUDIMEMEKERUPO", 3: "DIMEMEKERUPOGUNILAGU", 4: "DIMEMEKERUPOGUNILAGU"} and len(e) == 2
+    # where both would go by the same letters, the second one goes by its words; a decision is about the one that it names
+    of, e, _ = entities(spark, names[:4])
+    assert of[0] == of[1] == of[2] == "GUNILAGUDIMEMEKERUPO" and of[3] == "GUNILAGU DIMEMEKERUPO" and len(e) == 2
+    assert groups(spark, [*names[:4], "ACME"], decisions=[("GUNILAGU DIMEMEKERUPO", "ACME", True)]) == [[0, 1, 2], [3, 4]]
+    # the same words in another order are one name
+    assert groups(spark, ["BABABABABABA BABABABA", "BABABABA BABABABABABA"]) == [[0, 1]]
+
+
 def test_decisions_hold_for_every_spelling_and_are_never_crossed(spark):
     names = ["CHETHAN", "CHETAN", "ACME TRADERS", "ZENITH SUPPLIES PVT LTD", "CHETAAN"]
     d = [("NEFT-Chethan", "CHETAN", False), ("ACME TRADER", "ZENITH SUPPLY", True), ("CHETHAN", "CHETAN", True)]
@@ -118,6 +138,18 @@ def test_clusters_are_those_of_links_taken_one_by_one(spark, seed):
     assert got == one_by_one(n, links, walls)
 
 
+def test_settled_names_never_join_one_cluster(spark):
+    r = random.Random(9)
+    n = [f"n{i:02d}" for i in range(20)]
+    pairs = [(a, b) for i, a in enumerate(n) for b in n[i + 1 :]]
+    links = [(a, b, r.choice([860, 920])) for a, b in r.sample(pairs, 40)]
+    settled, walls = r.sample(n, 5), {("n00", "n01"), ("n02", "n05")}
+    kept = walls | {(a, b) for a, b in pairs if a in settled and b in settled}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = R.clusters(df([(x,) for x in n], "form string"), df(links, "a string, b string, score long"), df(sorted(walls), "a string, b string"), df([(x,) for x in settled], "form string"))
+    assert {x.form: x.entity for x in got.collect()} == one_by_one(n, links, kept)
+
+
 def test_forms_read_each_name_once(spark):
     """Names whose party is looked for again for each use of it made scores of many names slow."""
     read = spark.sparkContext.accumulator(0)

@@ -267,7 +267,10 @@ def pair_scores(f: DataFrame, pairs: DataFrame, known: DataFrame | None = None,
     within = (F.size("a_only") == 0) | (F.size("b_only") == 0)
     one = F.when(na == 1, F.col("b_words")).when(nb == 1, F.col("a_words"))
     firsts = F.array_join(F.transform(one, lambda w: F.substring(w, 1, 1)), "")
-    spelt = (F.size("a_unlike") == 0) & (F.size("b_unlike") == 0) & (na == nb) & (F.size("a_only") == F.size("b_only"))
+    # who cuts words of a name cuts them all: each name with the beginning of a word of the other is no spelling of it
+    cut = lambda p, q: F.exists(f"{p}_only", lambda v: (F.length(v) >= 4) & F.exists(f"{q}_only", lambda w: w.startswith(v) & (F.length(w) > F.length(v) + 1)))
+    x = x.withColumn("both_cut", cut("a", "b") & cut("b", "a"))
+    spelt = (F.size("a_unlike") == 0) & (F.size("b_unlike") == 0) & (na == nb) & (F.size("a_only") == F.size("b_only")) & ~F.col("both_cut")
     letter = lambda p, q: F.exists(f"{p}_only", lambda v: ~v.rlike("^[0-9]+$") & ~F.exists(f"{q}_only", lambda w: _spelt_alike(v, w)))
     x = x.withColumn("by_a_letter", letter("a", "b") | letter("b", "a"))
     sure = (F.size("common") > 0) | F.forall(F.concat("a_only", "b_only"), lambda w: F.length(w) >= 4)

@@ -104,6 +104,16 @@ def test_a_branch_does_not_join_through_the_common_name_but_is_suggested(spark):
     assert {(r.a_entity, r.b_entity) for r in s} == {("SUNRISESTORE", "SUNRISESTORE1"), ("SUNRISESTORE", "SUNRISESTORE2")}
 
 
+def test_branches_of_names_a_consonant_apart_are_suggested_for_their_own_name_only(spark):
+    names = [f"{n}{b}" for n in ("FOKENIKEBARU FOMEBANI", "FOMENIKEBARU FOMEBANI") for b in (" LTD", " 1", " 2")]
+    of, _, s = entities(spark, names)
+    assert len(set(of.values())) == 6
+    forms = ["FOKENIKEBARUFOMEBANI", "FOMENIKEBARUFOMEBANI"]
+    assert {(r.a_entity, r.b_entity) for r in s} == {(f, f"{f}{b}") for f in forms for b in "12"}
+    # each has the beginning of a word of the other
+    assert groups(spark, ["BANIKEPOGUDI MEKEMEME 1", "MEKEMEMEMEME BANIKEPO 1"]) == [[0], [1]]
+
+
 def test_empty_null_and_repeated_mentions(spark):
     of, e, s = entities(spark, [None, "", "UPI/12345678/", "ABC TRADERS", "ABC TRADERS", "AB"])
     assert of == {0: None, 1: None, 2: None, 3: "ABCTRADER", 4: "ABCTRADER", 5: "AB"}

@@ -90,6 +90,12 @@ def test_decisions_hold_for_every_spelling_and_are_never_crossed(spark):
     assert groups(spark, ["CHETHAN", "CHETAN"]) == [[0, 1]]
 
 
+def test_a_decision_takes_no_name_a_consonant_apart_with_it(spark):
+    ways = lambda v, w: [f"{v} {w} PVT LTD", f"UPI/1/{w} {v}/AXIS BANK", f"{v}{w}"[:14]]
+    names = ways("GUBAKEGURURU", "LALANINI") + ways("GULAKEGURURU", "LALANINI") + ["ZENITH SUPPLIES"]
+    assert groups(spark, names, decisions=[("GUBAKEGURURU LALANINI", "ZENITH SUPPLY", True)]) == [[0, 1, 2, 6], [3, 4, 5]]
+
+
 def test_identifiers_promote_and_veto(spark):
     assert groups(spark, ["QRS METALS", "QRX VENTURES"], ids={0: ["vpa:q@x"], 1: ["vpa:q@y"]}) == [[0], [1]]
     assert groups(spark, ["THRISHA ENTERPRISES", "TRISHA ENTERPRISE"], ids={0: ["account:9911"], 1: ["account:1199"]}) == [[0], [1]]
